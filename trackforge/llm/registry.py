@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_decontam
+from trackforge.llm import q_bpe, q_decontam
 
-QUERIES = {"op1_decontam": q_decontam.op1_decontam}
+QUERIES = {"op1_decontam": q_decontam.op1_decontam, "op2_bpe": q_bpe.op2_bpe}
 ORACLE_SQL = {"op1_decontam": q_decontam.SQL}
