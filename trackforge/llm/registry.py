@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_decontam
+from trackforge.llm import q_bpe, q_decontam, q_hmm
 
-QUERIES = {"op1_decontam": q_decontam.op1_decontam, "op2_bpe": q_bpe.op2_bpe}
+QUERIES = {
+    "op1_decontam": q_decontam.op1_decontam,
+    "op2_bpe": q_bpe.op2_bpe,
+    "op8_hmm": q_hmm.op8_hmm,
+}
 ORACLE_SQL = {"op1_decontam": q_decontam.SQL}
