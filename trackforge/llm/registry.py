@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_decontam, q_hmm
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_hmm, q_licenses, q_urls
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
     "op2_bpe": q_bpe.op2_bpe,
+    "op3_chat": q_chat.op3_chat,
+    "op6_urls": q_urls.op6_urls,
+    "op7_licenses": q_licenses.op7_licenses,
     "op8_hmm": q_hmm.op8_hmm,
 }
-ORACLE_SQL = {"op1_decontam": q_decontam.SQL}
+ORACLE_SQL = {"op1_decontam": q_decontam.SQL, "op3_chat": q_chat.SQL, "op6_urls": q_urls.SQL}
