@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackforge.llm.common import Scratch
-from trackforge.llm.wordblocks import block_words, pack, unpack, word_blocks
+from trackforge.llm.wordblocks import messages_of, pack, pack_wide, reply_order, unpack, unpack_wide, unpack_words, word_blocks
 
 END = 0  # the end token's symbol
 ADD = 0.1  # added to every count
@@ -219,42 +219,74 @@ class Chain:
         return starts, moves, emits
 
 
-def count_words(blocks: DataFrame) -> DataFrame:
-    """word, c: over the training documents (0 for words of other documents only)."""
-    return block_words(blocks).groupBy("word").agg(F.sum("count").alias("c"))
+def count_words(messages: DataFrame) -> DataFrame:
+    """bucket, word, c: over the training documents (0 for words of other documents only)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, counts = None, {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["bucket", "word", "c"])
+
+        for b in batches:
+            for now, n, size, words, own in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "size", "words", "counts")), strict=True):
+                if now != bucket:
+                    if counts:
+                        yield rows()
+                    bucket, counts = now, {}
+                for w, c in zip(unpack_words(words, size), unpack_wide(own, n).tolist(), strict=True):
+                    counts[w] = counts.get(w, 0) + c
+        if counts:
+            yield rows()
+
+    return messages.select("bucket", "n", "size", "words", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, word string, c long")
 
 
 def _give_symbols(vocab: DataFrame, own: list, cfg: Config) -> DataFrame:
     spark = vocab.sparkSession
     top = spark.createDataFrame([(w, i + 1) for i, w in enumerate(own)], "top string, own int")
     shared = (1 + cfg.own_symbols + F.pmod(F.xxhash64(F.right("word", F.lit(cfg.ending_chars))), F.lit(cfg.endings))).cast("int")
-    return vocab.join(F.broadcast(top), F.col("word") == F.col("top"), "left").select("word", "c", F.coalesce("own", shared).alias("symbol"))
-
-
-def _code_blocks(left: pa.Table, right: pa.Table, schema: pa.Schema, end: tuple[float, bool]) -> pa.Table:
-    rows = []
-    at = right.column("at").to_numpy()
-    n = len(at)
-    held = {c: np.zeros(n, right.schema.field(c).type.to_pandas_dtype()) for c in ("symbol", "known", "base", "inside")}
-    for c, to in held.items():
-        to[at] = right.column(c).to_numpy(zero_copy_only=False)
-    for k in range(left.num_rows):
-        lens = np.array(left.column("lens")[k].values, np.int64)
-        codes = unpack(left.column("codes")[k].as_py(), int(lens.sum()))
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        per = lambda c: np.diff(np.concatenate([[0.0], np.cumsum(held[c][codes], dtype=np.float64)])[upto])
-        symbols = np.insert(held["symbol"][codes], upto[1:], END).astype(np.uint32)  # an end after each document
-        rows.append({
-            "block": left.column("block")[k].as_py(), "docs": left.column("docs")[k].values, "flags": left.column("flags")[k].values, "lens": pa.array(lens + 1, pa.int32()), "symbols": pack(symbols),
-            "known": pa.array(np.rint(per("known")).astype(np.int64) + int(end[1])), "base": pa.array(per("base") + end[0]), "inside": pa.array(per("inside"))})
-    return pa.Table.from_arrays([_column([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
-
-
-def _column(values: list, kind: pa.DataType) -> pa.Array:
-    if not pa.types.is_list(kind):
-        return pa.array(values, kind)
-    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([v.cast(kind.value_type) for v in values]) if values else pa.array([], kind.value_type))
+    return vocab.join(F.broadcast(top), F.col("word") == F.col("top"), "left").select("bucket", "word", "c", F.coalesce("own", shared).alias("symbol"))
+
+
+def _reply(messages: pa.Table, vocab: pa.Table, names: list[str]) -> pa.Table:
+    """Symbol and count of every word asked about."""
+    look = dict(zip(vocab.column("word").cast(pa.binary()).to_pylist(), zip(vocab.column("symbol").to_pylist(), vocab.column("c").to_pylist(), strict=True), strict=True))
+    replies = []
+    for size, words in zip(messages.column("size").to_pylist(), messages.column("words"), strict=True):
+        got = [look[w] for w in unpack_words(words.as_py(), size)]
+        replies.append(pack_wide(np.array([s for s, _ in got] + [c for _, c in got], np.uint64)))
+    return pa.Table.from_arrays([messages.column("block"), messages.column("bucket"), messages.column("n"), pa.array(replies, pa.binary())], names)
+
+
+def _code_blocks(left: pa.Table, right: pa.Table, schema: pa.Schema, below: float, inside_mass: np.ndarray, ends: int) -> pa.Table:
+    if not left.num_rows:
+        return schema.empty_table()
+    right = right.sort_by("bucket")
+    symbols, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for n, reply in zip(right.column("n").to_pylist(), right.column("reply"), strict=True):
+        got = unpack_wide(reply.as_py(), 2 * n)
+        symbols.append(got[:n].astype(np.int64))
+        counts.append(got[n:].astype(np.float64))
+    block = left.slice(0, 1).to_pylist()[0]
+    symbol, count = reply_order(block, symbols), reply_order(block, counts)
+    lens = np.array(block["lens"], np.int64)
+    codes = unpack(block["codes"], int(lens.sum()))
+    upto = np.concatenate([[0], np.cumsum(lens)])
+
+    def per_document(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(lens))
+        some = lens > 0
+        if some.any():
+            out[some] = np.add.reduceat(values[codes], upto[:-1][some])
+        return out
+
+    base = per_document(np.log10((count + ADD) / below)) + math.log10((ends + ADD) / below)
+    inside = per_document(np.log10((count + ADD) / inside_mass[symbol]))
+    known = np.rint(per_document(count > 0)).astype(np.int64) + (ends > 0)
+    stream = np.insert(symbol[codes], upto[1:], END).astype(np.uint32)  # an end after each document
+    row = {"block": block["block"], "docs": block["docs"], "flags": block["flags"], "lens": (lens + 1).tolist(), "symbols": pack(stream), "known": known.tolist(), "base": base.tolist(), "inside": inside.tolist()}
+    return pa.Table.from_pylist([row], schema=schema)
 
 
 def _symbols_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,8 +336,8 @@ def score(docs: DataFrame, training: Column, *, cfg: Config = Config(), doc_id:
     null counts as no."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "hmm")
-    blocks = scratch.write(word_blocks(docs, split_words, doc_id=doc_id, text=text, flag=training))
-    vocab = scratch.write(count_words(blocks))
+    blocks = word_blocks(docs, split_words, doc_id=doc_id, text=text, flag=training)
+    vocab = scratch.write(count_words(messages_of(blocks)))
     own = [r["word"] for r in vocab.where("c > 0").orderBy(F.desc("c"), "word").limit(cfg.own_symbols).collect()]
     vocab = _give_symbols(vocab, own, cfg)
     ends = blocks.select(F.explode("flags").alias("f")).agg(F.coalesce(F.sum(F.col("f").cast("long")), F.lit(0)).alias("n")).first()["n"]
@@ -313,24 +345,22 @@ def score(docs: DataFrame, training: Column, *, cfg: Config = Config(), doc_id:
     total = ends + sum(r["c"] for r in sums)
     distinct = (ends > 0) + sum(r["v"] for r in sums)
     below = total + ADD * (distinct + 1)
-    mass, inside = np.zeros(cfg.symbols), np.zeros(cfg.symbols)
+    mass, inside = np.zeros(cfg.symbols), np.full(cfg.symbols, ADD)
     mass[END] = ends
     for r in sums:
         shared = r["symbol"] > cfg.own_symbols  # these keep a place for unknown words
         mass[r["symbol"]], inside[r["symbol"]] = r["c"], r["c"] + ADD * (r["v"] + shared)
-    per_symbol = spark.createDataFrame([(i, float(x) or ADD) for i, x in enumerate(inside)], "s int, inside_mass double")
-    words = vocab.join(F.broadcast(per_symbol), F.col("symbol") == F.col("s")).select(
-        "word", "symbol", (F.col("c") > 0).cast("int").alias("known"), F.log10((F.col("c") + ADD) / below).alias("base"), F.log10((F.col("c") + ADD) / F.col("inside_mass")).alias("inside"))
-    found = block_words(blocks).select("block", "at", "word").join(words, "word").select(F.col("block").alias("blk"), "at", "symbol", "known", "base", "inside")
+    asked = messages_of(blocks).select("block", "bucket", "n", "size", "words")
+    names = ["to", "bucket", "n", "reply"]
+    replies = asked.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(lambda l, r: _reply(l, r, names), "to long, bucket int, n int, reply binary")
     kind = docs.schema[doc_id].dataType
     arr = T.ArrayType
     out = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("docs", arr(kind)), T.StructField("flags", arr(T.BooleanType())), T.StructField("lens", arr(T.IntegerType())),
         T.StructField("symbols", T.BinaryType()), T.StructField("known", arr(T.LongType())), T.StructField("base", arr(T.DoubleType())), T.StructField("inside", arr(T.DoubleType()))])
     schema = spark.createDataFrame([], out).toArrow().schema
-    end = (math.log10((ends + ADD) / below), ends > 0)
-    stream = blocks.select("block", "docs", "flags", "lens", "codes")
-    coded = scratch.write(stream.groupBy("block").cogroup(found.groupBy("blk")).applyInArrow(lambda l, r: _code_blocks(l, r, schema, end), out))
+    stream = blocks.select("block", "docs", "flags", "lens", "codes", "order")
+    coded = scratch.write(stream.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(lambda l, r: _code_blocks(l, r, schema, below, inside, ends), out))
     model = train(coded, cfg, mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_chat, q_decontam, q_hmm, q_licenses, q_urls
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_hmm, q_licenses, q_minhash, q_urls
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_urls": q_urls.op6_urls,
     "op7_licenses": q_licenses.op7_licenses,
     "op8_hmm": q_hmm.op8_hmm,
+    "op10_minhash": q_minhash.op10_minhash,
 }
 ORACLE_SQL = {"op1_decontam": q_decontam.SQL, "op3_chat": q_chat.SQL, "op6_urls": q_urls.SQL}
