@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_chat, q_decontam, q_hmm, q_langid, q_licenses, q_minhash, q_urls
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_urls
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
     "op2_bpe": q_bpe.op2_bpe,
     "op3_chat": q_chat.op3_chat,
     "op4_langid": q_langid.op4_langid,
+    "op5_epsilon_grid": q_epsilon_grid.op5_epsilon_grid,
     "op6_urls": q_urls.op6_urls,
     "op7_licenses": q_licenses.op7_licenses,
     "op8_hmm": q_hmm.op8_hmm,
