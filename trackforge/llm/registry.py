@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_chat, q_decontam, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_urls
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_pii, q_urls
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_urls": q_urls.op6_urls,
     "op7_licenses": q_licenses.op7_licenses,
     "op8_hmm": q_hmm.op8_hmm,
+    "op9_pii": q_pii.op9_pii,
     "op10_minhash": q_minhash.op10_minhash,
 }
 ORACLE_SQL = {"op1_decontam": q_decontam.SQL, "op3_chat": q_chat.SQL, "op6_urls": q_urls.SQL}
