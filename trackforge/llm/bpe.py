@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding over a global distinct-word shuffle.
 
 Texts are cut into pre-tokens by the tokenizer's pattern; positions stay with their block
-(wordblocks), distinct pre-tokens are shuffled by text, each is merged to ids once, and the ids
-return to their block, where the stream is put together again by position. Decoding looks the ids
+(wordblocks), the distinct pre-tokens of all blocks are shuffled by their hash, each is merged to
+ids once, and the ids are joined back to their block, where the stream is put together again by
+position. Decoding looks the ids
 up in the token-byte table (as many entries as the vocabulary, sent to the executors).
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows, repeated
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import Scratch
-from trackforge.llm.wordblocks import block_words, unpack, word_blocks
+from trackforge.llm.wordblocks import messages_of, pack, unpack, unpack_words, word_blocks
+
+
+PIECE = 500_000  # positions put together at once
 
 
 class Vocabulary:
@@ -43,10 +47,10 @@ class Vocabulary:
         self._split = self._split or regex.compile(self.pattern)
         return self._split.findall(text)
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
         self._merge = self._merge or tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return self._merge._encode_single_piece(word.encode())
+        return self._merge._encode_single_piece(word)
 
     def table(self) -> list[bytes]:
         out = [b""] * (max(self.ranks.values()) + 1)
@@ -55,54 +59,66 @@ class Vocabulary:
         return out
 
 
-def _encode_words(words: DataFrame, voc) -> DataFrame:
-    """block, at, ids. Sorted by word within a partition, so that each is merged once."""
+def _encode_words(messages: DataFrame, voc) -> DataFrame:
+    """block, bucket, n, m, reply (packed: ids per word, then all ids). All messages of a bucket
+    meet in one task, so each distinct word is merged once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
+        bucket, known = None, {}
         merge = voc.value.merge
         for b in batches:
-            coded = b.column(2).dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            ids = [last[1] if w == last[0] else merge(w) for w in names]
-            if names:
-                last = (b.column(2)[-1].as_py(), ids[coded.indices[-1].as_py()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], ["block", "at", "ids"])
-
-    return words.select("block", "at", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, at int, ids array<int>")
+            m, replies = [], []
+            for now, size, packed in zip(b.column("bucket").to_pylist(), b.column("size").to_pylist(), b.column("words"), strict=True):
+                if now != bucket:
+                    bucket, known = now, {}
+                words = unpack_words(packed.as_py(), size)
+                for w in set(words).difference(known):
+                    known[w] = merge(w)
+                ids = [known[w] for w in words]
+                out = np.concatenate([np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)])
+                m.append(len(out))
+                replies.append(pack(out))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("n"), pa.array(m, pa.int32()), pa.array(replies, pa.binary())], ["to", "bucket", "n", "m", "reply"])
+
+    return messages.select("block", "bucket", "n", "size", "words").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "to long, bucket int, n int, m int, reply binary")
 
 
 def _assemble(left: pa.Table, right: pa.Table, names: list[str], id_type: pa.DataType) -> pa.Table:
-    at = right.column("at").to_numpy()
-    lists = right.column("ids").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    start[at], size[at] = offsets[:-1], np.diff(offsets)
-    ids, docs, ends = [np.zeros(0, np.int32)], [], [0]
-    for k in range(left.num_rows):
-        lens = np.array(left.column("lens")[k].values, np.int64)
-        codes = unpack(left.column("codes")[k].as_py(), int(lens.sum()))
-        many = size[codes]
-        upto = np.concatenate([[0], np.cumsum(many)])
-        ids.append(flat[np.arange(upto[-1]) + np.repeat(start[codes] - upto[:-1], many)])
-        ends.extend((ends[-1] + upto[np.cumsum(lens)]).tolist())
-        docs.append(left.column("docs")[k].values)
-    return pa.Table.from_arrays([pa.concat_arrays(docs) if docs else pa.array([], id_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))], names)
-
-
-def encode(docs: DataFrame, voc: Vocabulary, *, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    right = right.sort_by("bucket")
+    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for n, m, reply in zip(right.column("n").to_pylist(), right.column("m").to_pylist(), right.column("reply"), strict=True):
+        got = unpack(reply.as_py(), m)
+        sizes.append(got[:n].astype(np.int64))
+        flat.append(got[n:])
+    size, flat = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
+    start = np.cumsum(size) - size
+    block = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
+    if block is None:
+        return pa.Table.from_arrays([pa.array([], id_type), pa.array([], pa.list_(pa.int32()))], names)
+    order = unpack(block["order"], len(size))
+    by_code = np.zeros(len(size), np.int64)
+    by_code[order] = np.arange(len(size))
+    lens = np.array(block["lens"], np.int64)
+    places = by_code[unpack(block["codes"], int(lens.sum()))]
+    upto = np.concatenate([[0], np.cumsum(size[places])])
+    ids = np.empty(upto[-1], np.int32)
+    for a in range(0, len(places), PIECE):
+        own, at = places[a : a + PIECE], upto[a : a + PIECE + 1]
+        ids[at[0] : at[-1]] = flat[np.arange(at[-1] - at[0]) + np.repeat(start[own] - (at[:-1] - at[0]), size[own])]
+    ends = np.concatenate([[0], upto[np.cumsum(lens)]])
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_arrays([pa.array(block["docs"], id_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names)
+
+
+def encode(docs: DataFrame, voc: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array<int>): one row per row of docs."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "bpe")
-    shared = spark.sparkContext.broadcast(voc)
-    blocks = scratch.write(word_blocks(docs, lambda t: shared.value.split(t), doc_id=doc_id, text=text))
-    coded = _encode_words(block_words(blocks), shared)
-    kind = docs.schema[doc_id].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    blocks = word_blocks(docs, lambda t: shared.value.split(t), doc_id=doc_id, text=text)
+    replies = _encode_words(messages_of(blocks), shared)
+    out = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     id_type = blocks.select("docs").limit(0).toArrow().schema.field(0).type.value_type
-    stream = blocks.select("block", "docs", "lens", "codes")
-    joined = stream.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda l, r: _assemble(l, r, ["id", "ids"], id_type), out)
+    stream = blocks.select("block", "docs", "lens", "codes", "order")
+    joined = stream.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(lambda l, r: _assemble(l, r, ["id", "ids"], id_type), out)
     return joined.select(F.col("id").alias(doc_id), "ids")
 
 
