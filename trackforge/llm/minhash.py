@@ -170,7 +170,7 @@ def _estimate(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id is the
+    """doc_id, text_hash, n_shingles, component_id (smallest id reachable by links), kept (doc_id is the
     component's): one row per row of docs. Links: 100 * shared >= percent * union of shingle sets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -219,13 +219,21 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: s
     return _finish(sketch, component, doc_id)
 
 
+def without_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, in its own columns. Rows that repeat an
+    id and a text are one document, and stay or go together."""
+    found = near_duplicates(docs, k=k, percent=percent, doc_id=doc_id, text=text)
+    gone = found.where(~F.col("kept")).select(F.col(doc_id).alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_gone_text"]), "left_anti")
+
+
 def _labelled(member: DataFrame, component: DataFrame) -> DataFrame:
     c = component.select(F.col("node").alias("cls"), "component")
     return member.join(c, "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
 
 
 def _finish(sketch: DataFrame, component: DataFrame, doc_id: str) -> DataFrame:
-    rows = sketch.select("id", "n", "cls")
+    rows = sketch.select("id", "seen", "n", "cls")
     c = component.select(F.col("node").alias("cls"), "component")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("low")).join(c, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lows = classes.groupBy("component").agg(F.min("low").alias("low_of"))
@@ -233,4 +241,4 @@ def _finish(sketch: DataFrame, component: DataFrame, doc_id: str) -> DataFrame:
     named = classes.join(lows, "component").select("cls", of)
     out = rows.join(named, "cls", "left")
     label = F.when(F.col("n") > 0, of).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
+    return out.select(F.col("id").alias(doc_id), F.col("seen").alias("text_hash"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))

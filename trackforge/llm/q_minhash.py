@@ -9,4 +9,4 @@ from trackforge.llm.minhash import near_duplicates
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
