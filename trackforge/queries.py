@@ -1,14 +1,750 @@
-"""Queries over the stand-in tables, one or more for every operator, with DuckDB oracles."""
+"""Queries over the stand-in tables, one or more for every operator, with DuckDB oracles.
+
+A user of ``events`` stands in for a vehicle: track_id = user_id, order (ts, event_id). Places, speeds
+and headings are made from its columns, alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackforge.core import Track, with_seq
+from trackforge.functions import geo, numeric
+from trackforge.functions.orientation import line_angle_at
+from trackforge.operators import filters, kinematics, profile, resample, segmentation, sequential, smoothing, spatial
+from trackforge.plans import daily, infrastructure, products
+from trackforge.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+T = Track()
+KEY = ("track_id", "seq")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tracks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """track_id, seq, event_id, ts, kind, v, lat, lon, and columns of events."""
+    e = read(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("track_id"), "event_id", "ts", F.col("event_type").alias("kind"), F.col("value").alias("v"), (51 + F.col("value") / 1000).alias("lat"), (11 + F.col("event_id") % 100 / 1000).alias("lon"), *more)
+    return with_seq(d, "track_id", "ts", "event_id")
+
+
+#: The same in SQL; every oracle begins with it.
+EV = """WITH e AS (SELECT user_id AS track_id, event_id, ts, event_type AS kind, value AS v, 51 + value / 1000 AS lat, 11 + event_id % 100 / 1000 AS lon,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, props FROM events)"""
+W = "(PARTITION BY track_id ORDER BY seq)"
+#: Planar stand-in: metres that make steps of every size, zero among them.
+PL = f"""{EV}, p AS (SELECT *, v * 10 AS x, (event_id % 100) * 7.0 AS y, round(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE v END) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 6) AS s,
+ (event_id * 37 % 360)::DOUBLE AS h, epoch_us(ts) / 1e6 AS t FROM e)"""
+
+
+def planar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tracks(spark, sf_dir)
+    s = F.round(F.sum(F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("v"))).over(T.upto), 6)
+    return d.withColumns({"x": F.col("v") * 10, "y": F.col("event_id") % 100 * 7.0, "s": s, "h": (F.col("event_id") * 37 % 360).cast("double"), "t": kinematics.epoch_seconds(F.col("ts"))})
+
+
+def r(c: str | Column, n: int = 6, to: str | None = None) -> Column:
+    return (F.round(c, n) + 0.0).alias(to or c)  # no negative zeros
+
+
+WRAP = "(((({0}) + 180) % 360 + 360) % 360 - 180)"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    """Per run of one kind: its length, way, mean turn rate. One exchange, one sort, and the last sum."""
+    d = kinematics.elapsed_time(tracks(spark, sf_dir), T)
+    d = kinematics.to_planar(d, T, "lat", "lon", labels=False)
+    d = kinematics.traveled_distance(d, T, "lat", "lon", exact=False)
+    d = kinematics.yaw_rate(kinematics.heading_ds(d, T), T, ["heading_dx_ds_grad"])
+    d = segmentation.run_id(d, T, "kind")
+    return d.groupBy("track_id", "segment_id").agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("rows"), (F.max("elapsed_time_s") - F.min("elapsed_time_s")).alias("seconds"), (F.max("cumulative_distance_m") - F.min("cumulative_distance_m")).alias("metres"), F.avg("yaw_rate_from_heading_dx_ds_grad").alias("mean_yaw_rate"))
+
+
+# Time, place, heading, distance, curvature
+
+
+@query(f"{EV} SELECT track_id, seq, round((epoch_us(ts) - epoch_us(first_value(ts) OVER {W})) / 1e6, 6) AS elapsed_time_s, round((epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1e6, 6) AS delta_time_s FROM e")
+def elapsed_time(spark, sf):
+    return kinematics.elapsed_time(tracks(spark, sf), T, delta=True).select(*KEY, r("elapsed_time_s"), r("delta_time_s"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS parsed, round(CASE WHEN event_id % 7 = 0 THEN NULL ELSE epoch_us(ts) / 1e6 END, 6) AS epoch_s FROM events")
+def parse_time(spark, sf):
+    d = read(spark, sf, "events").withColumn("text", F.when(F.col("event_id") % 7 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    d = kinematics.parse_time(d, "text", strict=False, to="parsed")
+    return d.select("event_id", "parsed", r(kinematics.epoch_seconds(F.col("parsed")), 6, "epoch_s"))
+
+
+_UTM = f"""{EV}, z AS (SELECT *, floor((avg(lon) OVER (PARTITION BY track_id) + 180) / 6) + 1 AS zone FROM e),
+a AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, sinh(atanh(sin(radians(lat))) - {geo.E2 ** 0.5!r} * atanh({geo.E2 ** 0.5!r} * sin(radians(lat)))) AS q FROM z),
+b AS (SELECT *, atan2(q, cos(dl)) AS xi, asinh(sin(dl) / sqrt(q * q + cos(dl) * cos(dl))) AS eta FROM a)
+SELECT track_id, seq, round(500000 + {geo.UTM_SCALE * geo.RECTIFYING!r} * (eta + {' + '.join(f'{a!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)' for k, a in enumerate(geo.ALPHA, 1))}), 3) AS x,
+ round({geo.UTM_SCALE * geo.RECTIFYING!r} * (xi + {' + '.join(f'{a!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)' for k, a in enumerate(geo.ALPHA, 1))}), 3) AS y,
+ 'raw' AS selected_smoothing_method, 'EPSG:' || (32600 + zone::INT) AS projection_epsg FROM b"""
+
+
+@query(_UTM)
+def utm_project(spark, sf):
+    d = kinematics.to_planar(tracks(spark, sf), T, "lat", "lon")
+    return d.select(*KEY, r("x", 3), r("y", 3), "selected_smoothing_method", "projection_epsg")
+
+
+@query(f"{EV} SELECT track_id, seq, round({geo.A} * radians(lon), 3) AS mx, round({geo.A} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS my FROM e")
+def mercator_project(spark, sf):
+    return kinematics.to_mercator_columns(tracks(spark, sf), "lat", "lon").select(*KEY, r("mx", 3), r("my", 3))
+
+
+@query(f"""{PL} SELECT track_id, seq, CASE WHEN lag(x, 3) OVER w IS NOT NULL AND lead(x, 3) OVER w IS NOT NULL THEN
+ round(((degrees(atan2(avg(x) OVER a - avg(x) OVER b, avg(y) OVER a - avg(y) OVER b)) % 360) + 360) % 360, 6) END AS heading_dx_dy_grad FROM p
+ WINDOW w AS {W}, a AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), b AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
+def heading_3pt(spark, sf):
+    return kinematics.heading_dx_dy(planar(spark, sf), T).select(*KEY, r("heading_dx_dy_grad"))
+
+
+_S1 = f"""{PL}, q AS (SELECT *, max(s - seq * 1e-6) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + seq * 1e-6 AS s1 FROM p)"""
+
+
+def _grad(y: str, x: str) -> str:
+    b, a = f"({x} - lag({x}) OVER {W})", f"(lead({x}) OVER {W} - {x})"
+    return f"""CASE WHEN lag({x}) OVER {W} IS NOT NULL AND lead({x}) OVER {W} IS NOT NULL THEN ({b} * {b} * lead({y}) OVER {W} + ({a} * {a} - {b} * {b}) * {y} - {a} * {a} * lag({y}) OVER {W}) / ({b} * {a} * ({b} + {a}))
+ ELSE coalesce((lead({y}) OVER {W} - {y}) / {a}, ({y} - lag({y}) OVER {W}) / {b}) END"""
+
+
+@query(f"{_S1} SELECT track_id, seq, round(s1, 6) AS s FROM q")
+def strictly_increasing(spark, sf):
+    return kinematics.strictly_increasing(planar(spark, sf), T, "s").select(*KEY, r("s"))
+
+
+@query(f"{PL} SELECT track_id, seq, round({_grad('v', 't')}, 6) AS g FROM p")
+def gradient_nonuniform(spark, sf):
+    return planar(spark, sf).select(*KEY, r(kinematics.gradient_of(T, F.col("v"), F.col("t")), 6, "g"))
+
+
+@query(f"{_S1}, g AS (SELECT track_id, seq, {_grad('x', 's1')} AS dx, {_grad('y', 's1')} AS dy FROM q) SELECT track_id, seq, round(((degrees(atan2(dx, dy)) % 360) + 360) % 360, 3) AS heading FROM g")
+def heading_ds(spark, sf):
+    return kinematics.heading_ds(planar(spark, sf), T, s="s", to="heading").select(*KEY, r("heading", 3))
+
+
+_BEAR = "degrees(atan2(sin(radians({1} - {0})) * cos(radians({3})), cos(radians({2})) * sin(radians({3})) - sin(radians({2})) * cos(radians({3})) * cos(radians({1} - {0}))))"
+
+
+@query(f"{EV} SELECT track_id, seq, round(((({_BEAR.format('lon', f'lead(lon) OVER {W}', 'lat', f'lead(lat) OVER {W}')}) % 360) + 360) % 360, 6) AS to_next, round({_BEAR.format(f'lag(lon) OVER {W}', 'lon', f'lag(lat) OVER {W}', 'lat')}, 6) AS from_previous FROM e")
+def bearings(spark, sf):
+    d = kinematics.bearing_to_next(tracks(spark, sf), T, "lat", "lon", to="to_next")
+    return kinematics.bearing_from_previous(d, T, "lat", "lon", to="from_previous").select(*KEY, r("to_next"), r("from_previous"))
+
+
+_YAW = f"(CASE WHEN coalesce(t - lag(t) OVER {W}, 0) = 0 THEN 1e-6 ELSE t - lag(t) OVER {W} END)"
+
+
+@query(f"{PL} SELECT track_id, seq, round({WRAP.format(f'h - lag(h) OVER {W}')} / {_YAW}, 6) AS yaw_rate_from_h FROM p")
+def wrapped_yaw_rate(spark, sf):
+    return kinematics.yaw_rate(planar(spark, sf), T, ["h"], time="t").select(*KEY, r("yaw_rate_from_h"))
+
+
+_MARK = "CASE event_id % 4 WHEN 0 THEN 'STOP_START' WHEN 1 THEN 'STOP_END' ELSE 'MOVING_2' END"
+
+
+@query(f"""{PL}, m AS (SELECT *, {_MARK} AS segment_marker FROM p), y AS (SELECT track_id, seq, segment_marker, lag(segment_marker) OVER {W} AS last, CASE WHEN segment_marker LIKE 'STOP%' THEN 0 ELSE {WRAP.format(f'h - lag(h) OVER {W}')} / {_YAW} END AS z FROM m)
+SELECT track_id, seq, segment_marker, round(z, 6) AS yaw_rate_from_h FROM y WHERE NOT coalesce(last = 'STOP_END' AND segment_marker <> 'STOP_END', false)""")
+def yaw_rate_at_stops(spark, sf):
+    k = F.col("event_id") % 4
+    d = planar(spark, sf).withColumn("segment_marker", F.when(k == 0, "STOP_START").when(k == 1, "STOP_END").otherwise("MOVING_2"))
+    return kinematics.yaw_rate(d, T, ["h"], time="t").select(*KEY, "segment_marker", r("yaw_rate_from_h"))
+
+
+@query(f"{PL} SELECT track_id, seq, round(-1 * (h - lag(h) OVER {W}) / {_YAW}, 6) + 0.0 AS yaw_rate_from_h, round({_YAW}, 6) AS time_delta_s FROM p")
+def unwrapped_yaw_rate(spark, sf):
+    return kinematics.yaw_rate(planar(spark, sf), T, ["h"], time="t", sign=-1.0, wrap=False, keep_delta=True).select(*KEY, r("yaw_rate_from_h"), r("time_delta_s"))
+
+
+_HAV = f"CASE WHEN lag(lat) OVER {W} IS NOT NULL THEN 2 * 6371000 * asin(least(sqrt(pow(sin(radians(lat - lag(lat) OVER {W}) / 2), 2) + cos(radians(lag(lat) OVER {W})) * cos(radians(lat)) * pow(sin(radians(lon - lag(lon) OVER {W}) / 2), 2)), 1)) END"
+
+
+@query(f"{EV}, d AS (SELECT *, coalesce({_HAV}, 0) AS d FROM e) SELECT track_id, seq, round(d, 3) AS distance, round(sum(d) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 2) AS cumulative_distance_m FROM d")
+def cumulative_distance(spark, sf):
+    return kinematics.traveled_distance(tracks(spark, sf), T, "lat", "lon", exact=False, keep_step=True).select(*KEY, r("distance", 3), r("cumulative_distance_m", 2))
+
+
+@query()
+def geodesic_distance(spark, sf):
+    return kinematics.traveled_distance(tracks(spark, sf), T, "lat", "lon", keep_step=True).select(*KEY, r("distance", 3), r("cumulative_distance_m", 3))
+
+
+@query(f"{PL} SELECT track_id, seq, round(CASE WHEN lag(s) OVER {W} IS NULL OR s = lag(s) OVER {W} THEN 0 ELSE (v - lag(v) OVER {W}) / (s - lag(s) OVER {W}) END, 6) AS gradient, round(CASE WHEN lag(s) OVER {W} IS NULL OR s = lag(s) OVER {W} THEN 0 ELSE 1000 * (v - lag(v) OVER {W}) / (s - lag(s) OVER {W}) END, 3) AS gradient_per_mille FROM p")
+def grade_per_mille(spark, sf):
+    return kinematics.grade(planar(spark, sf), T, "v", "s").select(*KEY, r("gradient"), r("gradient_per_mille", 3))
+
+
+_CURV = f"""{PL}, d AS (SELECT *, coalesce(radians({WRAP.format(f'h - lag(h) OVER {W}')}), 0) AS turn, coalesce(s - lag(s) OVER {W}, lead(s) OVER {W} - s) AS ds FROM p),
+k AS (SELECT *, CASE WHEN turn = 0 THEN 0 WHEN ds = 0 THEN sign(turn) * 'Infinity'::DOUBLE ELSE turn / ds END AS curvature_h, CASE WHEN turn = 0 THEN 'Infinity'::DOUBLE ELSE ds / turn END AS radius_m_h FROM d)"""
+
+
+def _text(c: str) -> Column:
+    return F.when(numeric.is_inf(F.col(c)), F.when(F.col(c) > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.4f", F.round(c, 4) + 0.0)).alias(c)
+
+
+def _sql_text(c: str) -> str:
+    return f"CASE WHEN {c} = 'Infinity'::DOUBLE THEN 'inf' WHEN {c} = '-Infinity'::DOUBLE THEN '-inf' ELSE printf('%.4f', round({c}, 4) + 0.0) END AS {c}"
+
+
+@query(f"{_CURV} SELECT track_id, seq, {_sql_text('curvature_h')}, {_sql_text('radius_m_h')} FROM k")
+def curvature_radius(spark, sf):
+    return kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s").select(*KEY, _text("curvature_h"), _text("radius_m_h"))
+
+
+@query(f"{_CURV}, c AS (SELECT track_id, seq, CASE WHEN abs(radius_m_h) > 60 THEN 0 ELSE curvature_h END AS curvature_h, CASE WHEN abs(radius_m_h) > 60 THEN 'Infinity'::DOUBLE ELSE radius_m_h END AS radius_m_h FROM k) SELECT track_id, seq, {_sql_text('curvature_h')}, {_sql_text('radius_m_h')} FROM c")
+def curvature_straightened(spark, sf):
+    return kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s", straight_radius=60.0).select(*KEY, _text("curvature_h"), _text("radius_m_h"))
+
+
+@query(f"{PL} SELECT track_id, seq, round(CASE WHEN lead(seq) OVER {W} IS NOT NULL AND event_id % 9 <> 0 THEN radians(h) / v END, 6) AS curvature_yaw FROM p")
+def curvature_from_rates(spark, sf):
+    d = planar(spark, sf).withColumn("v", F.when(F.col("event_id") % 9 == 0, 0.0).otherwise(F.col("v")))
+    return kinematics.curvature_from_rates(d, T, "h", "v").select(*KEY, r("curvature_yaw"))
+
+
+@query(f"{EV}, b AS (SELECT *, {_BEAR.format(f'lag(lon) OVER {W}', 'lon', f'lag(lat) OVER {W}', 'lat')} AS heading FROM e), y AS (SELECT *, (heading - lag(heading) OVER {W}) / ((epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1e6) AS yaw_rate FROM b) SELECT track_id, seq, round(heading, 5) AS heading, round(yaw_rate, 6) AS yaw_rate FROM y WHERE yaw_rate IS NOT NULL")
+def ml_features(spark, sf):
+    return kinematics.ml_features(tracks(spark, sf), T, "ts", "lat", "lon", "v").select(*KEY, r("heading", 5), r("yaw_rate"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(a * b * c / (4 * sqrt(s * (s - a) * (s - b) * (s - c))), 4) AS radius, round(CASE WHEN abs(l_tax) < 1e-12 THEN NULL ELSE 1 / l_tax END, 6) AS instant FROM (SELECT *, (a + b + c) / 2 AS s FROM (SELECT *, sqrt(pow(l_quantity, 2) + 100.0) AS a, sqrt(pow(l_quantity + 30, 2) + 400.0) AS b, sqrt(900 + 100.0) AS c FROM lineitem))")
+def circumradius(spark, sf):
+    q = F.col("l_quantity")
+    d = read(spark, sf, "lineitem")
+    k = numeric.vertices_radius(F.lit(-30.0), F.lit(-10.0), F.lit(0.0), F.lit(0.0), q, F.lit(10.0))
+    return d.select("l_orderkey", "l_linenumber", r(k, 4, "radius"), r(numeric.finite(kinematics.instant_radius(F.col("l_tax"))), 6, "instant"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(10 * cos(radians(90 - l_extendedprice % 360)), 6) + 0.0 AS dx, round(10 * sin(radians(90 - l_extendedprice % 360)), 6) + 0.0 AS dy, round(l_quantity * 3.6, 6) AS kmh, round(least(g % 180, 180 - g % 180), 6) AS gap, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linenumber::DOUBLE END AS n FROM (SELECT *, abs(l_extendedprice % 360 - l_quantity * 7) AS g FROM lineitem)")
+def angles_and_numbers(spark, sf):
+    d = read(spark, sf, "lineitem")
+    h = F.col("l_extendedprice") % 360
+    dx, dy = numeric.arrow(h)
+    n = numeric.try_number(F.when(F.col("l_returnflag") == "A", "bad").otherwise(F.col("l_linenumber").cast("string")))
+    return d.select("l_orderkey", "l_linenumber", r(dx, 6, "dx"), r(dy, 6, "dy"), r(numeric.kmh(F.col("l_quantity")), 6, "kmh"), r(numeric.undirected_gap(h, F.col("l_quantity") * 7), 6, "gap"), n.alias("n"))
+
+
+# Filters
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 11 <> 0")
+def drop_na(spark, sf):
+    d = read(spark, sf, "orders").withColumn("o_custkey", F.expr("nullif(o_custkey, if(o_custkey % 11 = 0, o_custkey, null))"))
+    return filters.drop_na(d, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT event_id, value FROM events, (SELECT quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM events) WHERE value BETWEEN a AND b")
+def quantile_trim(spark, sf):
+    return filters.quantile_trim(read(spark, sf, "events").select("event_id", "value"), "value")
+
+
+@query("SELECT event_id, user_id, value FROM events JOIN (SELECT user_id AS u, quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM events GROUP BY 1) ON user_id = u AND value BETWEEN a AND b")
+def quantile_trim_per_track(spark, sf):
+    return filters.quantile_trim(read(spark, sf, "events").select("event_id", "user_id", "value"), "value", 0.05, 0.95, track="user_id")
+
+
+@query(f"{EV}, d AS (SELECT *, ({_HAV}) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1e6, 0) AS speed FROM e) SELECT track_id, seq FROM d WHERE speed IS NULL OR speed < 0.5")
+def speed_outliers(spark, sf):
+    return filters.speed_outliers(tracks(spark, sf), T, "ts", "lat", "lon", 0.5).select(*KEY)
+
+
+@query(f"{EV} SELECT track_id, seq, event_id % 6 <> 4 AND event_id % 6 <> 5 AS poor FROM e WHERE v > 20 AND (seq - 1) % 3 = 0")
+def row_filters(spark, sf):
+    d = filters.every_nth(tracks(spark, sf), T, 3)
+    d = filters.finite_rows(filters.moving(d, "v", 20.0), "v")
+    q = F.when(F.col("event_id") % 6 == 5, "?").otherwise((F.col("event_id") % 6).cast("string"))
+    return d.select(*KEY, filters.poor_quality(q).alias("poor"))
+
+
+@query(f"{EV} SELECT track_id, seq, json_extract_string(props, '$.k')::INT AS k FROM e WHERE json_extract_string(props, '$.k')::INT % 2 = 1")
+def json_tags(spark, sf):
+    d = tracks(spark, sf, "props").withColumn("tags", F.from_json("props", "map<string,string>"))
+    d = filters.tagged(d, "k").withColumn("k", F.col("tags")["k"].try_cast("int"))
+    return d.where("k % 2 = 1").select(*KEY, "k")
+
+
+# Windows and smoothing
+
+
+@query(f"{EV} SELECT track_id, seq, round(avg(v) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS centred, round(avg(v) OVER (PARTITION BY track_id ORDER BY seq ROWS 4 PRECEDING), 6) AS trailing FROM e")
+def rolling_means(spark, sf):
+    d = smoothing.rolling_mean(tracks(spark, sf), T, "v", to="centred")
+    return smoothing.trailing_mean(d, T, "v", 5, to="trailing").select(*KEY, r("centred"), r("trailing"))
+
+
+@query(f"{EV} SELECT track_id, seq, round(coalesce((lead(v) OVER {W} - lag(v) OVER {W}) / 2, lead(v) OVER {W} - v, v - lag(v) OVER {W}), 6) AS d FROM e")
+def centred_difference(spark, sf):
+    return tracks(spark, sf).select(*KEY, r(smoothing.difference(T, "v"), 6, "d"))
+
+
+def _savgol_sql(window: int, degree: int) -> str:
+    taps, h = smoothing.savgol_taps(window, degree), window // 2
+    at = lambda o: "v" if o == 0 else f"lag(v, {-o}) OVER {W}" if o < 0 else f"lead(v, {o}) OVER {W}"
+    row = lambda w, first: " + ".join(f"({float(c)!r}) * {at(first + i)}" for i, c in enumerate(w))
+    whens = "".join(f" WHEN seq = {i + 1} THEN {row(taps[i], -i)} WHEN seq = n - {i} THEN {row(taps[window - 1 - i], i - window + 1)}" for i in range(h))
+    return f"{EV}, z AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM e) SELECT track_id, seq, round(CASE WHEN n < {window} THEN NULL{whens} ELSE {row(taps[h], -h)} END, 6) AS v_savgol FROM z"
+
+
+@query(_savgol_sql(3, 1))
+def savgol_3_1(spark, sf):
+    return smoothing.savgol(tracks(spark, sf), T, "v", 3, 1).select(*KEY, r("v_savgol"))
+
+
+@query(_savgol_sql(5, 2))
+def savgol_5_2(spark, sf):
+    return smoothing.savgol(tracks(spark, sf), T, "v", 5, 2).select(*KEY, r("v_savgol"))
+
+
+@query()
+def gaussian_smooth(spark, sf):
+    return smoothing.gaussian(tracks(spark, sf), T, "v").select(*KEY, r("v_smoothed_gaussian"))
+
+
+@query(f"""{EV}, k AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN v END AS g FROM e), a AS (SELECT *, last_value(CASE WHEN g IS NOT NULL THEN seq END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS sa, last_value(g IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ga,
+ first_value(CASE WHEN g IS NOT NULL THEN seq END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sb, first_value(g IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS gb FROM k)
+SELECT track_id, seq, round(coalesce(g, ga + (gb - ga) * (seq - sa) / nullif(sb - sa, 0), ga, gb), 6) AS g FROM a""")
+def interpolate_gaps(spark, sf):
+    d = tracks(spark, sf).withColumn("g", F.when(F.col("event_id") % 3 == 0, F.col("v")))
+    return smoothing.interpolate(d, T, "g").select(*KEY, r("g"))
+
+
+# Runs and classes
+
+_RUN = "sum(CASE WHEN lag_ IS NOT DISTINCT FROM {0} AND seq > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"{EV}, l AS (SELECT *, lag(kind) OVER {W} AS lag_ FROM e), g AS (SELECT *, {_RUN.format('kind')}::BIGINT AS segment_id FROM l) SELECT track_id, segment_id, kind, count(*)::BIGINT AS n, round(avg(v), 6) AS mean FROM g GROUP BY ALL")
+def run_segments(spark, sf):
+    d = segmentation.run_id(tracks(spark, sf), T, "kind")
+    return d.groupBy("track_id", "segment_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+_K = f"{PL}, k0 AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN 0 ELSE (v - 50) / 1e5 END AS k FROM p), n AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, CASE WHEN k = 0 THEN 1e-9 ELSE k END AS k1 FROM k0)"
+_SM = f"CASE WHEN n < 3 THEN NULL WHEN seq = 1 THEN (5 * k1 + 2 * lead(k1) OVER {W} - lead(k1, 2) OVER {W}) / 6 WHEN seq = n THEN (5 * k1 + 2 * lag(k1) OVER {W} - lag(k1, 2) OVER {W}) / 6 ELSE (lag(k1) OVER {W} + k1 + lead(k1) OVER {W}) / 3 END"
+
+
+def _curved(spark, sf) -> DataFrame:
+    return planar(spark, sf).withColumn("k", F.when(F.col("event_id") % 6 == 0, 0.0).otherwise((F.col("v") - 50) / 1e5))
+
+
+@query(f"""{_K}, c AS (SELECT *, {_SM} AS c, max(s - seq * 1e-6) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + seq * 1e-6 AS s1 FROM n), d AS (SELECT *, {_grad('c', 's1')} AS dc FROM c),
+m AS (SELECT *, CASE WHEN coalesce(abs(c) < 1e-4, false) THEN 'straight' WHEN coalesce(abs(dc) < 1e-6, false) THEN 'steady_curve' ELSE 'transition' END AS segment_type FROM d), l AS (SELECT *, lag(segment_type) OVER {W} AS lag_ FROM m)
+SELECT track_id, seq, segment_type, {_RUN.format('segment_type')}::BIGINT AS segment_id FROM l""")
+def segment_curves(spark, sf):
+    return segmentation.segment(_curved(spark, sf), T, "k", "s").select(*KEY, "segment_type", "segment_id")
+
+
+@query()
+def segment_curves_full(spark, sf):
+    d = segmentation.segment(_curved(spark, sf), T, "k", "s", tie_fix=False)
+    return d.select(*KEY, r("curvature_smooth", 9), "straight_mask", "steady_mask", _text("instant_radius"), _text("mean_radius"))
+
+
+@query()
+def segment_curves_v3(spark, sf):
+    d = planar(spark, sf).withColumn("k", (F.col("v") - 50) / 1e4)
+    d = d.withColumn("radius", numeric.ieee_div(F.lit(1.0), F.col("k")))
+    return segmentation.segment_by_slope(d, T, "k", "radius").select(*KEY, "segment_type", r("mittelradius", 3))
+
+
+@query()
+def segment_by_spread(spark, sf):
+    d = planar(spark, sf).withColumn("radius", F.when(F.col("kind") == "view", float("inf")).otherwise(F.col("v") * 100))
+    return segmentation.segment_by_spread(d, T, "radius").select(*KEY, "segment_type", "segment_id", r("segment_radius", 3))
+
+
+@query(f"{EV}, l AS (SELECT *, lag(kind) OVER {W} AS lag_ FROM e), g AS (SELECT *, {_RUN.format('kind')}::BIGINT AS run FROM l), m AS (SELECT *, row_number() OVER (PARTITION BY track_id, run ORDER BY seq) AS i, count(*) OVER (PARTITION BY track_id, run) AS n FROM g) SELECT track_id, run, seq, v FROM m WHERE i = n // 2 + 1")
+def middle_rows(spark, sf):
+    d = segmentation.run_id(tracks(spark, sf), T, "kind", to="run")
+    return segmentation.middle_rows(d, T, "run").select("track_id", "run", "seq", "v")
+
+
+@query(f"{EV} SELECT track_id, kind, arg_min(v, seq) AS first_v, arg_max(v, seq) AS last_v FROM e WHERE kind <> 'view' GROUP BY ALL")
+def first_last_rows(spark, sf):
+    d = tracks(spark, sf).withColumn("kind", F.expr("nullif(kind, 'view')"))
+    return segmentation.first_and_last(d, T, "kind", "v")
+
+
+@query(f"{EV}, f AS (SELECT track_id, kind, min(seq) AS place FROM e GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY place) - 1 AS code FROM f) SELECT track_id, seq, code::INT AS code FROM e JOIN c USING (track_id, kind)")
+def appearance_codes(spark, sf):
+    return segmentation.appearance_codes(tracks(spark, sf), T, "kind").select(*KEY, "code")
+
+
+@query(f"{EV} SELECT track_id, count(*)::BIGINT AS n, count(DISTINCT (kind, floor(v / 50)))::BIGINT AS places FROM (SELECT *, lag(kind) OVER {W} AS lk, lag(floor(v / 50)) OVER {W} AS lv FROM e) WHERE NOT coalesce(kind = lk AND floor(v / 50) = lv, false) GROUP BY 1")
+def unique_places(spark, sf):
+    d = tracks(spark, sf).withColumn("band", F.floor(F.col("v") / 50))
+    return segmentation.without_repeats(d, T, "kind", "band").groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind", "band").alias("places"))
+
+
+@query(f"{EV}, s AS (SELECT *, max(seq) OVER (PARTITION BY track_id) AS n FROM e), m AS (SELECT *, max(v) OVER (PARTITION BY track_id) AS hi, min(v) OVER (PARTITION BY track_id) AS lo FROM s WHERE seq < n) SELECT track_id, seq, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END, 6) AS colour, CASE WHEN v < 10 OR v > 90 THEN '#FFFF00' END AS flag_colour FROM m")
+def colour_segments(spark, sf):
+    d = products.out_of_range(products.colour_track(tracks(spark, sf), T, "v", "lat", "lon"), "v", 10.0, 90.0)
+    return d.select(*KEY, r("colour"), "flag_colour")
+
+
+# Aggregates
+
+
+@query("SELECT 'o_orderkey' AS \"column\", count(*)::BIGINT AS rows, count_if(o_orderkey IS NULL)::BIGINT AS nulls, count_if(o_orderkey = 0)::BIGINT AS zeros FROM orders UNION ALL SELECT 'o_totalprice', count(*)::BIGINT, count_if(o_totalprice IS NULL)::BIGINT, count_if(o_totalprice = 0)::BIGINT FROM orders UNION ALL SELECT 'o_orderstatus', count(*)::BIGINT, count_if(o_orderstatus IS NULL)::BIGINT, -1::BIGINT FROM orders")
+def null_zero_counts(spark, sf):
+    d = profile.null_and_zero_counts(read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"))
+    return d.withColumn("zeros", F.coalesce("zeros", F.lit(-1).cast("long")))
+
+
+def _describe_sql(c: str, of: str) -> str:
+    return f"SELECT '{c}' AS \"column\", count({c})::BIGINT AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM {of}"
+
+
+@query(" UNION ALL ".join(_describe_sql(c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def stats_profile(spark, sf):
+    d = profile.describe(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount")
+    return d.select("column", "count", *[r(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@query("SELECT count(ts)::BIGINT AS non_null, min(ts) AS first_time, max(ts) AS last_time FROM events")
+def time_span(spark, sf):
+    return profile.time_span(read(spark, sf, "events"), "ts")
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS entries FROM events GROUP BY 1")
+def entries_per_day(spark, sf):
+    return profile.entries_per_day(read(spark, sf, "events"), "ts").withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def value_counts(spark, sf):
+    return profile.value_counts(read(spark, sf, "events"), "event_type")
+
+
+@query("SELECT least(min(l_quantity), min(l_tax)) + 0.0 AS lo, greatest(max(l_quantity), max(l_tax)) AS hi, round(min(l_quantity) - 0.1 * (max(l_quantity) - min(l_quantity)), 6) AS plo, round(max(l_quantity) + 0.1 * (max(l_quantity) - min(l_quantity)), 6) AS phi FROM lineitem")
+def axis_ranges(spark, sf):
+    d = read(spark, sf, "lineitem")
+    p = profile.padded_range(d, "l_quantity").select(r("lo", 6, "plo"), r("hi", 6, "phi"))
+    return profile.joint_range(d, "l_quantity", "l_tax").select(r("lo"), r("hi")).crossJoin(p)  # one row each
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def resample_1h(spark, sf):
+    return resample.bucket_mean(read(spark, sf, "events"), "user_id", "ts", "1 hour", "value").select("user_id", "ts", r("value"))
+
+
+@query(f"""{EV}, a AS (SELECT track_id, seq::DOUBLE AS x, avg(v) AS y FROM e WHERE event_id % 3 = 0 GROUP BY ALL), q AS (SELECT track_id, seq - 0.25 AS x, event_id FROM e WHERE event_id % 3 = 1 AND track_id IN (SELECT track_id FROM a)),
+l AS (SELECT q.*, (SELECT max(x) FROM a WHERE a.track_id = q.track_id AND a.x <= q.x) AS xa, (SELECT min(x) FROM a WHERE a.track_id = q.track_id AND a.x >= q.x) AS xb FROM q)
+SELECT event_id, round(coalesce(u.y + (w.y - u.y) * (l.x - xa) / nullif(xb - xa, 0), u.y, w.y), 9) AS y FROM l LEFT JOIN a u ON u.track_id = l.track_id AND u.x = xa LEFT JOIN a w ON w.track_id = l.track_id AND w.x = xb
+UNION ALL SELECT event_id, NULL FROM e WHERE event_id % 3 = 1 AND track_id NOT IN (SELECT track_id FROM a)""")
+def asof_interpolate(spark, sf):
+    d = tracks(spark, sf)
+    known = d.where("event_id % 3 = 0").select("track_id", F.col("seq").cast("double").alias("x"), F.col("v").alias("y"))
+    asked = d.where("event_id % 3 = 1").select("track_id", (F.col("seq") - 0.25).cast("double").alias("x"), "event_id")
+    return resample.asof_interpolate(known, asked, "track_id", "x", "y").select("event_id", r("y", 9))
+
+
+# Joins by distance: suppliers are points, customers are places or short lines.
+
+_PTS = "(SELECT s_suppkey AS p, s_suppkey * 131 % 5000 / 1.0 AS x, s_suppkey * 917 % 5000 / 1.0 AS y FROM supplier)"
+_SEG = "(SELECT c_custkey AS q, c_custkey * 71 % 5000 / 1.0 AS ax, c_custkey * 313 % 5000 / 1.0 AS ay, c_custkey * 71 % 5000 + c_custkey % 40 - 20.0 AS bx, c_custkey * 313 % 5000 + c_custkey % 30 - 15.0 AS by_ FROM customer)"
+_DIST = """(SELECT p, q, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (by_ - ay), 2)) AS d FROM (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(by_ - ay, 2) > 0 THEN greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) ELSE 0 END AS u FROM {0} CROSS JOIN {1}))""".format(_PTS, _SEG)
+
+
+def _points(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    return read(spark, sf, "supplier").select(k.alias("p"), (k * 131 % 5000 / 1.0).alias("x"), (k * 917 % 5000 / 1.0).alias("y"))
+
+
+def _lines(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    ax, ay = k * 71 % 5000 / 1.0, k * 313 % 5000 / 1.0
+    return read(spark, sf, "customer").select(k.alias("q"), ax.alias("ax"), ay.alias("ay"), (ax + k % 40 - 20).alias("bx"), (ay + k % 30 - 15).alias("by"), F.lit(0).alias("n"))
+
+
+@query(f"SELECT p, q, round(d, 6) AS distance FROM {_DIST} WHERE d <= 60")
+def within_distance(spark, sf):
+    return spatial.near_pairs(_points(spark, sf), _lines(spark, sf), 60.0, "p", "q").select("p", "q", r("distance"))
+
+
+@query(f"SELECT p.p, coalesce(h, false) AS gps_blocked FROM {_PTS} p LEFT JOIN (SELECT DISTINCT p, true AS h FROM {_DIST} WHERE d <= 60) b ON p.p = b.p")
+def left_blocked_flag(spark, sf):
+    return spatial.flag_near(_points(spark, sf), _lines(spark, sf), 60.0, "p").select("p", "gps_blocked")
+
+
+@query(f"SELECT p.p, coalesce(q, -1) AS q FROM {_PTS} p LEFT JOIN (SELECT p, q FROM {_DIST} WHERE d <= 60) b ON p.p = b.p")
+def left_join_fanout(spark, sf):
+    return spatial.left_near(_points(spark, sf), _lines(spark, sf), 60.0, "p", "q").select("p", F.coalesce("q", F.lit(-1).cast("long")).alias("q"))
+
+
+@query(f"SELECT DISTINCT p FROM {_DIST} WHERE d <= 60")
+def semi_near(spark, sf):
+    return spatial.semi_near(_points(spark, sf), _lines(spark, sf), 60.0, "p").select("p")
+
+
+@query(f"SELECT p, arg_min(q, (d, q)) AS q, round(min(d), 6) AS distance FROM {_DIST} GROUP BY p")
+def nearest_line(spark, sf):
+    return spatial.nearest(_points(spark, sf), _lines(spark, sf), "p", "q", 50.0).select("p", "q", r("distance"))
+
+
+@query(f"SELECT p, q, round(d, 6) AS distance FROM (SELECT *, rank() OVER (PARTITION BY p ORDER BY d) AS k FROM {_DIST}) WHERE k = 1")
+def nearest_with_ties(spark, sf):
+    return spatial.nearest(_points(spark, sf), _lines(spark, sf), "p", "q", 50.0, ties=True).select("p", "q", r("distance"))
+
+
+_LL = "51 + {0} % 400 / 1000 AS {1}lat, 11 + {0} * 7 % 600 / 1000 AS {1}lon"
+
+
+@query(f"SELECT p, arg_min(q, (round(d, 6), q)) AS q, round(min(d), 3) AS distance FROM (SELECT s_suppkey AS p, c_custkey AS q, 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plon - lon) / 2), 2)))) AS d FROM (SELECT s_suppkey, {_LL.format('s_suppkey * 13', '')} FROM supplier) CROSS JOIN (SELECT c_custkey, {_LL.format('c_custkey * 29', 'p')} FROM customer)) WHERE d <= 700 GROUP BY p")
+def radius_join_nearest(spark, sf):
+    place = lambda k: ((51 + k % 400 / 1000).alias("lat"), (11 + k * 7 % 600 / 1000).alias("lon"))
+    p = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p"), *place(F.col("s_suppkey") * 13))
+    q = read(spark, sf, "customer").select(F.col("c_custkey").alias("q"), *place(F.col("c_custkey") * 29))
+    return spatial.radius_join(p, q, 700.0, "p", "q").select("p", "q", r("distance", 3))
+
+
+@query(f"WITH c AS (SELECT p.p, p.x, p.y FROM {_PTS} p JOIN {_PTS} o ON sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2)) <= 600 GROUP BY ALL HAVING count(*) >= 5) SELECT DISTINCT p.p FROM {_PTS} p JOIN c ON sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)) <= 600")
+def dbscan_noise(spark, sf):
+    return spatial.without_noise(_points(spark, sf), "p", "x", "y", 600.0, 5).select("p")
+
+
+def _grid_lines(spark, sf, kind: str) -> DataFrame:
+    """Suppliers as long lines to the east, customers as lines to the north (or nearly east)."""
+    if kind == "bridge":
+        k = F.col("s_suppkey")
+        x, y = k * 131 % 3000 / 1.0, k * 917 % 3000 / 1.0
+        return read(spark, sf, "supplier").select(k.alias("bridge"), x.alias("ax"), y.alias("ay"), (x + 80).alias("bx"), (y + 3).alias("by"), F.lit(0).alias("n"))
+    k = F.col("c_custkey")
+    x, y = k * 71 % 3000 / 1.0, k * 313 % 3000 / 1.0
+    tilt = k % 3 == 0
+    return read(spark, sf, "customer").select(k.alias("rail"), x.alias("ax"), y.alias("ay"), F.when(tilt, x + 70).otherwise(x + 2).alias("bx"), F.when(tilt, y + 4).otherwise(y + 90).alias("by"), F.lit(0).alias("n"))
+
+
+_BR = "(SELECT s_suppkey AS bridge, s_suppkey * 131 % 3000 / 1.0 AS ax, s_suppkey * 917 % 3000 / 1.0 AS ay, s_suppkey * 131 % 3000 + 80.0 AS bx, s_suppkey * 917 % 3000 + 3.0 AS by_ FROM supplier)"
+_RL = "(SELECT c_custkey AS rail, c_custkey * 71 % 3000 / 1.0 AS cx, c_custkey * 313 % 3000 / 1.0 AS cy, c_custkey * 71 % 3000 + CASE WHEN c_custkey % 3 = 0 THEN 70.0 ELSE 2.0 END AS dx, c_custkey * 313 % 3000 + CASE WHEN c_custkey % 3 = 0 THEN 4.0 ELSE 90.0 END AS dy FROM customer)"
+
+
+@query(f"""WITH j AS (SELECT *, (bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx) AS det FROM {_BR}, {_RL}), k AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / nullif(det, 0) AS u, ((cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax)) / nullif(det, 0) AS v FROM j)
+SELECT bridge, rail, CASE WHEN rail % 3 = 0 THEN 'on' ELSE 'under' END AS position, round(ax + u * (bx - ax), 4) AS x, round(ay + u * (by_ - ay), 4) AS y FROM k WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1""")
+def parallel_or_crossing(spark, sf):
+    pairs = spatial.lines_near(_grid_lines(spark, sf, "bridge"), _grid_lines(spark, sf, "rail"), 10.0, "bridge", "rail", cell=200.0)
+    return spatial.by_parallelism(pairs, "bridge", "rail").where("position <> 'unknown'").select("bridge", "rail", "position", r("x", 4), r("y", 4))
+
+
+@query("SELECT s_nationkey, CASE WHEN bool_or(s_acctbal < 0) THEN 'under' ELSE 'on' END AS position FROM supplier GROUP BY 1")
+def any_under(spark, sf):
+    d = read(spark, sf, "supplier").withColumn("position", F.when(F.col("s_acctbal") < 0, "under").otherwise("unknown"))
+    return spatial.any_under(d, "s_nationkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 10 THEN 'below' WHEN s_nationkey > 10 THEN 'above' ELSE 'equal' END AS position FROM supplier")
+def level_position(spark, sf):
+    return read(spark, sf, "supplier").select("s_suppkey", spatial.level_position(F.col("s_nationkey"), F.lit(10)).alias("position"))
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k = 1")
+def dedup_first(spark, sf):
+    return spatial.first_of(read(spark, sf, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+
+
+@query("SELECT s_suppkey AS id, 'bridge' AS infrastructure, s_acctbal AS height FROM supplier UNION ALL SELECT c_custkey, 'tunnel', NULL FROM customer")
+def union_infra(spark, sf):
+    b = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("bridge").alias("infrastructure"), F.col("s_acctbal").alias("height"))
+    return b.unionByName(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("tunnel").alias("infrastructure")), allowMissingColumns=True)
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def lookup_join(spark, sf):
+    return read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+
+
+def _curves(spark, sf) -> DataFrame:
+    """Customers as bent lines of three vertices."""
+    k = F.col("c_custkey")
+    x, y = k * 71 % 5000 / 1.0, k * 313 % 5000 / 1.0
+    vertex = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    return read(spark, sf, "customer").select(k.alias("q"), F.array(vertex(0, 0), vertex(20, k % 7 + 1), vertex(40, 0), vertex(60, 3)).alias("geometry"))
+
+
+@query()
+def map_radius(spark, sf):
+    return spatial.map_radius(_points(spark, sf), _curves(spark, sf), "p", "q", 50.0).select("p", "q", r("dist2rail", 4), r("map_radius", 4))
+
+
+@query()
+def line_orientation(spark, sf):
+    d = _curves(spark, sf).withColumns({"x": F.col("geometry")[1]["x"], "y": F.col("geometry")[1]["y"]})
+    return d.select("q", F.round(line_angle_at("geometry", "x", "y"), 4).alias("angle"))
+
+
+@query()
+def along_or_across(spark, sf):
+    p = _points(spark, sf).withColumn("bearing", (F.col("p") * 17 % 360).cast("double"))
+    return spatial.along_or_across(p, _lines(spark, sf), 60.0, "p", "q", "bearing").select("p", "q", "train_bearing", r("infra_bearing"), r("angle_diff"), "status")
+
+
+@query()
+def centroid_mean(spark, sf):
+    return spatial.centre(_curves(spark, sf), "q").select(r("x", 4), r("y", 4))
+
+
+@query()
+def structure_status(spark, sf):
+    place = lambda k: ((51 + k % 400 / 1000).alias("lat"), (11 + k * 7 % 600 / 1000).alias("lon"))
+    p = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p"), F.col("s_nationkey").alias("quality"), *place(F.col("s_suppkey") * 13))
+    q = read(spark, sf, "customer").select(F.col("c_custkey").alias("structure_id"), F.lit("bridge").alias("structure_type"), *place(F.col("c_custkey") * 29))
+    return spatial.structure_status(p, q, 300.0, "p", quality="quality").select("p", "structure_status")
+
+
+def _ways(spark, sf) -> DataFrame:
+    """Bridges, tunnels and railways in degrees, in two regions."""
+    deg = 1 / 111_320.0
+    flat = lambda d, i: d.select((F.col(i) * 3 + (0 if i == "bridge" else 1)).alias("id"), F.array(*[F.struct((10 + F.col(a) * deg).alias("x"), (F.col(b) * deg).alias("y")) for a, b in (("ax", "ay"), ("bx", "by"))]).alias("geometry"), (F.col(i) % 3).cast("int").alias("layer"))
+    b = flat(_grid_lines(spark, sf, "bridge"), "bridge").withColumn("kind", F.lit("bridge"))
+    rl = flat(_grid_lines(spark, sf, "rail"), "rail").withColumn("kind", F.lit("railway"))
+    return b.unionByName(rl).unionByName(rl.where("id % 4 = 0").withColumn("kind", F.lit("tunnel"))).withColumn("bundesland", F.when(F.col("id") % 2 == 0, "sachsen").otherwise("bayern"))
+
+
+@query()
+def infrastructure_combined(spark, sf):
+    return infrastructure.combined(_ways(spark, sf)).select("index", "position", "infrastructure", "bundesland")
+
+
+@query()
+def bridges_by_layer(spark, sf):
+    return infrastructure.bridges(_ways(spark, sf), rule="layer").select("id", "position")
+
+
+@query()
+def geojson_features(spark, sf):
+    return sinks.features(_curves(spark, sf))
+
+
+@query()
+def timed_features(spark, sf):
+    return sinks.timed_features(tracks(spark, sf), "ts", "lat", "lon", F.format_string("%.1f km/h", numeric.kmh(F.col("v"))))
+
+
+# State along a track
+
+
+@query()
+def stop_move(spark, sf):
+    d = kinematics.elapsed_time(tracks(spark, sf), T).withColumn("speed", F.greatest(F.col("v") - 30, F.lit(0.0)) / 10)
+    d = sequential.stop_move(d, T, "lat", "lon", "speed")
+    return d.select(*KEY, "segment_marker", r("lat_smoothed_rolling_windows"), r("lon_smoothed_rolling_windows"), r("speed"))
+
+
+@query()
+def min_spacing(spark, sf):
+    return sequential.thin_by_distance(planar(spark, sf), T, "x", "y", 300.0).select(*KEY, "min_distance")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS track_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+k AS (SELECT track_id, seq, v AS x, 1.1 * (1 - 1.1 / 3.1) AS p FROM e WHERE seq = 1 UNION ALL SELECT e.track_id, e.seq, x + (p + 0.1) / (p + 2.1) * (v - x), (p + 0.1) * (1 - (p + 0.1) / (p + 2.1)) FROM k JOIN e ON e.track_id = k.track_id AND e.seq = k.seq + 1)
+SELECT track_id, seq, round(x, 6) AS v_kalman FROM k""")
+def kalman_yaw(spark, sf):
+    return sequential.kalman_smooth(tracks(spark, sf), T, "v").select(*KEY, r("v_kalman"))
+
+
+@query()
+def kalman_track(spark, sf):
+    d = kinematics.elapsed_time(tracks(spark, sf), T)
+    d = sequential.kalman_track(d, T, "lat", "lon", "v", move=60.0, stop=40.0, hold=3600.0)
+    return d.select(*KEY, "is_moving", r("lat_smoothed_kalman"), r("lon_smoothed_kalman"))
+
+
+@query()
+def particle_filter(spark, sf):
+    d = kinematics.elapsed_time(tracks(spark, sf), T)
+    return sequential.particle_filter(d, T, "lat", "lon", "v", particles=200).select(*KEY, r("pf_speed", 4))
+
+
+@query()
+def steady_curves(spark, sf):
+    d = kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s", straight_radius=11_000.0)
+    return sequential.steady_curves(d, T, "curvature_h", "radius_m_h", most=0.05, shortest=3).select(*KEY, "steady_group")
+
+
+@query()
+def circle_fit(spark, sf):
+    return sequential.circle_fit(planar(spark, sf), T, size=5, most_residual=200.0, low=10.0, high=12_000.0).select(*KEY, "circle_group", r("radius_m_circle", 3))
+
+
+@query()
+def pelt_segments(spark, sf):
+    return sequential.segment_change_points(_curved(spark, sf), T, "k", penalty=1e-7).select(*KEY, "segment_id", "segment_class", r("mittelradius", 2))
+
+
+@query()
+def piecewise_segments(spark, sf):
+    return sequential.segment_piecewise(_curved(spark, sf), T, "k", "s").select("track_id", "segment_index", r("start_distance", 3), r("end_distance", 3), "segment_type")
+
+
+@query()
+def spline_curvature(spark, sf):
+    return sequential.spline_curvature(tracks(spark, sf).withColumn("yaw", F.col("v")), T, "lat", "lon", "yaw", samples=20).select(*KEY, r("spline_distance", 2), r("curvature_spline", 5))
+
+
+# Whole plans and products
+
+
+@query()
+def daily_pipeline(spark, sf):
+    d = tracks(spark, sf).withColumn("speed", F.col("v") / 10)
+    d = daily.run(d, lat="lat", lon="lon")
+    return d.select(*KEY, "segment_marker", r("x", 2), r("y", 2), r("cumulative_distance_m", 2), "segment_type", "segment_id", F.array_join("steps", ",").alias("steps"))
+
+
+@query()
+def outliers_removed(spark, sf):
+    return daily.without_outliers(tracks(spark, sf), daily.Config(lat="lat", lon="lon"), "event_id", most_speed=0.5, eps_m=600.0, least=20).select(*KEY)
+
+
+@query(f"{EV} SELECT track_id, ts, signal, value FROM (SELECT track_id, ts, 'lat' AS signal, lat AS value FROM e UNION ALL SELECT track_id, ts, 'v', v FROM e)")
+def chart_signals(spark, sf):
+    return products.signals(tracks(spark, sf), T, "ts", "lat", "v")
+
+
+@query(f"{EV} SELECT track_id, arg_min(lat, seq) AS first_lat, arg_min(lon, seq) AS first_lon, arg_max(lat, seq) AS last_lat, arg_max(lon, seq) AS last_lon FROM e GROUP BY 1")
+def ends_layer(spark, sf):
+    return products.ends_layer(tracks(spark, sf), T, "lat", "lon")
+
+
+@query()
+def blocked_layer(spark, sf):
+    return products.blocked_layer(tracks(spark, sf).withColumn("gps_blocked", F.col("kind") == "error"), T).select(*KEY)
+
+
+@query()
+def radius_markers(spark, sf):
+    d = segmentation.segment(_curved(spark, sf), T, "k", "s")
+    return products.radius_markers(d, T).select("track_id", r("x", 3), r("y", 3), r("mean_radius", 3))
+
+
+@query(f"{PL} SELECT track_id, seq, x, y, round(10 * cos(radians(90 - h)), 6) + 0.0 AS dx, round(10 * sin(radians(90 - h)), 6) + 0.0 AS dy FROM p WHERE (seq - 1) % 20 = 0")
+def heading_quiver(spark, sf):
+    return products.quiver(planar(spark, sf), T, "h").select(*KEY, "x", "y", r("dx"), r("dy"))
+
+
+@query()
+def time_ticks(spark, sf):
+    d = planar(spark, sf).withColumnRenamed("t", "time").withColumn("cumulative_distance_m", F.col("s"))
+    ticks = d.groupBy("track_id").agg(F.max("s").alias("m")).select("track_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor("m").cast("int"), F.lit(500)), lambda k: k.cast("double"))).alias("cumulative_distance_m"))
+    return products.time_ticks(d, ticks, T, time="time").select("track_id", "cumulative_distance_m", r("time", 3))
