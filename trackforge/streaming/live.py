@@ -23,11 +23,12 @@ _PIECE = "track_id long, start double, finish double, segment_marker string, lat
 _STATE = "time array<double>, lat array<double>, lon array<double>, speed array<double>"
 
 
-def live_stops(stream: DataFrame, *, idle: str = "10 minutes", max_stop: float = 300.0) -> DataFrame:
+def live_stops(stream: DataFrame, *, idle: str | None = "10 minutes", max_stop: float = 300.0) -> DataFrame:
     """Pieces of stop and move of each track_id, as soon as they can't change any more: LOOK_AHEAD rows
-    past their end, or when a track has been silent for ``idle``. stream: track_id, ts_s (seconds), lat,
+    past their end, or when a track has been silent for ``idle`` (None: never; a query with a time-out doesn't end by
+    itself). stream: track_id, ts_s (seconds), lat,
     lon, speed; rows of a track come in order. Speeds are taken as they are."""
-    minutes = int(float(idle.split()[0]) * 60_000)
+    silence = int(float(idle.split()[0]) * 60_000) if idle else 0
 
     def close(track: int, buf: list[np.ndarray], end: bool) -> tuple[list[tuple], list[np.ndarray]]:
         time, lat, lon, speed = buf
@@ -51,7 +52,8 @@ def live_stops(stream: DataFrame, *, idle: str = "10 minutes", max_stop: float =
                 buf = [np.concatenate([b, f[c].to_numpy(float)]) for b, c in zip(buf, ("ts_s", "lat", "lon", "speed"), strict=True)]
             rows, buf = close(key[0], buf, False)
             state.update(tuple(b.tolist() for b in buf))
-            state.setTimeoutDuration(minutes)
+            if silence:
+                state.setTimeoutDuration(silence)
         yield pd.DataFrame(rows, columns=["track_id", "start", "finish", "segment_marker", "lat", "lon", "speed", "rows"])
 
-    return stream.groupBy("track_id").applyInPandasWithState(step, _PIECE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("track_id").applyInPandasWithState(step, _PIECE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
