@@ -79,7 +79,8 @@ class _Text:
             code = code * a + c[i : i + m]
             if i < n - 1:
                 ok &= c[i : i + m] != 0
-        ok &= (c[:m] != 0) if n == 1 else (c[:m] != 0) | (c[n - 1 :] != 0)
+        if n == 1:
+            ok &= c != 0
         return self.doc[:m][ok], code[ok]
 
     def name(self, code: int, n: int) -> str:
