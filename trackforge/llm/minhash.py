@@ -8,8 +8,11 @@ class. Bands of the signature put classes into buckets. Candidates are confirmed
 - star rounds compare members of a bucket with one leader of it, each member with the leaders it
   shares most buckets with; confirmed links make components, and buckets within one component
   are finished, so a large group of near copies costs a few comparisons each, not all pairs;
-- what is left, pairs of one bucket in different components, is compared whole, except pairs whose
-  sizes or signatures rule out the similarity (an estimate six standard deviations below it).
+- a bucket that is still mixed is cut into chunks, and pairs of chunks are compared by signature
+  within a task, so no row is made per pair: first each member outside the bucket's main component
+  is confirmed with its three likeliest partners elsewhere; then, for what still isn't joined, every
+  pair is confirmed that its sizes and its signatures (an estimate more than 4.5 standard deviations
+  below the similarity) don't rule out. A pair that shares several buckets counts in the first.
 
 With 32 bands of 5 slots, a pair at a similarity of 0.8 shares no bucket with probability 3e-6.
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +38,8 @@ from trackforge.llm.components import connected
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS, LIKELY_ROUNDS = 3, 2
+CHUNK, LIKELY = 512, 3  # members of a chunk; partners of a member in a likely round
 BATCH = 100_000  # shingles whose permutations are in memory at once
 
 _U = np.uint64
@@ -107,7 +111,7 @@ def _bands(values: np.ndarray) -> np.ndarray:
 def _sketch(d: DataFrame, k: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("id", d.schema["id"].dataType), T.StructField("seen", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +131,7 @@ def _sketch(d: DataFrame, k: int) -> DataFrame:
                 bands, low = _bands(values).view(np.int64), (mix(values.view(np.uint64)) & _U(255)).astype(np.uint8)
                 cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(lens, pa.int64()), pa.array(cls, pa.binary()), flat, pa.array([s.tobytes() for s in low], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(lens, pa.int64()), pa.array(cls, pa.binary()), flat, pa.array([s.tobytes() for s in low], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], schema.names)
                 start = end
 
     return d.mapInArrow(run, schema)
@@ -155,18 +159,62 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _estimate(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the signatures don't rule out. pairs: a, b, sig_a, sig_b."""
+def _by_signature(left: DataFrame, held: DataFrame, percent: int, likely: int | None) -> DataFrame:
+    """a, b, same (equal slots): pairs of a bucket's members in different components that aren't
+    ruled out; with likely, only so many for each member of each pair of chunks."""
     j = percent / 100
-    least = SLOTS * (j - 6 * (j * (1 - j) / SLOTS) ** 0.5)
+    least = SLOTS * (j - 4.5 * (j * (1 - j) / SLOTS) ** 0.5)
+    main = left.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"))
+    member = left.join(held.select("cls", "n", "sig", "packed"), "cls").join(main, "bucket")
+    member = member.select("bucket", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.struct("cls", "component", (F.col("component") == F.col("main")).alias("main"), "n", "sig", "packed").alias("m"))
+    chunk = member.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("m"))
+    x, y = (chunk.select("bucket", F.col("chunk").alias(f"{s}_chunk"), F.col("m").alias(s)) for s in "xy")
+    pairs = x.join(y, "bucket").where("x_chunk <= y_chunk").select("bucket", (F.col("x_chunk") == F.col("y_chunk")).alias("one"), "x", "y")
+
+    def fields(members: pa.StructScalar) -> dict:
+        v = members.values
+        wide = lambda c, kind, w: np.frombuffer(b"".join(v.field(c).to_pylist()), kind).reshape(-1, w)
+        names = v.field("component").to_pylist()
+        return {"cls": v.field("cls").to_pylist(), "component": names, "main": np.array(v.field("main").to_pylist()), "n": v.field("n").to_numpy(), "sig": wide("sig", np.uint8, SLOTS), "bands": wide("packed", np.int64, BANDS)}
+
+    def found(p: dict, q: dict, bucket: int, whom: np.ndarray) -> Iterator[tuple]:
+        """Pairs of p's members outside the main component with q's members for which whom is true."""
+        number = {c: i for i, c in enumerate(dict.fromkeys(q["component"]))}
+        own = np.array([number[c] for c in q["component"]])
+        for i in np.flatnonzero(~p["main"]):
+            n = p["n"][i]
+            ok = whom[i] & (own != number.get(p["component"][i], -1)) & (np.minimum(q["n"], n) * 100 >= np.maximum(q["n"], n) * percent)
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            same = (q["sig"][at] == p["sig"][i]).sum(1)
+            at, same = at[same >= least], same[same >= least]
+            if len(at):
+                first = (q["bands"][at] == p["bands"][i]).argmax(1)
+                here = p["bands"][i][first] == bucket
+                at, same = at[here], same[here]
+            if likely and len(at) > likely:
+                top = np.argsort(-same, kind="stable")[:likely]
+                at, same = at[top], same[top]
+            for k, e in zip(at.tolist(), same.tolist(), strict=True):
+                yield p["cls"][i], q["cls"][k], e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
-            at = pa.array(np.flatnonzero((sa == sb).sum(1) >= least), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+            out = []
+            for bucket, one, x, y in zip(b.column("bucket").to_pylist(), b.column("one").to_pylist(), b.column("x"), b.column("y"), strict=True):
+                x, y = fields(x), fields(y)
+                nx, ny = len(x["cls"]), len(y["cls"])
+                if one:  # of two outside the main component, the later one finds the earlier
+                    out += found(x, x, bucket, x["main"][None, :] | (np.arange(nx)[None, :] < np.arange(nx)[:, None]))
+                else:
+                    out += found(x, y, bucket, np.ones((nx, ny), bool))
+                    out += found(y, x, bucket, np.repeat(x["main"][None, :], ny, 0))
+            if out:
+                a, c, e = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary()), pa.array(e, pa.int32())], ["a", "b", "same"])
+
+    return pairs.mapInArrow(run, "a binary, b binary, same int")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,17 +224,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: s
     scratch = Scratch(spark, "minhash")
     d = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("seen"), F.col(text).cast("string").alias("text"))
     sketch = scratch.write(_sketch(d, k))
-    classes = sketch.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id"), F.col("seen"))).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = sketch.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id"), F.col("seen"))).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("packed").alias("packed"))
     member = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     member = scratch.write(member.join(shared, "bucket").select("bucket", "cls"))
     needed = member.select("cls").distinct()
-    held = scratch.write(classes.join(needed, "cls", "left_semi").select("cls", "one", "n", "sig"))
+    held = scratch.write(classes.join(needed, "cls", "left_semi").select("cls", "one", "n", "sig", "packed"))
     names = held.select("cls", F.col("one.id").alias("id1"), F.col("one.seen").alias("seen1"))
     texts = scratch.write(d.join(names, d["id"].eqNullSafe(names["id1"]) & (d["seen"] == names["seen1"])).select("cls", "text").dropDuplicates(["cls"]))
 
     links, tested, component = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + LIKELY_ROUNDS + 1):
         left = member.select("bucket", "cls", F.col("cls").alias("component")) if component is None else _labelled(member, component)
         if turn:
             mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
@@ -200,22 +248,27 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: s
             best = pairs.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select("best.a", "b")  # of up to 32 leaders, the likeliest
             pairs = best
         else:
-            main = left.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-            rest = left.join(main, "bucket").where("component <> main").select("bucket", F.col("cls").alias("x"), F.col("component").alias("cx"))
-            # pairs of different components; of two that are both outside the bucket's main one, only once
-            j = rest.join(left.join(main, "bucket").select("bucket", F.col("cls").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main")), "bucket")
-            pairs = j.where("cx <> cy and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            size = lambda s: held.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-            pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            pairs = _estimate(pairs, percent)
+            likely = turn < STAR_ROUNDS + LIKELY_ROUNDS
+            pairs = _by_signature(left, held, percent, LIKELY if likely else None)
         if tested is not None:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
+        if "same" in pairs.columns:
+            if likely:
+                w = Window.partitionBy("a").orderBy(F.desc("same"), "b")
+                pairs = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LIKELY)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.write(pairs)
+        if turn and pairs.isEmpty():
+            if turn >= STAR_ROUNDS + LIKELY_ROUNDS:
+                break
+            continue
         found = scratch.write(_confirm(pairs, texts, k, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         component = connected(links, scratch)
+    for done in (member, held, texts):
+        scratch.drop(done)
     return _finish(sketch, component, doc_id)
 
 
