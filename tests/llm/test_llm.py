@@ -312,6 +312,21 @@ def test_language_model(spark):
     assert hmm.score(d.limit(0), F.lit(True), cfg=cfg).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark):
+    """More than 1,000 words with one ending and one count: only emissions of their own tell them apart."""
+    rng = random.Random(11)
+    names = [[f"{a}{i:04d}xyz" for i in range(700)] for a in "pq"]
+    runs = [(k, [rng.choice(names[k]) for _ in range(30)]) for k in range(2) for _ in range(300)]
+    rng.shuffle(runs)
+    pure = [[names[k][i] for i in range(j, j + 40)] for k in range(2) for j in range(0, 400, 40)]
+    mixed = [[w for p in zip(a[:20], b[20:], strict=True) for w in p] for a, b in zip(pure[:10], pure[10:], strict=True)] + [[w for p in zip(a[20:], b[:20], strict=True) for w in p] for a, b in zip(pure[:10], pure[10:], strict=True)]
+    texts = [" ".join(w) for w in [r for _, r in runs] + pure + mixed]
+    d = docs(spark, texts)
+    out = {r.doc_id: r.score - r.base_score for r in hmm.score(d, F.col("doc_id") < len(runs), cfg=hmm.Config(states=2, rounds=25)).collect()}
+    a, b = len(runs), len(runs) + len(pure)
+    assert sum(out[i] for i in range(a, b)) > sum(out[i] for i in range(b, len(texts))) + 20
+
+
 # op9
 
 PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]

@@ -1,15 +1,16 @@
 """Scoring texts with a hidden Markov language model.
 
-Tokens are words and one end per document. Each token has a symbol: the most frequent words have
-their own, other words share one by their ending. Latent states move by A and emit symbols by B;
-a word given its symbol has its smoothed share of the symbol's corpus count. Word counts come from
-all training documents through a shuffle of the distinct words of each block; Baum-Welch sums of
-expected counts are added up within tasks and then across them, and the scaled forward recursion
-gives each text's exact log likelihood.
+Tokens are words and one end per document. Latent states move by A and emit words by B; every
+word of the training documents has emissions of its own in each state, and one place is left for
+unknown words. The expected emission counts are a distributed table by word that grows with the
+corpus: each block of documents adds up its own words' counts and sends them, packed, to the
+words' buckets; there they are added up, and go back to the blocks that hold the words. To the
+driver come only starts, moves and sums by state. After the rounds of Baum-Welch the scaled forward
+recursion gives each text's exact log likelihood.
 
 Within a block, documents are laid end to end in lanes that run side by side; a document's first
 token starts anew from the initial distribution. A text longer than a chunk runs in pieces that
-hand on their state, so that memory is bounded and nothing is approximated.
+hand on their state, so that memory is bounded and nothing is left out. Counts travel as 32-bit floats.
 
 Defined results: a null or empty text is one end token; repeated rows and ids give one result each;
 no training documents leave a uniform model (every word unknown); other columns are ignored.
@@ -17,17 +18,18 @@ no training documents leave a uniform model (every word unknown); other columns
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import Scratch
+from trackforge.llm.common import Scratch, shared_dir
 from trackforge.llm.wordblocks import messages_of, pack, pack_wide, reply_order, unpack, unpack_wide, unpack_words, word_blocks
 
 END = 0  # the end token's symbol
@@ -36,20 +38,15 @@ ADD = 0.1  # added to every count
 
 @dataclass(frozen=True)
 class Config:
-    """states: latent states. own_symbols: words with a symbol of their own. endings: symbols
-    that the other words share by their last ending_chars characters. rounds: of Baum-Welch."""
+    """states: latent states. rounds: of Baum-Welch. own_symbols, endings: of a former model with
+    shared symbols, without effect (every word has its own emissions)."""
 
     states: int = 4
     own_symbols: int = 1000
     endings: int = 256
-    ending_chars: int = 3
     rounds: int = 4
     seed: int = 1
 
-    @property
-    def symbols(self) -> int:
-        return 1 + self.own_symbols + self.endings
-
 
 @dataclass
 class Model:
@@ -58,6 +55,23 @@ class Model:
     emit: np.ndarray  # K x symbols
 
 
+@dataclass
+class Shared:
+    """What all blocks need besides their own words' counts. end, total: expected counts of the end
+    token and of all tokens in each state; known: distinct tokens of the training documents."""
+
+    start: np.ndarray
+    move: np.ndarray
+    end: np.ndarray
+    total: np.ndarray
+    known: int
+
+    def model(self, words: np.ndarray) -> Model:
+        """With the end and a block's words (words x K expected counts) as symbols."""
+        e = np.concatenate([self.end[None], words]).T + ADD
+        return Model(self.start, self.move, e / (self.total + ADD * (self.known + 1))[:, None])
+
+
 def split_words(text: str) -> list[bytes]:
     """ASCII white space parts words (9 to 13 and 32); only A-Z is made lower case."""
     return text.encode().lower().split()
@@ -219,159 +233,174 @@ class Chain:
         return starts, moves, emits
 
 
-def count_words(messages: DataFrame) -> DataFrame:
-    """bucket, word, c: over the training documents (0 for words of other documents only)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, counts = None, {}
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([bucket] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["bucket", "word", "c"])
-
-        for b in batches:
-            for now, n, size, words, own in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "size", "words", "counts")), strict=True):
-                if now != bucket:
-                    if counts:
-                        yield rows()
-                    bucket, counts = now, {}
-                for w, c in zip(unpack_words(words, size), unpack_wide(own, n).tolist(), strict=True):
-                    counts[w] = counts.get(w, 0) + c
-        if counts:
-            yield rows()
-
-    return messages.select("bucket", "n", "size", "words", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, word string, c long")
-
-
-def _give_symbols(vocab: DataFrame, own: list, cfg: Config) -> DataFrame:
-    spark = vocab.sparkSession
-    top = spark.createDataFrame([(w, i + 1) for i, w in enumerate(own)], "top string, own int")
-    shared = (1 + cfg.own_symbols + F.pmod(F.xxhash64(F.right("word", F.lit(cfg.ending_chars))), F.lit(cfg.endings))).cast("int")
-    return vocab.join(F.broadcast(top), F.col("word") == F.col("top"), "left").select("bucket", "word", "c", F.coalesce("own", shared).alias("symbol"))
-
-
-def _reply(messages: pa.Table, vocab: pa.Table, names: list[str]) -> pa.Table:
-    """Symbol and count of every word asked about."""
-    look = dict(zip(vocab.column("word").cast(pa.binary()).to_pylist(), zip(vocab.column("symbol").to_pylist(), vocab.column("c").to_pylist(), strict=True), strict=True))
-    replies = []
-    for size, words in zip(messages.column("size").to_pylist(), messages.column("words"), strict=True):
-        got = [look[w] for w in unpack_words(words.as_py(), size)]
-        replies.append(pack_wide(np.array([s for s, _ in got] + [c for _, c in got], np.uint64)))
-    return pa.Table.from_arrays([messages.column("block"), messages.column("bucket"), messages.column("n"), pa.array(replies, pa.binary())], names)
-
-
-def _code_blocks(left: pa.Table, right: pa.Table, schema: pa.Schema, below: float, inside_mass: np.ndarray, ends: int) -> pa.Table:
-    if not left.num_rows:
-        return schema.empty_table()
-    right = right.sort_by("bucket")
-    symbols, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for n, reply in zip(right.column("n").to_pylist(), right.column("reply"), strict=True):
-        got = unpack_wide(reply.as_py(), 2 * n)
-        symbols.append(got[:n].astype(np.int64))
-        counts.append(got[n:].astype(np.float64))
-    block = left.slice(0, 1).to_pylist()[0]
-    symbol, count = reply_order(block, symbols), reply_order(block, counts)
-    lens = np.array(block["lens"], np.int64)
-    codes = unpack(block["codes"], int(lens.sum()))
-    upto = np.concatenate([[0], np.cumsum(lens)])
+def _pack_floats(values: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(values, np.float32).ravel().view(np.uint32))
+
+
+def _unpack_floats(packed: bytes, n: int, k: int) -> np.ndarray:
+    return unpack(packed, n * k).view(np.float32).reshape(n, k).astype(np.float64)
 
-    def per_document(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(lens))
-        some = lens > 0
-        if some.any():
-            out[some] = np.add.reduceat(values[codes], upto[:-1][some])
-        return out
 
-    base = per_document(np.log10((count + ADD) / below)) + math.log10((ends + ADD) / below)
-    inside = per_document(np.log10((count + ADD) / inside_mass[symbol]))
-    known = np.rint(per_document(count > 0)).astype(np.int64) + (ends > 0)
-    stream = np.insert(symbol[codes], upto[1:], END).astype(np.uint32)  # an end after each document
-    row = {"block": block["block"], "docs": block["docs"], "flags": block["flags"], "lens": (lens + 1).tolist(), "symbols": pack(stream), "known": known.tolist(), "base": base.tolist(), "inside": inside.tolist()}
-    return pa.Table.from_pylist([row], schema=schema)
+def first_weights(words: list[bytes], cfg: Config) -> np.ndarray:
+    """words x K random factors that tell the states apart at first, by each word's hash."""
+    if not words:
+        return np.zeros((0, cfg.states))
+    held = np.empty(len(words), object)
+    held[:] = words
+    h = pd.util.hash_array(held, categorize=False)[:, None] + np.arange(1, 2 * cfg.states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(cfg.seed)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = (((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    normal = np.sqrt(-2 * np.log(u[:, : cfg.states])) * np.cos(2 * np.pi * u[:, cfg.states :])
+    return np.exp(0.5 * normal)
 
 
-def _symbols_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.array(batch.column("lens")[i].values, np.int64)
-    return unpack(batch.column("symbols")[i].as_py(), int(lens.sum())), lens
+LINKS = "bucket int, block long, n int, places binary, counts binary, weights binary, known long, tokens long, sums array<double>"
+REPLY = "to long, bucket int, n int, weights binary, counts binary"
 
 
-def first_model(cfg: Config, mass: np.ndarray) -> Model:
-    """Symbols by their corpus share, each state's shares moved at random to tell states apart."""
-    rng = np.random.default_rng(cfg.seed)
+def word_links(messages: DataFrame, cfg: Config) -> DataFrame:
+    """The written table, by bucket, of the words' places: for each block the places of its words
+    among the bucket's; and, with block -1, the bucket's own row: training counts and first expected
+    counts of its n words, how many are known, and sums over them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place, counts, rows = {}, [], []
+        bucket = table.column("bucket")[0].as_py()
+        for block, n, size, words, own in zip(*(table.column(c).to_pylist() for c in ("block", "n", "size", "words", "counts")), strict=True):
+            at = np.fromiter((place.setdefault(w, len(place)) for w in unpack_words(words, size)), np.int64, n)
+            counts.append((at, unpack_wide(own, n)))
+            rows.append({"bucket": bucket, "block": block, "n": n, "places": pack(at)})
+        c = np.zeros(len(place), np.int64)
+        for at, own in counts:
+            c[at] += own.astype(np.int64)
+        w = c[:, None] * first_weights(list(place), cfg)
+        rows.append({"bucket": bucket, "block": -1, "n": len(c), "counts": pack_wide(c), "weights": _pack_floats(w), "known": int((c > 0).sum()), "tokens": int(c.sum()), "sums": w.sum(0).tolist()})
+        return pa.Table.from_pylist(rows, schema)
+
+    spark, name = messages.sparkSession, f"links_{uuid.uuid4().hex}"
+    schema = spark.createDataFrame([], LINKS).toArrow().schema
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = messages.groupBy("bucket").applyInArrow(run, LINKS)
+    out.write.bucketBy(parts, "bucket").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def replies_of(links: DataFrame, sent: DataFrame | None, cfg: Config, with_counts: bool) -> DataFrame:
+    """To each block and bucket: the expected counts of the block's words over all blocks (before the
+    first round: the first ones), and their training counts if asked for."""
     k = cfg.states
-    emit = (mass + ADD) * np.exp(0.5 * rng.standard_normal((k, len(mass))))
-    move = np.full((k, k), 0.3 / max(1, k - 1)) if k > 1 else np.ones((1, 1))
-    np.fill_diagonal(move, 0.7 if k > 1 else 1.0)
-    return Model(np.full(k, 1 / k), move, emit / emit.sum(1, keepdims=True))
-
-
-def train(coded: DataFrame, cfg: Config, mass: np.ndarray) -> Model:
-    """Baum-Welch. To the driver come K + K*K + K*symbols sums, however large the corpus."""
-    model, k, s = first_model(cfg, mass), cfg.states, cfg.symbols
-
-    def expected(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + k * k + k * s)
-        for b in batches:
-            for i in range(b.num_rows):
-                symbols, lens = _symbols_of(b, i)
-                flags = np.array(b.column("flags")[i].values.to_numpy(zero_copy_only=False), bool)
-                symbols, lens = symbols[np.repeat(flags, lens)], lens[flags]
-                if len(symbols):
-                    starts, moves, emits = Chain(m, symbols, lens).expected()
-                    total += np.concatenate([starts, moves.ravel(), emits.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "v"])
-
-    needed = coded.select("flags", "lens", "symbols")
+    schema = links.sparkSession.createDataFrame([], REPLY).toArrow().schema
+
+    def reply(links: pa.Table, sent: pa.Table | None) -> pa.Table:
+        if not links.num_rows:
+            return schema.empty_table()
+        blocks, n, places = (links.column(c).to_pylist() for c in ("block", "n", "places"))
+        own = blocks.index(-1)
+        at = {b: unpack(p, m) for b, m, p in zip(blocks, n, places, strict=True) if b >= 0}
+        c = unpack_wide(links.column("counts")[own].as_py(), n[own])
+        if sent is None:
+            w = _unpack_floats(links.column("weights")[own].as_py(), n[own], k)
+        else:
+            sent, w = sent.sort_by("block"), np.zeros((n[own], k))
+            for b, part in zip(sent.column("block").to_pylist(), sent.column("weights"), strict=True):
+                w[at[b]] += _unpack_floats(part.as_py(), len(at[b]), k)
+        bucket = links.column("bucket")[0].as_py()
+        rows = [{"to": b, "bucket": bucket, "n": len(i), "weights": _pack_floats(w[i]), "counts": pack_wide(c[i]) if with_counts else None} for b, i in at.items()]
+        return pa.Table.from_pylist(rows, schema)
+
+    asked = links.select("bucket", "block", "n", "places", "counts", "weights")
+    if sent is None:
+        return asked.groupBy("bucket").applyInArrow(lambda t: reply(t, None), REPLY)
+    return asked.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(reply, REPLY)
+
+
+def _block(left: pa.Table, right: pa.Table, k: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """A block, its symbols (0: end; word numbers from 1), tokens per document, its words' expected
+    counts, and the replies in order."""
+    block, right = left.slice(0, 1).to_pylist()[0], right.sort_by("bucket")
+    parts = [_unpack_floats(w.as_py(), n, k) for n, w in zip(right.column("n").to_pylist(), right.column("weights"), strict=True)]
+    words = reply_order(block, [np.zeros((0, k)), *parts])
+    lens = np.array(block["lens"], np.int64)
+    codes = unpack(block["codes"], int(lens.sum()))
+    return block, np.insert(codes + np.uint32(1), np.cumsum(lens), END).astype(np.uint32), lens + 1, words, right
+
+
+def train(blocks: DataFrame, links: DataFrame, cfg: Config, shared: Shared, scratch: Scratch) -> tuple[Shared, DataFrame | None]:
+    """Baum-Welch: the shared part of the model, and the table of expected counts that blocks sent last.
+    To the driver come K + K*K + 2 K sums; all that is by word stays distributed."""
+    k, spark = cfg.states, blocks.sparkSession
+    up = "block long, bucket int, weights binary, sums array<double>"
+    schema = spark.createDataFrame([], up).toArrow().schema
+
+    def expected(now: Shared) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return schema.empty_table()
+            block, symbols, lens, words, right = _block(left, right, k)
+            flags = np.array(block["flags"], bool)
+            symbols, lens = symbols[np.repeat(flags, lens)], lens[flags]
+            if not len(symbols):
+                return schema.empty_table()
+            starts, moves, emits = Chain(now.model(words), symbols, lens).expected()
+            rows = [{"block": block["block"], "bucket": -1, "sums": [*starts, *moves.ravel(), *emits[:, 0], *emits.sum(1)]}]
+            sent, i = emits[:, 1:].T[unpack(block["order"], len(words))], 0
+            for bucket, n in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), strict=True):
+                rows.append({"block": block["block"], "bucket": bucket, "weights": _pack_floats(sent[i : i + n])})
+                i += n
+            return pa.Table.from_pylist(rows, schema)
+
+        return run
+
+    stream, sent, table = blocks.select("block", "flags", "lens", "codes", "order"), None, None
     for _ in range(cfg.rounds):
-        rows = needed.mapInArrow(lambda it, m=model: expected(it, m), "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-        total = np.zeros(k + k * k + k * s)
-        total[rows["cell"].to_numpy()] = rows["v"].to_numpy()
-        starts, moves, emits = total[:k] + ADD, total[k : k + k * k].reshape(k, k) + ADD, total[k + k * k :].reshape(k, s) + ADD
-        model = Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
-    return model
+        replies = replies_of(links, sent, cfg, False)
+        new = scratch.write(stream.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(expected(shared), up))
+        if table is not None:
+            scratch.drop(table)
+        table, sent = new, new.where("bucket >= 0").select("block", "bucket", "weights")
+        rows = table.where("bucket < 0").select(F.posexplode("sums").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(k + k * k + 2 * k)
+        for r in rows:
+            total[r["cell"]] = r["v"]
+        starts, moves = total[:k] + ADD, total[k : k + k * k].reshape(k, k) + ADD
+        shared = Shared(starts / starts.sum(), moves / moves.sum(1, keepdims=True), total[-2 * k : -k], total[-k:], shared.known)
+        del replies, new
+        spark._jvm.System.gc()  # lets go of the shuffle files of the round
+    return shared, sent
 
 
 def score(docs: DataFrame, training: Column, *, cfg: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score (unigram), score (the model's):
     log10 probabilities, one row per row of docs. training: whether a row's words are learnt from;
     null counts as no."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "hmm")
+    scratch, k = Scratch(docs.sparkSession, "hmm"), cfg.states
     blocks = word_blocks(docs, split_words, doc_id=doc_id, text=text, flag=training)
-    vocab = scratch.write(count_words(messages_of(blocks)))
-    own = [r["word"] for r in vocab.where("c > 0").orderBy(F.desc("c"), "word").limit(cfg.own_symbols).collect()]
-    vocab = _give_symbols(vocab, own, cfg)
+    links = word_links(messages_of(blocks), cfg)
     ends = blocks.select(F.explode("flags").alias("f")).agg(F.coalesce(F.sum(F.col("f").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    sums = vocab.groupBy("symbol").agg(F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()  # cfg.symbols rows at most
-    total = ends + sum(r["c"] for r in sums)
-    distinct = (ends > 0) + sum(r["v"] for r in sums)
-    below = total + ADD * (distinct + 1)
-    mass, inside = np.zeros(cfg.symbols), np.full(cfg.symbols, ADD)
-    mass[END] = ends
-    for r in sums:
-        shared = r["symbol"] > cfg.own_symbols  # these keep a place for unknown words
-        mass[r["symbol"]], inside[r["symbol"]] = r["c"], r["c"] + ADD * (r["v"] + shared)
-    asked = messages_of(blocks).select("block", "bucket", "n", "size", "words")
-    names = ["to", "bucket", "n", "reply"]
-    replies = asked.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(lambda l, r: _reply(l, r, names), "to long, bucket int, n int, reply binary")
-    kind = docs.schema[doc_id].dataType
-    arr = T.ArrayType
-    out = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("docs", arr(kind)), T.StructField("flags", arr(T.BooleanType())), T.StructField("lens", arr(T.IntegerType())),
-        T.StructField("symbols", T.BinaryType()), T.StructField("known", arr(T.LongType())), T.StructField("base", arr(T.DoubleType())), T.StructField("inside", arr(T.DoubleType()))])
-    schema = spark.createDataFrame([], out).toArrow().schema
+    sums = links.where("block < 0").agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+    total, known = ends + (sums["tokens"] or 0), (sums["known"] or 0) + (ends > 0)
+    below = total + ADD * (known + 1)
+    end = ends * first_weights([b"\xff"], cfg)[0]  # in no word
+    move = np.full((k, k), 0.3 / max(1, k - 1)) if k > 1 else np.ones((1, 1))
+    np.fill_diagonal(move, 0.7 if k > 1 else 1.0)
+    shared = Shared(np.full(k, 1 / k), move, end, end + np.array([sums[f"s{i}"] or 0.0 for i in range(k)]), known)
+    shared, sent = train(blocks, links, cfg, shared, scratch)
+    rows = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    schema = docs.sparkSession.createDataFrame([], rows).toArrow().schema
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        block, symbols, lens, words, right = _block(left, right, k)
+        parts = [unpack_wide(c.as_py(), n).astype(np.float64) for n, c in zip(right.column("n").to_pylist(), right.column("counts"), strict=True)]
+        counts = np.concatenate([[float(ends)], reply_order(block, [np.zeros(0), *parts])])
+        of_docs = lambda values: np.add.reduceat(values[symbols], np.cumsum(lens) - lens)
+        base, n_known = of_docs(np.log10((counts + ADD) / below)), of_docs((counts > 0).astype(np.int64))
+        scores = Chain(shared.model(words), symbols, lens).log10()
+        columns = [pa.array(block["docs"], schema.field("id").type), pa.array(block["flags"], pa.bool_()), pa.array(lens), pa.array(n_known), pa.array(base), pa.array(scores)]
+        return pa.Table.from_arrays(columns, schema=schema)
+
     stream = blocks.select("block", "docs", "flags", "lens", "codes", "order")
-    coded = scratch.write(stream.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(lambda l, r: _code_blocks(l, r, schema, below, inside, ends), out))
-    model = train(coded, cfg, mass)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                symbols, lens = _symbols_of(b, i)
-                parts = Chain(model, symbols, lens).log10()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("docs")[i].values, b.column("flags")[i].values, pa.array(lens), b.column("known")[i].values, b.column("base")[i].values, pa.array(parts + b.column("inside")[i].values.to_numpy())],
-                    ["id", "trained", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = T.StructType([T.StructField("id", kind), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = coded.drop("block").mapInArrow(run, rows)
+    scored = stream.groupBy("block").cogroup(replies_of(links, sent, cfg, True).groupBy("to")).applyInArrow(run, rows)
     return scored.select(F.col("id").alias(doc_id), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
