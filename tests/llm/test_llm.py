@@ -372,6 +372,16 @@ def test_pii_terms(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_terms_of_whole_documents(spark):
+    """Further than 64 characters from the match, and at every place of the document."""
+    fill = ["some plain words stand here and go on for a while until the line is long " * 2 + w for w in ("one", "two", "three", "four")]
+    texts = [f"Zorblax {f} at a@b.cc and {f} ends, zorblax." for f in fill[:3]] + [f"{f} stands alone at and ends" for f in fill] * 2 + ["mail k@l.mm for all of it, Dorn"] * 3
+    got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    for i, f in enumerate(fill[:3]):
+        assert got[i] == f"[TERM] {f} at [EMAIL] and {f} ends, [TERM]."
+    assert [got[i] for i in range(3, 11)] == texts[3:11] and got[11] == "mail [EMAIL] for all of it, Dorn"
+
+
 # op10
 
 

@@ -1,15 +1,15 @@
 """Personal data: patterns, and terms that give away what the patterns find. DataFrame functions only.
 
 Base: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. One pass over the
-texts cuts each by each pattern; matches and the gaps between them give places by a running sum,
-and the ends of the gaps are a match's context.
+texts cuts each by each pattern; matches and the gaps between them give places by a running sum.
 
 Information-theoretic sanitisation: every match is an entity with information content
-IC(e) = -log2 P(e). A word t in its context discloses PMI(e; t) = log2(P(e | t) / P(e)) bits of it,
-where P(e | t) is the share of t's occurrences in the whole corpus that stand in e's contexts. If
-this is IC(e) - slack_bits or more, that is if t alone nearly tells e, and t was seen in several
-different contexts of e (copies of a text are one), then t is removed or generalised wherever it
-stands in e's context.
+IC(e) = -log2 P(e). A word t of a document that holds e discloses PMI(e; t) = log2(P(e | t) / P(e))
+bits of it, where P(e | t) is the share of the documents with t, in the whole corpus, that hold e,
+wherever the two stand. If this is IC(e) - slack_bits or more, that is if t alone nearly tells e
+(P(e | t) >= 2 ** -slack_bits), and the two were seen together in several different texts (copies,
+up to all but letters, are one), then t is removed or generalised at all its places in the documents
+that hold e.
 
 The patterns say what the plain ones say, without unbounded recursion or backtracking:
 - e-mail: a match can start only where its local part does, or where the last match ended; the
@@ -34,7 +34,6 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 BETWEEN_CARDS = r"[^0-9]{2,}|[^0-9 -]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-CONTEXT = 64  # characters to each side
 NOT_LETTER = r"[^\p{L}]+"
 #: Candidate terms up to which their occurrences are counted by a broadcast join (about 50 bytes each).
 BROADCAST_TERMS = 200_000
@@ -66,16 +65,14 @@ def _valid(kind: Column, v: Column) -> Column:
 
 
 def _items(kind: int, gaps: Column, values: Column) -> Column:
-    """Array of (kind, i, gap: characters before the value, v, left, right). gaps: one more than values."""
-    row = lambda v, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), v.alias("v"),
-        F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("right"))
+    """Array of (kind, i, gap: characters before the value, v). gaps: one more than values."""
+    row = lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), v.alias("v"))
     return F.transform(values, row)
 
 
 def _matches(text: Column) -> Column:
     """All items of a text of all kinds."""
-    none = F.from_json(F.lit("[]"), "array<struct<kind:int,i:int,gap:int,v:string,left:string,right:string>>")
+    none = F.from_json(F.lit("[]"), "array<struct<kind:int,i:int,gap:int,v:string>>")
     cut = lambda kind, pattern: _items(kind, F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     has = lambda pattern: F.regexp_like(text, F.lit(pattern))
     # Digit groups stand between the matches of BETWEEN_CARDS; those come before and after them.
@@ -88,11 +85,12 @@ def _matches(text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, seen (hash of the text), kind, start, end, v, left, right: a row per valid match; each
-    document has at least one row, if only with null kind."""
+    """doc, seen (hash of the text), copies (rows of that id and text), kind, start, end, v: a row per
+    valid match; each document has at least one row, if only with null kind."""
     d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("seen"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = d.select("doc", "seen", F.posexplode_outer(_matches(F.col("text"))).alias("p", "x")).select("doc", "seen", F.coalesce("p", F.lit(-1)).alias("p"), "x.*")
-    rows = rows.repartition("doc", "seen").dropDuplicates(["doc", "seen", "p"])
+    own = [F.first(c).alias(c) for c in ("kind", "i", "gap", "v")]
+    rows = rows.repartition("doc", "seen").groupBy("doc", "seen", "p").agg(F.count("*").alias("copies"), *own)
     w = Window.partitionBy("doc", "seen", "kind").orderBy("p")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("v")).over(w).cast("long"))
     rows = rows.withColumn("start", F.col("end") - F.length("v"))
@@ -101,60 +99,82 @@ def base_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = rows.withColumns({"start": F.col("start") + outside("^[ -]"), "end": F.col("end") - outside("[ -]$")})
     ok = F.coalesce(_valid(F.col("kind"), F.col("v")), F.lit(False))
     only = lambda c: F.when(ok, F.col(c)).alias(c)
-    return rows.select("doc", "seen", *map(only, ("kind", "start", "end", "v", "left", "right")))
+    return rows.select("doc", "seen", "copies", *map(only, ("kind", "start", "end", "v")))
 
 
-def _context_terms(spans: DataFrame) -> DataFrame:
-    """doc, seen, entity, context (hash), term, start, end: the whole words beside each match."""
-    s = spans.where(F.col("kind").isNotNull())
-    entity = F.xxhash64("kind", F.when(F.col("kind") >= 2, _digits(F.col("v"))).otherwise(F.lower("v")))
-    sides = F.array(F.struct(F.lit(True).alias("before"), F.col("left").alias("t"), (F.col("start") - F.length("left")).alias("at")), F.struct(F.lit(False).alias("before"), F.col("right").alias("t"), F.col("end").alias("at")))
-    s = s.select("doc", "seen", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(sides).alias("side")).select("doc", "seen", "entity", "context", "side.*")
-    words, gaps = F.array_remove(F.split("t", NOT_LETTER, -1), ""), F.split("t", r"\p{L}+", -1)
-    # gaps has one entry more than words; at most CONTEXT / 2 words
-    upto = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda z, x: z + F.length(x))
-    placed = F.transform(words, lambda x, i: F.struct(x.alias("w"), (upto(gaps, i + 1) + upto(words, i)).alias("at")))
-    full = F.length("t") == CONTEXT  # a word at the far edge may be cut off
-    s = s.select("*", F.explode(placed).alias("p"))
-    cut_off = full & F.when(F.col("before"), F.col("p.at") == 0).otherwise(F.col("p.at") + F.length("p.w") == CONTEXT)
-    start = F.col("at") + F.col("p.at")
-    return s.where(~cut_off).select("doc", "seen", "entity", "context", F.lower("p.w").alias("term"), start.alias("start"), (start + F.length("p.w")).alias("end"))
-
-
-def _disclosing(docs: DataFrame, terms: DataFrame, mentions: DataFrame, text: str, min_contexts: int, slack_bits: float) -> DataFrame:
-    """entity, term, bits (PMI), content (IC): the pairs where the term nearly tells the entity."""
-    seen = terms.groupBy("entity", "term", "context").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("near"), F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    asked = seen.select("term").distinct()
-    words = docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), NOT_LETTER, -1)).alias("term"))
+def _same_document(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a and b joined on doc (null equals null) and seen."""
+    b = b.withColumnsRenamed({"doc": "_doc", "seen": "_seen"})
+    return a.join(b, a["doc"].eqNullSafe(b["_doc"]) & (a["seen"] == b["_seen"]), how).drop("_doc", "_seen")
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, NOT_LETTER, -1), ""), F.lower))
+
+
+def _documents_with(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, all: rows of docs (text) with each term asked about."""
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(asked), "term", "left_semi")
-        counts = words.groupBy("term").agg(F.count("*").alias("all"))
-    else:  # each task adds up its words first, so that frequent ones aren't shuffled one by one
-        counts = words.groupBy("term").agg(F.count("*").alias("all")).join(asked, "term", "left_semi")
-    known = seen.join(counts, "term").join(mentions, "entity")
-    content = -F.log2(F.col("mentions") / F.col("total"))
-    bits = F.log2((F.col("near") / F.greatest("all", "near")) / (F.col("mentions") / F.col("total")))
-    return known.select("entity", "term", bits.alias("bits"), content.alias("content")).where(F.col("bits") >= F.col("content") - slack_bits)
+        return words.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all"))
+    # each task adds up its words first, so that frequent ones aren't shuffled one by one
+    return words.groupBy("term").agg(F.count("*").alias("all")).join(asked, "term", "left_semi")
+
+
+def _disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, min_contexts: int, slack_bits: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, seen, term: what is to go where; doc, seen, text of the documents in question)."""
+    least = 2.0**-slack_bits
+    s = base.where(F.col("kind").isNotNull())
+    entity = F.xxhash64("kind", F.when(F.col("kind") >= 2, _digits(F.col("v"))).otherwise(F.lower("v")))
+    holders = s.select("doc", "seen", "copies", entity.alias("entity")).groupBy("entity", "doc", "seen").agg(F.max("copies").alias("copies"))
+    # Only entities of several texts can have terms, and only terms of few enough documents tell them.
+    often = holders.groupBy("entity").agg(F.count_distinct("seen").alias("texts"), F.sum("copies").alias("mentions")).where(F.col("texts") >= min_contexts)
+    holders = scratch.write(holders.join(often.select("entity", "mentions"), "entity"))
+    keys = holders.groupBy("doc", "seen").agg(F.max("mentions").alias("most"))
+    letters = F.xxhash64(F.lower(F.regexp_replace("text", NOT_LETTER, " "))).alias("letters")
+    held = scratch.write(_same_document(docs, keys).dropDuplicates(["doc", "seen"]).select("doc", "seen", "text", "most", letters))
+    words = held.select("doc", "seen", "letters", "most", F.explode(_terms(F.col("text"))).alias("term"))
+    asked = scratch.write(words.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(F.col("n") >= min_contexts).select("term", "most"))
+    few = _documents_with(docs, asked.select("term")).join(asked, "term").where(F.col("all") * least <= F.col("most")).select("term", "all")
+    words = scratch.write(words.drop("most").join(few, "term"))
+    pairs = _same_document(words, holders).where(F.col("all") * least <= F.col("mentions"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("near"), F.count_distinct("letters").alias("texts"), F.first("all").alias("all"))
+    told = together.where((F.col("texts") >= min_contexts) & (F.col("near") >= F.col("all") * least)).select("entity", "term")
+    gone = scratch.write(holders.join(told, "entity").select("doc", "seen", "term").distinct())
+    return gone, held.select("doc", "seen", "text")
+
+
+def _places(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc, seen, start, end: the words of held that are to go."""
+    t = _same_document(held, gone.select("doc", "seen").distinct(), "left_semi")
+    words, gaps = F.array_remove(F.split("text", NOT_LETTER, -1), ""), F.split("text", r"\p{L}+", -1)
+    rows = t.select("doc", "seen", F.posexplode(F.arrays_zip(words.alias("w"), gaps.alias("g"))).alias("p", "x")).select("doc", "seen", "p", F.col("x.w").alias("w"), F.length("x.g").alias("g"))
+    rows = rows.where(F.col("w").isNotNull())
+    w = Window.partitionBy("doc", "seen").orderBy("p")
+    rows = rows.withColumn("end", F.sum(F.col("g") + F.length("w")).over(w).cast("long")).select("doc", "seen", (F.col("end") - F.length("w")).alias("start"), "end", F.lower("w").alias("word"))
+    g = gone.withColumnsRenamed({"doc": "_doc", "seen": "_seen"})
+    return rows.join(g, rows["doc"].eqNullSafe(g["_doc"]) & (rows["seen"] == g["_seen"]) & (rows["word"] == g["term"]), "left_semi").select("doc", "seen", "start", "end")
 
 
 def spans_of(docs: DataFrame, scratch: Scratch, *, doc_id: str, text: str, min_contexts: int, slack_bits: float) -> DataFrame:
     """doc, seen, kind, start, end: base and term spans; each document has at least one row, if only
-    with null kind."""
+    with null kind. A term within a base span is part of that."""
     base = scratch.write(base_spans(docs, doc_id, text))
-    terms = scratch.write(_context_terms(base))
-    own = terms.select("doc", "seen", "entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
-    total = own.agg(F.sum("mentions").alias("total"))  # one row
-    mentions = own.join(F.broadcast(total), F.lit(True))
-    told = _disclosing(docs, terms, mentions, text, min_contexts, slack_bits)
-    found = terms.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("doc", "seen", F.lit(4).alias("kind"), "start", "end").distinct()
-    return base.select("doc", "seen", "kind", "start", "end").unionByName(found)
+    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("seen"), F.col(text).cast("string").alias("text"))
+    gone, held = _disclosing(d, base, scratch, min_contexts, slack_bits)
+    found = _places(held, gone).select("doc", "seen", F.lit(4).alias("kind"), "start", "end")
+    rows = base.select("doc", "seen", "kind", "start", "end").unionByName(found)
+    w = Window.partitionBy("doc", "seen").orderBy("start", F.col("kind") == 4).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.max(F.when(F.col("kind") < 4, F.col("end"))).over(w)
+    return rows.withColumn("upto", upto).where(F.col("kind").isNull() | (F.col("kind") < 4) | F.col("upto").isNull() | (F.col("end") > F.col("upto"))).drop("upto")
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_contexts: int = 3, slack_bits: float = 1.0) -> DataFrame:
     """doc_id, text_hash, spans (array of kind, start, end; code points, end exclusive; by KINDS, then
     start): one row per document.
 
-    min_contexts: different contexts of an entity that a term must be seen in; slack_bits: how far
+    min_contexts: different texts that a term must be seen in with an entity; slack_bits: how far
     below the entity's information content a term's disclosure may be and still count.
     """
     rows = spans_of(docs, Scratch(docs.sparkSession, "pii"), doc_id=doc_id, text=text, min_contexts=min_contexts, slack_bits=slack_bits)
