@@ -382,6 +382,17 @@ def test_pii_terms_of_whole_documents(spark):
     assert [got[i] for i in range(3, 11)] == texts[3:11] and got[11] == "mail [EMAIL] for all of it, Dorn"
 
 
+def test_pii_terms_beside_other_digits_and_matches(spark):
+    """No digit and no other match of the same kind, valid or not, ends what is seen of a document."""
+    card = "4111 1111 1111 1111"
+    texts = [f"Zorblax order {i}: {card} exp. 12/27 {w}" for i, w in enumerate(("red", "green", "blue"))] + ["order exp. red green blue"] * 7
+    texts += [f"{w}: Plimmo x{i}@q.rr, k@l.mm, y{i}@q.rr; {w}" for i, w in enumerate(("red", "green", "blue"))]
+    got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    for i, w in enumerate(("red", "green", "blue")):
+        assert got[i] == f"[TERM] order {i}: [CARD] exp. 12/27 {w}"
+        assert "Plimmo" not in got[10 + i] and "[TERM] [EMAIL], [EMAIL], [EMAIL]; " in got[10 + i]
+
+
 # op10
 
 
