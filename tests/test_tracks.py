@@ -263,3 +263,24 @@ def test_short_tracks(spark, n):
     d = spark.createDataFrame([("a", i + 1, *r) for i, r in enumerate(rows)], "track_id string, seq int, elapsed_time_s double, GPS_lat double, GPS_lon double, speed double, x double, y double")
     for f in (lambda d: kinematics.traveled_distance(d, T), lambda d: sequential.stop_move(d, T), lambda d: sequential.circle_fit(d, T), lambda d: sequential.spline_curvature(d, T, "GPS_lat", "GPS_lon", "speed"), lambda d: segmentation.segment(d, T, "speed", "x"), lambda d: sequential.segment_piecewise(d, T, "speed", "x"), lambda d: sequential.segment_change_points(d, T, "speed"), lambda d: sequential.particle_filter(d, T, "GPS_lat", "GPS_lon", "speed", particles=10)):
         assert f(d).count() >= 0
+
+
+def test_piecewise_breaks_of_long_tracks():
+    """Every row can be a break, however long the track."""
+    x = np.arange(3000.0)
+    y = np.where(x < 1003, 0.0, np.where(x < 1018, 2.0, -0.001 * x))
+    assert sequential.best_pieces(x, y, 3) == [0, 1003, 1018, 3000]
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.uniform(0.5, 2, 450))
+    y = np.where(x < x[211], 0.01 * x, 3.0) + rng.normal(0, 0.3, 450)
+
+    def error(i, j):
+        return ((y[i:j] - np.polyval(np.polyfit(x[i:j], y[i:j], 1), x[i:j])) ** 2).sum() if j - i > 2 else 0.0
+
+    best = min(error(0, i) + error(i, 450) for i in range(1, 450))
+    cuts = sequential.best_pieces(x, y, 2)
+    assert np.isclose(sum(error(i, j) for i, j in zip(cuts, cuts[1:])), best)
+    y = rng.normal(0, 1, 450)  # without any line, too
+    best = min(error(0, i) + error(i, 450) for i in range(1, 450))
+    cuts = sequential.best_pieces(x, y, 2)
+    assert np.isclose(sum(error(i, j) for i, j in zip(cuts, cuts[1:])), best)

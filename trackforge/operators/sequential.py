@@ -216,34 +216,46 @@ def circle_fit(df: DataFrame, t: Track, x: str = "x", y: str = "y", *, size: int
 
 def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400) -> list[int]:
     """Row numbers of the breaks of the piecewise line of ``count`` pieces with least squared error,
-    by dynamic programming over at most ``most_points`` evenly spread places for a break."""
+    by dynamic programming over all rows, in memory that grows with rows times pieces.
+
+    Beyond ``most_points`` rows, as many evenly spread places first give a bound: no piece of the best
+    line has a larger error than the whole of another line, and errors only grow with a piece."""
     n = len(x)
-    at = np.unique(np.linspace(0, n, min(n, most_points) + 1).astype(int))
     s = lambda v: np.concatenate([[0.0], np.cumsum(v)])
     x0, y0 = x - x.mean(), y - y.mean()
-    sx, sy, sxx, sxy, syy = s(x0)[at], s(y0)[at], s(x0 * x0)[at], s(x0 * y0)[at], s(y0 * y0)[at]
-
-    def error(i: np.ndarray, j: int) -> np.ndarray:
-        m = np.maximum(at[j] - at[i], 1)
-        dx, dy = sx[j] - sx[i], sy[j] - sy[i]
-        vxx, vxy, vyy = sxx[j] - sxx[i] - dx * dx / m, sxy[j] - sxy[i] - dx * dy / m, syy[j] - syy[i] - dy * dy / m
-        return np.maximum(vyy - np.where(vxx > 0, vxy * vxy / np.where(vxx > 0, vxx, 1), 0), 0)
-
-    p = len(at) - 1
-    count = min(count, p)
-    cost, back = np.full((count + 1, p + 1), np.inf), np.zeros((count + 1, p + 1), int)
-    cost[0, 0] = 0
-    for k in range(1, count + 1):
-        for j in range(k, p + 1):
-            i = np.arange(k - 1, j)
-            c = cost[k - 1, i] + error(i, j)
-            best = int(c.argmin())
-            cost[k, j], back[k, j] = c[best], i[best]
-    cuts, j = [n], p
-    for k in range(count, 0, -1):
-        j = back[k, j]
-        cuts.append(int(at[j]))
-    return cuts[::-1]
+    sums = np.stack([s(x0), s(y0), s(x0 * x0), s(x0 * y0), s(y0 * y0)])
+
+    def solve(at: np.ndarray, bound: float) -> tuple[float, list[int]]:
+        sx, sy, sxx, sxy, syy = sums[:, at]
+
+        def error(lo: int, j: int) -> np.ndarray:
+            i = slice(lo, j)
+            m = at[j] - at[i]
+            dx, dy = sx[j] - sx[i], sy[j] - sy[i]
+            vxx, vxy, vyy = sxx[j] - sxx[i] - dx * dx / m, sxy[j] - sxy[i] - dx * dy / m, syy[j] - syy[i] - dy * dy / m
+            return np.maximum(vyy - np.where(vxx > 0, vxy * vxy / np.where(vxx > 0, vxx, 1), 0), 0)
+
+        p = len(at) - 1
+        k = min(count, p)
+        cost, back, each, lo = np.full((k + 1, p + 1), np.inf), np.zeros((k + 1, p + 1), np.int32), np.arange(k), 0
+        cost[0, 0] = 0
+        for j in range(1, p + 1):
+            e = error(lo, j)
+            skip = int((e <= bound).argmax())
+            lo, e = lo + skip, e[skip:]
+            c = cost[:k, lo:j] + e
+            best = c.argmin(1)
+            cost[1:, j], back[1:, j] = c[each, best], best + lo
+        cuts, j = [n], p
+        for i in range(k, 0, -1):
+            j = int(back[i, j])
+            cuts.append(int(at[j]))
+        return float(cost[k, p]), cuts[::-1]
+
+    if n <= most_points or count >= most_points:
+        return solve(np.arange(n + 1), np.inf)[1]
+    bound, _ = solve(np.unique(np.linspace(0, n, most_points + 1).astype(int)), np.inf)
+    return solve(np.arange(n + 1), bound + 1e-9 * float(sums[4, -1]))[1]  # the addend is for rounding
 
 
 def segment_piecewise(df: DataFrame, t: Track, curvature: str, distance: str = "cumulative_distance_m", *, count: int = 5, flat: float = 5e-4, straight: float = 5e-5) -> DataFrame:
