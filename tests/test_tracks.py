@@ -284,3 +284,18 @@ def test_piecewise_breaks_of_long_tracks():
     best = min(error(0, i) + error(i, 450) for i in range(1, 450))
     cuts = sequential.best_pieces(x, y, 2)
     assert np.isclose(sum(error(i, j) for i, j in zip(cuts, cuts[1:])), best)
+
+
+def test_queries_run_at_the_operators_own_size(monkeypatch):
+    from trackforge import queries
+
+    given = {}
+    frame = type("Frame", (), {"select": lambda self, *c: self, "withColumn": lambda self, *c: self})()
+    monkeypatch.setattr(queries, "tracks", lambda *a: frame)
+    monkeypatch.setattr(queries, "r", lambda *a: None)
+    monkeypatch.setattr(queries.F, "col", lambda *a: None)
+    monkeypatch.setattr(kinematics, "elapsed_time", lambda d, t: d)
+    for name in ("particle_filter", "spline_curvature"):
+        monkeypatch.setattr(sequential, name, lambda *a, name=name, **k: given.setdefault(name, k) and frame or frame)
+        queries.QUERIES[name](None, None)
+    assert given == {"particle_filter": {}, "spline_curvature": {}}

@@ -673,7 +673,7 @@ def kalman_track(spark, sf):
 @query()
 def particle_filter(spark, sf):
     d = kinematics.elapsed_time(tracks(spark, sf), T)
-    return sequential.particle_filter(d, T, "lat", "lon", "v", particles=200).select(*KEY, r("pf_speed", 4))
+    return sequential.particle_filter(d, T, "lat", "lon", "v").select(*KEY, r("pf_speed", 4))
 
 
 @query()
@@ -699,7 +699,7 @@ def piecewise_segments(spark, sf):
 
 @query()
 def spline_curvature(spark, sf):
-    return sequential.spline_curvature(tracks(spark, sf).withColumn("yaw", F.col("v")), T, "lat", "lon", "yaw", samples=20).select(*KEY, r("spline_distance", 2), r("curvature_spline", 5))
+    return sequential.spline_curvature(tracks(spark, sf).withColumn("yaw", F.col("v")), T, "lat", "lon", "yaw").select(*KEY, r("spline_distance", 2), r("curvature_spline", 5))
 
 
 # Whole plans and products
