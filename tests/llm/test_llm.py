@@ -417,6 +417,13 @@ def brute_groups(texts, k):
     return [(len(s), top(i)) for i, s in enumerate(sets)]
 
 
+def test_signatures_rule_out_at_the_rate_stated():
+    m = minhash.least_equal(80)
+    tail = lambda n: sum(math.comb(160, i) * 0.8**i * 0.2 ** (160 - i) for i in range(n))
+    assert minhash.SLOTS == 160 and tail(m) <= 3e-6 < tail(m + 1)
+    assert tail(106) > 1e-5  # 4.5 standard deviations let more through
+
+
 def test_near_duplicates(spark):
     rng = random.Random(11)
     texts = list(ODD) + ["A b", "a B", "b a"]

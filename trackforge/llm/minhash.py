@@ -11,8 +11,8 @@ class. Bands of the signature put classes into buckets. Candidates are confirmed
 - a bucket that is still mixed is cut into chunks, and pairs of chunks are compared by signature
   within a task, so no row is made per pair: first each member outside the bucket's main component
   is confirmed with its three likeliest partners elsewhere; then, for what still isn't joined, every
-  pair is confirmed that its sizes and its signatures (an estimate more than 4.5 standard deviations
-  below the similarity) don't rule out. A pair that shares several buckets counts in the first.
+  pair is confirmed that its sizes and its signatures (fewer equal slots than a pair
+  at the threshold has but with 3e-6, by the binomial tail) don't rule out. A pair that shares several buckets counts in the first.
 
 With 32 bands of 5 slots, a pair at a similarity of 0.8 shares no bucket with probability 3e-6.
 
@@ -25,6 +25,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -159,11 +160,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
+#: How likely the signatures of a pair at the threshold may rule it out.
+MISSED = 3e-6
+
+
+def least_equal(percent: int) -> int:
+    """Equal slots that a pair must have not to be ruled out: fewer are found at the threshold with at
+    most MISSED (exact binomial tail; SuperMinHash varies less)."""
+    j, below, m = percent / 100, 0.0, 0
+    while m < SLOTS and (below := below + comb(SLOTS, m) * j**m * (1 - j) ** (SLOTS - m)) <= MISSED:
+        m += 1
+    return m
+
+
 def _by_signature(left: DataFrame, held: DataFrame, percent: int, likely: int | None) -> DataFrame:
     """a, b, same (equal slots): pairs of a bucket's members in different components that aren't
     ruled out; with likely, only so many for each member of each pair of chunks."""
-    j = percent / 100
-    least = SLOTS * (j - 4.5 * (j * (1 - j) / SLOTS) ** 0.5)
+    least = least_equal(percent)
     main = left.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"))
     member = left.join(held.select("cls", "n", "sig", "packed"), "cls").join(main, "bucket")
     member = member.select("bucket", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.struct("cls", "component", (F.col("component") == F.col("main")).alias("main"), "n", "sig", "packed").alias("m"))
