@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,34 +29,88 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores in front as it takes not to be one of columns (which Spark
+    tells apart without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a temporary one only where the session
-    names none, as in tests on one machine."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where the session names
+    none, a temporary one if all runs on one machine, as in tests; on a cluster, an error."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="trackforge-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
 
 
+#: What operators have left for results that are not read yet: each entry deletes one thing.
+_left: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Delete the scratch tables of all operators called so far. For use when their results have been
+    written; results that have not cannot be read any more."""
+    while _left:
+        _left.pop()()
+
+
+def leave(delete: Callable[[], None]) -> None:
+    _left.append(delete)
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
+    BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
+        root = self.root
+        leave(lambda: delete_path(spark, root))
 
-    def write(self, df: DataFrame, *, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, *, codec: str = "zstd", last: bool = False) -> DataFrame:
+        """last: the result reads it, so it stays, and all others can go."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        old = self.spark.conf.get(self.BATCH_BYTES, None)
+        self.spark.conf.set(self.BATCH_BYTES, str(64 << 20))  # rows can be long; a batch is held as a whole
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(self.BATCH_BYTES, old) if old else self.spark.conf.unset(self.BATCH_BYTES)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held.append(path)
+        if last:
+            self.keep(out)
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables written so far but these."""
+        stay = {t._scratch_path for t in tables}
+        for path in [p for p in self.held if p not in stay]:
+            delete_path(self.spark, path)
+        self.held = [p for p in self.held if p in stay]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, df._scratch_path)
+        self.held.remove(df._scratch_path)
 
 
 def sha_of_list(items: Column, sep: str = ",") -> Column:

@@ -38,4 +38,6 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
         if (r["n"], r["h"]) == mark:
             break
         mark = (r["n"], r["h"])
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out._scratch_path = now._scratch_path
+    return out

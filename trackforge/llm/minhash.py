@@ -3,18 +3,22 @@
 Every document's set of word shingles gets a SuperMinHash signature: each shingle draws a random
 permutation of the slots, and its j-th slot gets j plus a random number if that is smaller; a
 document is done as soon as a whole level can't change it (early stopping). Equal sets are one
-class. Bands of the signature put classes into buckets. Candidates are confirmed on the full sets:
-
-- star rounds compare members of a bucket with one leader of it, each member with the leaders it
-  shares most buckets with; confirmed links make components, and buckets within one component
-  are finished, so a large group of near copies costs a few comparisons each, not all pairs;
-- a bucket that is still mixed is cut into chunks, and pairs of chunks are compared by signature
-  within a task, so no row is made per pair: first each member outside the bucket's main component
-  is confirmed with its three likeliest partners elsewhere; then, for what still isn't joined, every
-  pair is confirmed that its sizes and its signatures (fewer equal slots than a pair
-  at the threshold has but with 3e-6, by the binomial tail) don't rule out. A pair that shares several buckets counts in the first.
-
-With 32 bands of 5 slots, a pair at a similarity of 0.8 shares no bucket with probability 3e-6.
+class. Bands of the signature put classes into buckets; every pair of classes in a bucket is a
+candidate, and every link is confirmed on the full sets:
+
+- star round: each class is confirmed with the leader that it shares most buckets with. Leaders have
+  the smaller hash, so these links are a forest of pointers, and a few jumps along them give labels;
+  a large group of near copies costs one comparison a member, and a bucket of one label is done;
+- a bucket that is still mixed is cut into chunks of bounded size that carry the full sets. Within a
+  chunk, and between the chunks of one bucket, all pairs with different labels are compared inside
+  the task: a parity sketch of each set (a bit per hashed place, flipped by every shingle) differs in
+  at most as many bits as the sets differ in shingles, so it rules pairs out without loss; the others
+  are compared by their sets and joined by union-find. Only links that join two labels come out, fewer
+  than the chunk has members, and no row is made per pair;
+- components of all links by large-star and small-star steps.
+
+With 32 bands of 5 slots, a pair at a similarity of 0.8 shares no bucket with probability 3e-6; that is
+the only way to lose a link.
 
 Defined results: null, empty and word-free texts have an empty set and link with nothing; texts of
 fewer words than a shingle are one shingle of all their words; rows that repeat an id and text are
@@ -25,22 +29,23 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import Scratch
+from trackforge.llm.common import Scratch, unused
 from trackforge.llm.components import connected
+from trackforge.llm.wordblocks import pack, unpack
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-STAR_ROUNDS, LIKELY_ROUNDS = 3, 2
-CHUNK, LIKELY = 512, 3  # members of a chunk; partners of a member in a likely round
+CHUNK, CHUNK_SHINGLES = 512, 500_000  # members of a chunk, and shingles, on average at most
+JUMPS = 2  # along the star round's pointers
+SKETCH_BITS = 1 << 27  # of all parity sketches of a chunk together
 BATCH = 100_000  # shingles whose permutations are in memory at once
 
 _U = np.uint64
@@ -112,7 +117,7 @@ def _bands(values: np.ndarray) -> np.ndarray:
 def _sketch(d: DataFrame, k: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("id", d.schema["id"].dataType), T.StructField("seen", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("packed", T.BinaryType())])
+        T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,15 +134,21 @@ def _sketch(d: DataFrame, k: int) -> DataFrame:
                 some = np.flatnonzero(lens)
                 if len(some):
                     values[some] = signatures(np.concatenate([sets[i] for i in some]), np.repeat(np.arange(len(some)), lens[some]), len(some))
-                bands, low = _bands(values).view(np.int64), (mix(values.view(np.uint64)) & _U(255)).astype(np.uint8)
+                bands = _bands(values).view(np.int64)
                 cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(lens, pa.int64()), pa.array(cls, pa.binary()), flat, pa.array([s.tobytes() for s in low], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), b.column(1).slice(start, end - start), pa.array(lens, pa.int64()), pa.array(cls, pa.binary()), flat], schema.names)
                 start = end
 
     return d.mapInArrow(run, schema)
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of sorted distinct shingles."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
@@ -150,9 +161,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             for i, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
                 if a != last:
                     last, own = a, shingles(ta.as_py(), k)
-                other = shingles(tb.as_py(), k)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                if _alike(own, shingles(tb.as_py(), k), percent):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
@@ -160,151 +169,224 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-#: How likely the signatures of a pair at the threshold may rule it out.
-MISSED = 3e-6
-
-
-def least_equal(percent: int) -> int:
-    """Equal slots that a pair must have not to be ruled out: fewer are found at the threshold with at
-    most MISSED (exact binomial tail; SuperMinHash varies less)."""
-    j, below, m = percent / 100, 0.0, 0
-    while m < SLOTS and (below := below + comb(SLOTS, m) * j**m * (1 - j) ** (SLOTS - m)) <= MISSED:
-        m += 1
-    return m
-
-
-def _by_signature(left: DataFrame, held: DataFrame, percent: int, likely: int | None) -> DataFrame:
-    """a, b, same (equal slots): pairs of a bucket's members in different components that aren't
-    ruled out; with likely, only so many for each member of each pair of chunks."""
-    least = least_equal(percent)
-    main = left.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"))
-    member = left.join(held.select("cls", "n", "sig", "packed"), "cls").join(main, "bucket")
-    member = member.select("bucket", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.struct("cls", "component", (F.col("component") == F.col("main")).alias("main"), "n", "sig", "packed").alias("m"))
-    chunk = member.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("m"))
-    x, y = (chunk.select("bucket", F.col("chunk").alias(f"{s}_chunk"), F.col("m").alias(s)) for s in "xy")
-    pairs = x.join(y, "bucket").where("x_chunk <= y_chunk").select("bucket", (F.col("x_chunk") == F.col("y_chunk")).alias("one"), "x", "y")
-
-    def fields(members: pa.StructScalar) -> dict:
-        v = members.values
-        wide = lambda c, kind, w: np.frombuffer(b"".join(v.field(c).to_pylist()), kind).reshape(-1, w)
-        names = v.field("component").to_pylist()
-        return {"cls": v.field("cls").to_pylist(), "component": names, "main": np.array(v.field("main").to_pylist()), "n": v.field("n").to_numpy(), "sig": wide("sig", np.uint8, SLOTS), "bands": wide("packed", np.int64, BANDS)}
-
-    def found(p: dict, q: dict, bucket: int, whom: np.ndarray) -> Iterator[tuple]:
-        """Pairs of p's members outside the main component with q's members for which whom is true."""
-        number = {c: i for i, c in enumerate(dict.fromkeys(q["component"]))}
-        own = np.array([number[c] for c in q["component"]])
-        for i in np.flatnonzero(~p["main"]):
-            n = p["n"][i]
-            ok = whom[i] & (own != number.get(p["component"][i], -1)) & (np.minimum(q["n"], n) * 100 >= np.maximum(q["n"], n) * percent)
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            same = (q["sig"][at] == p["sig"][i]).sum(1)
-            at, same = at[same >= least], same[same >= least]
-            if len(at):
-                first = (q["bands"][at] == p["bands"][i]).argmax(1)
-                here = p["bands"][i][first] == bucket
-                at, same = at[here], same[here]
-            if likely and len(at) > likely:
-                top = np.argsort(-same, kind="stable")[:likely]
-                at, same = at[top], same[top]
-            for k, e in zip(at.tolist(), same.tolist(), strict=True):
-                yield p["cls"][i], q["cls"][k], e
+class Chunk:
+    """Members of a bucket: their class, label and set."""
+
+    def __init__(self, cls: list[bytes], label: list[bytes], sets: list[np.ndarray]):
+        self.cls, self.label, self.sets = cls, label, sets
+        self.n = np.array([len(x) for x in sets])
+        self._bits, self._sketch = 0, None
+
+    def sketch(self, bits: int) -> np.ndarray:
+        """members x words: bit h % bits is 1 if an odd number of a set's shingles have it."""
+        if bits != self._bits:
+            out = np.zeros((len(self.sets), bits // 64), np.uint64)
+            h = np.concatenate(self.sets) & _U(bits - 1)
+            np.bitwise_xor.at(out.reshape(-1), np.repeat(np.arange(len(self.n)), self.n) * (bits // 64) + (h >> _U(6)).astype(np.int64), _U(1) << (h & _U(63)))
+            self._bits, self._sketch = bits, out
+        return self._sketch
+
+    def dump(self) -> bytes:
+        """Distinct shingles once, members' shingles by number: near copies share most of them."""
+        values, at = np.unique(np.concatenate(self.sets), return_inverse=True)
+        parts = [b"".join(self.cls), b"".join(self.label), self.n.astype("<u4").tobytes(), values.astype("<u8").tobytes(), pack(at.astype(np.uint32))]
+        return np.array([len(self.n), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+    @classmethod
+    def load(cls, data: bytes) -> Chunk:
+        head = np.frombuffer(data, "<i8", 6)
+        parts, at = [], 48
+        for size in head[1:].tolist():
+            parts.append(data[at : at + size])
+            at += size
+        n = np.frombuffer(parts[2], "<u4").astype(np.int64)
+        flat = np.frombuffer(parts[3], "<u8")[unpack(parts[4], int(n.sum()))]
+        cut = lambda x: [x[16 * i : 16 * i + 16] for i in range(int(head[0]))]
+        return cls(cut(parts[0]), cut(parts[1]), np.split(flat, np.cumsum(n)[:-1]))
+
+
+def joins(x: Chunk, y: Chunk, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between x and y (or within x, if they are the same) that connect all labels that links
+    of theirs connect: each joins two labels that no earlier one had joined."""
+    bits = 64
+    while bits < 4 * max(int(x.n.max()), int(y.n.max())) and 2 * bits * (len(x.n) + len(y.n)) <= SKETCH_BITS:
+        bits *= 2
+    sx, sy = x.sketch(bits), y.sketch(bits)
+    number = {c: i for i, c in enumerate(dict.fromkeys(x.label + ([] if x is y else y.label)))}
+    lx, ly = (np.array([number[c] for c in z.label]) for z in (x, y))
+    up = list(range(len(number)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    rows = max(1, 2_000_000 // max(1, sy.size))
+    for a in range(0, len(lx), rows):
+        now = np.array([top(i) for i in range(len(up))])
+        both = x.n[a : a + rows, None] + y.n[None, :]
+        ok = now[lx[a : a + rows]][:, None] != now[ly][None, :]
+        if x is y:
+            ok &= np.arange(len(ly))[None, :] > np.arange(a, min(a + rows, len(lx)))[:, None]
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        differ = np.concatenate([np.bitwise_count(sx[a + i[c : c + 65536]] ^ sy[j[c : c + 65536]]).sum(1, dtype=np.int64) for c in range(0, len(i), 65536)]) if len(i) * 3 < ok.size else np.bitwise_count(sx[a : a + rows, None, :] ^ sy[None, :, :]).sum(2, dtype=np.int64)[i, j]
+        # similar sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum
+        near = np.flatnonzero(differ * (100 + percent) <= both[i, j] * (100 - percent))
+        for t in near[np.argsort(differ[near], kind="stable")].tolist():
+            p, q = a + int(i[t]), int(j[t])
+            m, n = top(lx[p]), top(ly[q])
+            if m != n and _alike(x.sets[p], y.sets[q], percent):
+                up[max(m, n)] = min(m, n)
+                out.append((x.cls[p], y.cls[q]))
+    return out
+
+
+_LINKS = "a binary, b binary, bucket long, chunk int, data binary"
+
+
+def _link_batch(links: list[tuple[bytes, bytes]], kept: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    a, b = [x for x, _ in links] + [None] * len(kept), [x for _, x in links] + [None] * len(kept)
+    rest = [[None] * len(links) + [x[i] for x in kept] for i in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([a, b, *rest], [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["a", "b", "bucket", "chunk", "data"])
+
+
+def _within(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """left: bucket, cls, component, chunk, chunks. Links within each chunk; and the chunks themselves
+    where a bucket has several."""
+    rows = left.join(texts, "cls").select("bucket", "chunk", "chunks", "cls", "component", "text")
+    rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> tuple[list, list]:
+            c = Chunk([r[0] for r in held], [r[1] for r in held], [r[2] for r in held])
+            return joins(c, c, percent), ([(now[0], now[1], c.dump())] if now[2] > 1 else [])
+
+        for b in batches:
+            links = []
+            for *at, cls, component, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "chunks", "cls", "component")), b.column("text"), strict=True):
+                if at != now:
+                    if held:
+                        own, kept = close()
+                        links += own
+                        if kept:
+                            yield _link_batch([], kept)
+                    now, held = at, []
+                held.append((cls, component, shingles(text.as_py(), k)))
+            if links:
+                yield _link_batch(links, [])
+        if held:
+            yield _link_batch(*close())
+
+    return rows.mapInArrow(run, _LINKS)
+
+
+def _between(chunks: DataFrame, percent: int) -> DataFrame:
+    """Links between chunks of one bucket. Each chunk goes to itself and to every one before it, so that a
+    hot bucket's pairs of chunks are spread over tasks; one of a pair is held, the others pass by."""
+    rows = chunks.select("bucket", F.explode(F.sequence(F.lit(0), "chunk")).alias("base"), "chunk", "data")
+    rows = rows.repartition("bucket", "base").sortWithinPartitions("bucket", "base", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, own = None, None
         for b in batches:
-            out = []
-            for bucket, one, x, y in zip(b.column("bucket").to_pylist(), b.column("one").to_pylist(), b.column("x"), b.column("y"), strict=True):
-                x, y = fields(x), fields(y)
-                nx, ny = len(x["cls"]), len(y["cls"])
-                if one:  # of two outside the main component, the later one finds the earlier
-                    out += found(x, x, bucket, x["main"][None, :] | (np.arange(nx)[None, :] < np.arange(nx)[:, None]))
-                else:
-                    out += found(x, y, bucket, np.ones((nx, ny), bool))
-                    out += found(y, x, bucket, np.repeat(x["main"][None, :], ny, 0))
-            if out:
-                a, c, e = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary()), pa.array(e, pa.int32())], ["a", "b", "same"])
-
-    return pairs.mapInArrow(run, "a binary, b binary, same int")
+            links = []
+            for bucket, to, chunk, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "base", "chunk")), b.column("data"), strict=True):
+                if (bucket, to) != base:
+                    base, own = (bucket, to), None
+                if chunk == to:
+                    own = Chunk.load(data.as_py())
+                elif own is not None:  # a chunk that happens to be empty has no pairs
+                    links += joins(own, Chunk.load(data.as_py()), percent)
+            if links:
+                yield _link_batch(links, [])
+
+    return rows.mapInArrow(run, _LINKS)
+
+
+def _star(member: DataFrame) -> DataFrame:
+    """a, b: each class b with the leader that it shares most buckets with."""
+    pairs = member.where("cls <> leader").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("common"))
+    return pairs.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select("best.a", "b")
+
+
+def _labels(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """cls, component: a class reachable along the star links, which point from b to a."""
+    now = found.select(F.col("b").alias("cls"), F.col("a").alias("component"))
+    for _ in range(JUMPS):
+        to = now.select(F.col("cls").alias("component"), F.col("component").alias("next"))
+        now = scratch.write(now.join(to, "component", "left").select("cls", F.coalesce("next", "component").alias("component")))
+    return now
+
+
+def _mixed(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, cls, component, chunk, chunks: of buckets with several components."""
+    left = member.join(labels, "cls", "left").select("bucket", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    size = F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(size).cast("int").alias("chunks")).where("lo <> hi")
+    chunk = F.pmod(F.xxhash64("cls"), "chunks").cast("int")
+    return left.join(mixed, "bucket").select("bucket", "cls", "component", chunk.alias("chunk"), "chunks")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest id reachable by links), kept (doc_id is the
     component's): one row per row of docs. Links: 100 * shared >= percent * union of shingle sets."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    sketch, component = _components(docs, scratch, k, percent, doc_id, text)
+    return _finish(sketch, component).select(F.col("id").alias(doc_id), F.col("seen").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("low_of").alias("component_id"), F.col("id").eqNullSafe(F.col("low_of")).alias("kept"))
+
+
+def _components(docs: DataFrame, scratch: Scratch, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, seen, n, cls, bands of each row; node, component of each class that has a link)."""
     d = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("seen"), F.col(text).cast("string").alias("text"))
     sketch = scratch.write(_sketch(d, k))
-    classes = sketch.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id"), F.col("seen"))).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("packed").alias("packed"))
-    member = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    member = scratch.write(member.join(shared, "bucket").select("bucket", "cls"))
+    classes = sketch.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "seen")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    member = classes.select("cls", "n", F.explode("bands").alias("bucket"))
+    order = F.struct(F.xxhash64("cls"), "cls")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min(order).alias("leader")).where("c > 1").select("bucket", F.col("leader.cls").alias("leader"))
+    member = scratch.write(member.join(shared, "bucket").select("bucket", "cls", "n", "leader"))
     needed = member.select("cls").distinct()
-    held = scratch.write(classes.join(needed, "cls", "left_semi").select("cls", "one", "n", "sig", "packed"))
-    names = held.select("cls", F.col("one.id").alias("id1"), F.col("one.seen").alias("seen1"))
+    names = classes.join(needed, "cls", "left_semi").select("cls", F.col("one.id").alias("id1"), F.col("one.seen").alias("seen1"))
     texts = scratch.write(d.join(names, d["id"].eqNullSafe(names["id1"]) & (d["seen"] == names["seen1"])).select("cls", "text").dropDuplicates(["cls"]))
-
-    links, tested, component = None, None, None
-    for turn in range(STAR_ROUNDS + LIKELY_ROUNDS + 1):
-        left = member.select("bucket", "cls", F.col("cls").alias("component")) if component is None else _labelled(member, component)
-        if turn:
-            mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            left = scratch.write(left.join(mixed, "bucket").select("bucket", "cls", "component"))
-            if left.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "component")
-            leader = left.groupBy("bucket").agg(F.min(order).alias("leader"))
-            pairs = left.join(leader, "bucket").where(F.col("component") != F.col("leader.component")).groupBy(F.col("leader.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("common"))
-            best = pairs.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select("best.a", "b")  # of up to 32 leaders, the likeliest
-            pairs = best
-        else:
-            likely = turn < STAR_ROUNDS + LIKELY_ROUNDS
-            pairs = _by_signature(left, held, percent, LIKELY if likely else None)
-        if tested is not None:
-            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        if "same" in pairs.columns:
-            if likely:
-                w = Window.partitionBy("a").orderBy(F.desc("same"), "b")
-                pairs = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LIKELY)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.write(pairs)
-        if turn and pairs.isEmpty():
-            if turn >= STAR_ROUNDS + LIKELY_ROUNDS:
-                break
-            continue
-        found = scratch.write(_confirm(pairs, texts, k, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = connected(links, scratch)
-    for done in (member, held, texts):
-        scratch.drop(done)
-    return _finish(sketch, component, doc_id)
+    found = scratch.write(_confirm(_star(member), texts, k, percent))
+    left = scratch.write(_mixed(member, _labels(found, scratch)))
+    near = scratch.write(_within(left, texts, k, percent))
+    far = scratch.write(_between(near.where("data is not null").select("bucket", "chunk", "data"), percent))
+    links = found
+    for more in (near, far):
+        links = links.unionByName(more.where("a is not null").select("a", "b"))
+    component = connected(links, scratch)
+    scratch.keep(sketch, component)
+    return sketch, component
 
 
 def without_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, in its own columns. Rows that repeat an
-    id and a text are one document, and stay or go together."""
-    found = near_duplicates(docs, k=k, percent=percent, doc_id=doc_id, text=text)
-    gone = found.where(~F.col("kept")).select(F.col(doc_id).alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_gone_text"]), "left_anti")
-
-
-def _labelled(member: DataFrame, component: DataFrame) -> DataFrame:
-    c = component.select(F.col("node").alias("cls"), "component")
-    return member.join(c, "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
-
-
-def _finish(sketch: DataFrame, component: DataFrame, doc_id: str) -> DataFrame:
+    """One document of each component, in its own columns: that with the smallest id, then text hash;
+    of rows that repeat both, one. Texts without words are no one's copies and all stay."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    sketch, component = _components(docs, scratch, k, percent, doc_id, text)
+    low, id_, seen, gone = unused(docs.columns, "low", "id", "seen", "gone")
+    rows = _finish(sketch, component).where("n > 0").groupBy("id", "seen", "group").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "seen")).alias(low)).withColumnRenamed("group", "of")
+    judged = rows.join(first, rows["group"] == first["of"]).select(F.col("id").alias(id_), F.col("seen").alias(seen), (~(F.col("id").eqNullSafe(F.col(f"{low}.id")) & (F.col("seen") == F.col(f"{low}.seen")))).alias(gone), "copies")
+    special = scratch.write(judged.where(F.col(gone) | (F.col("copies") > 1)).select(id_, seen, gone), last=True)
+    on = docs[doc_id].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text]) == F.col(seen))
+    out = docs.join(special, on, "left_anti")
+    repeated = docs.join(special.where(~F.col(gone)), on, "left_semi").dropDuplicates([doc_id, text])
+    return out.unionByName(repeated)
+
+
+def _finish(sketch: DataFrame, component: DataFrame) -> DataFrame:
+    """id, seen, n, group (class that names the component; null without words), low_of (smallest id)."""
     rows = sketch.select("id", "seen", "n", "cls")
     c = component.select(F.col("node").alias("cls"), "component")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("low")).join(c, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lows = classes.groupBy("component").agg(F.min("low").alias("low_of"))
-    of: Column = F.col("low_of")
-    named = classes.join(lows, "component").select("cls", of)
-    out = rows.join(named, "cls", "left")
-    label = F.when(F.col("n") > 0, of).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), F.col("seen").alias("text_hash"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
+    named = classes.join(lows, "component").select("cls", F.col("component").alias("group"), "low_of")
+    label: Column = F.when(F.col("n") > 0, F.col("low_of")).otherwise(F.col("id"))
+    return rows.join(named, "cls", "left").select("id", "seen", "n", "group", label.alias("low_of"))
