@@ -1,15 +1,18 @@
 """URL filters as a sort-merge range join.
 
-A rule (host, path) is the prefix of all keys "reversed host" + path that it fits, so it is an
-interval of sorted keys, and intervals of prefixes nest. Every url has a key for its host and for
-each parent domain. Keys and rules are range-partitioned and sorted together; one sweep per
-partition keeps the stack of rules whose interval is open. A partition's first key tells which
-rules are open at its start (the prefixes of that key that are rules), and these are handed to it.
-
-Defined results: a null url or one without "://" has an empty host and path, which no rule fits; a
-repeated rule counts once, and where one key has both verdicts "block" wins; repeated page rows
-(same id and url) give one result, one id with several urls one each; empty tables give no rows or
-the default verdict; other columns are ignored.
+A rule (host, path) is the prefix of all keys "reversed host?path" that it fits, so it is an interval
+of sorted keys, and intervals of prefixes nest ("?" is in no host). Every url has a key for its host
+and for each parent domain. The distinct keys and the rules are range-partitioned and sorted together;
+one sweep per partition keeps the stack of rules whose interval is open. A partition's first key tells
+which rules are open at its start (the prefixes of that key that are rules), and these are handed to it.
+The keys that a rule fits are joined back to the urls, and these to the pages, so that a page, host or
+key that repeats without end is judged once and then is a skewed equi-join, which Spark splits.
+
+Defined results: a null url or one without "://" has an empty host and path; a rule's null host or path
+is an empty one: an empty path is the start of every path, an empty host fits empty hosts and those that
+end with a dot; a repeated rule counts once, and where one has both verdicts "block" wins; one result per
+row of pages, also for repeated rows and null ids; empty tables give no rows or the default verdict;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,57 +36,62 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 2)
 
 
-def _reversed(host: Column) -> Column:
-    return F.concat_ws(".", F.reverse(F.split(host, r"\.", -1)))
-
-
 def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """page_id, url_hash, host, path, rule (host + path of the longest that fits, or null), verdict.
+    """page_id, url_hash, host, path, rule (host + path of the longest that fits, or null), verdict: one
+    row per row of pages.
 
-    rules: host, path (starting with "/"), verdict.
+    rules: host, path, verdict.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
-    r = rules.where("host <> '' and path like '/%'").groupBy(lower_ascii(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))  # block > allow
-    r = r.select(F.concat(_reversed(F.col("host")), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    r = rules.groupBy(lower_ascii(text("host")).alias("host"), text("path").alias("path")).agg(F.max("verdict").alias("verdict"))  # block > allow
+    r = r.select(_key(F.split("host", r"\.", -1), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     p = pages.select(F.col(page_id).alias("id"), F.xxhash64(url).alias("url_hash"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = F.split("host", r"\.", -1)
-    p = p.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, -n, n))).alias("depth", "domain"))
-    own = F.col("depth") == F.size(F.split("host", r"\.", -1)) - 1  # the row that speaks for the url, found or not
-    points = p.select(F.concat(F.concat_ws(".", F.reverse("domain")), "path").alias("key"), "id", "url_hash", F.when(own, F.col("host")).alias("host"), F.when(own, F.col("path")).alias("path"), own.alias("own"))
-    null = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
-    kinds = dict(points.dtypes)
-    both = points.select("key", F.lit(1).alias("kind"), "id", "url_hash", "host", "path", "own", *null(("rule", "string"), ("verdict", "string"))).unionByName(
-        r.select("key", F.lit(0).alias("kind"), *null(("id", kinds["id"]), ("url_hash", "long"), ("host", "string"), ("path", "string"), ("own", "boolean")), "rule", "verdict"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scratch.write(both.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, -n, n))
+    urls = p.select("host", "path").distinct().select("host", "path", F.explode(domains).alias("domain")).select("host", "path", _key(F.col("domain"), F.col("path")).alias("key"))
+    fit = _fitting(urls.select("key").distinct(), r, scratch)
+    best = urls.join(fit, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    out = p.join(best, ["host", "path"], "left")
+    return out.select(F.col("id").alias(page_id), "url_hash", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _key(labels: Column, path: Column) -> Column:
+    return F.concat(F.concat_ws(".", F.reverse(labels)), F.lit("?"), path)
+
+
+def _fitting(keys: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, rule, verdict: the longest rule (key, rule, verdict) that is a prefix of a key; keys that have none are left out."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("rule", "verdict")]
+    both = keys.select("key", F.lit(1).alias("kind"), *none).unionByName(rules.select("key", F.lit(0).alias("kind"), "rule", "verdict"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.write(both.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), last=True)
+    # Rules are shorter than a key that goes on forever: only lengths that rules have, fewer than the longest rule has characters.
+    lengths = sorted(x[0] for x in rules.select(F.length("key")).distinct().collect())
     starts = dealt.groupBy("part").agg(F.min("key").alias("first"))
-    prefixes = starts.select("part", "first", F.explode(F.sequence(F.lit(1), F.length("first"))).alias("n")).select("part", "first", F.substring("first", F.lit(1), F.col("n")).alias("prefix"))
     # A rule equal to the first key is in the partition itself.
-    open_at = prefixes.where(F.col("prefix") != F.col("first")).join(r, F.col("prefix") == F.col("key")).select("part", "key", F.lit(-1).alias("kind"), *null(("id", kinds["id"]), ("url_hash", "long"), ("host", "string"), ("path", "string"), ("own", "boolean")), "rule", "verdict")
+    prefixes = starts.select("part", "first", F.explode(F.lit(lengths).cast("array<int>")).alias("n")).where(F.col("n") < F.length("first")).select("part", F.substring("first", F.lit(1), F.col("n")).alias("key"))
+    open_at = prefixes.join(rules, "key").select("key", F.lit(-1).alias("kind"), "rule", "verdict", "part")
     lines = dealt.unionByName(open_at).repartition(n, "part").sortWithinPartitions("part", F.expr("kind >= 0"), "key", "kind")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, str, str]] = []
         part = None
         for b in batches:
-            parts, keys, kinds_, names, verdicts, owns = (b.column(c).to_pylist() for c in ("part", "key", "kind", "rule", "verdict", "own"))
+            parts, keys, kinds, names, verdicts = (b.column(c).to_pylist() for c in ("part", "key", "kind", "rule", "verdict"))
             take, rule, verdict = [], [], []
             for i, key in enumerate(keys):
                 if parts[i] != part:
                     part, stack = parts[i], []
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
-                if kinds_[i] < 1:
+                if kinds[i] < 1:
                     stack.append((key, names[i], verdicts[i]))
-                elif owns[i] or stack:
+                elif stack:
                     take.append(i)
-                    rule.append(stack[-1][1] if stack else None)
-                    verdict.append(stack[-1][2] if stack else None)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("id", "url_hash", "host", "path")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["id", "url_hash", "host", "path", "rule", "verdict"])
-
-    found = lines.select("part", "key", "kind", "id", "url_hash", "host", "path", "own", "rule", "verdict").mapInArrow(sweep, f"id {kinds['id']}, url_hash long, host string, path string, rule string, verdict string")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best")
-    out = found.groupBy("id", "url_hash").agg(F.max("host").alias("host"), F.max("path").alias("path"), best)
-    return out.select(F.col("id").alias(page_id), "url_hash", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+                    rule.append(stack[-1][1])
+                    verdict.append(stack[-1][2])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(take, pa.int64())), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["key", "rule", "verdict"])
+
+    return lines.select("part", "key", "kind", "rule", "verdict").mapInArrow(sweep, "key string, rule string, verdict string")
