@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackforge.llm.common import unused
+
 #: Languages that can be learnt: profiles are sent to every task.
 MOST_LANGUAGES = 10_000
 BATCH_CHARS = 2_000_000
@@ -195,23 +197,24 @@ def _distances(t: _Text, p: Profiles) -> np.ndarray:
 
 
 def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns of docs and two more: the language, and a score from 0 to 1 (1: no n-gram out of
-    place)."""
+    """The columns of docs, without any that have the names of the two new ones, and these: the language,
+    and a score from 0 to 1 (1: no n-gram out of place)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    schema = T.StructType([*docs.schema.fields, T.StructField(to[0], T.StringType()), T.StructField(to[1], T.DoubleType())])
-    at = docs.columns.index(text)
+    others = [f for f in docs.schema.fields if f.name.lower() not in {x.lower() for x in to}]
+    schema = T.StructType([*others, T.StructField(to[0], T.StringType()), T.StructField(to[1], T.DoubleType())])
+    d = docs.select(F.col(f"`{text}`").cast("string").alias(unused([f.name for f in others], "said")[0]), *[F.col(f"`{f.name}`") for f in others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for b in batches:
             lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            for held, texts in _batches(b.column(at), list(range(b.num_rows))) if p.languages else ():
+            for held, texts in _batches(b.column(0), list(range(b.num_rows))) if p.languages else ():
                 t = _Text(texts)
                 d = _distances(t, p)
                 best = d.argmin(1)
                 own = np.array(held)[t.has_letter]
                 lang[own] = np.array(p.languages, object)[best][t.has_letter]
                 score[own] = np.clip(1 - d.min(1), 0, 1)[t.has_letter]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
