@@ -19,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackforge.llm.common import ascii_words, sha_of_list
+from trackforge.llm.common import ascii_words, sha_of_list, unused
 
 #: Windows up to which the set is broadcast (about 200 bytes each); beyond, a shuffle join.
 BROADCAST_WINDOWS = 1_000_000
+#: Words and the gaps between them, for texts in their own case.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def window_hash(words: Column, at: Column, n: int) -> Column:
@@ -92,23 +95,27 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, mode: str = "document",
     mode "document" drops contaminated documents; mode "span" keeps them without the words of the
     hit spans, and the text from each removed span's first to its last word goes with them.
     """
+    if mode not in ("document", "span"):
+        raise ValueError(f"mode must be document or span, not {mode}")
     found = find_hits(docs, bench, n=n, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text)
-    hit = found.where("contaminated").select(F.col(doc_id).alias("_hit_doc"), F.col("text_hash").alias("_hit_text"), F.col("spans").alias("_hit_spans"))
-    on = docs[doc_id].eqNullSafe(hit["_hit_doc"]) & (F.xxhash64(docs[text]) == hit["_hit_text"])
+    hit_doc, hit_text, hit_spans, words, gaps = unused(docs.columns, "hit_doc", "hit_text", "hit_spans", "words", "gaps")
+    hit = found.where("contaminated").select(F.col(doc_id).alias(hit_doc), F.col("text_hash").alias(hit_text), F.col("spans").alias(hit_spans))
+    on = docs[doc_id].eqNullSafe(hit[hit_doc]) & (F.xxhash64(docs[text]) == hit[hit_text])
     if mode == "document":
         return docs.join(hit, on, "left_anti")
-    if mode != "span":
-        raise ValueError(f"mode must be document or span, not {mode}")
-    j = docs.join(hit, on, "left")
-    return j.select(*[(F.when(F.col("_hit_spans").isNull(), docs[c]).otherwise(_without(docs[c], F.col("_hit_spans"))).alias(c) if c == text else docs[c]) for c in docs.columns])
-
-
-def _without(text: Column, spans: Column) -> Column:
-    """The text without the words in spans: gaps between words and words alternate."""
-    gaps = F.split(text, r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", -1)
-    words = F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), "")
-    parts = F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i")))
-    kept = F.transform(
-        parts,
-        lambda p: F.when(F.exists(spans, lambda s: (p["i"] >= s["start"]) & (p["i"] < s["end"])), F.when(F.exists(spans, lambda s: (p["i"] >= s["start"]) & (p["i"] < s["end"] - 1)), F.lit("")).otherwise(F.get(gaps, p["i"] + 1))).otherwise(F.concat(p["w"], F.get(gaps, p["i"] + 1))))
-    return F.concat(F.get(gaps, F.lit(0)), F.concat_ws("", kept))
+    own = docs[text]
+    j = docs.join(hit, on, "left").withColumns({words: F.when(F.col(hit_spans).isNotNull(), F.array_remove(F.split(own, GAP, -1), "")), gaps: F.when(F.col(hit_spans).isNotNull(), F.split(own, WORD, -1))})
+    return j.select(*[F.coalesce(_without(F.col(words), F.col(gaps), F.col(hit_spans)), own).alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns])
+
+
+def _without(words: Column, gaps: Column, spans: Column) -> Column:
+    """The text without the words in spans: what stands between one span's last word and the next one's
+    first, in slices. Null if spans are."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.size(words)))
+
+    def piece(a: Column, b: Column) -> Column:  # words a to b, each before the gap that follows it
+        pairs = F.zip_with(F.slice(words, a + 1, b - a), F.slice(gaps, a + 2, b - a), lambda w, g: F.concat(w, g))
+        return F.concat(F.when(a > 0, F.get(gaps, a)).otherwise(F.lit("")), F.array_join(pairs, ""))
+
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(ends, starts, piece), ""))
