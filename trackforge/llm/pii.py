@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackforge.llm.common import Scratch
+from trackforge.llm.common import Scratch, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*?(?![A-Za-z0-9-])(?!\.[A-Za-z0-9-])"
@@ -191,12 +191,13 @@ def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min
     w = Window.partitionBy("doc", "seen").orderBy("start", "end", "kind")
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", before).where(F.col("end") > F.col("before")).withColumn("start", F.greatest("start", "before"))
-    spans = rows.groupBy("doc", "seen").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).select(F.col("doc").alias("_doc"), F.col("seen").alias("_seen"), "_spans")
-    j = docs.join(spans, docs[doc_id].eqNullSafe(spans["_doc"]) & (F.xxhash64(docs[text]) == spans["_seen"]), "left")
-    t, s = docs[text], F.col("_spans")
+    own_doc, own_seen, own_spans = unused(docs.columns, "own_doc", "own_seen", "own_spans")
+    spans = rows.groupBy("doc", "seen").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(own_spans)).select(F.col("doc").alias(own_doc), F.col("seen").alias(own_seen), own_spans)
+    j = docs.join(spans, docs[doc_id].eqNullSafe(spans[own_doc]) & (F.xxhash64(docs[text]) == spans[own_seen]), "left")
+    t, s = docs[text], spans[own_spans]
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
     end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"])
     part = lambda x, i: F.concat(F.substring(t, (end(i) + 1).cast("int"), (x["start"] - end(i)).cast("int")), name(x["kind"]))
     last = F.substring(t, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(t))
     new = F.when(s.isNull(), t).otherwise(F.concat(F.concat_ws("", F.transform(s, part)), last))
-    return j.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    return j.select(*[new.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns])
