@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +30,8 @@ from trackforge.llm.wordblocks import messages_of, pack, unpack, unpack_words, w
 
 
 PIECE = 500_000  # positions put together at once
+LONG = 200  # bytes from which a pre-token's pairs are kept in a heap
+NONE = 1 << 62  # stands for the rank of a pair that isn't a token
 
 
 class Vocabulary:
@@ -38,19 +40,57 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
         self.pattern = pattern
-        self._merge = self._split = None
+        self._split = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_merge": None, "_split": None}
+        return self.__dict__ | {"_split": None}
 
     def split(self, text: str) -> list[str]:
         self._split = self._split or regex.compile(self.pattern)
         return self._split.findall(text)
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        self._merge = self._merge or tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return self._merge._encode_single_piece(word)
+        """Ids of one pre-token: the pair of neighbours whose union has the lowest rank, the leftmost of
+        equals, is joined until none is known. Long pre-tokens keep their pairs in a heap."""
+        get = self.ranks.get
+        if (whole := get(word)) is not None:
+            return [whole]
+        if len(word) > LONG:
+            return self._merge_long(word)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (low := min(pairs)) < NONE:
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+        return [self.ranks[p] for p in parts]
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        get, n = self.ranks.get, len(word)
+        end, last = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part at i: where it ends, where the one before begins
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            rank, i, to = heappop(heap)
+            j = end[i]
+            if j < 0 or j >= n or end[j] != to:  # one of the pair has been joined with another
+                continue
+            end[i], end[j] = to, -1
+            if to < n:
+                last[to] = i
+                if (r := get(word[i : end[to]])) is not None:
+                    heappush(heap, (r, i, end[to]))
+            if (k := last[i]) >= 0 and (r := get(word[k:to])) is not None:
+                heappush(heap, (r, k, to))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[word[i : end[i]]])
+            i = end[i]
+        return out
 
     def table(self) -> list[bytes]:
         out = [b""] * (max(self.ranks.values()) + 1)
@@ -123,7 +163,11 @@ def encode(docs: DataFrame, voc: Vocabulary, *, doc_id: str = "doc_id", text: st
 
 
 def decode(encoded: DataFrame, voc: Vocabulary, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """The columns of encoded and the bytes its ids stand for; a null list gives null."""
+    """The columns of encoded, without any named as the new one, and the bytes its ids stand for; a null
+    list gives null."""
+    if ids.lower() == to.lower():
+        raise ValueError("ids and to must differ")
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != to.lower()])
     shared = encoded.sparkSession.sparkContext.broadcast(voc.table())
     schema = T.StructType([*encoded.schema.fields, T.StructField(to, T.BinaryType())])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import shared_dir
+from trackforge.llm.common import delete_path, leave, shared_dir
 
 BLOCK_BYTES = 8_000_000
 MESSAGE = "block long, bucket int, n int, size int, words binary, counts binary"
@@ -71,8 +71,14 @@ def whole(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+#: Bytes of the tables read for each bucket of words, so that what one task gathers doesn't grow with the input.
+BUCKET_BYTES = 256 << 20
+
+
 def buckets_of(docs: DataFrame) -> int:
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(read // BUCKET_BYTES, 1 << 20))
 
 
 def word_blocks(docs: DataFrame, split: Callable[[str], list], *, doc_id: str, text: str, flag: F.Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -139,9 +145,21 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], *, doc_id: str, t
         if held:
             yield flush()
 
-    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    return bucketed(d.mapInArrow(run, schema), "block", "blocks")
+
+
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df, written to the shared folder as a table bucketed by a column; release() drops it."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(spark, path)
+
+    leave(drop)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d.mapInArrow(run, schema).write.bucketBy(parts, "block").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(parts, by).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
