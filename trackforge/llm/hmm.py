@@ -5,8 +5,8 @@ word of the training documents has emissions of its own in each state, and one p
 unknown words. The expected emission counts are a distributed table by word that grows with the
 corpus: each block of documents adds up its own words' counts and sends them, packed, to the
 words' buckets; there they are added up, and go back to the blocks that hold the words. To the
-driver come only starts, moves and sums by state. After the rounds of Baum-Welch the scaled forward
-recursion gives each text's exact log likelihood.
+driver come only starts, moves, sums by state and the likelihood. Rounds of Baum-Welch end when that gains
+little more; then the scaled forward recursion gives each text's exact log likelihood.
 
 Within a block, documents are laid end to end in lanes that run side by side; a document's first
 token starts anew from the initial distribution. A text longer than a chunk runs in pieces that
@@ -18,7 +18,6 @@ no training documents leave a uniform model (every word unknown); other columns
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import Scratch, shared_dir
-from trackforge.llm.wordblocks import messages_of, pack, pack_wide, reply_order, unpack, unpack_wide, unpack_words, word_blocks
+from trackforge.llm.common import Scratch
+from trackforge.llm.wordblocks import bucketed, messages_of, pack, pack_wide, reply_order, unpack, unpack_wide, unpack_words, word_blocks
 
 END = 0  # the end token's symbol
 ADD = 0.1  # added to every count
@@ -38,13 +37,12 @@ ADD = 0.1  # added to every count
 
 @dataclass(frozen=True)
 class Config:
-    """states: latent states. rounds: of Baum-Welch. own_symbols, endings: of a former model with
-    shared symbols, without effect (every word has its own emissions)."""
+    """states: latent states. rounds: of Baum-Welch at most. least_gain: of the training likelihood's
+    logarithm in a round, as a share of it, for another round to follow."""
 
     states: int = 4
-    own_symbols: int = 1000
-    endings: int = 256
-    rounds: int = 4
+    rounds: int = 6
+    least_gain: float = 2e-3
     seed: int = 1
 
 
@@ -198,22 +196,25 @@ class Chain:
         self._run(each)
         return out
 
-    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts (K), moves (K x K) and emissions (K x symbols)."""
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts (K), moves (K x K) and emissions (K x symbols), and the log10
+        probability of all documents."""
         k, s = self.m.emit.shape
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, s))
+        starts, moves, emits, log10 = np.zeros(k), np.zeros((k, k)), np.zeros((k, s)), 0.0
 
         def count(x, g):
             for j in range(k):
                 emits[j] += np.bincount(x, weights=g[:, j], minlength=s)
 
         def each(docs, p, places):
-            nonlocal starts, moves
+            nonlocal starts, moves, log10
             if p is None:
                 before, befores = None, []
                 for a, b in self._pieces(docs[0]):
                     befores.append(before)
-                    before = self._piece(a, b, docs[0], before).alpha[-1].copy()
+                    q = self._piece(a, b, docs[0], before)
+                    before = q.alpha[-1].copy()
+                    log10 += float(np.log10(q.scale).sum())
                 after = None
                 for (a, b), before in reversed(list(zip(self._pieces(docs[0]), befores, strict=True))):
                     g, m, after = self._piece(a, b, docs[0], before).back(after)
@@ -222,6 +223,7 @@ class Chain:
                 starts += g[0, 0]
             else:
                 row, col, src = places
+                log10 += float(np.log10(p.scale[row, col]).sum())
                 g, m, _ = p.back()
                 moves += m
                 g = g[row, col]
@@ -230,7 +232,7 @@ class Chain:
                 starts += g[np.cumsum(lens) - lens].sum(0)
 
         self._run(each)
-        return starts, moves, emits
+        return starts, moves, emits, log10
 
 
 def _pack_floats(values: np.ndarray) -> bytes:
@@ -278,12 +280,8 @@ def word_links(messages: DataFrame, cfg: Config) -> DataFrame:
         rows.append({"bucket": bucket, "block": -1, "n": len(c), "counts": pack_wide(c), "weights": _pack_floats(w), "known": int((c > 0).sum()), "tokens": int(c.sum()), "sums": w.sum(0).tolist()})
         return pa.Table.from_pylist(rows, schema)
 
-    spark, name = messages.sparkSession, f"links_{uuid.uuid4().hex}"
-    schema = spark.createDataFrame([], LINKS).toArrow().schema
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = messages.groupBy("bucket").applyInArrow(run, LINKS)
-    out.write.bucketBy(parts, "bucket").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    schema = messages.sparkSession.createDataFrame([], LINKS).toArrow().schema
+    return bucketed(messages.groupBy("bucket").applyInArrow(run, LINKS), "bucket", "links")
 
 
 def replies_of(links: DataFrame, sent: DataFrame | None, cfg: Config, with_counts: bool) -> DataFrame:
@@ -328,7 +326,9 @@ def _block(left: pa.Table, right: pa.Table, k: int) -> tuple[dict, np.ndarray, n
 
 def train(blocks: DataFrame, links: DataFrame, cfg: Config, shared: Shared, scratch: Scratch) -> tuple[Shared, DataFrame | None]:
     """Baum-Welch: the shared part of the model, and the table of expected counts that blocks sent last.
-    To the driver come K + K*K + 2 K sums; all that is by word stays distributed."""
+    To the driver come K + K*K + 2 K + 1 sums; all that is by word stays distributed. Each round scores
+    the training tokens by the model of the round before, so the last model is one better than the last
+    likelihood seen."""
     k, spark = cfg.states, blocks.sparkSession
     up = "block long, bucket int, weights binary, sums array<double>"
     schema = spark.createDataFrame([], up).toArrow().schema
@@ -342,8 +342,8 @@ def train(blocks: DataFrame, links: DataFrame, cfg: Config, shared: Shared, scra
             symbols, lens = symbols[np.repeat(flags, lens)], lens[flags]
             if not len(symbols):
                 return schema.empty_table()
-            starts, moves, emits = Chain(now.model(words), symbols, lens).expected()
-            rows = [{"block": block["block"], "bucket": -1, "sums": [*starts, *moves.ravel(), *emits[:, 0], *emits.sum(1)]}]
+            starts, moves, emits, log10 = Chain(now.model(words), symbols, lens).expected()
+            rows = [{"block": block["block"], "bucket": -1, "sums": [*starts, *moves.ravel(), *emits[:, 0], *emits.sum(1), log10]}]
             sent, i = emits[:, 1:].T[unpack(block["order"], len(words))], 0
             for bucket, n in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), strict=True):
                 rows.append({"block": block["block"], "bucket": bucket, "weights": _pack_floats(sent[i : i + n])})
@@ -352,7 +352,7 @@ def train(blocks: DataFrame, links: DataFrame, cfg: Config, shared: Shared, scra
 
         return run
 
-    stream, sent, table = blocks.select("block", "flags", "lens", "codes", "order"), None, None
+    stream, sent, table, last = blocks.select("block", "flags", "lens", "codes", "order"), None, None, None
     for _ in range(cfg.rounds):
         replies = replies_of(links, sent, cfg, False)
         new = scratch.write(stream.groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(expected(shared), up))
@@ -360,13 +360,16 @@ def train(blocks: DataFrame, links: DataFrame, cfg: Config, shared: Shared, scra
             scratch.drop(table)
         table, sent = new, new.where("bucket >= 0").select("block", "bucket", "weights")
         rows = table.where("bucket < 0").select(F.posexplode("sums").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(k + k * k + 2 * k)
+        total = np.zeros(k + k * k + 2 * k + 1)
         for r in rows:
             total[r["cell"]] = r["v"]
         starts, moves = total[:k] + ADD, total[k : k + k * k].reshape(k, k) + ADD
-        shared = Shared(starts / starts.sum(), moves / moves.sum(1, keepdims=True), total[-2 * k : -k], total[-k:], shared.known)
+        shared = Shared(starts / starts.sum(), moves / moves.sum(1, keepdims=True), total[-2 * k - 1 : -k - 1], total[-k - 1 : -1], shared.known)
         del replies, new
         spark._jvm.System.gc()  # lets go of the shuffle files of the round
+        if last is not None and total[-1] - last < cfg.least_gain * abs(last):
+            break
+        last = total[-1]
     return shared, sent
 
 
