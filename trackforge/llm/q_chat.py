@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm.chat import fold, read_back
@@ -12,11 +12,37 @@ from trackforge.llm.common import table
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
+#: What a draft says before it is edited or generated anew.
+DRAFT = "never mind <|im_end|>"
+
+
+def as_log(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, seq, kind, role, text: messages as the log that may have led to them. By a hash of
+    conversation and turn, a message is said at once, streamed in two deltas, edited from a draft, or
+    generated anew after a draft. Rows that share a turn follow each other, by role and text."""
+    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    d = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]).withColumn("nth", F.row_number().over(w))
+    half = F.floor(F.length("text") / 2).cast("int")
+    a, b, whole = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")), F.col("text")
+
+    def events(*of: tuple[str, Column | str | None]) -> Column:
+        say = lambda kind, text: F.struct(F.lit(kind).alias("kind"), (text if isinstance(text, Column) else F.lit(text).cast("string")).alias("said"))
+        return F.array(*[say(*x) for x in of])
+
+    way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(4))
+    told = (
+        F.when(way == 0, events(("message", whole)))
+        .when(way == 1, events(("message", ""), ("delta", a), ("delta", b)))
+        .when(way == 2, events(("message", DRAFT), ("delta", a), ("edit", whole)))
+        .otherwise(events(("message", a), ("delta", DRAFT), ("regenerate", None), ("delta", a), ("delta", b))))
+    d = d.select("conv_id", "turn", "role", "nth", F.posexplode(told).alias("i", "e"))
+    return d.select("conv_id", "turn", (F.col("nth").cast("long") * 8 + F.col("i")).alias("seq"), "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), F.col("e.said").alias("text"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    log = rows.withColumns({"seq": F.lit(0), "kind": F.lit("message")})
-    return read_back(fold(log))
+    return read_back(fold(as_log(rows)))
 
 
 SQL = rf"""
