@@ -78,10 +78,14 @@ class Scratch:
 
     BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, *, keep: bool = False):
+        """keep: release() passes this one over."""
         self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
-        root = self.root
-        leave(lambda: delete_path(spark, root))
+        if not keep:
+            leave(self.clear)
+
+    def clear(self) -> None:
+        delete_path(self.spark, self.root)
 
     def write(self, df: DataFrame, *, codec: str = "zstd", last: bool = False) -> DataFrame:
         """last: the result reads it, so it stays, and all others can go."""
