@@ -9,9 +9,11 @@ Each stage reads what the one before it wrote and works on all of it:
 4. personal_data: personal data, and terms that give it away, are replaced in the texts
 5. tokens: texts become byte-level BPE ids, and the ids are decoded again
 
-Null and empty texts are rejected by the first stage; null ids and repeated rows pass as each
-operator's docstring says; columns other than doc_id, text and lang pass through the first four
-stages unchanged; empty tables give empty results.
+Null and empty texts are rejected by the first stage; of rows that repeat an id and a text one stays
+after the second; null ids pass as each operator's docstring says; columns other than doc_id, text and
+lang pass through the first four stages unchanged, whatever their names; empty tables give empty results.
+What the operators left in the shared folder is deleted after each stage, and so is each stage's table
+once the next one is written, but for the last.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackforge.llm.bpe import Vocabulary, decode, encode
-from trackforge.llm.common import Scratch, table
+from trackforge.llm.common import Scratch, release, table, unused
 from trackforge.llm.decontam import decontaminate as without_benchmark
 from trackforge.llm.langid import identify, learn
 from trackforge.llm.minhash import without_near_duplicates
@@ -37,8 +39,9 @@ LEAST_SCORE = 0.15
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn(docs, ~held_out())
-    judged = identify(docs, profiles, to=("_lang_pred", "_lang_score"))
-    return judged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = unused(docs.columns, "lang_pred", "lang_score")
+    judged = identify(docs, profiles, to=(pred, score))
+    return judged.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +77,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents."""
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    docs, before = table(spark, sf_dir, "documents"), None
+    release()
+    for name, stage in STAGES:
+        # each stage's folder of its own: release() deletes what the stage's operator left, not its result
+        scratch = Scratch(spark, f"pipeline-{name}", keep=True)
         docs = scratch.write(stage(spark, docs, sf_dir))
+        release()
+        if before:
+            before.clear()
+        before = scratch
     return docs
