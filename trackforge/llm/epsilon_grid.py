@@ -6,16 +6,18 @@ side eps there, and sorted by cell, first dimension first. The sequence is cut i
 their bounds. Blocks are joined recursively: pairs of intervals of blocks, beginning with the
 whole sequence, are opened into pairs of smaller ones, and a pair whose bounds are further apart
 than eps is dropped with all below it. Pairs of single blocks that remain are compared vector by
-vector in double precision.
+vector in double precision: the blocks of one interval are held, and the others pass by, each sent
+to an interval once.
 
-Equal vectors are one class, compared once. A pair of blocks gives, for each class, the number of
-vectors it links to, and a forest that connects what it links, so the output of a block of near
-copies grows with its vectors and not with their pairs, and no link is lost.
+Equal vectors are one class, compared once. An interval gives, for each class, the number of vectors
+it links to, and a forest that connects what is linked, so the output for near copies grows with
+vectors and not with pairs, and no link is lost. Counts of links are exact, so vectors that lie within
+eps of each other are all compared with each other, in tiles; that work is the square of such a group.
 
 Defined results: null vectors, and those with null or non-finite components, or of length 0, link
-with nothing; vectors of different dimension never link; repeated rows and ids count as vectors of
-their own; null ids are kept, and a component of null ids only is null; empty tables give no rows;
-other columns are ignored.
+with nothing; vectors of different dimension never link; tiny and huge vectors are scaled by a power
+of two first, which changes no cosine; repeated rows and ids count as vectors of their own; null ids
+are kept, and a component of null ids only is null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,19 @@ from trackforge.llm.common import Scratch
 from trackforge.llm.components import connected
 
 LEADING = 6  # principal dimensions that order and bound blocks
-BLOCK = 4096  # vectors in a block
+BLOCK, BLOCK_BYTES = 4096, 2 << 20  # vectors in a block at most, and bytes
+TILE = 512  # vectors of a block that are compared with another block at once
+SUMS = 16  # partial sums that come to the driver
 FAN = 8  # intervals that an interval opens into
 SLACK = 1e-9  # added to eps against rounding; found pairs are checked exactly
 
 
-def _unit(values: np.ndarray) -> np.ndarray:
-    v = values.astype(np.float64)
-    v = v / np.abs(v).max(1, keepdims=True)
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Times a power of two, so that the largest component is from 0.5 to 1: no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
@@ -58,37 +65,41 @@ def _classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
                 v = None if x.as_py() is None or x.values.null_count or not len(x.values) else x.values.to_numpy(zero_copy_only=False)
                 if v is not None and not (np.isfinite(v).all() and v.any()):
                     v = None
-                out.append(None if v is None else (v + 0.0).astype("<f8").tobytes())  # -0.0 is 0.0
+                out.append(None if v is None else (_scaled(v) + 0.0).astype("<f8").tobytes())  # -0.0 is 0.0
                 dims.append(None if v is None else len(v))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["id", "dim", "v"])
 
     return d.mapInArrow(run, f"id {kind}, dim int, v binary").withColumn("cls", F.when(F.col("v").isNotNull(), F.unhex(F.sha2("v", 256))))
 
 
-def _principal(classes: DataFrame, dim: int) -> np.ndarray:
-    """dim x LEADING directions of most variance; dim*dim sums come to the driver."""
+def _principal(classes: DataFrame, dim: int) -> tuple[np.ndarray, int]:
+    """dim x LEADING directions of most variance, and the number of classes. Each task adds up its
+    vectors, SUMS tasks add up those sums, and the driver adds up what they give."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, n = np.zeros((dim + 1, dim + 1)), 0
-        for b in batches:
-            if b.num_rows:
-                x = np.hstack([np.ones((b.num_rows, 1)), _unit(_matrix(b.column(0), dim))])
-                s += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
+    def total(parts: Iterator[np.ndarray]) -> pa.RecordBatch:
+        s = np.zeros((dim + 1, dim + 1))
+        for x in parts:
+            s += x
+        return pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
+
+    def square(x: np.ndarray) -> np.ndarray:
+        x = np.hstack([np.ones((len(x), 1)), _unit(x)])
+        return x.T @ x
 
-    total = np.zeros((dim + 1, dim + 1))
-    for r in classes.select("v").coalesce(64).mapInArrow(sums, "s binary").toLocalIterator():
-        total += np.frombuffer(r["s"], np.float64).reshape(dim + 1, dim + 1)
-    n = max(total[0, 0], 1.0)
-    mean = total[0, 1:] / n
-    _, directions = np.linalg.eigh(total[1:, 1:] / n - np.outer(mean, mean))
-    return directions[:, ::-1][:, : min(LEADING, dim)]
+    read = lambda b: (np.frombuffer(x.as_py(), np.float64).reshape(dim + 1, dim + 1) for x in b.column(0))
+    first = classes.select("v").mapInArrow(lambda batches: iter([total(square(_matrix(b.column(0), dim)) for b in batches if b.num_rows)]), "s binary")
+    rows = first.repartition(SUMS).mapInArrow(lambda batches: iter([total(x for b in batches for x in read(b))]), "s binary").collect()
+    s = sum((np.frombuffer(r["s"], np.float64).reshape(dim + 1, dim + 1) for r in rows), np.zeros((dim + 1, dim + 1)))
+    n = max(s[0, 0], 1.0)
+    mean = s[0, 1:] / n
+    _, directions = np.linalg.eigh(s[1:, 1:] / n - np.outer(mean, mean))
+    return directions[:, ::-1][:, : min(LEADING, dim)], int(n)
 
 
 def _blocks(classes: DataFrame, dim: int, eps: float, scratch: Scratch) -> DataFrame:
     """Written: block (its place in the sequence), n, cls (joined bytes), v, mult, lo, hi (bounds)."""
-    directions = _principal(classes, dim)
-    k = directions.shape[1]
+    directions, count = _principal(classes, dim)
+    k, most = directions.shape[1], max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))
     cells = [f"c{i}" for i in range(k)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +109,7 @@ def _blocks(classes: DataFrame, dim: int, eps: float, scratch: Scratch) -> DataF
 
     kinds = ", ".join(f"{c} int" for c in cells)
     placed = scratch.write(classes.select("cls", "mult", "v").mapInArrow(place, f"cls binary, mult long, v binary, {kinds}"))
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // most))
     ordered = placed.repartitionByRange(n, *cells, "cls").sortWithinPartitions(*cells, "cls")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +127,11 @@ def _blocks(classes: DataFrame, dim: int, eps: float, scratch: Scratch) -> DataF
 
         for b in batches:
             held.append(b.select(["cls", "mult", "v"]))
-            while sum(x.num_rows for x in held) >= BLOCK:
+            while sum(x.num_rows for x in held) >= most:
                 t = pa.Table.from_batches(held)
-                yield block(t.slice(0, BLOCK))
+                yield block(t.slice(0, most))
                 m += 1
-                held = t.slice(BLOCK).to_batches()
+                held = t.slice(most).to_batches()
         if sum(x.num_rows for x in held):
             yield block(pa.Table.from_batches(held))
 
@@ -134,7 +145,7 @@ def _near(eps: float) -> F.Column:
 
 
 def _pairs(blocks: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
-    """x, y (keys, x <= y): pairs of blocks that may hold vectors within eps."""
+    """x, y (places in the sequence, x <= y) and x_key, y_key: pairs of blocks that may hold vectors within eps."""
     dims = len(blocks.select("lo").first()["lo"])
     parts = blocks.groupBy(F.shiftright("key", 32).alias("part")).agg(F.count("*").alias("n"))
     starts = {r["part"]: r["n"] for r in parts.collect()}  # one row per shuffle partition
@@ -155,64 +166,132 @@ def _pairs(blocks: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
         up = pairs.select(F.col("x").alias("x_up"), F.col("y").alias("y_up"))
         pairs = scratch.write(up.join(side("x"), "x_up").join(side("y"), "y_up").where("x <= y").where(_near(eps)).select("x", "y"))
     key = lambda s: leaf.select(F.col("i").alias(s), F.col("key").alias(f"{s}_key"))
-    return pairs.join(key("x"), "x").join(key("y"), "y").select("x_key", "y_key")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Of links a[i]-b[i] between 0..n-1, the places of some that connect all that they connect."""
-    up, out = list(range(n)), []
+    return pairs.join(key("x"), "x").join(key("y"), "y").select("x", "y", "x_key", "y_key")
+
+
+def spanning(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, columns, one of the rows) of each connected part of a relation with more than no links."""
+    rows, columns, out = mask.any(1), mask.any(0), []
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        rows[start], new = False, np.array([start])
+        own_rows, own_columns = [new], []
+        while len(new):
+            c = np.flatnonzero(mask[new].any(0) & columns)
+            columns[c] = False
+            own_columns.append(c)
+            new = np.flatnonzero(mask[:, c].any(1) & rows) if len(c) else c
+            rows[new] = False
+            own_rows.append(new)
+        out.append((np.concatenate(own_rows), np.concatenate(own_columns), start))
+    return out
 
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append(i)
-    return out
+class Block:
+    def __init__(self, cls: bytes, v: bytes, mult: list[int], dim: int):
+        self.cls, self.v, self.mult = cls, np.frombuffer(v, "<f8").reshape(-1, dim), np.array(mult, np.int64)
+        self.norm, self.n = np.sqrt((self.v * self.v).sum(1)), len(mult)
+        self.links = np.zeros(self.n, np.int64)
+
+    def near(self, other: Block, cosine: float) -> np.ndarray:
+        out = np.empty((self.n, other.n), bool)
+        for a in range(0, self.n, TILE):
+            i = slice(a, a + TILE)
+            out[i] = (self.v[i] @ other.v.T) / (self.norm[i, None] * other.norm[None, :]) >= cosine
+        if other is self:
+            np.fill_diagonal(out, False)
+        return out
+
+    def name(self, i: int) -> bytes:
+        return self.cls[32 * i : 32 * i + 32]
+
+
+class Interval:
+    """Blocks that are held: counts of links, and which of their vectors are connected by now."""
+
+    def __init__(self, cosine: float):
+        self.cosine, self.blocks, self.first, self.up, self.out = cosine, {}, {}, [], []
+
+    def hold(self, i: int, block: Block) -> None:
+        self.blocks[i], self.first[i] = block, len(self.up)
+        self.up.extend(range(len(self.up), len(self.up) + block.n))
+
+    def _top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def compare(self, i: int, block: Block | None, with_: list[int]) -> None:
+        """Block i (None: it is held) with the held blocks named."""
+        y, base = (self.blocks[i], self.first[i]) if block is None else (block, len(self.up))
+        held = len(self.up)
+        self.up.extend(range(held, held + (0 if block is None else y.n)))
+        for j in with_:
+            x, at = self.blocks[j], self.first[j]
+            mask = x.near(y, self.cosine)
+            x.links += mask @ y.mult
+            if x is not y:
+                y.links += x.mult @ mask
+            for rows, columns, start in spanning(mask):
+                root = x.name(start)
+                for z, places, offset in ((x, rows, at), (y, columns, base)):
+                    for p in places.tolist():
+                        a, b = self._top(at + start), self._top(offset + p)
+                        if a != b:
+                            self.up[max(a, b)] = min(a, b)
+                            self.out.append((root, 0, z.name(p)))
+        if block is not None:
+            self.out += _counts(y)
+            del self.up[held:]  # held vectors have smaller numbers, so no pointer leads here
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.out:
+            cls, links, other = zip(*self.out, strict=True)
+            self.out = []
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(links, pa.int64()), pa.array(other, pa.binary())], ["cls", "links", "other"])
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        for x in self.blocks.values():
+            self.out += _counts(x)
+        yield from self.rows()
+
+
+def _counts(x: Block) -> list[tuple]:
+    return [(x.name(i), int(x.links[i]), None) for i in np.flatnonzero(x.links).tolist()]
 
 
 def _compare(pairs: DataFrame, blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """cls, links (vectors of other classes it links to, from one pair of blocks), other (a class
-    that the forest joins it to, or null)."""
-    side = lambda s: blocks.select(F.col("key").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "v", "mult")])
-    both = pairs.join(side("y"), "y_key").join(side("x"), "x_key")
+    """cls, links (vectors of other classes it links to, from one interval), other (a class that the
+    forest joins it to, or null)."""
+    # a block goes to each interval of FAN blocks that it meets, once, with the names of those it meets there
+    met = pairs.groupBy(F.floor(F.col("x") / FAN).alias("interval"), F.col("y").alias("i"), F.col("y_key").alias("key")).agg(F.array_sort(F.collect_set("x")).alias("with_"))
+    own = pairs.groupBy("x", "x_key").agg(F.lit(1)).select(F.floor(F.col("x") / FAN).alias("interval"), F.col("x").alias("i"), F.col("x_key").alias("key"), F.array().cast("array<bigint>").alias("with_"))
+    data = blocks.select("key", "cls", "v", "mult")
+    inside = F.floor(F.col("i") / FAN) == F.col("interval")
+    full = own.withColumn("turn", F.lit(0)).unionByName(met.where(~inside).withColumn("turn", F.lit(1))).join(data, "key")
+    again = met.where(inside).withColumn("turn", F.lit(1)).select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in data.dtypes if c != "key"])
+    columns = ["interval", "turn", "i", "with_", "cls", "v", "mult"]
+    rows = full.select(*columns).unionByName(again.select(*columns)).repartition("interval").sortWithinPartitions("interval", "turn", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Interval(cosine)
         for b in batches:
-            for i in range(b.num_rows):
-                get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
-                same = get("x_key") == get("y_key")
-                x, y = (np.frombuffer(get(f"{s}_v"), "<f8").reshape(-1, dim) for s in "xy")
-                nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-                mx, my = np.array(get("x_mult")), np.array(get("y_mult"))
-                links_x, links_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                for at in range(0, len(x), 256):
-                    c = (x[at : at + 256] @ y.T) / (nx[at : at + 256, None] * ny[None, :])
-                    r, q = np.nonzero(c >= cosine)
-                    r += at
-                    if same:
-                        r, q = r[r < q], q[r < q]
-                    links_x += np.bincount(r, weights=my[q], minlength=len(x)).astype(np.int64)
-                    links_y += np.bincount(q, weights=mx[r], minlength=len(y)).astype(np.int64)
-                    tree = _forest(r, q + (0 if same else len(x)), len(x) + len(y))
-                    found.append((r[tree], q[tree]))
-                r, q = (np.concatenate(z) for z in zip(*found, strict=True))
-                tree = _forest(r, q + (0 if same else len(x)), len(x) + len(y))
-                cx, cy = get("x_cls"), get("y_cls")
-                name = lambda z, j: z[32 * j : 32 * j + 32]
-                rows = [(name(cx, j), int(links_x[j]), None) for j in np.flatnonzero(links_x).tolist()] + [(name(cy, j), int(links_y[j]), None) for j in np.flatnonzero(links_y).tolist()]
-                rows += [(name(cx, int(r[t])), 0, name(cy, int(q[t]))) for t in tree]
-                if rows:
-                    cls, links, other = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(links, pa.int64()), pa.array(other, pa.binary())], ["cls", "links", "other"])
-
-    return both.mapInArrow(run, "cls binary, links long, other binary")
+            get = lambda c, k: b.column(c)[k].as_py()  # noqa: B023, E731
+            for k in range(b.num_rows):
+                if get("interval", k) != now:
+                    yield from held.close()
+                    now, held = get("interval", k), Interval(cosine)
+                block = None if get("cls", k) is None else Block(get("cls", k), get("v", k), get("mult", k), dim)
+                if get("turn", k) == 0:
+                    held.hold(get("i", k), block)
+                else:
+                    held.compare(get("i", k), block, get("with_", k))
+                    yield from held.rows()
+        yield from held.close()
+
+    return rows.mapInArrow(run, "cls binary, links long, other binary")
 
 
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -232,11 +311,13 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec
     if found is None:
         found = spark.createDataFrame([], "cls binary, links long, other binary")
     found = scratch.write(found)
-    component = connected(found.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")), scratch).select(F.col("node").alias("cls"), "component")
-    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    connections = connected(found.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")), scratch)
+    scratch.keep(rows, classes, found, connections)
+    component = connections.select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", "mult", "low").join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lows = named.groupBy("component").agg(F.min("low").alias("low_of"))
-    known = named.join(lows, "component").join(counts, "cls", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "low_of")
+    known = named.join(lows, "component").join(links, "cls", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "low_of")
     out = rows.select("id", "cls").join(known, "cls", "left")
     label = F.when(F.col("cls").isNotNull(), F.col("low_of")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
