@@ -293,7 +293,7 @@ def test_queries_run_at_the_operators_own_size(monkeypatch):
     frame = type("Frame", (), {"select": lambda self, *c: self, "withColumn": lambda self, *c: self})()
     monkeypatch.setattr(queries, "tracks", lambda *a: frame)
     monkeypatch.setattr(queries, "r", lambda *a: None)
-    monkeypatch.setattr(queries.F, "col", lambda *a: None)
+    monkeypatch.setattr(queries.F, "col", lambda *a: 0)
     monkeypatch.setattr(kinematics, "elapsed_time", lambda d, t: d)
     for name in ("particle_filter", "spline_curvature"):
         monkeypatch.setattr(sequential, name, lambda *a, name=name, **k: given.setdefault(name, k) and frame or frame)

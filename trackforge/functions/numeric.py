@@ -60,11 +60,11 @@ def symmetric_scale(c: Column, largest: Column) -> Column:
 
 
 def vertices_radius(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """Radius of the circle through three points; infinite if they are in line."""
+    """Radius of the circle through three points; infinite if they are in line, null if one is."""
     a, b, c = F.hypot(bx - cx, by - cy), F.hypot(ax - cx, ay - cy), F.hypot(ax - bx, ay - by)
     s = (a + b + c) / 2
     area = F.sqrt(F.greatest(s * (s - a) * (s - b) * (s - c), F.lit(0.0)))
-    return F.when(area > 0, a * b * c / (4 * area)).when(area == 0, INF)
+    return F.when(s.isNotNull(), F.when(area > 0, a * b * c / (4 * area)).when(area == 0, INF))  # greatest() passes over nulls
 
 
 def compass_to_math(deg: Column) -> Column:

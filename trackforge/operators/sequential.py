@@ -1,77 +1,90 @@
 """Operators whose state depends on where the last piece ended: one pass over each track, in Arrow
-batches through applyInPandas. Everything that a window can express is done before, natively.
+through applyInArrow. Everything that a window can express is done before, natively; only the columns
+that a kernel computes with become numpy arrays, the others stay in Arrow.
 
 A track must fit into one worker; tracks are days of one vehicle, and more data means more tracks.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackforge.core import Track
 from trackforge.operators.smoothing import rolling_mean
 
-Kernel = Callable[[pd.DataFrame], pd.DataFrame]
+#: Of columns as float arrays: (rows of the result by number, or None for all; new columns, NaN as null).
+Kernel = Callable[[dict[str, np.ndarray]], tuple[np.ndarray | None, dict[str, object]]]
 _D = T.DoubleType()
+_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def per_track(df: DataFrame, t: Track, kernel: Kernel, schema: T.StructType) -> DataFrame:
-    """kernel on each track's rows in order of seq."""
-    names = schema.names
+def per_track(df: DataFrame, t: Track, columns: list[str], kernel: Kernel, added: list[tuple[str, T.DataType]], *, keep: list[str] | None = None, skip_failing: bool = False) -> DataFrame:
+    """kernel on each track's rows in order of seq. The result has the rows' columns (or those to keep)
+    and the added ones, which replace columns of their names.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(pdf.sort_values(t.seq, kind="stable").reset_index(drop=True))
-        return out[names]
-
-    return df.groupBy(t.track).applyInPandas(run, schema)
-
-
-def _more(df: DataFrame, *added: tuple[str, T.DataType]) -> T.StructType:
-    new = {n for n, _ in added}
-    return T.StructType([*[f for f in df.schema.fields if f.name not in new], *[T.StructField(n, k) for n, k in added]])
+    skip_failing: a track whose kernel fails is left out, with a line on the worker's stderr.
+    """
+    new = dict(added)
+    fields = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)] + [T.StructField(n, k) for n, k in added]
+
+    def run(table: pa.Table) -> pa.Table:
+        seq = table.column(t.seq).to_numpy()
+        if len(seq) > 1 and (seq[1:] < seq[:-1]).any():
+            table = table.take(np.argsort(seq, kind="stable"))
+        try:
+            rows, made = kernel({c: table.column(c).cast(pa.float64()).to_numpy() for c in columns})
+        except Exception as e:
+            if not skip_failing:
+                raise
+            print(f"track {table.column(t.track)[0]}: {e!r}", file=sys.stderr)
+            rows, made = np.zeros(0, np.int64), {n: [] for n in new}
+        out = table if rows is None else table.take(pa.array(rows, pa.int64()))
+        arrays = [pa.array(made[f.name], _ARROW[new[f.name].simpleString()], from_pandas=True) if f.name in new else out.column(f.name) for f in fields]
+        return pa.Table.from_arrays(arrays, [f.name for f in fields])
+
+    return df.groupBy(t.track).applyInArrow(run, T.StructType(fields))
 
 
 # Stops and moves
 
-
-def speed_class(v: float, bins: tuple[float, ...]) -> int:
-    """i where bins[i] <= v < bins[i + 1]; the last class otherwise, below the bins too."""
-    i = int(np.searchsorted(bins, v, side="right")) - 1 if v == v else -1
-    return i if 0 <= i < len(bins) - 1 else len(bins) - 1
-
-
 #: Speed classes in m/s, the look-ahead in rows, the speed that ends a stop.
 SPEED_BINS = (0.0, 0.5, 5.0, 10.0, 20.0, 30.0, 40.0)
 LOOK_AHEAD, MOVING_SPEED, WINDOW_WAY = 10, 0.5, 20.0
 
 
-def _window_seconds(v: float) -> float:
-    return 1.0 if v < MOVING_SPEED else min(max(WINDOW_WAY / (v + 1e-6), 1.0), 9999.0)
+def speed_classes(v: np.ndarray, bins: tuple[float, ...]) -> np.ndarray:
+    """i where bins[i] <= v < bins[i + 1]; the last class otherwise, below the bins and for NaN too."""
+    i = np.searchsorted(bins, v, side="right") - 1
+    return np.where((i >= 0) & (i < len(bins) - 1) & (v == v), i, len(bins) - 1)
+
+
+def speed_class(v: float, bins: tuple[float, ...]) -> int:
+    return int(speed_classes(np.array([v]), bins)[0])
 
 
 def pieces(time: np.ndarray, speed: np.ndarray, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0) -> list[tuple[int, int, bool]]:
     """(first row, row after the last, whether it is a stop) of each piece of a track. A piece ends
     when its class does and the mean of the next rows agrees, or when it has lasted long enough."""
     n, out, i = len(time), [], 0
-    sums = np.concatenate([[0.0], np.cumsum(speed)])
-    classes = [speed_class(v, bins) for v in speed.tolist()]
-
-    def ahead(j: int) -> float:
-        k = min(n, j + LOOK_AHEAD)
-        return (sums[k] - sums[j]) / (k - j)
-
+    padded = np.concatenate([speed, np.zeros(LOOK_AHEAD)])
+    ahead = sum(padded[k : k + n] for k in range(LOOK_AHEAD)) / np.minimum(LOOK_AHEAD, n - np.arange(n))
+    own_class, next_class, moves = speed_classes(speed, bins).tolist(), speed_classes(ahead, bins).tolist(), (ahead >= MOVING_SPEED).tolist()
+    lasts = np.where(speed < MOVING_SPEED, 1.0, np.clip(WINDOW_WAY / (speed + 1e-6), 1.0, 9999.0)).tolist()
+    time = time.tolist()
     while i < n:
-        own, j = classes[i], i + 1
+        own, j = own_class[i], i + 1
         stop = own == 0
-        until = time[i] + (max_stop if stop else _window_seconds(speed[i]))
+        until = time[i] + (max_stop if stop else lasts[i])
         while j < n and time[j] <= until:
-            if classes[j] != own and (ahead(j) >= MOVING_SPEED if stop else speed_class(ahead(j), bins) != own):
+            if own_class[j] != own and (moves[j] if stop else next_class[j] != own):
                 break
             j += 1
         out.append((i, j, stop))
@@ -79,7 +92,7 @@ def pieces(time: np.ndarray, speed: np.ndarray, bins: tuple[float, ...] = SPEED_
     return out
 
 
-def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False) -> DataFrame:
+def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False, skip_failing: bool = False) -> DataFrame:
     """A track as stops (two rows, STOP_START and STOP_END) and moves (one row, MOVING_<class>), with mean
     place and speed; the other columns are those of a piece's first row (of STOP_END: its last).
 
@@ -87,41 +100,38 @@ def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon
     """
     a, b = f"{lat}_smoothed_rolling_windows", f"{lon}_smoothed_rolling_windows"
     d = rolling_mean(df, t, speed, 5, to="_v")
-    added = [(a, _D), (b, _D), ("segment_marker", T.StringType())] + ([("time_numeric", _D)] if plain_markers else [])
-    schema = T.StructType([f for f in _more(d, *added).fields if f.name != "_v"])
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        v, s = p["_v"].to_numpy(float), p[time].to_numpy(float)
-        cut = pieces(s, np.nan_to_num(v), bins, max_stop)
-        rows, mean, marks, middle = [], {a: [], b: [], speed: []}, [], []
-        for i, j, stop in cut:
-            m = {a: p[lat].to_numpy(float)[i:j].mean(), b: p[lon].to_numpy(float)[i:j].mean(), speed: v[i:j].mean()}
-            kinds = [(i, "STOP_START"), (j - 1, "STOP_END")] if stop else [(i, "MOVING" if plain_markers else f"MOVING_{speed_class(m[speed], bins)}")]
-            for row, mark in kinds:
-                rows.append(row)
-                marks.append(mark)
-                middle.append((s[i] + s[j - 1]) / 2)
-                for c in m:
-                    mean[c].append(m[c])
-        out = p.iloc[rows].reset_index(drop=True).assign(segment_marker=marks, **mean)
-        return out.assign(time_numeric=middle) if plain_markers else out
-
-    return per_track(d, t, kernel, schema)
+    added = [(speed, _D), (a, _D), (b, _D), ("segment_marker", T.StringType())] + ([("time_numeric", _D)] if plain_markers else [])
+
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        v, s = c["_v"], c[time]
+        first, end, stop = (np.array(x) for x in zip(*pieces(s, np.nan_to_num(v), bins, max_stop), strict=True))
+        mean = lambda x: np.add.reduceat(x, first) / (end - first)
+        copies = 1 + stop
+        of = np.repeat(np.arange(len(first)), copies)
+        last = np.append(of[1:] != of[:-1], True) & stop[of]
+        moving = ["MOVING"] * len(first) if plain_markers else [f"MOVING_{k}" for k in speed_classes(mean(v), bins).tolist()]
+        marks = [("STOP_END" if z else "STOP_START") if stop[k] else moving[k] for k, z in zip(of.tolist(), last.tolist(), strict=True)]
+        made = {a: mean(c[lat])[of], b: mean(c[lon])[of], speed: mean(v)[of], "segment_marker": marks}
+        if plain_markers:
+            made["time_numeric"] = ((s[first] + s[end - 1]) / 2)[of]
+        return np.where(last, end[of] - 1, first[of]), made
+
+    order = [*[c for c in df.columns if c not in {n for n, _ in added} - {speed}], *[n for n, _ in added if n != speed]]
+    return per_track(d, t, ["_v", time, lat, lon], kernel, added, keep=df.columns, skip_failing=skip_failing).select(*order)
 
 
 def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float) -> DataFrame:
     """Rows at least ``least`` from the last row kept; min_distance says so."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        px, py = p[x].to_numpy(float), p[y].to_numpy(float)
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
         keep, last = [], None
-        for i in range(len(p)):
-            if last is None or np.hypot(px[i] - px[last], py[i] - py[last]) >= least:
+        for i, p in enumerate(zip(c[x].tolist(), c[y].tolist(), strict=True)):
+            if last is None or math.hypot(p[0] - last[0], p[1] - last[1]) >= least:
                 keep.append(i)
-                last = i
-        return p.iloc[keep].assign(min_distance=float(least))
+                last = p
+        return np.array(keep), {"min_distance": np.full(len(keep), float(least))}
 
-    return per_track(df, t, kernel, _more(df, ("min_distance", _D)))
+    return per_track(df, t, [x, y], kernel, [("min_distance", _D)])
 
 
 # Curves
@@ -129,41 +139,51 @@ def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float) -> D
 
 def steady_runs(v: np.ndarray, most: float, shortest: int) -> np.ndarray:
     """Number of each row's run of little spread (0: none): a run grows while its standard deviation
-    stays within ``most``. NaN adds nothing. Running sums, so a run of n rows costs n steps."""
-    out, i, number = np.zeros(len(v), np.int64), 0, 0
-    while i < len(v):
-        n, mean, m2, j = 0, 0.0, 0.0, i
-        while j < len(v):
-            if v[j] == v[j]:
-                d = v[j] - mean
-                k, mean_, = n + 1, mean + d / (n + 1)
-                m2_ = m2 + d * (v[j] - mean_)
-                if (m2_ / k) ** 0.5 > most:
-                    break
-                n, mean, m2 = k, mean_, m2_
-            j += 1
-        if j - i >= shortest:
+    stays within ``most``. NaN adds nothing, and a run doesn't begin with more than one. Running sums,
+    so a run of n rows costs n steps."""
+    out, number, start, n, mean, m2 = np.zeros(len(v), np.int64), 0, 0, 0, 0.0, 0.0
+
+    def close(end: int) -> None:
+        nonlocal number
+        if end - start >= shortest:
             number += 1
-            out[i:j] = number
-        i = max(j, i + 1)
+            out[start:end] = number
+
+    for j, x in enumerate(v.tolist()):
+        if x != x:
+            if n == 0:
+                start = j
+            continue
+        d = x - mean
+        if n and (max(m2 + d * (d - d / (n + 1)), 0.0) / (n + 1)) ** 0.5 > most:
+            close(j)
+            start, n, mean, m2, d = j, 0, 0.0, 0.0, x
+        m2 += d * (d - d / (n + 1))
+        mean += d / (n + 1)
+        n += 1
+    close(len(v)) if n else None
     return out
 
 
-def steady_curves(df: DataFrame, t: Track, curvature: str, radius: str, *, most: float = 1e-4, shortest: int = 5) -> DataFrame:
+def steady_curves(df: DataFrame, t: Track, curvature: str, radius: str, *, most: float = 1e-4, shortest: int = 3) -> DataFrame:
     """steady_group (0: none), and its steady_mean_radius and steady_mean_curvature."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        k = p[curvature].to_numpy(float)
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        k = c[curvature]
         g = steady_runs(np.where(np.isfinite(k), k, np.nan), most, shortest)
-        out = p.assign(steady_group=g)
-        mean = out.groupby("steady_group")[[radius, curvature]].transform("mean")
-        return out.assign(steady_mean_radius=mean[radius], steady_mean_curvature=mean[curvature])
 
-    return per_track(df, t, kernel, _more(df, ("steady_group", T.LongType()), ("steady_mean_radius", _D), ("steady_mean_curvature", _D)))
+        def mean(x: np.ndarray) -> np.ndarray:  # of a group's values that are there
+            known = ~np.isnan(x)
+            with np.errstate(invalid="ignore"):
+                return (np.bincount(g[known], x[known], g.max(initial=0) + 1) / np.bincount(g[known], minlength=g.max(initial=0) + 1))[g]
+
+        return None, {"steady_group": g, "steady_mean_radius": mean(c[radius]), "steady_mean_curvature": mean(k)}
+
+    return per_track(df, t, [curvature, radius], kernel, [("steady_group", T.LongType()), ("steady_mean_radius", _D), ("steady_mean_curvature", _D)])
 
 
 def fit_circles(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(radius, root mean square residual) of the least-squares circle of every ``size`` rows. Points
+    """(radius, mean absolute residual) of the least-squares circle of every ``size`` rows. Points
     are centred on their window first: map coordinates are large and arcs short."""
     from numpy.lib.stride_tricks import sliding_window_view
 
@@ -176,7 +196,7 @@ def fit_circles(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np
     with np.errstate(divide="ignore", invalid="ignore"):
         cx, cy = (suz * svv - svz * suv) / (2 * det), (svz * suu - suz * suv) / (2 * det)
         r = np.sqrt(cx * cx + cy * cy + z.mean(1))
-        res = np.sqrt(((np.hypot(u - cx[:, None], v - cy[:, None]) - r[:, None]) ** 2).mean(1))
+        res = np.abs(np.hypot(u - cx[:, None], v - cy[:, None]) - r[:, None]).mean(1)
     line = det <= 1e-12 * (suu + svv) ** 2
     return np.where(line, np.inf, r), np.where(line, np.inf, res)
 
@@ -199,19 +219,19 @@ def circle_groups(radius: np.ndarray, close: float) -> np.ndarray:
 
 def circle_fit(df: DataFrame, t: Track, x: str = "x", y: str = "y", *, size: int = 20, most_residual: float = 1.0, low: float = 300.0, high: float = 12_000.0, close: float = 50.0) -> DataFrame:
     """circle_group and radius_m_circle: between the middles of the first and last window of a group of
-    fitting circles, the group's mean radius."""
+    fitting circles, the group's number and mean radius; null elsewhere."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        r, res = fit_circles(p[x].to_numpy(float), p[y].to_numpy(float), size)
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        r, res = fit_circles(c[x], c[y], size)
         g = circle_groups(np.where((res <= most_residual) & (r >= low) & (r <= high), r, np.nan), close)
-        group, radius = np.zeros(len(p), np.int64), np.full(len(p), np.nan)
+        group, radius = np.full(len(c[x]), np.nan), np.full(len(c[x]), np.nan)
         for k in range(1, g.max(initial=0) + 1):
             at = np.flatnonzero(g == k)
             a, b = at[0] + size // 2, at[-1] + size // 2
             group[a : b + 1], radius[a : b + 1] = k, r[at].mean()
-        return p.assign(circle_group=group, radius_m_circle=pd.Series(radius).astype(object).where(~np.isnan(radius), None))
+        return None, {"circle_group": [None if k != k else int(k) for k in group.tolist()], "radius_m_circle": radius}
 
-    return per_track(df, t, kernel, _more(df, ("circle_group", T.LongType()), ("radius_m_circle", _D)))
+    return per_track(df, t, [x, y], kernel, [("circle_group", T.LongType()), ("radius_m_circle", _D)])
 
 
 def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400) -> list[int]:
@@ -262,23 +282,23 @@ def segment_piecewise(df: DataFrame, t: Track, curvature: str, distance: str = "
     """A table of pieces of the curvature over the distance: segment_index, start_distance,
     end_distance, slope, intercept, mean_curvature_est (on the line, in the middle), segment_type
     (straight, curve, transition)."""
-    schema = T.StructType([T.StructField(t.track, df.schema[t.track].dataType), T.StructField("segment_index", T.IntegerType()), *[T.StructField(c, _D) for c in ("start_distance", "end_distance", "slope", "intercept", "mean_curvature_est")], T.StructField("segment_type", T.StringType())])
+    added = [("segment_index", T.IntegerType()), *[(c, _D) for c in ("start_distance", "end_distance", "slope", "intercept", "mean_curvature_est")], ("segment_type", T.StringType())]
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        q = p[[distance, curvature]].astype(float)
-        q = q[np.isfinite(q).all(axis=1)]
-        x, y, out = q[distance].to_numpy(), q[curvature].to_numpy(), []
-        cuts = best_pieces(x, y, count) if len(q) > 1 else []
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        ok = np.isfinite(c[distance]) & np.isfinite(c[curvature])
+        x, y, out = c[distance][ok], c[curvature][ok], []
+        cuts = best_pieces(x, y, count) if len(x) > 1 else []
         for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             px, py = x[i:j], y[i:j]
             slope = float(np.polyfit(px - px.mean(), py, 1)[0]) if len(px) > 1 and np.ptp(px) > 0 else 0.0
             intercept = float(py.mean() - slope * px.mean())
             mid = slope * (px[0] + px[-1]) / 2 + intercept
             kind = "transition" if abs(slope) >= flat else "straight" if abs(mid) < straight else "curve"
-            out.append((p[t.track].iloc[0], k, px[0], px[-1], slope, intercept, mid, kind))
-        return pd.DataFrame(out, columns=schema.names)
+            out.append((k, px[0], px[-1], slope, intercept, mid, kind))
+        columns = zip(*out, strict=True) if out else [[]] * len(added)
+        return np.zeros(len(out), np.int64), dict(zip([n for n, _ in added], columns, strict=True))
 
-    return per_track(df, t, kernel, schema)
+    return per_track(df, t, [distance, curvature], kernel, added, keep=[t.track])
 
 
 def change_points(v: np.ndarray, penalty: float, shortest: int = 2, jump: int = 5) -> list[int]:
@@ -308,20 +328,19 @@ def segment_change_points(df: DataFrame, t: Track, curvature: str, *, penalty: f
     """segment_id, segment_class (zu klein for tracks of one row, gerade Linie, Kurve) and mittelradius of pieces of
     even curvature. signed: a piece is straight by its signed mean, so every left bend is."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        k = p[curvature].to_numpy(float)
-        k = np.where(np.isfinite(k), k, 999.0)
-        number, kind, radius = np.zeros(len(p), np.int64), np.full(len(p), "zu klein", object), np.full(len(p), None, object)
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        k = np.where(np.isfinite(c[curvature]), c[curvature], 999.0)
+        number, kind, radius = np.zeros(len(k), np.int64), np.full(len(k), "zu klein", object), np.full(len(k), np.nan)
         i = 0
         for m, j in enumerate(change_points(k, penalty) if len(k) > 1 else []):
             mean = k[i:j].mean()
             line = (mean if signed else abs(mean)) < straight
             number[i:j], kind[i:j] = m, "gerade Linie" if line else "Kurve"
-            radius[i:j] = None if line else 1 / abs(mean)
+            radius[i:j] = np.nan if line else 1 / abs(mean) if mean else np.inf
             i = j
-        return p.assign(segment_id=number, segment_class=kind, mittelradius=radius)
+        return None, {"segment_id": number, "segment_class": kind, "mittelradius": radius}
 
-    return per_track(df, t, kernel, _more(df, ("segment_id", T.LongType()), ("segment_class", T.StringType()), ("mittelradius", _D)))
+    return per_track(df, t, [curvature], kernel, [("segment_id", T.LongType()), ("segment_class", T.StringType()), ("mittelradius", _D)])
 
 
 # Filters with state
@@ -341,7 +360,7 @@ def kalman_1d(z: np.ndarray, q: float = 0.1, r: float = 2.0, p: float = 1.0) ->
 
 def kalman_smooth(df: DataFrame, t: Track, column: str, *, q: float = 0.1, r: float = 2.0, to: str | None = None) -> DataFrame:
     name = to or f"{column}_kalman"
-    return per_track(df, t, lambda p: p.assign(**{name: kalman_1d(p[column].to_numpy(float), q, r)}), _more(df, (name, _D)))
+    return per_track(df, t, [column], lambda c: (None, {name: kalman_1d(c[column], q, r)}), [(name, _D)])
 
 
 def kalman_2d(xy: np.ndarray, dt: np.ndarray, on: np.ndarray, q: float = 1e-5, r: float = 1e-3, p0: float = 100.0, window: int = 5) -> np.ndarray:
@@ -382,53 +401,65 @@ def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time:
     row keeps its own place in the order."""
     a, b = f"{lat}_smoothed_kalman", f"{lon}_smoothed_kalman"
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        s = p[time].to_numpy(float)
-        on = moving_state(s, p[speed].to_numpy(float), move, stop, hold)
-        xy = kalman_2d(p[[lat, lon]].to_numpy(float), np.diff(s, prepend=s[:1]), on, q, r, window=window)
-        return p.assign(is_moving=on, **{a: xy[:, 0], b: xy[:, 1]})
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        s = c[time]
+        on = moving_state(s, c[speed], move, stop, hold)
+        xy = kalman_2d(np.column_stack([c[lat], c[lon]]), np.diff(s, prepend=s[:1]), on, q, r, window=window)
+        return None, {"is_moving": on, a: xy[:, 0], b: xy[:, 1]}
 
-    return per_track(df, t, kernel, _more(df, ("is_moving", T.BooleanType()), (a, _D), (b, _D)))
+    return per_track(df, t, [time, speed, lat, lon], kernel, [("is_moving", T.BooleanType()), (a, _D), (b, _D)])
 
 
-def particle_filter(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time: str = "elapsed_time_s", *, particles: int = 1000, noise: tuple[float, float, float] = (1e-5, 0.5, 0.2), sight: tuple[float, float] = (5e-5, 1.0), seed: int = 0) -> DataFrame:
-    """Smoothed places, pf_speed and pf_acc from particles (lat, lon, speed, acceleration) on a random
-    walk, weighted by place and speed seen, resampled systematically. The seed goes with the track, so
-    results repeat."""
+def particle_filter(df: DataFrame, t: Track, lat: str, lon: str, speed: str, acceleration: str | None = None, *, particles: int = 1000, noise: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), sight: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), seed: int = 0) -> DataFrame:
+    """Smoothed places, pf_speed and pf_acc: the mean of particles (lat, lon, speed, acceleration) on a
+    random walk, weighted by what is seen and then resampled systematically. noise, sight: standard
+    deviations of a step and of a sight. Without an acceleration column none is seen, and it starts at
+    0. The seed goes with the track, so results repeat."""
     a, b = f"{lat}_smoothed_particule", f"{lon}_smoothed_particule"
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, zlib.crc32(str(p[t.track].iloc[0]).encode())])
-        z, s = p[[lat, lon, speed]].to_numpy(float), p[time].to_numpy(float)
-        x = np.column_stack([z[0, 0] + sight[0] * rng.standard_normal(particles), z[0, 1] + sight[0] * rng.standard_normal(particles), z[0, 2] + sight[1] * rng.standard_normal(particles), np.zeros(particles)])
-        out = np.empty((len(z), 4))
+    seen = [lat, lon, speed] + ([acceleration] if acceleration else [])
+    k, step, spread = len(seen), np.array(noise), np.array(sight)
+
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        rng = np.random.default_rng([seed, int(c["_seed"][0])])
+        z = np.column_stack([c[x] for x in seen])
+        x = np.zeros(4)
+        x[:k] = z[0]
+        x = x + np.sqrt(10) * spread * rng.standard_normal((particles, 4))
+        out, even = np.empty((len(z), 4)), np.arange(particles)
         for i in range(len(z)):
-            dt = s[i] - s[i - 1] if i else 0.0
-            x[:, :2] += noise[0] * rng.standard_normal((particles, 2))
-            x[:, 2] += x[:, 3] * dt + noise[1] * rng.standard_normal(particles)
-            x[:, 3] += noise[2] * rng.standard_normal(particles)
-            e = ((x[:, :2] - z[i, :2]) ** 2).sum(1) / sight[0] ** 2 + ((x[:, 2] - z[i, 2]) / sight[1]) ** 2
-            w = np.exp(-0.5 * (e - e.min()))
-            w /= w.sum()
-            out[i] = w @ x
-            x = x[np.minimum(np.searchsorted(np.cumsum(w), (rng.random() + np.arange(particles)) / particles), particles - 1)]
-        return p.assign(pf_speed=out[:, 2], pf_acc=out[:, 3], **{a: out[:, 0], b: out[:, 1]})
+            x = x + step * rng.standard_normal((particles, 4))
+            e = (((x[:, :k] - z[i]) / spread[:k]) ** 2).sum(1)
+            w = np.cumsum(np.exp(-0.5 * (e - e.min())))
+            x = x[np.minimum(np.searchsorted(w, (rng.random() + even) / particles * w[-1], side="right"), particles - 1)]
+            out[i] = x.mean(0)
+        return None, {a: out[:, 0], b: out[:, 1], "pf_speed": out[:, 2], "pf_acc": out[:, 3]}
 
-    return per_track(df, t, kernel, _more(df, (a, _D), (b, _D), ("pf_speed", _D), ("pf_acc", _D)))
+    d = df.withColumn("_seed", F.crc32(F.col(t.track).cast("string")))
+    return per_track(d, t, [*seen, "_seed"], kernel, [(a, _D), (b, _D), ("pf_speed", _D), ("pf_acc", _D)], keep=df.columns)
 
 
 # Way along a spline
 
 
 def cubic_spline(t: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """The interpolating cubic spline with no bend at its ends; a line for two points."""
+    """The interpolating cubic spline through all places with no bend at its ends; a line for two. Its
+    tridiagonal system is eliminated in one pass up and one down, so n places cost n steps."""
     n, h = len(t), np.diff(t)
-    a, rhs = np.zeros((n, n)), np.zeros((n, y.shape[1]))
-    a[0, 0] = a[-1, -1] = 1
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, rhs)
+    m = np.zeros_like(y, float)
+    if n > 2:
+        slope = np.diff(y, axis=0) / h[:, None]
+        rhs, steps = (6 * np.diff(slope, axis=0)).tolist(), h.tolist()
+        c, d = [0.0] * (n - 2), [[0.0] * y.shape[1]] * (n - 2)
+        before, above = 0.0, [0.0] * y.shape[1]
+        for i in range(n - 2):
+            pivot = 2 * (steps[i] + steps[i + 1]) - steps[i] * before
+            above = [(b - steps[i] * a) / pivot for a, b in zip(above, rhs[i], strict=True)]
+            before = steps[i + 1] / pivot
+            c[i], d[i] = before, above
+        below = [0.0] * y.shape[1]
+        for i in range(n - 3, -1, -1):
+            below = [a - c[i] * b for a, b in zip(d[i], below, strict=True)]
+            m[i + 1] = below
 
     def at(q: np.ndarray) -> np.ndarray:
         k = np.clip(np.searchsorted(t, q, side="right") - 1, 0, n - 2)
@@ -438,32 +469,30 @@ def cubic_spline(t: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndar
     return at
 
 
-def spline_steps(lat: np.ndarray, lon: np.ndarray, samples: int = 100, reach: int = 50) -> np.ndarray:
-    """Metres from each row to the next along a cubic spline through the places (local plane). The
-    spline of a step is fitted to ``reach`` rows on either side, so long tracks stay linear."""
+def spline_steps(lat: np.ndarray, lon: np.ndarray, samples: int = 100, at_once: int = 10_000) -> np.ndarray:
+    """Metres from each row to the next along the cubic spline through all places (local plane), as a
+    polygon of so many samples a step; at_once: steps sampled at once."""
     n = len(lat)
     if n < 2:
         return np.zeros(0)
     x = 6_371_000.0 * np.radians(lon - lon[0]) * np.cos(np.radians(lat.mean()))
-    p, out = np.column_stack([x, 6_371_000.0 * np.radians(lat - lat[0])]), np.empty(n - 1)
-    for a in range(0, n - 1, reach):
-        lo, hi = max(0, a - reach), min(n, a + 2 * reach + 1)
-        k = np.arange(lo, hi, dtype=float)
-        f = cubic_spline(k, p[lo:hi])
-        for i in range(a, min(a + reach, n - 1)):
-            q = f(np.linspace(i, i + 1, samples))
-            out[i] = np.hypot(*np.diff(q, axis=0).T).sum()
-    return out
+    f = cubic_spline(np.arange(n, dtype=float), np.column_stack([x, 6_371_000.0 * np.radians(lat - lat[0])]))
+    inner, out = np.linspace(0, 1, samples), []
+    for a in range(0, n - 1, at_once):
+        starts = np.arange(a, min(a + at_once, n - 1), dtype=float)
+        q = f((starts[:, None] + inner).ravel()).reshape(len(starts), samples, 2)
+        out.append(np.hypot(*np.moveaxis(np.diff(q, axis=1), 2, 0)).sum(1))
+    return np.concatenate(out)
 
 
 def spline_curvature(df: DataFrame, t: Track, lat: str, lon: str, yaw: str, *, samples: int = 100) -> DataFrame:
     """spline_distance (metres to the next row) and curvature_spline: the unwrapped change of a yaw angle
     over it (0 without way); null in the last row."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        ds = spline_steps(p[lat].to_numpy(float), p[lon].to_numpy(float), samples)
-        turn = np.unwrap(np.diff(np.radians(p[yaw].to_numpy(float)))) if len(p) > 1 else np.zeros(0)
+    def kernel(c: dict[str, np.ndarray]) -> tuple:
+        ds = spline_steps(c[lat], c[lon], samples)
+        turn = np.unwrap(np.diff(np.radians(c[yaw])))
         k = np.divide(turn, ds, out=np.zeros_like(ds), where=ds > 0)
-        return p.assign(spline_distance=[*ds, None], curvature_spline=[*k, None])
+        return None, {"spline_distance": [*ds, None], "curvature_spline": [*k, None]}
 
-    return per_track(df, t, kernel, _more(df, ("spline_distance", _D), ("curvature_spline", _D)))
+    return per_track(df, t, [lat, lon, yaw], kernel, [("spline_distance", _D), ("curvature_spline", _D)])

@@ -6,6 +6,7 @@ and headings are made from its columns, alike on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,9 +186,22 @@ def cumulative_distance(spark, sf):
     return kinematics.traveled_distance(tracks(spark, sf), T, "lat", "lon", exact=False, keep_step=True).select(*KEY, r("distance", 3), r("cumulative_distance_m", 2))
 
 
-@query()
+def _vincenty_sql(rounds: int = 10) -> str:
+    """The inverse geodesic with so many rounds of its fixed point, one query each."""
+    f, b = geo.FLAT, geo.A * (1 - geo.FLAT)
+    parts = [f"{EV}, l AS (SELECT *, lag(lat) OVER {W} AS la, radians(lon - lag(lon) OVER {W}) AS dl FROM e), u AS (SELECT *, atan({1 - f!r} * tan(radians(la))) AS u1, atan({1 - f!r} * tan(radians(lat))) AS u2, dl AS lam FROM l WHERE la IS NOT NULL), v0 AS (SELECT track_id, seq, dl, lam, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM u)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""v{k} AS (SELECT track_id, seq, dl, s1, c1, s2, c2, ss, cs, sigma, cm, c2a, dl + (1 - c) * {f!r} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS lam
+ FROM (SELECT *, {f / 16!r} * c2a * (4 + {f!r} * (4 - 3 * c2a)) AS c FROM (SELECT *, CASE WHEN c2a = 0 THEN 0 ELSE cs - 2 * s1 * s2 / c2a END AS cm FROM (SELECT *, 1 - sa * sa AS c2a FROM
+ (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa, atan2(ss, cs) AS sigma FROM (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM (SELECT track_id, seq, dl, lam, s1, c1, s2, c2 FROM v{k - 1})))))))""")
+    parts.append(f"""d AS (SELECT track_id, seq, CASE WHEN ss = 0 THEN 0 ELSE {b!r} * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) END AS d
+ FROM (SELECT *, 1 + us / 16384 * (4096 + us * (-768 + us * (320 - 175 * us))) AS big, us / 1024 * (256 + us * (-128 + us * (74 - 47 * us))) AS small FROM (SELECT *, c2a * {(geo.A**2 - b * b) / (b * b)!r} AS us FROM v{rounds})))""")
+    return ", ".join(parts) + " SELECT e.track_id, e.seq, round(coalesce(d, 0), 3) AS distance, round(sum(coalesce(d, 0)) OVER (PARTITION BY e.track_id ORDER BY e.seq ROWS UNBOUNDED PRECEDING), 2) AS cumulative_distance_m FROM e LEFT JOIN d ON e.track_id = d.track_id AND e.seq = d.seq"
+
+
+@query(_vincenty_sql())
 def geodesic_distance(spark, sf):
-    return kinematics.traveled_distance(tracks(spark, sf), T, "lat", "lon", keep_step=True).select(*KEY, r("distance", 3), r("cumulative_distance_m", 3))
+    return kinematics.traveled_distance(tracks(spark, sf), T, "lat", "lon", keep_step=True).select(*KEY, r("distance", 3), r("cumulative_distance_m", 2))
 
 
 @query(f"{PL} SELECT track_id, seq, round(CASE WHEN lag(s) OVER {W} IS NULL OR s = lag(s) OVER {W} THEN 0 ELSE (v - lag(v) OVER {W}) / (s - lag(s) OVER {W}) END, 6) AS gradient, round(CASE WHEN lag(s) OVER {W} IS NULL OR s = lag(s) OVER {W} THEN 0 ELSE 1000 * (v - lag(v) OVER {W}) / (s - lag(s) OVER {W}) END, 3) AS gradient_per_mille FROM p")
@@ -298,12 +312,16 @@ def centred_difference(spark, sf):
     return tracks(spark, sf).select(*KEY, r(smoothing.difference(T, "v"), 6, "d"))
 
 
-def _savgol_sql(window: int, degree: int) -> str:
+def _savgol_of(c: str, window: int, degree: int) -> str:
     taps, h = smoothing.savgol_taps(window, degree), window // 2
-    at = lambda o: "v" if o == 0 else f"lag(v, {-o}) OVER {W}" if o < 0 else f"lead(v, {o}) OVER {W}"
-    row = lambda w, first: " + ".join(f"({float(c)!r}) * {at(first + i)}" for i, c in enumerate(w))
+    at = lambda o: c if o == 0 else f"lag({c}, {-o}) OVER {W}" if o < 0 else f"lead({c}, {o}) OVER {W}"
+    row = lambda w, first: " + ".join(f"({float(x)!r}) * {at(first + i)}" for i, x in enumerate(w))
     whens = "".join(f" WHEN seq = {i + 1} THEN {row(taps[i], -i)} WHEN seq = n - {i} THEN {row(taps[window - 1 - i], i - window + 1)}" for i in range(h))
-    return f"{EV}, z AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM e) SELECT track_id, seq, round(CASE WHEN n < {window} THEN NULL{whens} ELSE {row(taps[h], -h)} END, 6) AS v_savgol FROM z"
+    return f"CASE WHEN n < {window} THEN NULL{whens} ELSE {row(taps[h], -h)} END"
+
+
+def _savgol_sql(window: int, degree: int) -> str:
+    return f"{EV}, z AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM e) SELECT track_id, seq, round({_savgol_of('v', window, degree)}, 6) AS v_savgol FROM z"
 
 
 @query(_savgol_sql(3, 1))
@@ -316,7 +334,14 @@ def savgol_5_2(spark, sf):
     return smoothing.savgol(tracks(spark, sf), T, "v", 5, 2).select(*KEY, r("v_savgol"))
 
 
-@query()
+def _gaussian_sql(sigma: float = 2.0, r: int = 8) -> str:
+    w = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-r, r + 1)]
+    at = lambda o: f"((seq - 1 + {o}) % (2 * n) + 2 * n) % (2 * n)"
+    terms = " + ".join(f"{c / sum(w)!r} * l[1 + CASE WHEN {at(o)} < n THEN {at(o)} ELSE 2 * n - 1 - {at(o)} END]" for o, c in zip(range(-r, r + 1), w, strict=True))
+    return f"{EV}, g AS (SELECT track_id, list(v ORDER BY seq) AS l, count(*) AS n FROM e GROUP BY 1) SELECT track_id, seq, round({terms}, 6) AS v_smoothed_gaussian FROM e JOIN g USING (track_id)"
+
+
+@query(_gaussian_sql())
 def gaussian_smooth(spark, sf):
     return smoothing.gaussian(tracks(spark, sf), T, "v").select(*KEY, r("v_smoothed_gaussian"))
 
@@ -355,20 +380,47 @@ def segment_curves(spark, sf):
     return segmentation.segment(_curved(spark, sf), T, "k", "s").select(*KEY, "segment_type", "segment_id")
 
 
-@query()
+def _digits(c: str) -> Column:
+    """Five digits of a number of any size, or its name."""
+    return F.when(F.col(c).isNull(), "null").when(numeric.is_inf(F.col(c)), F.when(F.col(c) > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.4e", c)).alias(c)
+
+
+def _sql_digits(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'null' WHEN {c} = 'Infinity'::DOUBLE THEN 'inf' WHEN {c} = '-Infinity'::DOUBLE THEN '-inf' ELSE printf('%.4e', {c}) END AS {c}"
+
+
+_FULL = f"""{_K}, c AS (SELECT *, {_SM} AS c FROM n),
+d AS (SELECT *, CASE WHEN lag(s) OVER {W} IS NOT NULL AND lead(s) OVER {W} IS NOT NULL THEN (pow(s - lag(s) OVER {W}, 2) * lead(c) OVER {W} + (pow(lead(s) OVER {W} - s, 2) - pow(s - lag(s) OVER {W}, 2)) * c - pow(lead(s) OVER {W} - s, 2) * lag(c) OVER {W}) / nullif((s - lag(s) OVER {W}) * (lead(s) OVER {W} - s) * (lead(s) OVER {W} - lag(s) OVER {W}), 0)
+ ELSE coalesce((lead(c) OVER {W} - c) / nullif(lead(s) OVER {W} - s, 0), (c - lag(c) OVER {W}) / nullif(s - lag(s) OVER {W}, 0)) END AS dc FROM c),
+m AS (SELECT *, coalesce(abs(c) < 1e-4, false) AS straight_mask, coalesce(abs(dc) < 1e-6, false) AS steady_mask, CASE WHEN abs(c) <= 1e-12 THEN 'Infinity'::DOUBLE ELSE 1 / c END AS instant_radius FROM d),
+t AS (SELECT *, CASE WHEN straight_mask THEN 'straight' WHEN steady_mask THEN 'steady_curve' ELSE 'transition' END AS segment_type FROM m), l AS (SELECT *, lag(segment_type) OVER {W} AS lag_ FROM t),
+g AS (SELECT *, {_RUN.format('segment_type')} AS segment_id FROM l), a AS (SELECT *, CASE WHEN segment_type = 'straight' THEN 'Infinity'::DOUBLE ELSE avg(instant_radius) OVER (PARTITION BY track_id, segment_id) END AS mean_radius FROM g)"""
+
+
+@query(f"{_FULL} SELECT track_id, seq, round(c, 9) + 0.0 AS curvature_smooth, straight_mask, steady_mask, {_sql_digits('instant_radius')}, {_sql_digits('mean_radius')} FROM a")
 def segment_curves_full(spark, sf):
     d = segmentation.segment(_curved(spark, sf), T, "k", "s", tie_fix=False)
-    return d.select(*KEY, r("curvature_smooth", 9), "straight_mask", "steady_mask", _text("instant_radius"), _text("mean_radius"))
+    return d.select(*KEY, r("curvature_smooth", 9), "straight_mask", "steady_mask", _digits("instant_radius"), _digits("mean_radius"))
 
 
-@query()
+_FIVE = "(PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+_V3 = f"""{PL}, n AS (SELECT *, (v - 50) / 1e4 AS k, CASE WHEN v = 50 THEN 'Infinity'::DOUBLE ELSE 1 / ((v - 50) / 1e4) END AS radius, count(*) OVER (PARTITION BY track_id) AS n FROM p), c AS (SELECT *, {_savgol_of('k', 5, 2)} AS k1 FROM n),
+d AS (SELECT *, coalesce((lead(k1) OVER {W} - lag(k1) OVER {W}) / 2, lead(k1) OVER {W} - k1, k1 - lag(k1) OVER {W}) AS slope FROM c), f AS (SELECT *, avg(slope) OVER {_FIVE} AS slope5, avg(k1) OVER {_FIVE} AS k5 FROM d),
+m AS (SELECT *, CASE WHEN abs(slope5) >= 0.005 THEN 'Übergangsbogen' WHEN abs(k5) < 0.001 THEN 'straight line' ELSE 'curve' END AS kind3 FROM f), l AS (SELECT *, lag(kind3) OVER {W} AS lag_ FROM m), g AS (SELECT *, {_RUN.format('kind3')} AS run FROM l),
+u AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY track_id, run) < 3 THEN 'undefined' ELSE kind3 END AS segment_type, avg(radius) FILTER (WHERE radius <> 'Infinity'::DOUBLE) OVER (PARTITION BY track_id, run) AS m FROM g)
+SELECT track_id, seq, segment_type, round(CASE WHEN segment_type = 'curve' THEN m END, 3) + 0.0 AS mittelradius FROM u"""
+
+
+@query(_V3)
 def segment_curves_v3(spark, sf):
     d = planar(spark, sf).withColumn("k", (F.col("v") - 50) / 1e4)
     d = d.withColumn("radius", numeric.ieee_div(F.lit(1.0), F.col("k")))
     return segmentation.segment_by_slope(d, T, "k", "radius").select(*KEY, "segment_type", r("mittelradius", 3))
 
 
-@query()
+@query(f"""{PL}, n AS (SELECT *, CASE WHEN kind = 'view' THEN 'Infinity'::DOUBLE ELSE v * 100 END AS radius FROM p), m AS (SELECT *, coalesce(avg(CASE WHEN kind <> 'view' THEN radius END) OVER {_FIVE} > 10000 OR count_if(kind = 'view') OVER {_FIVE} > 0, true) AS bent FROM n), l AS (SELECT *, lag(bent) OVER {W} AS lag_ FROM m),
+g AS (SELECT *, {_RUN.format('bent')}::BIGINT AS segment_id FROM l), w AS (SELECT *, stddev_samp(CASE WHEN kind <> 'view' THEN radius END) OVER (PARTITION BY track_id, segment_id) AS sd, avg(CASE WHEN kind <> 'view' THEN radius END) OVER (PARTITION BY track_id, segment_id) AS m FROM g),
+t AS (SELECT *, CASE WHEN bent THEN 'straight' WHEN coalesce(sd < 50, false) THEN 'curve' ELSE 'transition' END AS segment_type FROM w) SELECT track_id, seq, segment_type, segment_id, round(CASE WHEN segment_type = 'curve' THEN m END, 3) AS segment_radius FROM t""")
 def segment_by_spread(spark, sf):
     d = planar(spark, sf).withColumn("radius", F.when(F.col("kind") == "view", float("inf")).otherwise(F.col("v") * 100))
     return segmentation.segment_by_spread(d, T, "radius").select(*KEY, "segment_type", "segment_id", r("segment_radius", 3))
@@ -519,9 +571,9 @@ def radius_join_nearest(spark, sf):
     return spatial.radius_join(p, q, 700.0, "p", "q").select("p", "q", r("distance", 3))
 
 
-@query(f"WITH c AS (SELECT p.p, p.x, p.y FROM {_PTS} p JOIN {_PTS} o ON sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2)) <= 600 GROUP BY ALL HAVING count(*) >= 5) SELECT DISTINCT p.p FROM {_PTS} p JOIN c ON sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)) <= 600")
+@query(f"WITH c AS (SELECT p.p, p.x, p.y FROM {_PTS} p JOIN {_PTS} o ON sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2)) <= 600 GROUP BY ALL HAVING count(*) >= 3) SELECT DISTINCT p.p FROM {_PTS} p JOIN c ON sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)) <= 600")
 def dbscan_noise(spark, sf):
-    return spatial.without_noise(_points(spark, sf), "p", "x", "y", 600.0, 5).select("p")
+    return spatial.without_noise(_points(spark, sf), "p", "x", "y", 600.0, 3).select("p")
 
 
 def _grid_lines(spark, sf, kind: str) -> DataFrame:
@@ -582,9 +634,19 @@ def _curves(spark, sf) -> DataFrame:
     return read(spark, sf, "customer").select(k.alias("q"), F.array(vertex(0, 0), vertex(20, k % 7 + 1), vertex(40, 0), vertex(60, 3)).alias("geometry"))
 
 
-@query()
+_VX = "(SELECT c_custkey AS q, unnest([0, 1, 2, 3]) AS n, c_custkey * 71 % 5000 + unnest([0.0, 20, 40, 60])::DOUBLE AS x, c_custkey * 313 % 5000 + unnest([0.0, c_custkey % 7 + 1, 0, 3])::DOUBLE AS y FROM customer)"
+#: Point p against every piece of every curve q; the point's foot lies at ax + u * (bx - ax).
+_FEET = f"""v AS (SELECT * FROM {_VX}), sg AS (SELECT * FROM (SELECT q, n, x AS ax, y AS ay, lead(x) OVER (PARTITION BY q ORDER BY n) AS bx, lead(y) OVER (PARTITION BY q ORDER BY n) AS by_ FROM v) WHERE bx IS NOT NULL),
+f AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS u FROM {_PTS}, sg), fd AS (SELECT *, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (by_ - ay), 2)) AS d FROM f)"""
+
+
+@query(f"""WITH {_FEET}, b AS (SELECT p, arg_min(q, (d, q)) AS q, min(d) AS d, any_value(x) AS x, any_value(y) AS y FROM fd GROUP BY p),
+t AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY q ORDER BY n)),
+e AS (SELECT *, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) AS a, sqrt(pow(px - nx, 2) + pow(py - ny, 2)) AS b, sqrt(pow(px - x, 2) + pow(py - y, 2)) AS c FROM t), h AS (SELECT *, (a + b + c) / 2 AS s FROM e),
+k AS (SELECT q, n, x AS vx, y AS vy, a * b * c / (4 * sqrt(s * (s - a) * (s - b) * (s - c))) AS map_radius FROM h)
+SELECT b.p, b.q, round(any_value(b.d), 4) AS dist2rail, round(arg_min(coalesce(map_radius, -1), (sqrt(pow(b.x - vx, 2) + pow(b.y - vy, 2)), n)), 4) AS map_radius FROM b JOIN k USING (q) GROUP BY b.p, b.q""")
 def map_radius(spark, sf):
-    return spatial.map_radius(_points(spark, sf), _curves(spark, sf), "p", "q", 50.0).select("p", "q", r("dist2rail", 4), r("map_radius", 4))
+    return spatial.map_radius(_points(spark, sf), _curves(spark, sf), "p", "q", 50.0).select("p", "q", r("dist2rail", 4), r(F.coalesce("map_radius", F.lit(-1.0)), 4, "map_radius"))
 
 
 @query()
@@ -593,18 +655,23 @@ def line_orientation(spark, sf):
     return d.select("q", F.round(line_angle_at("geometry", "x", "y"), 4).alias("angle"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, greatest(0, least(1, CASE WHEN pow(bx - ax, 2) + pow(by_ - ay, 2) > 0 THEN ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)) ELSE 0 END)) AS u FROM {_PTS}, {_SEG}),
+n AS (SELECT *, (p * 17 % 360)::DOUBLE AS train_bearing, ((degrees(atan2(bx - ax, by_ - ay)) % 360) + 360) % 360 % 180 AS infra_bearing FROM s WHERE sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (by_ - ay), 2)) <= 60),
+g AS (SELECT *, least(abs(train_bearing - infra_bearing) % 180, 180 - abs(train_bearing - infra_bearing) % 180) AS gap FROM n)
+SELECT p, q, train_bearing, round(infra_bearing, 6) + 0.0 AS infra_bearing, round(gap, 6) + 0.0 AS angle_diff, CASE WHEN gap < 5 THEN 'on bridge' ELSE 'under bridge' END AS status FROM g""")
 def along_or_across(spark, sf):
     p = _points(spark, sf).withColumn("bearing", (F.col("p") * 17 % 360).cast("double"))
     return spatial.along_or_across(p, _lines(spark, sf), 60.0, "p", "q", "bearing").select("p", "q", "train_bearing", r("infra_bearing"), r("angle_diff"), "status")
 
 
-@query()
+@query(f"WITH {_FEET.partition(', f AS')[0]}, w AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS w FROM sg), c AS (SELECT q, sum(w * (ax + bx) / 2) / sum(w) AS x, sum(w * (ay + by_) / 2) / sum(w) AS y FROM w GROUP BY q) SELECT round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM c")
 def centroid_mean(spark, sf):
     return spatial.centre(_curves(spark, sf), "q").select(r("x", 4), r("y", 4))
 
 
-@query()
+@query(f"""WITH d AS (SELECT s_suppkey AS p, c_custkey AS q, 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plon - lon) / 2), 2)))) AS d FROM (SELECT s_suppkey, {_LL.format('s_suppkey * 13', '')} FROM supplier) CROSS JOIN (SELECT c_custkey, {_LL.format('c_custkey * 29', 'p')} FROM customer)),
+n AS (SELECT p, arg_min(q, (round(d, 6), q)) AS q FROM d WHERE d <= 300 GROUP BY p)
+SELECT s_suppkey AS p, CASE WHEN q IS NOT NULL AND s_nationkey <> 4 THEN 'near bridge ' || q || ' (poor GPS)' WHEN q IS NOT NULL THEN 'near bridge ' || q WHEN s_nationkey <> 4 THEN 'poor GPS' ELSE 'clear' END AS structure_status FROM supplier LEFT JOIN n ON p = s_suppkey""")
 def structure_status(spark, sf):
     place = lambda k: ((51 + k % 400 / 1000).alias("lat"), (11 + k * 7 % 600 / 1000).alias("lon"))
     p = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p"), F.col("s_nationkey").alias("quality"), *place(F.col("s_suppkey") * 13))
@@ -621,37 +688,84 @@ def _ways(spark, sf) -> DataFrame:
     return b.unionByName(rl).unionByName(rl.where("id % 4 = 0").withColumn("kind", F.lit("tunnel"))).withColumn("bundesland", F.when(F.col("id") % 2 == 0, "sachsen").otherwise("bayern"))
 
 
-@query()
+def _mercator_sql(of: str, *, layer: str) -> str:
+    """Lines of _BR or _RL in web Mercator metres, by way of degrees."""
+    x = lambda c: f"{geo.A} * radians(10 + {c} / 111320.0)"
+    y = lambda c: f"{geo.A} * ln(tan(pi() / 4 + radians({c} / 111320.0) / 2))"
+    a, b, c, d, key = ("ax", "ay", "bx", "by_", "bridge") if of is _BR else ("cx", "cy", "dx", "dy", "rail")
+    return f"(SELECT {key}, {key} % 3 AS {layer}, {x(a)} AS {a}, {y(b)} AS {b}, {x(c)} AS {c}, {y(d)} AS {d} FROM {of})"
+
+
+def _gap_sql(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    u = f"greatest(0, least(1, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (pow({bx} - {ax}, 2) + pow({by} - {ay}, 2))))"
+    return f"sqrt(pow({px} - {ax} - {u} * ({bx} - {ax}), 2) + pow({py} - {ay} - {u} * ({by} - {ay}), 2))"
+
+
+_ENDS = (("ax", "ay", "bx", "by_"), ("cx", "cy", "dx", "dy"))
+_NEAREST_ENDS = "least(" + ", ".join(_gap_sql(*one[i : i + 2], *other) for one, other in (_ENDS, _ENDS[::-1]) for i in (0, 2)) + ")"
+_WAYS = f"""WITH j AS (SELECT *, (bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx) AS det FROM {_mercator_sql(_BR, layer='lb')}, {_mercator_sql(_RL, layer='lr')}),
+k AS (SELECT *, coalesce(((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / nullif(det, 0) BETWEEN 0 AND 1 AND ((cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax)) / nullif(det, 0) BETWEEN 0 AND 1, false) AS hit FROM j),
+under AS (SELECT DISTINCT bridge FROM (SELECT bridge, abs(degrees(atan2(by_ - ay, bx - ax)) - degrees(atan2(dy - cy, dx - cx))) % 180 AS g FROM k WHERE hit) WHERE least(g, 180 - g) > 10),
+below AS (SELECT DISTINCT bridge FROM k WHERE lr < lb AND (hit OR {_NEAREST_ENDS} <= 10))"""
+
+
+@query(f"""{_WAYS} SELECT bridge * 3 AS index, 'under' AS position, 'bridge' AS infrastructure, CASE WHEN bridge % 2 = 0 THEN 'sachsen' ELSE 'bayern' END AS bundesland FROM under
+UNION ALL SELECT id, 'in', 'tunnel', CASE WHEN id % 2 = 0 THEN 'sachsen' ELSE 'bayern' END FROM (SELECT c_custkey * 3 + 1 AS id FROM customer) WHERE id % 4 = 0""")
 def infrastructure_combined(spark, sf):
     return infrastructure.combined(_ways(spark, sf)).select("index", "position", "infrastructure", "bundesland")
 
 
-@query()
+@query(f"{_WAYS} SELECT bridge * 3 AS id, 'below' AS position FROM below")
 def bridges_by_layer(spark, sf):
     return infrastructure.bridges(_ways(spark, sf), rule="layer").select("id", "position")
 
 
-@query()
+@query(f"""SELECT '{{"type":"Feature","properties":{{"q":' || q || '}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY n) || ']}}}}' AS value FROM {_VX} GROUP BY q""")
 def geojson_features(spark, sf):
     return sinks.features(_curves(spark, sf))
 
 
-@query()
+@query(f"{EV} SELECT 'Point' AS kind, round(lon, 6) AS lon, round(lat, 6) AS lat, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, printf('%.1f km/h', round(v * 3.6, 1)) AS popup, 'circle' AS icon FROM e")
 def timed_features(spark, sf):
-    return sinks.timed_features(tracks(spark, sf), "ts", "lat", "lon", F.format_string("%.1f km/h", numeric.kmh(F.col("v"))))
+    """Features, read back from their JSON."""
+    made = sinks.timed_features(tracks(spark, sf), "ts", "lat", "lon", F.format_string("%.1f km/h", F.round(numeric.kmh(F.col("v")), 1)))
+    j = F.from_json("value", "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<time: string, popup: string, icon: string>")
+    return made.select(j.alias("j")).where("j.type = 'Feature'").select(F.col("j.geometry.type").alias("kind"), r(F.col("j.geometry.coordinates")[0], 6, "lon"), r(F.col("j.geometry.coordinates")[1], 6, "lat"), "j.properties.*")
 
 
 # State along a track
 
 
-@query()
+#: Tracks, for queries that go from step to step.
+_STEPS = "e AS (SELECT user_id AS track_id, event_id, ts, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"
+
+
+def _class_sql(v: str) -> str:
+    bins = sequential.SPEED_BINS
+    return "CASE " + " ".join(f"WHEN {v} >= {a} AND {v} < {b} THEN {i}" for i, (a, b) in enumerate(zip(bins, bins[1:], strict=False))) + f" ELSE {len(bins) - 1} END"
+
+
+_STOPS = f"""WITH RECURSIVE {_STEPS}, a AS (SELECT *, 51 + v / 1000 AS lat, 11 + event_id % 100 / 1000 AS lon, (epoch_us(ts) - epoch_us(first_value(ts) OVER {W})) / 1e6 AS t, avg(greatest(v - 30, 0) / 10) OVER {_FIVE} AS u FROM e),
+b AS (SELECT *, avg(u) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead, {_class_sql('u')} AS own FROM a),
+c AS (SELECT *, t + CASE WHEN own = 0 THEN 300 WHEN u < 0.5 THEN 1 ELSE greatest(1, least(9999, 20 / (u + 1e-6))) END AS until, {_class_sql('ahead')} AS next FROM b),
+k AS (SELECT track_id, seq, seq AS start, own, until FROM c WHERE seq = 1 UNION ALL
+ SELECT track_id, seq, CASE WHEN fresh THEN seq ELSE start END, CASE WHEN fresh THEN mine ELSE own END, CASE WHEN fresh THEN lasts ELSE until END
+ FROM (SELECT c.track_id, c.seq, k.start, k.own, k.until, c.own AS mine, c.until AS lasts, c.t > k.until OR (c.own <> k.own AND CASE WHEN k.own = 0 THEN c.ahead >= 0.5 ELSE c.next <> k.own END) AS fresh FROM k JOIN c ON c.track_id = k.track_id AND c.seq = k.seq + 1)),
+g AS (SELECT track_id, start, any_value(k.own) AS own, max(seq) AS last, avg(lat) AS lat, avg(lon) AS lon, avg(u) AS speed FROM k JOIN c USING (track_id, seq) GROUP BY track_id, start),
+m AS (SELECT track_id, start AS seq, 'STOP_START' AS segment_marker, lat, lon, speed FROM g WHERE own = 0 UNION ALL SELECT track_id, last, 'STOP_END', lat, lon, speed FROM g WHERE own = 0 UNION ALL SELECT track_id, start, 'MOVING_' || {_class_sql('speed')}, lat, lon, speed FROM g WHERE own <> 0)"""
+
+
+@query(f"""{_STOPS} SELECT track_id, seq, segment_marker, round(lat, 6) AS lat_smoothed_rolling_windows, round(lon, 6) AS lon_smoothed_rolling_windows, round(speed, 6) AS speed FROM m""")
 def stop_move(spark, sf):
     d = kinematics.elapsed_time(tracks(spark, sf), T).withColumn("speed", F.greatest(F.col("v") - 30, F.lit(0.0)) / 10)
     d = sequential.stop_move(d, T, "lat", "lon", "speed")
     return d.select(*KEY, "segment_marker", r("lat_smoothed_rolling_windows"), r("lon_smoothed_rolling_windows"), r("speed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, v * 10 AS x, (event_id % 100) * 7.0 AS y FROM e),
+k AS (SELECT track_id, seq, x AS lx, y AS ly, true AS keep FROM p WHERE seq = 1 UNION ALL
+ SELECT track_id, seq, CASE WHEN far THEN x ELSE lx END, CASE WHEN far THEN y ELSE ly END, far FROM (SELECT p.*, lx, ly, sqrt(pow(x - lx, 2) + pow(y - ly, 2)) >= 300 AS far FROM k JOIN p ON p.track_id = k.track_id AND p.seq = k.seq + 1))
+SELECT track_id, seq, 300.0::DOUBLE AS min_distance FROM k WHERE keep""")
 def min_spacing(spark, sf):
     return sequential.thin_by_distance(planar(spark, sf), T, "x", "y", 300.0).select(*KEY, "min_distance")
 
@@ -663,7 +777,15 @@ def kalman_yaw(spark, sf):
     return sequential.kalman_smooth(tracks(spark, sf), T, "v").select(*KEY, r("v_kalman"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, v, 51 + v / 1000 AS lat, 11 + event_id % 100 / 1000 AS lon, (epoch_us(ts) - epoch_us(first_value(ts) OVER {W})) / 1e6 AS t,
+ (epoch_us(ts) - epoch_us(coalesce(lag(ts) OVER {W}, ts))) / 1e6 AS dt, avg(51 + v / 1000) OVER (PARTITION BY track_id ORDER BY seq ROWS 4 PRECEDING) AS mlat, avg(11 + event_id % 100 / 1000) OVER (PARTITION BY track_id ORDER BY seq ROWS 4 PRECEDING) AS mlon FROM e),
+k AS (SELECT track_id, 0::BIGINT AS seq, false AS moves, NULL::DOUBLE AS since, lat AS a, 0.0::DOUBLE AS va, lon AS o, 0.0::DOUBLE AS vo, 100.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 100.0::DOUBLE AS p22 FROM p WHERE seq = 1 UNION ALL
+ SELECT track_id, seq, on_, held, CASE WHEN on_ THEN qa + g1 * (lat - qa) ELSE mlat END, CASE WHEN on_ THEN va + g2 * (lat - qa) ELSE 0 END, CASE WHEN on_ THEN qo + g1 * (lon - qo) ELSE mlon END, CASE WHEN on_ THEN vo + g2 * (lon - qo) ELSE 0 END,
+  CASE WHEN on_ THEN (1 - g1) * s11 ELSE 100 END, CASE WHEN on_ THEN (1 - g1) * s12 ELSE 0 END, CASE WHEN on_ THEN s22 - g2 * s12 ELSE 100 END
+ FROM (SELECT *, s11 / (s11 + 1e-3) AS g1, s12 / (s11 + 1e-3) AS g2 FROM (SELECT *, CASE WHEN coalesce(t - from_ >= 3600, false) THEN NOT moves ELSE moves END AS on_, CASE WHEN coalesce(t - from_ >= 3600, false) THEN NULL ELSE from_ END AS held,
+   a + dt * va AS qa, o + dt * vo AS qo, p11 + 2 * dt * p12 + dt * dt * p22 + 1e-5 AS s11, p12 + dt * p22 AS s12, p22 + 1e-5 AS s22
+  FROM (SELECT p.*, moves, a, va, o, vo, p11, p12, p22, CASE WHEN (CASE WHEN moves THEN v < 40 ELSE v > 60 END) THEN coalesce(since, t) END AS from_ FROM k JOIN p ON p.track_id = k.track_id AND p.seq = k.seq + 1))))
+SELECT track_id, seq, moves AS is_moving, round(a, 6) AS lat_smoothed_kalman, round(o, 6) AS lon_smoothed_kalman FROM k WHERE seq > 0""")
 def kalman_track(spark, sf):
     d = kinematics.elapsed_time(tracks(spark, sf), T)
     d = sequential.kalman_track(d, T, "lat", "lon", "v", move=60.0, stop=40.0, hold=3600.0)
@@ -672,19 +794,38 @@ def kalman_track(spark, sf):
 
 @query()
 def particle_filter(spark, sf):
-    d = kinematics.elapsed_time(tracks(spark, sf), T)
-    return sequential.particle_filter(d, T, "lat", "lon", "v").select(*KEY, r("pf_speed", 4))
+    d = tracks(spark, sf).withColumn("acc", (F.col("event_id") % 7 - 3) / 10)
+    return sequential.particle_filter(d, T, "lat", "lon", "v", "acc").select(*KEY, r("pf_speed", 4), r("pf_acc", 4))
 
 
-@query()
-def steady_curves(spark, sf):
-    d = kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s", straight_radius=11_000.0)
-    return sequential.steady_curves(d, T, "curvature_h", "radius_m_h", most=0.05, shortest=3).select(*KEY, "steady_group")
+_STEADY = f"""{_CURV.replace('WITH e', 'WITH RECURSIVE e', 1)}, z AS (SELECT track_id, seq, CASE WHEN abs(radius_m_h) > 11000 THEN 0 WHEN isfinite(curvature_h) THEN curvature_h END AS c, CASE WHEN abs(radius_m_h) > 11000 THEN 'Infinity'::DOUBLE ELSE radius_m_h END AS radius FROM k),
+g AS (SELECT track_id, 0::BIGINT AS seq, 0::BIGINT AS start, 0::BIGINT AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS m2 FROM z WHERE seq = 1 UNION ALL
+ SELECT track_id, seq, CASE WHEN fresh THEN seq ELSE start END, CASE WHEN c IS NULL THEN n_ ELSE n_ + 1 END, CASE WHEN c IS NULL THEN mean_ ELSE mean_ + (c - mean_) / (n_ + 1) END, CASE WHEN c IS NULL THEN m2_ ELSE m2_ + (c - mean_) * (c - mean_ - (c - mean_) / (n_ + 1)) END
+ FROM (SELECT *, CASE WHEN fresh THEN 0 ELSE n END AS n_, CASE WHEN fresh THEN 0 ELSE mean END AS mean_, CASE WHEN fresh THEN 0 ELSE m2 END AS m2_ FROM
+  (SELECT z.*, start, n, mean, m2, start = 0 OR (n = 0 AND c IS NULL) OR coalesce(sqrt(greatest(m2 + (c - mean) * (c - mean - (c - mean) / (n + 1)), 0) / (n + 1)) > 0.05, false) AS fresh FROM g JOIN z ON z.track_id = g.track_id AND z.seq = g.seq + 1))),
+r AS (SELECT track_id, seq, start, count(*) OVER (PARTITION BY track_id, start) >= 3 AS long FROM g WHERE seq > 0), f AS (SELECT *, CASE WHEN long THEN sum(CASE WHEN long AND seq = start THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS steady_group FROM r)"""
 
 
-@query()
+@query(f"{_STEADY} SELECT track_id, seq, steady_group FROM f")
+def steady_curves(spark, sf):
+    d = kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s", straight_radius=11_000.0)
+    return sequential.steady_curves(d, T, "curvature_h", "radius_m_h", most=0.05).select(*KEY, "steady_group")
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, v * 10 AS x, (event_id % 100) * 7.0 AS y FROM e),
+w AS (SELECT track_id, seq, list(x) OVER w AS xs, list(y) OVER w AS ys, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+u AS (SELECT track_id, seq, list_transform(xs, lambda q: q - list_avg(xs)) AS u, list_transform(ys, lambda q: q - list_avg(ys)) AS v FROM w WHERE n = 5),
+z AS (SELECT *, list_transform(u, lambda q, i: q * q + v[i] * v[i]) AS z, list_sum(list_transform(u, lambda q: q * q)) AS suu, list_sum(list_transform(v, lambda q: q * q)) AS svv, list_sum(list_transform(u, lambda q, i: q * v[i])) AS suv FROM u),
+c AS (SELECT *, suu * svv - suv * suv AS det, list_sum(list_transform(u, lambda q, i: q * z[i])) AS suz, list_sum(list_transform(v, lambda q, i: q * z[i])) AS svz FROM z),
+m AS (SELECT *, (suz * svv - svz * suv) / (2 * det) AS cx, (svz * suu - suz * suv) / (2 * det) AS cy FROM c WHERE det > 1e-12 * pow(suu + svv, 2)), o AS (SELECT *, sqrt(cx * cx + cy * cy + list_avg(z)) AS r FROM m),
+a AS (SELECT track_id, seq, r, list_avg(list_transform(u, lambda q, i: abs(sqrt(pow(q - cx, 2) + pow(v[i] - cy, 2)) - r))) AS res FROM o),
+f AS (SELECT track_id, seq + 2 AS place, r, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k FROM a WHERE res <= 200 AND r BETWEEN 10 AND 12000),
+g AS (SELECT track_id, k, place, r, 1::BIGINT AS number, 1::BIGINT AS n, r AS mean FROM f WHERE k = 1 UNION ALL
+ SELECT f.track_id, f.k, f.place, f.r, CASE WHEN abs(f.r - mean) <= 50 THEN number ELSE number + 1 END, CASE WHEN abs(f.r - mean) <= 50 THEN n + 1 ELSE 1 END, CASE WHEN abs(f.r - mean) <= 50 THEN mean + (f.r - mean) / (n + 1) ELSE f.r END FROM g JOIN f ON f.track_id = g.track_id AND f.k = g.k + 1),
+b AS (SELECT track_id, number, min(place) AS lo, max(place) AS hi, avg(r) AS r FROM g GROUP BY ALL)
+SELECT p.track_id, seq, coalesce(number, -1)::BIGINT AS circle_group, round(coalesce(b.r, -1), 3) AS radius_m_circle FROM p LEFT JOIN b ON b.track_id = p.track_id AND seq BETWEEN lo AND hi""")
 def circle_fit(spark, sf):
-    return sequential.circle_fit(planar(spark, sf), T, size=5, most_residual=200.0, low=10.0, high=12_000.0).select(*KEY, "circle_group", r("radius_m_circle", 3))
+    return sequential.circle_fit(planar(spark, sf), T, size=5, most_residual=200.0, low=10.0, high=12_000.0).select(*KEY, F.coalesce("circle_group", F.lit(-1).cast("long")).alias("circle_group"), r(F.coalesce("radius_m_circle", F.lit(-1.0)), 3, "radius_m_circle"))
 
 
 @query()
@@ -712,9 +853,11 @@ def daily_pipeline(spark, sf):
     return d.select(*KEY, "segment_marker", r("x", 2), r("y", 2), r("cumulative_distance_m", 2), "segment_type", "segment_id", F.array_join("steps", ",").alias("steps"))
 
 
-@query()
+@query(f"""{EV}, d AS (SELECT *, ({_HAV}) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1e6, 0) AS speed FROM e), f AS (SELECT track_id, seq, lat, lon FROM d WHERE speed IS NULL OR speed < 0.5),
+c AS (SELECT f.lat, f.lon FROM f JOIN f o ON sqrt(pow(f.lat - o.lat, 2) + pow(f.lon - o.lon, 2)) <= 2000.0 / 111000 GROUP BY f.track_id, f.seq, f.lat, f.lon HAVING count(*) >= 4)
+SELECT DISTINCT f.track_id, f.seq FROM f JOIN c ON sqrt(pow(f.lat - c.lat, 2) + pow(f.lon - c.lon, 2)) <= 2000.0 / 111000""")
 def outliers_removed(spark, sf):
-    return daily.without_outliers(tracks(spark, sf), daily.Config(lat="lat", lon="lon"), "event_id", most_speed=0.5, eps_m=600.0, least=20).select(*KEY)
+    return daily.without_outliers(tracks(spark, sf), daily.Config(lat="lat", lon="lon"), "event_id", most_speed=0.5, eps_m=2000.0, least=4).select(*KEY)
 
 
 @query(f"{EV} SELECT track_id, ts, signal, value FROM (SELECT track_id, ts, 'lat' AS signal, lat AS value FROM e UNION ALL SELECT track_id, ts, 'v', v FROM e)")
@@ -727,15 +870,16 @@ def ends_layer(spark, sf):
     return products.ends_layer(tracks(spark, sf), T, "lat", "lon")
 
 
-@query()
+@query(f"{EV}, l AS (SELECT *, kind = 'error' AS b, lag(kind = 'error') OVER {W} AS lag_ FROM e), g AS (SELECT *, {_RUN.format('b')} AS run FROM l), m AS (SELECT *, row_number() OVER (PARTITION BY track_id, run ORDER BY seq) AS i, count(*) OVER (PARTITION BY track_id, run) AS n FROM g WHERE b) SELECT track_id, seq FROM m WHERE i = n // 2 + 1")
 def blocked_layer(spark, sf):
     return products.blocked_layer(tracks(spark, sf).withColumn("gps_blocked", F.col("kind") == "error"), T).select(*KEY)
 
 
-@query()
+@query(f"""{_FULL}, h AS (SELECT *, lag(mean_radius) OVER {W} AS lag_r FROM a), q AS (SELECT *, sum(CASE WHEN lag_r IS NOT DISTINCT FROM mean_radius AND seq > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM h)
+SELECT track_id, round(median(x), 3) AS x, round(median(y), 3) AS y, round(any_value(mean_radius), 2) AS mean_radius FROM q WHERE abs(mean_radius) BETWEEN 400 AND 30000 AND segment_type = 'steady_curve' GROUP BY track_id, run""")
 def radius_markers(spark, sf):
-    d = segmentation.segment(_curved(spark, sf), T, "k", "s")
-    return products.radius_markers(d, T).select("track_id", r("x", 3), r("y", 3), r("mean_radius", 3))
+    d = segmentation.segment(_curved(spark, sf), T, "k", "s", tie_fix=False)
+    return products.radius_markers(d, T).select("track_id", r("x", 3), r("y", 3), r("mean_radius", 2))
 
 
 @query(f"{PL} SELECT track_id, seq, x, y, round(10 * cos(radians(90 - h)), 6) + 0.0 AS dx, round(10 * sin(radians(90 - h)), 6) + 0.0 AS dy FROM p WHERE (seq - 1) % 20 = 0")
@@ -743,7 +887,9 @@ def heading_quiver(spark, sf):
     return products.quiver(planar(spark, sf), T, "h").select(*KEY, "x", "y", r("dx"), r("dy"))
 
 
-@query()
+@query(f"""{PL}, k AS (SELECT track_id, s AS x, avg(t) AS y FROM p GROUP BY ALL), q AS (SELECT track_id, unnest(range(0, floor(max(s))::BIGINT + 1, 500))::DOUBLE AS x FROM p GROUP BY track_id),
+l AS (SELECT q.*, (SELECT max(x) FROM k WHERE k.track_id = q.track_id AND k.x <= q.x) AS xa, (SELECT min(x) FROM k WHERE k.track_id = q.track_id AND k.x >= q.x) AS xb FROM q)
+SELECT l.track_id, l.x AS cumulative_distance_m, round(coalesce(u.y + (w.y - u.y) * (l.x - xa) / nullif(xb - xa, 0), u.y, w.y), 3) AS time FROM l LEFT JOIN k u ON u.track_id = l.track_id AND u.x = xa LEFT JOIN k w ON w.track_id = l.track_id AND w.x = xb""")
 def time_ticks(spark, sf):
     d = planar(spark, sf).withColumnRenamed("t", "time").withColumn("cumulative_distance_m", F.col("s"))
     ticks = d.groupBy("track_id").agg(F.max("s").alias("m")).select("track_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor("m").cast("int"), F.lit(500)), lambda k: k.cast("double"))).alias("cumulative_distance_m"))
