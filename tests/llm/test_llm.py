@@ -50,9 +50,9 @@ def brute_hits(text, items, n):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     rng = random.Random(1)
     say = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
     items = [(1, say(12)), (2, "b c"), (10, None), (11, "..."), (12, say(6)), (2, "b c")]
@@ -488,9 +488,9 @@ def test_pii_patterns(spark):
     assert pii.find(docs(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [pii.BROADCAST_TERMS, 0])
+@pytest.mark.parametrize("limit", [pii.BROADCAST_BYTES, 0])
 def test_pii_terms_of_repeated_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
     d = docs(spark, ["Mail Zorblax now at a@b.cc ok", "then zorblax said a@b.cc fine", "Herr Zorblax, a@b.cc !", "nothing said here"]).withColumns({c: F.lit(1) for c in ("_spans", "own_spans", "own_doc", "doc", "seen", "_doc")})
     four = d.unionByName(d).unionByName(d).unionByName(d)
     once, often = pii.sanitise(d), pii.sanitise(four)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from trackforge.llm.common import ascii_words, sha_of_list, unused
 
-#: Windows up to which the set is broadcast (about 200 bytes each); beyond, a shuffle join.
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows and item ids up to which the set is broadcast; beyond, a shuffle join.
+BROADCAST_BYTES = 200 << 20
 #: Words and the gaps between them, for texts in their own case.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,8 +49,9 @@ def find_hits(docs: DataFrame, bench: DataFrame, *, n: int = 10, doc_id: str = "
     as strings), spans (array of [start, end) word positions, merged), n_items, items_sha256,
     contaminated."""
     windows = benchmark_windows(bench, n, item_id, item_text)
-    sizes = {r["_len"]: r["c"] for r in windows.groupBy("_len").agg(F.count("*").alias("c")).collect()}  # at most n rows
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
+    held = F.aggregate(F.concat("_win", "_items"), F.lit(100).cast("long"), lambda s, x: s + F.octet_length(x) + 40)
+    sizes = {r["_len"]: r["c"] for r in windows.groupBy("_len").agg(F.sum(held).alias("c")).collect()}  # at most n rows
+    small = sum(sizes.values()) <= BROADCAST_BYTES
     d = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), ascii_words(F.col(text)).alias("_words"))
     d = d.select("_doc", "_text", "_words", F.size("_words").alias("_n"), F.posexplode_outer("_words").alias("_pos", "_w")).drop("_w")
     lengths = sorted(sizes) or [n]

@@ -6,8 +6,8 @@ side eps there, and sorted by cell, first dimension first. The sequence is cut i
 their bounds. Blocks are joined recursively: pairs of intervals of blocks, beginning with the
 whole sequence, are opened into pairs of smaller ones, and a pair whose bounds are further apart
 than eps is dropped with all below it. Pairs of single blocks that remain are compared vector by
-vector in double precision: the blocks of one interval are held, and the others pass by, each sent
-to an interval once.
+vector: in single precision first, and in double precision where rounding could decide. The blocks of
+one interval are held, and the others pass by, each sent to an interval once.
 
 Equal vectors are one class, compared once. An interval gives, for each class, the number of vectors
 it links to, and a forest that connects what is linked, so the output for near copies grows with
@@ -192,13 +192,20 @@ class Block:
     def __init__(self, cls: bytes, v: bytes, mult: list[int], dim: int):
         self.cls, self.v, self.mult = cls, np.frombuffer(v, "<f8").reshape(-1, dim), np.array(mult, np.int64)
         self.norm, self.n = np.sqrt((self.v * self.v).sum(1)), len(mult)
+        self.unit = (self.v / self.norm[:, None]).astype(np.float32)
         self.links = np.zeros(self.n, np.int64)
 
     def near(self, other: Block, cosine: float) -> np.ndarray:
-        out = np.empty((self.n, other.n), bool)
+        out, unsure = np.empty((self.n, other.n), bool), np.float32(1e-6 + 2e-7 * self.v.shape[1])  # more than single precision is off by
         for a in range(0, self.n, TILE):
-            i = slice(a, a + TILE)
-            out[i] = (self.v[i] @ other.v.T) / (self.norm[i, None] * other.norm[None, :]) >= cosine
+            c = self.unit[a : a + TILE] @ other.unit.T
+            sure = np.greater_equal(c, np.float32(cosine) + unsure, out=out[a : a + TILE])
+            perhaps = c >= np.float32(cosine) - unsure
+            if np.count_nonzero(perhaps) > np.count_nonzero(sure):
+                i, j = np.nonzero(perhaps & ~sure)
+                for k in range(0, len(i), 1 << 14):
+                    p, q = a + i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    out[p, q] = (self.v[p] * other.v[q]).sum(1) / (self.norm[p] * other.norm[q]) >= cosine
         if other is self:
             np.fill_diagonal(out, False)
         return out
@@ -231,9 +238,11 @@ class Interval:
         for j in with_:
             x, at = self.blocks[j], self.first[j]
             mask = x.near(y, self.cosine)
-            x.links += mask @ y.mult
+            if not (r := np.flatnonzero(mask.any(1))).size:
+                continue
+            x.links[r] += mask[r] @ y.mult
             if x is not y:
-                y.links += x.mult @ mask
+                y.links += x.mult[r] @ mask[r]
             for rows, columns, start in spanning(mask):
                 root = x.name(start)
                 for z, places, offset in ((x, rows, at), (y, columns, base)):
@@ -265,15 +274,18 @@ def _counts(x: Block) -> list[tuple]:
 def _compare(pairs: DataFrame, blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
     """cls, links (vectors of other classes it links to, from one interval), other (a class that the
     forest joins it to, or null)."""
-    # a block goes to each interval of FAN blocks that it meets, once, with the names of those it meets there
-    met = pairs.groupBy(F.floor(F.col("x") / FAN).alias("interval"), F.col("y").alias("i"), F.col("y_key").alias("key")).agg(F.array_sort(F.collect_set("x")).alias("with_"))
-    own = pairs.groupBy("x", "x_key").agg(F.lit(1)).select(F.floor(F.col("x") / FAN).alias("interval"), F.col("x").alias("i"), F.col("x_key").alias("key"), F.array().cast("array<bigint>").alias("with_"))
+    # a block goes to each interval that it meets, once, with the names of those blocks it meets there;
+    # intervals are as wide as leaves every task one
+    parts, many = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count()
+    width = max(1, min(FAN, many // (2 * parts)))
+    met = pairs.groupBy(F.floor(F.col("x") / width).alias("interval"), F.col("y").alias("i"), F.col("y_key").alias("key")).agg(F.array_sort(F.collect_set("x")).alias("with_"))
+    own = pairs.groupBy("x", "x_key").agg(F.lit(1)).select(F.floor(F.col("x") / width).alias("interval"), F.col("x").alias("i"), F.col("x_key").alias("key"), F.array().cast("array<bigint>").alias("with_"))
     data = blocks.select("key", "cls", "v", "mult")
-    inside = F.floor(F.col("i") / FAN) == F.col("interval")
+    inside = F.floor(F.col("i") / width) == F.col("interval")
     full = own.withColumn("turn", F.lit(0)).unionByName(met.where(~inside).withColumn("turn", F.lit(1))).join(data, "key")
     again = met.where(inside).withColumn("turn", F.lit(1)).select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in data.dtypes if c != "key"])
     columns = ["interval", "turn", "i", "with_", "cls", "v", "mult"]
-    rows = full.select(*columns).unionByName(again.select(*columns)).repartition("interval").sortWithinPartitions("interval", "turn", "i")
+    rows = full.select(*columns).unionByName(again.select(*columns)).repartition(max(1, min(parts, -(-many // width))), "interval").sortWithinPartitions("interval", "turn", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Interval(cosine)

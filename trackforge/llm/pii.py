@@ -8,8 +8,9 @@ IC(e) = -log2 P(e). A word t of a document that holds e discloses PMI(e; t) = lo
 bits of it, where P(e | t) is the share of the documents with t, in the whole corpus, that hold e,
 wherever the two stand. If this is IC(e) - slack_bits or more, that is if t alone nearly tells e
 (P(e | t) >= 2 ** -slack_bits), and the two were seen together in several different texts (copies,
-up to all but letters, are one), then t is removed or generalised at all its places in the documents
-that hold e.
+up to all but letters, are one), then t is removed at all its places in the documents that hold e: a
+word gives way to its kind. Of terms and counts every row of the table counts, repeated ones too, for
+the entity and for the term alike.
 
 The patterns say what the plain ones say, without unbounded recursion or backtracking:
 - e-mail: a match can start only where its local part does, or where the last match ended; the
@@ -35,8 +36,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 BETWEEN_CARDS = r"[^0-9]{2,}|[^0-9 -]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 NOT_LETTER = r"[^\p{L}]+"
-#: Candidate terms up to which their occurrences are counted by a broadcast join (about 50 bytes each).
-BROADCAST_TERMS = 200_000
+#: Bytes of candidate terms up to which their occurrences are counted by a broadcast join.
+BROADCAST_BYTES = 10 << 20
 
 
 def _digits(s: Column) -> Column:
@@ -116,7 +117,8 @@ def _terms(text: Column) -> Column:
 def _documents_with(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """term, all: rows of docs (text) with each term asked about."""
     words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 50), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
         return words.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all"))
     # each task adds up its words first, so that frequent ones aren't shuffled one by one
     return words.groupBy("term").agg(F.count("*").alias("all")).join(asked, "term", "left_semi")

@@ -15,5 +15,18 @@ QUERIES = {
     "op8_hmm": q_hmm.op8_hmm,
     "op9_pii": q_pii.op9_pii,
     "op10_minhash": q_minhash.op10_minhash,
+    # parts of their results that SQL can say
+    "license_phrases": q_licenses.license_phrases,
+    "pii_counts": q_pii.pii_counts,
+    "unigram_scores": q_hmm.unigram_scores,
+}
+ORACLE_SQL = {
+    "op1_decontam": q_decontam.SQL,
+    "op3_chat": q_chat.SQL,
+    "op5_epsilon_grid": q_epsilon_grid.SQL,
+    "op6_urls": q_urls.SQL,
+    "op10_minhash": q_minhash.SQL,
+    "license_phrases": q_licenses.SQL,
+    "pii_counts": q_pii.SQL,
+    "unigram_scores": q_hmm.SQL,
 }
-ORACLE_SQL = {"op1_decontam": q_decontam.SQL, "op3_chat": q_chat.SQL, "op6_urls": q_urls.SQL}
