@@ -66,17 +66,19 @@ def padded_range(df: DataFrame, column: str, share: float = 0.1) -> DataFrame:
     return df.agg(F.min(column).alias("a"), F.max(column).alias("b")).select((F.col("a") - share * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + share * (F.col("b") - F.col("a"))).alias("hi"))
 
 
-def report(df: DataFrame, ts: str | None = None, name: str = "table") -> str:
-    """A text of all statistics."""
-    n = df.count()
-    kinds = "\n".join(f"  {c}: {k}" for c, k in df.dtypes)
-    out = [f"{name}: {n} rows, {len(df.columns)} columns", kinds, "nulls and zeros:"]
-    out += [f"  {r['column']}: {r['nulls']} nulls" + (f", {r['zeros']} zeros" if r["zeros"] is not None else "") for r in null_and_zero_counts(df).collect()]
-    out += ["numbers:"] + ["  " + ", ".join(f"{k} {v}" for k, v in r.asDict().items()) for r in describe(df).collect()] if numeric_columns(df) else []
+def report(df: DataFrame, ts: str | None = None) -> DataFrame:
+    """All statistics as a table: item (rows, nulls, zeros, and those of describe(); with ts, entries), of (a
+    column, or a day), value."""
+    tall = lambda d, key, *names: d.unpivot([key], [F.col(n).cast("double").alias(n) for n in names], "item", "value").select("item", F.col(key).cast("string").alias("of"), "value")
+    parts = [tall(null_and_zero_counts(df), "column", "rows", "nulls", "zeros")]
+    if numeric_columns(df):
+        parts.append(tall(describe(df), "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
     if ts:
-        s = time_span(df, ts).first()
-        out += [f"time: {s['non_null']} values, {s['first_time']} to {s['last_time']}", *[f"  {r['day']}: {r['entries']}" for r in entries_per_day(df, ts).collect()]]
-    return "\n".join(out)
+        parts.append(tall(entries_per_day(df, ts), "day", "entries"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("value").isNotNull())
 
 
 def provenance(df: DataFrame, seq: str = "seq") -> dict:

@@ -1,19 +1,23 @@
 """Lines from GeoJSON, shapefiles, OSM extracts and Overpass replies.
 
-Shapefiles and PBF extracts are Python data sources; everything else is Spark's JSON reader. Lines are
-array<struct<x, y>> with x the longitude.
+Shapefiles and PBF extracts are Python data sources, on local paths or any that pyarrow's file systems
+open; everything else is Spark's JSON reader. Lines are array<struct<x, y>> with x the longitude.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trackforge.sources.shared import exists
+
 LINE = "array<struct<x:double,y:double>>"
 
 
@@ -21,7 +25,10 @@ def read_geojson(spark: SparkSession, path: str, properties: str = "map<string,s
     """properties, kind, geometry (a point is a line of one vertex), part (from 0): one row per line; a
     MultiLineString is several rows."""
     schema = f"features array<struct<type:string,properties:{properties},geometry:struct<type:string,coordinates:string>>>"
-    d = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
+    return _lines_of(spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")))
+
+
+def _lines_of(d: DataFrame) -> DataFrame:
     kind, c = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     lines = F.when(kind.isin("MultiLineString", "Polygon"), F.from_json(c, "array<array<array<double>>>")).when(kind == "LineString", F.array(F.from_json(c, "array<array<double>>"))).when(kind == "Point", F.array(F.array(F.from_json(c, "array<double>"))))
     d = d.select(F.monotonically_increasing_id().alias("feature_id"), "f.properties", kind.alias("kind"), F.posexplode(lines).alias("part", "l"))
@@ -30,6 +37,20 @@ def read_geojson(spark: SparkSession, path: str, properties: str = "map<string,s
 
 
 
+def opened(path: str) -> BinaryIO:
+    """A file to seek in, by a local path or a URI."""
+    if "://" not in path:
+        return open(path, "rb")
+    system, inner = FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def read_features(spark: SparkSession, path: str, properties: str = "map<string,string>") -> DataFrame:
+    """As read_geojson(), from files of one feature a line, which Spark can split."""
+    schema = f"type string, properties {properties}, geometry struct<type:string,coordinates:string>"
+    return _lines_of(spark.read.schema(schema).json(path).select(F.struct("*").alias("f")))
+
+
 class ShapefileSource(DataSource):
     """spark.read.format("track_shapefile").load(path): id, part, geometry of polylines, polygons and points
     of a .shp file on a path that executors can open."""
@@ -53,7 +74,7 @@ class _ShapefileReader(DataSourceReader):
         return [InputPartition(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        with opened(partition.value) as f:
             yield from parse_shapefile(f.read())
 
 
@@ -102,7 +123,7 @@ class _PbfReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = []
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             while head := f.read(4):
                 header = dict(_fields(f.read(struct.unpack(">i", head)[0])))
                 if header[1] == b"OSMData":
@@ -111,7 +132,7 @@ class _PbfReader(DataSourceReader):
         return [InputPartition(found[i : i + self.blobs]) for i in range(0, len(found), self.blobs)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             for at, size in partition.value:
                 f.seek(at)
                 blob = dict(_fields(f.read(size)))
@@ -237,5 +258,17 @@ def read_structures_csv(spark: SparkSession, path: str) -> DataFrame:
 REGIONS = ("baden-wuerttemberg", "bayern", "berlin", "brandenburg", "bremen", "hamburg", "hessen", "mecklenburg-vorpommern", "niedersachsen", "nordrhein-westfalen", "rheinland-pfalz", "saarland", "sachsen", "sachsen-anhalt", "schleswig-holstein", "thueringen")
 
 
-def regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r, f"{r}-latest.osm.pbf") for r in REGIONS], "region string, file string")
+#: Fixed value: where their extracts are offered.
+EXTRACTS = "https://download.geofabrik.de/europe/germany"
+
+
+def regions(spark: SparkSession, base: str = EXTRACTS) -> DataFrame:
+    """region, file, url of each region's extract."""
+    return spark.createDataFrame([(r, f"{r}-latest.osm.pbf", f"{base}/{r}-latest.osm.pbf") for r in REGIONS], "region string, file string, url string")
+
+
+def parsed_once(spark: SparkSession, table: str, parse: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table of that path; parsed and written first if there is none."""
+    if not exists(spark, f"{table}/_SUCCESS"):
+        parse().write.mode("overwrite").parquet(table)
+    return spark.read.parquet(table)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,54 @@ def features(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def write_geojson(df: DataFrame, path: str, geometry: str = "geometry") -> None:
-    """Part files of one feature a line; collection() puts them into one text."""
+    """Part files of one feature a line."""
     features(df, geometry).write.mode("overwrite").text(path)
 
 
-def collection(df: DataFrame, geometry: str = "geometry") -> str:
-    """A FeatureCollection on the driver, for tables small enough to draw."""
-    return '{"type":"FeatureCollection","features":[' + ",".join(r["value"] for r in features(df, geometry).toLocalIterator()) + "]}"
+def collection(lines: DataFrame) -> DataFrame:
+    """value: the lines of one FeatureCollection, from features (value). One file is one task's work, which
+    passes the features on one by one; for large tables, write_geojson() has many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = '{"type":"FeatureCollection","features":['
+        for b in batches:
+            out = []
+            for v in b.column(0).to_pylist():
+                out.append(head + v)
+                head = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([("" if head == "," else head) + "]}"], pa.string())], ["value"])
+
+    return lines.repartition(1).mapInArrow(run, "value string")
+
+
+def write_collection(df: DataFrame, path: str, geometry: str = "geometry") -> None:
+    """A folder with one file, a FeatureCollection."""
+    collection(features(df, geometry)).write.mode("overwrite").text(path)
+
+
+def write_layers(layers: dict[str, DataFrame], folder: str, map_name: str) -> None:
+    """A map's layers, each as features in <folder>/<map_name>/<layer>."""
+    for name, df in layers.items():
+        write_geojson(df, f"{folder}/{map_name}/{name}")
+
+
+def beside(path: str, suffix: str) -> str:
+    """The name of what is made from a file: "run.csv" and "_noNA" give "run_noNA.csv"."""
+    stem, dot, ending = path.rpartition(".")
+    return f"{stem}{suffix}.{ending}" if dot and "/" not in ending else f"{path}{suffix}"
+
+
+def write_without_na(df: DataFrame, path: str, *columns: str) -> DataFrame:
+    """Rows without null in the columns (all, if none are named) as CSV beside the path, under its name
+    with _noNA. Returns one row: rows, kept, removed."""
+    kept = df.dropna("any", subset=list(columns) or None)
+    write_csv(kept, beside(path, "_noNA"))
+    whole = F.lit(True)
+    for c in columns or df.columns:
+        whole = whole & F.col(c).isNotNull()
+    n = F.count_if(whole)
+    return df.agg(F.count(F.lit(1)).alias("rows"), n.alias("kept"), (F.count(F.lit(1)) - n).alias("removed"))
 
 
 def timed_features(df: DataFrame, ts: str, lat: str, lon: str, popup: Column) -> DataFrame:
