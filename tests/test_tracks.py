@@ -5,10 +5,12 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from trackforge.core import Track, nan_to_null
 from trackforge.functions import geo, numeric
-from trackforge.operators import filters, kinematics, resample, segmentation, sequential, smoothing, spatial
+from trackforge.operators import filters, kinematics, profile, resample, segmentation, sequential, smoothing, spatial
+from trackforge.plans import daily
 
 T = Track()
 
@@ -299,3 +301,98 @@ def test_queries_run_at_the_operators_own_size(monkeypatch):
         monkeypatch.setattr(sequential, name, lambda *a, name=name, **k: given.setdefault(name, k) and frame or frame)
         queries.QUERIES[name](None, None)
     assert given == {"particle_filter": {}, "spline_curvature": {}}
+
+
+def test_steady_runs_are_those_of_a_plain_version():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 60, 200):
+        for _ in range(30):
+            v = np.cumsum(rng.normal(size=n)) * rng.choice([0.01, 1.0])
+            v[rng.random(n) < 0.15] = np.nan
+            want, number, start = np.zeros(n, int), 0, 0
+            for i in range(n):
+                own = v[start : i + 1]
+                own = own[~np.isnan(own)]
+                if len(own) and own.std() <= 0.3 + 1e-12:
+                    continue
+                if i - start >= 3:
+                    number += 1
+                    want[start:i] = number
+                start = i
+            if n - start >= 3 and not np.isnan(v[start:]).all():
+                want[start:] = number + 1
+            assert sequential.steady_runs(v, 0.3, 3).tolist() == want.tolist()
+
+
+def test_circles_are_those_of_least_squares():
+    rng = np.random.default_rng(4)
+    x, y = np.cumsum(rng.normal(3, 1, 80)), np.cumsum(rng.normal(0, 1, 80))
+    r, res = sequential.fit_circles(x, y, 9)
+    for i in range(72):
+        u, v = x[i : i + 9], y[i : i + 9]
+        a, b, c = np.linalg.lstsq(np.column_stack([u, v, np.ones(9)]), u * u + v * v, rcond=None)[0]
+        want = np.sqrt(c + a * a / 4 + b * b / 4)
+        assert np.isclose(r[i], want) and np.isclose(res[i], np.abs(np.hypot(u - a / 2, v - b / 2) - want).mean())
+
+
+def test_spline_solves_its_whole_system():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 4, 50):
+        t, y = np.cumsum(rng.uniform(0.5, 2, n)), rng.normal(size=(n, 2))
+        f, h = sequential.cubic_spline(t, y), 1e-4
+        assert np.allclose(f(t), y)
+        bend = lambda q: (f(q + h) - 2 * f(q) + f(q - h)) / h**2
+        assert np.allclose(bend(t[:1] + h), 0, atol=0.05) and np.allclose(bend(t[-1:] - h), 0, atol=0.05)
+        inner = t[1:-1]
+        slope = lambda q, s: (f(q + s * h) - f(q)) / (s * h)
+        assert np.allclose(slope(inner, 1), slope(inner, -1), atol=0.02)
+
+
+def test_failing_track_is_left_out(spark):
+    d = spark.createDataFrame([(t, i, float(i), t) for t in ("a", "b") for i in range(4)], "track_id string, seq int, x double, kind string")
+
+    def kernel(c):
+        if c["x"].sum() and c["bad"][0]:
+            raise ValueError("no")
+        return None, {"y": c["x"] + 1}
+
+    d = d.withColumn("bad", (F.col("track_id") == "b").cast("int"))
+    out = sequential.per_track(d, Track(), ["x", "bad"], kernel, [("y", T_.DoubleType())], skip_failing=True)
+    assert [(r.track_id, r.y) for r in out.orderBy("seq").collect()] == [("a", i + 1.0) for i in range(4)]
+    with pytest.raises(Exception, match="no"):
+        sequential.per_track(d, Track(), ["x", "bad"], kernel, [("y", T_.DoubleType())]).collect()
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.normal(size=3000) * 10.0 ** rng.integers(-9, 9, 3000), 12), rng.integers(0, 4, 3000) * 1.0
+    d = spark.createDataFrame([(float(x), float(y), None, float("inf") if i % 2 else float("nan")) for i, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double, c double, d double")
+    q = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = profile.quantiles(d, {"a": q, "b": q, "c": [0.5], "d": [0.5]})
+    assert np.allclose(got["a"], np.quantile(a, q), rtol=1e-12) and np.allclose(got["b"], np.quantile(b, q)) and got["c"] == got["d"] == [None]
+
+
+def test_meeting_places_of_lines(spark):
+    line = "id string, geometry array<struct<x: double, y: double>>"
+    a = spark.createDataFrame([("a", [(0.0, 0.0), (10.0, 0.0), (20.0, 0.0)])], line)
+    b = spark.createDataFrame([("share", [(5.0, 0.0), (15.0, 0.0)]), ("cross", [(4.0, -5.0), (4.0, 5.0)]), ("vertex", [(10.0, -5.0), (10.0, 5.0)]), ("twice", [(2.0, -1.0), (2.0, 1.0), (6.0, 1.0), (6.0, -1.0)]), ("far", [(0.0, 3.0), (9.0, 3.0)])], line)
+    pairs = spatial.lines_near(spatial.segments(a), spatial.segments(b), 5.0, "id", "id")
+    pairs = pairs.withColumnsRenamed({"a_id": "a_p", "b_id": "b_q"})
+    got = {r.q: (r.position, r.x, r.y) for r in spatial.by_parallelism(pairs, "p", "q").collect()}
+    assert got == {"share": ("on", 10.0, 0.0), "cross": ("under", 4.0, 0.0), "vertex": ("under", 10.0, 0.0), "twice": ("under", 4.0, 0.0), "far": ("unknown", None, None)}
+
+
+def test_a_place_without_numbers_has_no_line(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, float("inf"), 0.0)], "p int, x double, y double")
+    s = spark.createDataFrame([(9, 0, 1.0, 0.0, 2.0, 0.0)], "q int, n int, ax double, ay double, bx double, by double")
+    assert [(r.p, r.q, r.distance) for r in spatial.nearest(p, s, "p", "q", 0.1).collect()] == [(1, 9, 1.0)]
+
+
+def test_daily_files_are_named_by_track_and_steps(spark, tmp_path):
+    rows = [("d1", i, f"2024-01-01 00:00:{i:02d}.000000" if i != 3 else "never", 51 + i / 1e4, 11.0, 3.0) for i in range(30)]
+    d = spark.createDataFrame(rows, "track_id string, seq int, ts string, lat double, lon double, speed double")
+    c = daily.Config(lat="lat", lon="lon", steps=("time", "planar", "distance"), exact_distance=False)
+    out = daily.run(d, c)
+    assert out.count() == 29
+    daily.save(out, str(tmp_path / "out"), c)
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["file=d1_time_planar_distance"]

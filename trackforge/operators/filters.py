@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.core import Track
 from trackforge.functions.numeric import finite, ieee_div, try_number
 from trackforge.operators.kinematics import seconds_between
+from trackforge.operators.profile import quantiles
 from trackforge.functions.geo import haversine_m
 
 
@@ -18,14 +19,13 @@ def drop_na(df: DataFrame, *columns: str) -> DataFrame:
 
 def quantile_trim(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, *, track: str | None = None) -> DataFrame:
     """Rows whose value lies within the quantiles (interpolated, inclusive), of each track or of the
-    whole table. Rows with null go."""
-    q = F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q")
+    whole table (then they are looked for at once). Rows with null go."""
     if track:
-        bounds = df.groupBy(track).agg(q)  # one row per track; joined, so no track's rows are held together
-        d = df.join(bounds, track)
-    else:
-        d = df.crossJoin(F.broadcast(df.agg(q)))  # one row
-    return d.where(F.col(column).between(F.col("_q")[0], F.col("_q")[1])).select(*df.columns)
+        bounds = F.percentile(column, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(track))  # a track is one task's
+        d = df.withColumn("_q", bounds).where(F.col(column).between(F.col("_q")[0], F.col("_q")[1]))
+        return d.select(*df.columns)
+    lo, hi = quantiles(df, {column: [low, high]})[column]
+    return df.where(F.lit(False) if lo is None else F.col(column).between(lo, hi))
 
 
 def speed_outliers(df: DataFrame, t: Track, ts: str, lat: str, lon: str, most: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,73 @@ def null_and_zero_counts(df: DataFrame) -> DataFrame:
     return _long(df, {c: stat(c) for c in df.columns})
 
 
+BINS = 512  # that a range is cut into in each pass of a selection
+
+
+def _number(c: str) -> Column:
+    """A column's values as doubles, without infinities and NaN."""
+    v = F.col(c).cast("double")
+    return F.when(~is_inf(v) & ~F.isnan(v), v)
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of columns. A selection by histograms: each pass counts the values of all
+    ranges in question in BINS bins, added up within tasks first, and keeps the bin with the rank asked for,
+    until its smallest and largest values are one. No value but bounds of bins comes to the driver, and the
+    number of passes grows with the logarithm of the table."""
+    first = df.agg(*[f(_number(c)).alias(f"{k}_{c}") for c in wanted for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # (column, rank) -> range, and how many values are below it
+    for c, qs in wanted.items():
+        n = first[f"n_{c}"]
+        for q in qs if n else ():
+            for rank in {math.floor((n - 1) * q), math.ceil((n - 1) * q)}:
+                open_[c, rank] = (first[f"lo_{c}"], first[f"hi_{c}"], 0)
+    while open_:
+        for key in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
+            found[key] = open_.pop(key)[0]
+        ranges = sorted({(c, lo, hi, below) for (c, _), (lo, hi, below) in open_.items()})
+        if not ranges:
+            break
+
+        def place(i: int, c: str, lo: float, hi: float) -> Column:
+            v = _number(c)
+            bin_ = F.least(F.floor((v - lo) / (hi / BINS - lo / BINS)), F.lit(BINS - 1)).cast("int")
+            return F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), F.when(v == hi, BINS).otherwise(bin_).alias("bin"), v.alias("v")))
+
+        spread = df.select(F.explode(F.array(*[place(i, c, lo, hi) for i, (c, lo, hi, _) in enumerate(ranges)])).alias("p")).where("p is not null")
+        rows = spread.groupBy("p.i", "p.bin").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect()
+        bins: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r["i"], r["bin"])):
+            bins.setdefault(r["i"], []).append(r)
+        number = {x: i for i, x in enumerate(ranges)}
+        for (c, rank), (lo, hi, below) in list(open_.items()):
+            at = below
+            for r in bins[number[c, lo, hi, below]]:
+                if rank < at + r["n"]:
+                    open_[c, rank] = (r["lo"], r["hi"], at)
+                    break
+                at += r["n"]
+    out = {}
+    for c, qs in wanted.items():
+        n = first[f"n_{c}"]
+        at = lambda q, n=n, c=c: ((n - 1) * q - math.floor((n - 1) * q), found[c, math.floor((n - 1) * q)], found[c, math.ceil((n - 1) * q)])
+        out[c] = [None if not n else a + u * (b - a) for u, a, b in map(at, qs if n else ())] or [None] * len(qs)
+    return out
+
+
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """column, count, mean, std (of a sample), min, q25, q50, q75, max, without infinities. Quartiles
-    are exact."""
+    are exact; they are looked for at once, the rest when the table is read."""
+    names = list(columns or numeric_columns(df))
+    found = quantiles(df, {c: [0.25, 0.5, 0.75] for c in names})
 
     def stat(c: str) -> dict[str, Column]:
-        v = F.when(~is_inf(F.col(c).cast("double")), F.col(c).cast("double"))
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        v = _number(c)
+        q = [F.max(F.lit(x).cast("double")) for x in found[c]]
         return {"count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(v)}
 
-    return _long(df, {c: stat(c) for c in columns or numeric_columns(df)})
+    return _long(df, {c: stat(c) for c in names})
 
 
 def time_span(df: DataFrame, ts: str) -> DataFrame:

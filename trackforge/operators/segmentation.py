@@ -43,17 +43,21 @@ def segment(df: DataFrame, t: Track, curvature: str, distance: str = "cumulative
     return d.withColumn("mean_radius", mean).drop("_k", "_s")
 
 
+#: Names of classes in logs of former versions.
+TRANSITION, LINE, CURVE, UNDEFINED = "Übergangsbogen", "straight line", "curve", "undefined"
+
+
 def segment_by_slope(df: DataFrame, t: Track, curvature: str, radius: str, *, slope: float = 0.005, straight: float = 0.001, shortest: int = 3) -> DataFrame:
     """segment_type (Übergangsbogen, straight line, curve; undefined for short runs) and mittelradius, the
     mean radius of a curve without infinities."""
     d = savgol(df, t, curvature, 5, 2, to="_k").withColumn("_slope", difference(t, "_k"))
     d = rolling_mean(rolling_mean(d, t, "_slope", 5, to="_slope5"), t, "_k", 5, to="_k5")
-    kind = F.when(F.abs("_slope5") >= slope, "Übergangsbogen").when(F.abs("_k5") < straight, "straight line").otherwise("curve")
+    kind = F.when(F.abs("_slope5") >= slope, TRANSITION).when(F.abs("_k5") < straight, LINE).otherwise(CURVE)
     d = run_id(d.withColumn("segment_type", kind), t, "segment_type", to="_run")
     w = per_run(t, "_run")
-    d = d.withColumn("segment_type", F.when(F.count(F.lit(1)).over(w) < shortest, "undefined").otherwise(F.col("segment_type")))
+    d = d.withColumn("segment_type", F.when(F.count(F.lit(1)).over(w) < shortest, UNDEFINED).otherwise(F.col("segment_type")))
     mean = F.avg(F.when(F.col(radius) != INF, F.col(radius))).over(w)
-    return d.withColumn("mittelradius", F.when(F.col("segment_type") == "curve", mean)).drop("_k", "_slope", "_slope5", "_k5", "_run")
+    return d.withColumn("mittelradius", F.when(F.col("segment_type") == CURVE, mean)).drop("_k", "_slope", "_slope5", "_k5", "_run")
 
 
 def segment_by_spread(df: DataFrame, t: Track, radius: str, *, straight_radius: float = 10_000.0, spread: float = 50.0) -> DataFrame:

@@ -324,18 +324,22 @@ def change_points(v: np.ndarray, penalty: float, shortest: int = 2, jump: int =
     return out[::-1] or [n]
 
 
+#: Names of classes in logs of former versions.
+SHORT, STRAIGHT, BENT = "zu klein", "gerade Linie", "Kurve"
+
+
 def segment_change_points(df: DataFrame, t: Track, curvature: str, *, penalty: float = 1e-3, straight: float = 5e-5, signed: bool = False) -> DataFrame:
     """segment_id, segment_class (zu klein for tracks of one row, gerade Linie, Kurve) and mittelradius of pieces of
     even curvature. signed: a piece is straight by its signed mean, so every left bend is."""
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         k = np.where(np.isfinite(c[curvature]), c[curvature], 999.0)
-        number, kind, radius = np.zeros(len(k), np.int64), np.full(len(k), "zu klein", object), np.full(len(k), np.nan)
+        number, kind, radius = np.zeros(len(k), np.int64), np.full(len(k), SHORT, object), np.full(len(k), np.nan)
         i = 0
         for m, j in enumerate(change_points(k, penalty) if len(k) > 1 else []):
             mean = k[i:j].mean()
             line = (mean if signed else abs(mean)) < straight
-            number[i:j], kind[i:j] = m, "gerade Linie" if line else "Kurve"
+            number[i:j], kind[i:j] = m, STRAIGHT if line else BENT
             radius[i:j] = np.nan if line else 1 / abs(mean) if mean else np.inf
             i = j
         return None, {"segment_id": number, "segment_class": kind, "mittelradius": radius}

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.functions.geo import EARTH_M, haversine_m, to_mercator
-from trackforge.functions.numeric import compass, undirected_gap, vertices_radius
+from trackforge.functions.orientation import line_angle_at
+from trackforge.functions.numeric import compass, finite, undirected_gap, vertices_radius
+from trackforge.sources.shared import folder
 
 
 def segments(lines: DataFrame, line_id: str = "id", geometry: str = "geometry", *keep: str) -> DataFrame:
@@ -118,12 +120,16 @@ def semi_near(points: DataFrame, segs: DataFrame, radius: float, point_id: str,
 def nearest(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, radius: float, *, ties: bool = False, grow: float = 4.0, most: float = 1e8, **kw) -> DataFrame:
     """point_id, line_id, distance of the nearest line; of equally near ones the smallest id, or all
     with ties. Points without a line within the radius are tried again with a larger one, so cells
-    stay small where lines are dense."""
-    left, out = points.select(point_id, kw.get("x", "x"), kw.get("y", "y")), None
+    stay small where lines are dense; a place that isn't a number has no line. Each round is a table in
+    the shared folder."""
+    x, y = kw.get("x", "x"), kw.get("y", "y")
+    left, out = points.select(point_id, x, y).where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull()), None
     if segs.isEmpty():
         return near_pairs(left, segs, radius, point_id, line_id, **kw)
+    spark, path = points.sparkSession, folder(points.sparkSession, "nearest")
     while radius <= most:
-        pairs = near_pairs(left, segs, radius, point_id, line_id, **kw).persist()
+        near_pairs(left, segs, radius, point_id, line_id, **kw).write.parquet(f"{path}/{radius}")
+        pairs = spark.read.parquet(f"{path}/{radius}")
         out = pairs if out is None else out.unionByName(pairs)
         left = left.join(pairs.select(point_id).distinct(), point_id, "left_anti")
         if left.isEmpty():
@@ -204,13 +210,48 @@ def line_angle(prefix: str = "") -> Column:
     return F.pmod(F.degrees(F.atan2(c("by") - c("ay"), c("bx") - c("ax"))), F.lit(180.0))
 
 
+def shared_piece(p: str, q: str) -> Column:
+    """struct(x0, y0, x1, y1, length): the piece that two segments on one line share, from p's start on; null
+    if they share none."""
+    c = lambda s, k: F.col(f"{s}{k}")
+    rx, ry, sx, sy = c(p, "bx") - c(p, "ax"), c(p, "by") - c(p, "ay"), c(q, "bx") - c(q, "ax"), c(q, "by") - c(q, "ay")
+    n, far = rx * rx + ry * ry, lambda x, y: rx * y - ry * x
+    at = lambda end: ((c(q, f"{end}x") - c(p, "ax")) * rx + (c(q, f"{end}y") - c(p, "ay")) * ry) / F.nullif(n, F.lit(0.0))
+    lo, hi = F.greatest(F.lit(0.0), F.least(at("a"), at("b"))), F.least(F.lit(1.0), F.greatest(at("a"), at("b")))
+    level = (F.abs(far(sx, sy)) <= 1e-9 * F.sqrt(n) * F.hypot(sx, sy)) & (F.abs(far(c(q, "ax") - c(p, "ax"), c(q, "ay") - c(p, "ay"))) <= 1e-6 * F.sqrt(n))
+    x, y = lambda u: c(p, "ax") + u * rx, lambda u: c(p, "ay") + u * ry
+    return F.when(level & (n > 0) & (hi > lo), F.struct(x(lo).alias("x0"), y(lo).alias("y0"), x(hi).alias("x1"), y(hi).alias("y1"), ((hi - lo) * F.sqrt(n)).alias("length")))
+
+
+def _middle(pieces: Column, axis: str) -> Column:
+    """A coordinate of the place halfway along pieces in their order."""
+    half = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + p["s"]["length"]) / 2
+    start = F.struct(half.alias("left"), F.lit(None).cast("double").alias("at"))
+    a, b = f"{axis}0", f"{axis}1"
+    step = lambda s, p: F.when(s["at"].isNotNull(), s).when(p["s"]["length"] >= s["left"], F.struct(F.lit(0.0).alias("left"), (p["s"][a] + (p["s"][b] - p["s"][a]) * s["left"] / p["s"]["length"]).alias("at"))).otherwise(F.struct((s["left"] - p["s"]["length"]).alias("left"), F.lit(None).cast("double").alias("at")))
+    return F.aggregate(pieces, start, step)["at"]
+
+
 def by_parallelism(pairs: DataFrame, a_id: str, b_id: str, *, parallel: float = 10.0) -> DataFrame:
-    """a_id, b_id, position, and the crossing's mean place (x, y): a railway that runs along a bridge is
-    "on" it, one that crosses it "under"; without a crossing it is "unknown". pairs: lines_near()'s."""
+    """a_id, b_id, position, and the place where the two lines meet (x, y): the mean of their crossings, or
+    the middle of what they share. A railway that runs along a bridge is "on" it, one that crosses it
+    "under"; without a meeting it is "unknown". pairs: lines_near()'s."""
     hit, x, y = crossing("a_", "b_")
-    d = pairs.select(F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(b_id), hit.alias("hit"), x.alias("x"), y.alias("y"), undirected_gap(line_angle("a_"), line_angle("b_")).alias("gap"))
-    g = d.groupBy(a_id, b_id).agg(F.bool_or("hit").alias("hit"), F.avg(F.when(F.col("hit"), F.col("x"))).alias("x"), F.avg(F.when(F.col("hit"), F.col("y"))).alias("y"), F.min(F.when(F.col("hit"), F.col("gap"))).alias("gap"))
-    return g.select(a_id, b_id, F.when(~F.col("hit"), "unknown").when(F.col("gap") <= parallel, "on").otherwise("under").alias("position"), "x", "y")
+    place = F.struct(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))  # a vertex is in two segments
+    d = pairs.select(F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(b_id), F.col("a_n").alias("n"), hit.alias("hit"), place.alias("place"), shared_piece("a_", "b_").alias("s"), undirected_gap(line_angle("a_"), line_angle("b_")).alias("gap"))
+    met = F.col("hit") | F.col("s").isNotNull()
+    g = d.groupBy(a_id, b_id).agg(F.bool_or(met).alias("met"), F.collect_set(F.when(F.col("hit"), F.col("place"))).alias("places"), F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("n", "s")))).alias("pieces"), F.min(F.when(met, F.col("gap"))).alias("gap"))
+    mean = lambda k: F.aggregate("places", F.lit(0.0), lambda t, p: t + p[k]) / F.nullif(F.size("places"), F.lit(0))
+    at = lambda k: F.when(F.size("pieces") > 0, _middle(F.col("pieces"), k)).otherwise(mean(k)).alias(k)
+    return g.select(a_id, b_id, F.when(~F.col("met"), "unknown").when(F.col("gap") <= parallel, "on").otherwise("under").alias("position"), at("x"), at("y"))
+
+
+def by_spline(classified: DataFrame, a_lines: DataFrame, b_lines: DataFrame, a_id: str, b_id: str, *, geometry: str = "geometry", parallel: float = 10.0) -> DataFrame:
+    """by_parallelism()'s rows with the position by the directions of both whole lines at the place (x, y),
+    from splines along them, instead of the crossing segments' own."""
+    d = classified.where("x is not null").join(a_lines.select(a_id, F.col(geometry).alias("_a")), a_id).join(b_lines.select(b_id, F.col(geometry).alias("_b")), b_id)
+    gap = undirected_gap(line_angle_at("_a", "x", "y"), line_angle_at("_b", "x", "y"))
+    return d.withColumn("position", F.when(gap <= parallel, "on").when(gap.isNotNull(), "under").otherwise(F.col("position"))).drop("_a", "_b")
 
 
 def any_under(classified: DataFrame, bridge_id: str) -> DataFrame:
@@ -239,16 +280,18 @@ def along_or_across(points: DataFrame, segs: DataFrame, radius: float, point_id:
 
 
 def map_radius(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, *, geometry: str = "geometry") -> DataFrame:
-    """points with line_id, dist2rail and map_radius: of the nearest line, the circle through the vertex
-    nearest to the point and its two neighbours; null at the line's ends."""
-    hit = nearest(points, segments(lines, line_id, geometry), point_id, line_id, radius).withColumnRenamed("distance", "dist2rail")
-    w = Window.partitionBy(line_id).orderBy("n")
-    v = vertices(lines, line_id, geometry)
-    at = lambda f, c: f(c).over(w)
-    v = v.withColumn("map_radius", vertices_radius(at(F.lag, "x"), at(F.lag, "y"), F.col("x"), F.col("y"), at(F.lead, "x"), at(F.lead, "y"))).select(line_id, "n", F.col("x").alias("vx"), F.col("y").alias("vy"), "map_radius")
-    j = points.join(hit, point_id).join(v, line_id)
-    best = F.min(F.struct(F.hypot(F.col("x") - F.col("vx"), F.col("y") - F.col("vy")).alias("d"), "n", "map_radius")).alias("b")
-    found = j.groupBy(point_id, line_id, "dist2rail").agg(best).select(point_id, line_id, "dist2rail", "b.map_radius")
+    """points with line_id, dist2rail and map_radius: at the nearest place of the nearest line, the circle
+    through the nearer end of its segment and that vertex's two neighbours; null at the line's ends. A
+    segment carries the radii at its ends, so no line's vertices are joined to its points."""
+    g = F.col(geometry)
+    at = lambda i, k: F.get(g, i)[k]
+    bend = lambda i: vertices_radius(at(i - 1, "x"), at(i - 1, "y"), at(i, "x"), at(i, "y"), at(i + 1, "x"), at(i + 1, "y"))
+    s = segments(lines, line_id, geometry, geometry)
+    s = s.select("ax", "ay", "bx", "by", F.struct(line_id, "n", "ax", "ay", "bx", "by", bend(F.col("n")).alias("at_a"), bend(F.col("n") + 1).alias("at_b")).alias("_seg"))
+    hit = nearest(points, s, point_id, "_seg", radius).withColumnRenamed("distance", "dist2rail")
+    dx, dy = F.col("_seg.bx") - F.col("_seg.ax"), F.col("_seg.by") - F.col("_seg.ay")
+    along = (F.col("x") - F.col("_seg.ax")) * dx + (F.col("y") - F.col("_seg.ay")) * dy
+    found = points.select(point_id, "x", "y").join(hit, point_id).select(point_id, f"_seg.{line_id}", "dist2rail", F.when(2 * along <= dx * dx + dy * dy, F.col("_seg.at_a")).otherwise(F.col("_seg.at_b")).alias("map_radius"))
     return points.join(found, point_id, "left")
 
 

@@ -16,7 +16,8 @@ from trackforge.operators import filters, kinematics, segmentation, sequential
 @dataclass(frozen=True)
 class Config:
     """Which steps run, and on which columns. source: the smoothing whose places are used once they
-    exist (rolling_windows after the compaction)."""
+    exist (rolling_windows after the compaction). skip_failing: a track that a kernel fails on is left out
+    instead of failing the others."""
 
     track: Track = Track()
     ts: str = "ts"
@@ -28,6 +29,7 @@ class Config:
     headings: tuple[str, ...] = ("heading_dx_dy_grad", "heading_dx_ds_grad")
     trim: tuple[str, float, float] = ("yaw_rate_from_heading_dx_ds_grad", 0.01, 0.99)
     exact_distance: bool = True
+    skip_failing: bool = True
     more: dict = field(default_factory=dict)
 
     def place(self, df: DataFrame) -> tuple[str, str]:
@@ -43,8 +45,8 @@ def _renumbered(df: DataFrame, c: Config) -> DataFrame:
 
 #: The registry: name -> step. Others can be added under names of their own.
 STEPS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
-    "time": lambda d, c: kinematics.elapsed_time(kinematics.parse_time(d, c.ts), c.track, c.ts),
-    "rolling_windows": lambda d, c: _renumbered(sequential.stop_move(d, c.track, c.lat, c.lon, c.speed, "elapsed_time_s"), c),
+    "time": lambda d, c: kinematics.elapsed_time(d, c.track, c.ts),
+    "rolling_windows": lambda d, c: _renumbered(sequential.stop_move(d, c.track, c.lat, c.lon, c.speed, "elapsed_time_s", skip_failing=c.skip_failing), c),
     "planar": lambda d, c: kinematics.to_planar(d, c.track, *c.place(d)),
     "distance": lambda d, c: kinematics.traveled_distance(d, c.track, *c.place(d), exact=c.exact_distance),
     "heading_dx_dy": lambda d, c: kinematics.heading_dx_dy(d, c.track),
@@ -56,17 +58,30 @@ STEPS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
     "gradient": lambda d, c: kinematics.grade(d, c.track, c.elevation),
 }
 
+#: What a step adds to a result's name.
+SUFFIXES = {
+    "time": "time", "rolling_windows": "rollingW", "planar": "planar", "distance": "distance", "heading_dx_dy": "headingDX", "heading_ds": "headingDS",
+    "yaw_rate": "yawRate", "trim": "delBoundaries", "radius": "radius", "segments": "übogen", "elevation": "elevation", "gradient": "gradient"}
+
 
 def run(df: DataFrame, config: Config | None = None, **changes) -> DataFrame:
-    """All steps of the config, and ``steps``, their names. Tracks without a usable row (no time or
-    place at all) are left out instead of failing the others."""
+    """All steps of the config, and ``steps``, their names. Rows without a time (or with one that can't be
+    read) or place are left out, and so are tracks that a kernel fails on, instead of failing the others."""
     c = replace(config or Config(), **changes)
-    d = df.where(F.col(c.ts).isNotNull() & F.col(c.lat).isNotNull() & F.col(c.lon).isNotNull())
+    d = (kinematics.parse_time(df, c.ts, strict=False) if dict(df.dtypes)[c.ts] == "string" else df).where(F.col(c.ts).isNotNull() & F.col(c.lat).isNotNull() & F.col(c.lon).isNotNull())
     for name in c.steps:
         d = STEPS[name](d, c)
     return d.withColumn("steps", F.array(*map(F.lit, c.steps)))
 
 
+def save(df: DataFrame, folder: str, config: Config | None = None, **changes) -> None:
+    """A folder of CSV files for each track of run()'s result, named by the track and the steps."""
+    c = replace(config or Config(), **changes)
+    name = F.concat_ws("_", F.col(c.track.track).cast("string"), *[F.lit(SUFFIXES.get(s, s)) for s in c.steps])
+    flat = [F.col(f"`{x}`").cast("string").alias(x) if k.startswith(("array", "map", "struct")) else F.col(f"`{x}`") for x, k in df.dtypes]
+    df.select(*flat, name.alias("file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("file").csv(folder)
+
+
 def without_outliers(df: DataFrame, c: Config, row_id: str, *, most_speed: float, eps_m: float, least: int) -> DataFrame:
     """Rows that are neither jumps nor alone: the speed filter, then the noise filter by place."""
     d = filters.speed_outliers(df, c.track, c.ts, c.lat, c.lon, most_speed)

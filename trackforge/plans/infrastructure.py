@@ -13,8 +13,8 @@ def _lines(ways: DataFrame, kind: str) -> DataFrame:
 
 
 def bridges(ways: DataFrame, radius: float = 10.0, *, rule: str = "orientation") -> DataFrame:
-    """id, geometry, position: bridges with a railway under (by orientation) or below (by layer) them.
-    ways: id, kind, layer, geometry in degrees."""
+    """id, geometry, position: bridges with a railway under (by the orientation of the crossing segments, or
+    by that of splines along both lines) or below (by layer) them. ways: id, kind, layer, geometry in degrees."""
     flat = spatial.to_mercator_lines(ways)
     b, r = _lines(flat, "bridge"), _lines(flat, "railway")
     bs = spatial.segments(b.withColumnRenamed("id", "bridge"), "bridge", "geometry", "layer")
@@ -22,10 +22,13 @@ def bridges(ways: DataFrame, radius: float = 10.0, *, rule: str = "orientation")
     pairs = spatial.lines_near(bs, rs, radius, "bridge", "rail", cell=200.0)
     if rule == "orientation":
         kept = spatial.any_under(spatial.by_parallelism(pairs, "bridge", "rail"), "bridge").where("position = 'under'")
+    elif rule == "spline":
+        of = lambda d, name: d.select(F.col("id").alias(name), "geometry")
+        kept = spatial.any_under(spatial.by_spline(spatial.by_parallelism(pairs, "bridge", "rail"), of(b, "bridge"), of(r, "rail"), "bridge", "rail"), "bridge").where("position = 'under'")
     elif rule == "layer":
         kept = pairs.select(F.col("a_bridge").alias("bridge"), spatial.level_position(F.col("b_layer"), F.col("a_layer")).alias("position")).where("position = 'below'").distinct()
     else:
-        raise ValueError(f"rule must be orientation or layer, not {rule}")
+        raise ValueError(f"rule must be orientation, spline or layer, not {rule}")
     return _lines(ways, "bridge").join(kept, F.col("id") == F.col("bridge")).select("id", "geometry", "position")
 
 

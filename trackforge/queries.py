@@ -640,11 +640,10 @@ _FEET = f"""v AS (SELECT * FROM {_VX}), sg AS (SELECT * FROM (SELECT q, n, x AS
 f AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS u FROM {_PTS}, sg), fd AS (SELECT *, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (by_ - ay), 2)) AS d FROM f)"""
 
 
-@query(f"""WITH {_FEET}, b AS (SELECT p, arg_min(q, (d, q)) AS q, min(d) AS d, any_value(x) AS x, any_value(y) AS y FROM fd GROUP BY p),
+@query(f"""WITH {_FEET}, b AS (SELECT p, arg_min(q, (d, q, n)) AS q, arg_min(n + CASE WHEN u > 0.5 THEN 1 ELSE 0 END, (d, q, n)) AS n, min(d) AS d FROM fd GROUP BY p),
 t AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY q ORDER BY n)),
-e AS (SELECT *, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) AS a, sqrt(pow(px - nx, 2) + pow(py - ny, 2)) AS b, sqrt(pow(px - x, 2) + pow(py - y, 2)) AS c FROM t), h AS (SELECT *, (a + b + c) / 2 AS s FROM e),
-k AS (SELECT q, n, x AS vx, y AS vy, a * b * c / (4 * sqrt(s * (s - a) * (s - b) * (s - c))) AS map_radius FROM h)
-SELECT b.p, b.q, round(any_value(b.d), 4) AS dist2rail, round(arg_min(coalesce(map_radius, -1), (sqrt(pow(b.x - vx, 2) + pow(b.y - vy, 2)), n)), 4) AS map_radius FROM b JOIN k USING (q) GROUP BY b.p, b.q""")
+e AS (SELECT *, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) AS a, sqrt(pow(px - nx, 2) + pow(py - ny, 2)) AS b, sqrt(pow(px - x, 2) + pow(py - y, 2)) AS c FROM t), h AS (SELECT *, (a + b + c) / 2 AS s FROM e)
+SELECT b.p, b.q, round(d, 4) AS dist2rail, round(coalesce(a * h.b * c / (4 * sqrt(s * (s - a) * (s - h.b) * (s - c))), -1), 4) AS map_radius FROM b JOIN h USING (q, n)""")
 def map_radius(spark, sf):
     return spatial.map_radius(_points(spark, sf), _curves(spark, sf), "p", "q", 50.0).select("p", "q", r("dist2rail", 4), r(F.coalesce("map_radius", F.lit(-1.0)), 4, "map_radius"))
 
@@ -715,6 +714,12 @@ def infrastructure_combined(spark, sf):
     return infrastructure.combined(_ways(spark, sf)).select("index", "position", "infrastructure", "bundesland")
 
 
+@query(f"{_WAYS} SELECT bridge * 3 AS id, 'under' AS position FROM under")
+def bridges_by_spline(spark, sf):
+    """The lines are straight, so that splines along them turn as they do."""
+    return infrastructure.bridges(_ways(spark, sf), rule="spline").select("id", "position")
+
+
 @query(f"{_WAYS} SELECT bridge * 3 AS id, 'below' AS position FROM below")
 def bridges_by_layer(spark, sf):
     return infrastructure.bridges(_ways(spark, sf), rule="layer").select("id", "position")

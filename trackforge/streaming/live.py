@@ -19,7 +19,7 @@ def live_means(stream: DataFrame, track: str, ts: str, step: str, late: str, *co
     return bucket_mean(stream.withWatermark(ts, late), track, ts, step, *columns)
 
 
-_PIECE = "track_id long, start double, finish double, segment_marker string, lat double, lon double, speed double, rows long"
+_PIECE = "track_id {}, start double, finish double, segment_marker string, lat double, lon double, speed double, rows long"
 _STATE = "time array<double>, lat array<double>, lon array<double>, speed array<double>"
 
 
@@ -30,7 +30,7 @@ def live_stops(stream: DataFrame, *, idle: str | None = "10 minutes", max_stop:
     lon, speed; rows of a track come in order. Speeds are taken as they are."""
     silence = int(float(idle.split()[0]) * 60_000) if idle else 0
 
-    def close(track: int, buf: list[np.ndarray], end: bool) -> tuple[list[tuple], list[np.ndarray]]:
+    def close(track: object, buf: list[np.ndarray], end: bool) -> tuple[list[tuple], list[np.ndarray]]:
         time, lat, lon, speed = buf
         out, upto = [], 0
         for i, j, stop in pieces(time, speed, SPEED_BINS, max_stop) if len(time) else []:
@@ -56,4 +56,4 @@ def live_stops(stream: DataFrame, *, idle: str | None = "10 minutes", max_stop:
                 state.setTimeoutDuration(silence)
         yield pd.DataFrame(rows, columns=["track_id", "start", "finish", "segment_marker", "lat", "lon", "speed", "rows"])
 
-    return stream.groupBy("track_id").applyInPandasWithState(step, _PIECE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    return stream.groupBy("track_id").applyInPandasWithState(step, _PIECE.format(dict(stream.dtypes)["track_id"]), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
