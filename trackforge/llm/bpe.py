@@ -14,6 +14,7 @@ ignored. Special-token strings within a text are ordinary text.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -70,12 +71,13 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def _merge_long(self, word: bytes) -> list[int]:
-        get, n = self.ranks.get, len(word)
-        end, last = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part at i: where it ends, where the one before begins
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        get, n, low = self.ranks.get, len(word), (1 << 32) - 1
+        end, last = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # of the part at i: where it ends, where the one before begins
+        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]  # rank, from, to
         heapify(heap)
         while heap:
-            rank, i, to = heappop(heap)
+            pair = heappop(heap)
+            i, to = pair >> 32 & low, pair & low
             j = end[i]
             if j < 0 or j >= n or end[j] != to:  # one of the pair has been joined with another
                 continue
@@ -83,9 +85,9 @@ class Vocabulary:
             if to < n:
                 last[to] = i
                 if (r := get(word[i : end[to]])) is not None:
-                    heappush(heap, (r, i, end[to]))
+                    heappush(heap, r << 64 | i << 32 | end[to])
             if (k := last[i]) >= 0 and (r := get(word[k:to])) is not None:
-                heappush(heap, (r, k, to))
+                heappush(heap, r << 64 | k << 32 | to)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[word[i : end[i]]])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,11 +74,22 @@ def delete_path(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, limit: int = 64 << 20) -> Iterator[None]:
+    """While it lasts, batches that go to Python end at so many bytes, not only at so many rows: rows can be
+    long, and a batch is held as a whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
-    BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
     def __init__(self, spark: SparkSession, name: str, *, keep: bool = False):
         """keep: release() passes this one over."""
         self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
@@ -91,12 +103,8 @@ class Scratch:
         """last: the result reads it, so it stays, and all others can go."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        old = self.spark.conf.get(self.BATCH_BYTES, None)
-        self.spark.conf.set(self.BATCH_BYTES, str(64 << 20))  # rows can be long; a batch is held as a whole
-        try:
+        with bounded_batches(self.spark):
             df.write.option("compression", codec).parquet(path)
-        finally:
-            self.spark.conf.set(self.BATCH_BYTES, old) if old else self.spark.conf.unset(self.BATCH_BYTES)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.held.append(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.llm.common import delete_path, leave, shared_dir
+from trackforge.llm.common import bounded_batches, delete_path, leave, shared_dir
 
 BLOCK_BYTES = 8_000_000
 MESSAGE = "block long, bucket int, n int, size int, words binary, counts binary"
@@ -159,7 +159,8 @@ def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
 
     leave(drop)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, by).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    with bounded_batches(spark):
+        df.write.bucketBy(parts, by).format("parquet").option("compression", "snappy").option("path", path).saveAsTable(name)  # what is large is packed already
     return spark.table(name)
 
 
