@@ -10,8 +10,8 @@ candidate, and every link is confirmed on the full sets:
   the smaller hash, so these links are a forest of pointers, and a few jumps along them give labels;
   a large group of near copies costs one comparison a member, and a bucket of one label is done;
 - a bucket that is still mixed is cut into chunks of bounded size that carry the full sets. Within a
-  chunk, and between the chunks of one bucket, all pairs with different labels are compared inside
-  the task: a parity sketch of each set (a bit per hashed place, flipped by every shingle) differs in
+  chunk, and between the chunks of one bucket (but those of its largest component, which are joined
+  already), all pairs with different labels are compared inside the task: a parity sketch of each set (a bit per hashed place, flipped by every shingle) differs in
   at most as many bits as the sets differ in shingles, so it rules pairs out without loss; the others
   are compared by their sets and joined by union-find. Only links that join two labels come out, fewer
   than the chunk has members, and no row is made per pair;
@@ -245,19 +245,19 @@ def joins(x: Chunk, y: Chunk, percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-_LINKS = "a binary, b binary, bucket long, chunk int, data binary"
+_LINKS = "a binary, b binary, bucket long, chunk int, bases int, data binary"
 
 
-def _link_batch(links: list[tuple[bytes, bytes]], kept: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _link_batch(links: list[tuple[bytes, bytes]], kept: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     a, b = [x for x, _ in links] + [None] * len(kept), [x for _, x in links] + [None] * len(kept)
-    rest = [[None] * len(links) + [x[i] for x in kept] for i in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([a, b, *rest], [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["a", "b", "bucket", "chunk", "data"])
+    rest = [[None] * len(links) + [x[i] for x in kept] for i in range(4)]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([a, b, *rest], kinds, strict=True)], ["a", "b", "bucket", "chunk", "bases", "data"])
 
 
 def _within(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """left: bucket, cls, component, chunk, chunks. Links within each chunk; and the chunks themselves
-    where a bucket has several."""
-    rows = left.join(texts, "cls").select("bucket", "chunk", "chunks", "cls", "component", "text")
+    """left: _mixed()'s. Links within each chunk; and the chunks themselves where a bucket has several."""
+    rows = left.join(texts, "cls").select("bucket", "chunk", "chunks", "bases", "cls", "component", "text")
     rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +265,11 @@ def _within(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
         def close() -> tuple[list, list]:
             c = Chunk([r[0] for r in held], [r[1] for r in held], [r[2] for r in held])
-            return joins(c, c, percent), ([(now[0], now[1], c.dump())] if now[2] > 1 else [])
+            return joins(c, c, percent), ([(now[0], now[1], now[3], c.dump())] if now[2] > 1 else [])
 
         for b in batches:
             links = []
-            for *at, cls, component, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "chunks", "cls", "component")), b.column("text"), strict=True):
+            for *at, cls, component, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "chunks", "bases", "cls", "component")), b.column("text"), strict=True):
                 if at != now:
                     if held:
                         own, kept = close()
@@ -287,9 +287,10 @@ def _within(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _between(chunks: DataFrame, percent: int) -> DataFrame:
-    """Links between chunks of one bucket. Each chunk goes to itself and to every one before it, so that a
-    hot bucket's pairs of chunks are spread over tasks; one of a pair is held, the others pass by."""
-    rows = chunks.select("bucket", F.explode(F.sequence(F.lit(0), "chunk")).alias("base"), "chunk", "data")
+    """Links between chunks of one bucket. Each chunk goes to itself and to every one before it, but for those
+    of the largest component, so that a hot bucket's pairs of chunks are spread over tasks; one of a pair is
+    held, the others pass by."""
+    rows = chunks.select("bucket", F.explode(F.sequence(F.lit(0), F.least("chunk", F.col("bases") - 1))).alias("base"), "chunk", "data")
     rows = rows.repartition("bucket", "base").sortWithinPartitions("bucket", "base", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +326,19 @@ def _labels(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _mixed(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, cls, component, chunk, chunks: of buckets with several components."""
+    """bucket, cls, component, chunk, chunks, bases: of buckets with several components. The members of a
+    bucket's largest component have chunks of their own, numbered from bases on: they aren't compared with
+    each other."""
     left = member.join(labels, "cls", "left").select("bucket", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    size = F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(size).cast("int").alias("chunks")).where("lo <> hi")
-    chunk = F.pmod(F.xxhash64("cls"), "chunks").cast("int")
-    return left.join(mixed, "bucket").select("bucket", "cls", "component", chunk.alias("chunk"), "chunks")
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = F.max(F.struct("c", "component", "s")).alias("main")
+    mixed = parts.groupBy("bucket").agg(main, F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("components")).where("components > 1")
+    size = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / CHUNK_SHINGLES)).cast("int")
+    whole, of_main, rest = size(F.col("c"), F.col("s")), size(F.col("main.c"), F.col("main.s")), size(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), F.when(whole == 1, 1).otherwise(rest).alias("bases"), F.when(whole == 1, 1).otherwise(rest + of_main).alias("chunks"))
+    h, own = F.xxhash64("cls"), (F.col("component") == F.col("main")) & (F.col("chunks") > 1)
+    chunk = F.when(own, F.col("bases") + F.pmod(h, F.col("chunks") - F.col("bases"))).otherwise(F.pmod(h, "bases")).cast("int")
+    return left.join(mixed, "bucket").select("bucket", "cls", "component", chunk.alias("chunk"), "chunks", "bases")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,7 +364,7 @@ def _components(docs: DataFrame, scratch: Scratch, k: int, percent: int, doc_id:
     found = scratch.write(_confirm(_star(member), texts, k, percent))
     left = scratch.write(_mixed(member, _labels(found, scratch)))
     near = scratch.write(_within(left, texts, k, percent))
-    far = scratch.write(_between(near.where("data is not null").select("bucket", "chunk", "data"), percent))
+    far = scratch.write(_between(near.where("data is not null").select("bucket", "chunk", "bases", "data"), percent))
     links = found
     for more in (near, far):
         links = links.unionByName(more.where("a is not null").select("a", "b"))
