@@ -29,9 +29,7 @@ from pyspark.sql import types as T
 
 from trackforge.llm.common import unused
 
-#: Languages that can be learnt: profiles are sent to every task.
-MOST_LANGUAGES = 10_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 _WHITE = " "  # stands for a border; a letter is never a space
 
 
@@ -115,8 +113,9 @@ def _batches(column: pa.Array, rows: list[int]) -> Iterator[tuple[list[int], lis
         yield held, texts
 
 
-def learn(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "lang", size: int = 400, longest: int = 3) -> Profiles:
-    """Profiles from all documents for which training is true and text and lang are not null."""
+def learn(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "lang", size: int = 400, longest: int = 3, most_languages: int = 2_000) -> Profiles:
+    """Profiles from all documents for which training is true and text and lang are not null. They are sent
+    to every task, so more than most_languages are an error; size entries for each are some 50 bytes long."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], int] = {}
@@ -144,10 +143,10 @@ def learn(docs: DataFrame, training: Column, *, text: str = "text", lang: str =
     grams = d.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("lang").orderBy(F.desc("c"), F.length("gram"), "gram")
     top = grams.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
-    rows = top.select("lang", "gram", "rank").limit(MOST_LANGUAGES * size + 1).collect()
+    rows = top.select("lang", "gram", "rank").limit(most_languages * size + 1).collect()
     languages = sorted({r["lang"] for r in rows})
-    if len(rows) > MOST_LANGUAGES * size:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if len(rows) > most_languages * size:
+        raise ValueError(f"more than {most_languages} languages")
     number = {x: i for i, x in enumerate(languages)}
     out: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
