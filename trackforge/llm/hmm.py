@@ -41,7 +41,7 @@ class Config:
     logarithm in a round, as a share of it, for another round to follow."""
 
     states: int = 4
-    rounds: int = 6
+    rounds: int = 4
     least_gain: float = 2e-3
     seed: int = 1
 
