@@ -371,10 +371,13 @@ def test_license_voting(spark):
     d = docs(spark, texts)
     rows = {r.doc_id: r for r in licenses.scan(d.unionByName(d.limit(20)), templates).collect()}
     assert len(rows) == len(texts)
+    n = 0
     for i, t in enumerate(texts):
         for x in templates[:3]:
-            assert sorted((s.start, s.end, round(s.covered, 9)) for s in rows[i].spans if s.name == x.name) == brute_notices(words(t), x.text, 3, 8, 0.7)
-    assert sum(len(r.spans) for r in rows.values()) > 100 and not any(s.name == "none" for r in rows.values() for s in r.spans)
+            want = brute_notices(words(t), x.text, 3, 8, 0.7)
+            assert sorted((s.start, s.end, round(s.covered, 9)) for s in rows[i].spans if s.name == x.name) == want
+            n += len(want)
+    assert n > 50 and not any(s.name == "none" for r in rows.values() for s in r.spans)
 
 
 def test_license_templates_beyond_the_broadcast(spark, monkeypatch):

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from test_llm import PLAIN, VOC, brute_groups, brute_hits, luhn
 
 import corpus_pipeline as pipeline
+from trackforge.llm.common import scope, shared_dir
+from trackforge.llm.epsilon_grid import near_vectors
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -159,3 +162,14 @@ def test_rows_are_those_of_brute_force(spark):
     finally:
         pipeline.table = old
     assert got == want
+
+
+def test_scopes_own_their_tables(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    with scope():
+        vectors = near_vectors(spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)], "vec_id long, embedding array<float>"))
+        with scope():
+            assert pipeline.run(spark, SF).count()
+        assert vectors.count() == 30
+    assert set(folder.iterdir()) == before

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,19 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-#: What operators have left for results that are not read yet: each entry deletes one thing.
-_left: list[Callable[[], None]] = []
+#: What the calls within the innermost scope() have left for results that are not read yet: each entry deletes one thing.
+_left: ContextVar[list[Callable[[], None]] | None] = ContextVar("left", default=None)
 
 
-def release() -> None:
-    """Delete the scratch tables of all operators called so far. For use when their results have been
-    written; results that have not cannot be read any more."""
-    while _left:
-        _left.pop()()
+@contextmanager
+def scope() -> Iterator[None]:
+    """Owns the scratch tables of the operators called within it, in this thread: they are deleted when it ends,
+    so results must have been read or written by then. Tables of calls outside of any scope stay."""
+    own: list[Callable[[], None]] = []
+    token = _left.set(own)
+    try:
+        yield
+    finally:
+        _left.reset(token)
+        while own:
+            own.pop()()
 
 
 def leave(delete: Callable[[], None]) -> None:
-    _left.append(delete)
+    if (own := _left.get()) is not None:
+        own.append(delete)
 
 
 def delete_path(spark: SparkSession, name: str) -> None:
@@ -88,13 +97,12 @@ def bounded_batches(spark: SparkSession, limit: int = 64 << 20) -> Iterator[None
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors. The scope() that it was
+    made in deletes them."""
 
-    def __init__(self, spark: SparkSession, name: str, *, keep: bool = False):
-        """keep: release() passes this one over."""
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
-        if not keep:
-            leave(self.clear)
+        leave(self.clear)
 
     def clear(self) -> None:
         delete_path(self.spark, self.root)

@@ -149,7 +149,7 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], *, doc_id: str, t
 
 
 def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
-    """df, written to the shared folder as a table bucketed by a column; release() drops it."""
+    """df, written to the shared folder as a table bucketed by a column, which the scope() it was made in drops."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
 
