@@ -12,8 +12,8 @@ Each stage reads what the one before it wrote and works on all of it:
 Null and empty texts are rejected by the first stage; of rows that repeat an id and a text one stays
 after the second; null ids pass as each operator's docstring says; columns other than doc_id, text and
 lang pass through the first four stages unchanged, whatever their names; empty tables give empty results.
-What the operators left in the shared folder is deleted after each stage, and so is each stage's table
-once the next one is written, but for the last.
+What a stage's operators left in the shared folder is deleted after it (tables of other calls are left alone),
+and so is each stage's table once the next one is written, but for the last, which the caller's scope() owns.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackforge.llm.bpe import Vocabulary, decode, encode
-from trackforge.llm.common import Scratch, release, table, unused
+from trackforge.llm.common import Scratch, scope, table, unused
 from trackforge.llm.decontam import decontaminate as without_benchmark
 from trackforge.llm.langid import identify, learn
 from trackforge.llm.minhash import without_near_duplicates
@@ -78,12 +78,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents."""
     docs, before = table(spark, sf_dir, "documents"), None
-    release()
     for name, stage in STAGES:
-        # each stage's folder of its own: release() deletes what the stage's operator left, not its result
-        scratch = Scratch(spark, f"pipeline-{name}", keep=True)
-        docs = scratch.write(stage(spark, docs, sf_dir))
-        release()
+        scratch = Scratch(spark, f"pipeline-{name}")
+        with scope():
+            docs = scratch.write(stage(spark, docs, sf_dir))
         if before:
             before.clear()
         before = scratch
