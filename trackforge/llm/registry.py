@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_chat, q_decontam, q_divergence, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_pii, q_urls
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_divergence, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_pii, q_urls, q_yinyang
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hmm": q_hmm.op8_hmm,
     "op9_pii": q_pii.op9_pii,
     "op10_minhash": q_minhash.op10_minhash,
+    "op11_yinyang": q_yinyang.op11_yinyang,
     "op13_divergence": q_divergence.op13_divergence,
     # parts of their results that SQL can say
     "license_phrases": q_licenses.license_phrases,
@@ -27,6 +28,7 @@ ORACLE_SQL = {
     "op5_epsilon_grid": q_epsilon_grid.SQL,
     "op6_urls": q_urls.SQL,
     "op10_minhash": q_minhash.SQL,
+    "op11_yinyang": q_yinyang.SQL,
     "op13_divergence": q_divergence.SQL,
     "license_phrases": q_licenses.SQL,
     "pii_counts": q_pii.SQL,
