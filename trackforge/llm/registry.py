@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm import q_bpe, q_chat, q_decontam, q_divergence, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_pii, q_urls, q_yinyang
+from trackforge.llm import q_bpe, q_chat, q_decontam, q_divergence, q_epsilon_grid, q_hmm, q_langid, q_licenses, q_minhash, q_pii, q_suffixes, q_urls, q_yinyang
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": q_pii.op9_pii,
     "op10_minhash": q_minhash.op10_minhash,
     "op11_yinyang": q_yinyang.op11_yinyang,
+    "op12_suffixes": q_suffixes.op12_suffixes,
     "op13_divergence": q_divergence.op13_divergence,
     # parts of their results that SQL can say
     "license_phrases": q_licenses.license_phrases,

@@ -148,8 +148,9 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], *, doc_id: str, t
     return bucketed(d.mapInArrow(run, schema), "block", "blocks")
 
 
-def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
-    """df, written to the shared folder as a table bucketed by a column, which the scope() it was made in drops."""
+def bucketed(df: DataFrame, by: str, name: str, *, codec: str = "snappy") -> DataFrame:
+    """df, written to the shared folder as a table bucketed by a column, which the scope() it was made in drops. What is large is
+    packed already, as a rule: hence the light codec."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
 
@@ -160,7 +161,7 @@ def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
     leave(drop)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with bounded_batches(spark):
-        df.write.bucketBy(parts, by).format("parquet").option("compression", "snappy").option("path", path).saveAsTable(name)  # what is large is packed already
+        df.write.bucketBy(parts, by).format("parquet").option("compression", codec).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
