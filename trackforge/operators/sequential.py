@@ -2,7 +2,9 @@
 through applyInArrow. Everything that a window can express is done before, natively; only the columns
 that a kernel computes with become numpy arrays, the others stay in Arrow.
 
-A track must fit into one worker; tracks are days of one vehicle, and more data means more tracks.
+A track must fit into one worker; tracks are days of one vehicle, and more data means more tracks. For longer
+ones, stop_move and thin_by_distance take ``split``: tracks are cut into chunks of so many rows (see runs), with
+the same rows as a result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackforge.core import Track
+from trackforge.operators import runs
 from trackforge.operators.smoothing import rolling_mean
 
 #: Of columns as float arrays: (rows of the result by number, or None for all; new columns, NaN as null).
@@ -92,15 +95,94 @@ def pieces(time: np.ndarray, speed: np.ndarray, bins: tuple[float, ...] = SPEED_
     return out
 
 
-def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False, skip_failing: bool = False) -> DataFrame:
+class Stops(runs.Chunk):
+    """The pieces of a chunk: columns time and speed, with two rows before and eleven after it."""
+
+    BEFORE, AFTER = 2, 2 + LOOK_AHEAD - 1
+
+    def __init__(self, c: dict[str, np.ndarray], before: int, after: int, time: str, speed: str, bins: tuple[float, ...], max_stop: float):
+        self.columns, self.own = c, slice(before, len(c[time]) - after)
+        self.n = n = len(c[time]) - before - after
+        known, total, count = ~np.isnan(c[speed]), np.zeros(len(c[speed])), np.zeros(len(c[speed]))
+        for k in range(-2, 3):  # the centred mean of five, null if none is known
+            at = slice(max(0, -k), len(total) - max(0, k))
+            of = slice(max(0, k), len(total) - max(0, -k))
+            total[at] += np.where(known[of], c[speed][of], 0.0)
+            count[at] += known[of]
+        with np.errstate(invalid="ignore"):
+            mean = (total / count)[before:]
+        self.mean = mean[:n]
+        v = np.nan_to_num(mean)
+        padded = np.concatenate([v, np.zeros(LOOK_AHEAD)])
+        ahead = sum(padded[k : k + n] for k in range(LOOK_AHEAD)) / np.minimum(LOOK_AHEAD, len(v) - np.arange(n))
+        self.cls, next_cls, v = speed_classes(v[:n], bins), speed_classes(ahead, bins), v[:n]
+        self.time = c[time][self.own]
+        self.until = self.time + np.where(self.cls == 0, max_stop, np.where(v < MOVING_SPEED, 1.0, np.clip(WINDOW_WAY / (v + 1e-6), 1.0, 9999.0)))
+        lost = np.isnan(self.time)  # a row without time ends every piece
+        self.clock = np.maximum.accumulate(np.where(lost, -np.inf, self.time)) if n else self.time
+        self.breaks = [np.flatnonzero(((self.cls != k) & ((ahead >= MOVING_SPEED) if k == 0 else (next_cls != k))) | lost) for k in range(len(bins))]
+        self.next = self._ends(self.cls, self.until, np.arange(n) + 1)
+
+    def _ends(self, cls: np.ndarray, until: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = np.maximum(np.searchsorted(self.clock, until, side="right"), start)
+        out = np.where(np.isnan(until), start, out)
+        for k, at in enumerate(self.breaks):
+            rows = np.flatnonzero(cls == k)
+            out[rows] = np.minimum(out[rows], np.append(at, self.n)[np.searchsorted(at, start[rows])])
+        return np.minimum(out, self.n)
+
+    def states(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack([self.cls[rows], self.until[rows]], 1)
+
+    def enter(self, states: np.ndarray) -> np.ndarray:
+        return self._ends(states[:, 0].astype(np.int64), states[:, 1], np.zeros(len(states), np.int64))
+
+
+def _split_stops(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time: str, bins: tuple[float, ...], max_stop: float, split: int) -> DataFrame:
+    """A row for each piece: _track, first, last (seq), stop, means, and first and last time."""
+    columns = [time, speed, lat, lon]
+    table = runs.chunks(df, t, columns, split, Stops.BEFORE, Stops.AFTER)
+
+    def make(c: dict[str, np.ndarray], before: int, after: int) -> Stops:
+        return Stops(c, before, after, time, speed, bins, max_stop)
+
+    def parts(c: Stops, starts: np.ndarray, chunk: int, going: int) -> dict[str, np.ndarray]:
+        run = runs.number_of(starts, c.n, chunk, going)
+        first = np.flatnonzero(np.diff(run, prepend=-2) != 0)
+        end = np.append(first[1:], c.n)
+        of = lambda x: np.append(np.add.reduceat(x, first), np.zeros(len(first)))  # noqa: E731  sums at the first row of a part, zeros at its last
+        rows = np.append(first, end - 1)
+        stop = np.where(np.isin(rows, starts), c.cls[rows] == 0, False)
+        return {"rows": rows, "run": run[rows], "n": of(np.ones(c.n)), "stop": stop, "v": of(c.mean), **{x: of(c.columns[y][c.own]) for x, y in (("a", lat), ("b", lon))}, "time": c.time[rows]}
+
+    added = [("run", T.LongType()), ("n", _D), ("stop", T.BooleanType()), ("v", _D), ("a", _D), ("b", _D), ("time", _D)]
+    # a sum with a value missing is null for the whole piece, as its mean is
+    whole = lambda c: F.when(F.count(c) == F.count("*"), F.sum(c) / F.sum("n")).alias(c)
+    out = runs.over_chunks(table, runs.entries(table, columns, make), columns, make, parts, added).groupBy("track", "run")
+    return out.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.max("stop").alias("stop"), *map(whole, ("v", "a", "b")), F.min_by("time", "seq").alias("t0"), F.max_by("time", "seq").alias("t1")).withColumnRenamed("track", "_track")
+
+
+def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False, skip_failing: bool = False, split: int | None = None) -> DataFrame:
     """A track as stops (two rows, STOP_START and STOP_END) and moves (one row, MOVING_<class>), with mean
     place and speed; the other columns are those of a piece's first row (of STOP_END: its last).
 
-    plain_markers: moves are MOVING, and time_numeric is the middle of the piece.
+    plain_markers: moves are MOVING, and time_numeric is the middle of the piece. split: rows of a chunk, for tracks that
+    are too long for one task; time must not decrease then.
     """
     a, b = f"{lat}_smoothed_rolling_windows", f"{lon}_smoothed_rolling_windows"
-    d = rolling_mean(df, t, speed, 5, to="_v")
     added = [(speed, _D), (a, _D), (b, _D), ("segment_marker", T.StringType())] + ([("time_numeric", _D)] if plain_markers else [])
+    order = [*[c for c in df.columns if c not in {n for n, _ in added} - {speed}], *[n for n, _ in added if n != speed]]
+    if split:
+        p = _split_stops(df, t, lat, lon, speed, time, bins, max_stop, split)
+        kind = F.lit(f"MOVING_{len(bins) - 1}")
+        for i, (low, high) in enumerate(zip(bins, bins[1:], strict=False)):
+            kind = F.when((F.col("v") >= low) & (F.col("v") < high), F.lit(f"MOVING_{i}")).otherwise(kind)
+        mark = lambda at, name: F.struct(F.col(at).alias("seq"), name.alias("marker"))
+        rows = F.when(F.col("stop"), F.array(mark("first", F.lit("STOP_START")), mark("last", F.lit("STOP_END")))).otherwise(F.array(mark("first", F.lit("MOVING") if plain_markers else kind)))
+        p = p.select("_track", F.explode(rows).alias("_m"), F.col("v").alias("_v"), F.col("a").alias("_a"), F.col("b").alias("_b"), ((F.col("t0") + F.col("t1")) / 2).alias("_t"))
+        made = {speed: F.col("_v"), a: F.col("_a"), b: F.col("_b"), "segment_marker": F.col("_m.marker"), "time_numeric": F.col("_t")}
+        return df.join(p, F.col(t.track).eqNullSafe(F.col("_track")) & (F.col(t.seq) == F.col("_m.seq"))).withColumns({n: made[n] for n, _ in added}).select(*order)
+    d = rolling_mean(df, t, speed, 5, to="_v")
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         v, s = c["_v"], c[time]
@@ -116,12 +198,18 @@ def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon
             made["time_numeric"] = ((s[first] + s[end - 1]) / 2)[of]
         return np.where(last, end[of] - 1, first[of]), made
 
-    order = [*[c for c in df.columns if c not in {n for n, _ in added} - {speed}], *[n for n, _ in added if n != speed]]
     return per_track(d, t, ["_v", time, lat, lon], kernel, added, keep=df.columns, skip_failing=skip_failing).select(*order)
 
 
-def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float) -> DataFrame:
-    """Rows at least ``least`` from the last row kept; min_distance says so."""
+def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float, *, split: int | None = None) -> DataFrame:
+    """Rows at least ``least`` from the last row kept; min_distance says so. split: rows of a chunk, for tracks that are too
+    long for one task."""
+    if split:
+        make = lambda c, before, after: runs.Spaced(c[x], c[y], least)
+        table = runs.chunks(df, t, [x, y], split, 0, 0)
+        kept = runs.over_chunks(table, runs.entries(table, [x, y], make), [x, y], make, lambda c, starts, *_: {"rows": starts}, [])
+        kept = kept.select(F.col("track").alias("_track"), F.col("seq").alias("_seq"))
+        return df.join(kept, F.col(t.track).eqNullSafe(F.col("_track")) & (F.col(t.seq) == F.col("_seq")), "left_semi").withColumn("min_distance", F.lit(float(least)))
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         keep, last = [], None
