@@ -767,6 +767,25 @@ def stop_move(spark, sf):
     return d.select(*KEY, "segment_marker", r("lat_smoothed_rolling_windows"), r("lon_smoothed_rolling_windows"), r("speed"))
 
 
+#: Rows of a chunk in queries that cut tracks over several tasks.
+SPLIT = 20
+
+
+@query(ORACLE_SQL["stop_move"])
+def stop_move_split(spark, sf):
+    d = kinematics.elapsed_time(tracks(spark, sf), T).withColumn("speed", F.greatest(F.col("v") - 30, F.lit(0.0)) / 10)
+    d = sequential.stop_move(d, T, "lat", "lon", "speed", split=SPLIT)
+    return d.select(*KEY, "segment_marker", r("lat_smoothed_rolling_windows"), r("lon_smoothed_rolling_windows"), r("speed"))
+
+
+@query(f"""{_STOPS}, n AS (SELECT track_id, start, (min(t) + max(t)) / 2 AS mid FROM k JOIN c USING (track_id, seq) GROUP BY track_id, start)
+SELECT m.track_id, seq, regexp_replace(segment_marker, 'MOVING_.*', 'MOVING') AS segment_marker, round(mid, 6) AS time_numeric, round(speed, 6) AS speed FROM m JOIN n ON m.track_id = n.track_id AND n.start = (SELECT max(start) FROM n z WHERE z.track_id = m.track_id AND z.start <= m.seq)""")
+def stop_move_plain(spark, sf):
+    """Moves without classes, with the middle of each piece's time: the markers of former versions."""
+    d = kinematics.elapsed_time(tracks(spark, sf), T).withColumn("speed", F.greatest(F.col("v") - 30, F.lit(0.0)) / 10)
+    return sequential.stop_move(d, T, "lat", "lon", "speed", plain_markers=True, split=SPLIT).select(*KEY, "segment_marker", r("time_numeric"), r("speed"))
+
+
 @query(f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, v * 10 AS x, (event_id % 100) * 7.0 AS y FROM e),
 k AS (SELECT track_id, seq, x AS lx, y AS ly, true AS keep FROM p WHERE seq = 1 UNION ALL
  SELECT track_id, seq, CASE WHEN far THEN x ELSE lx END, CASE WHEN far THEN y ELSE ly END, far FROM (SELECT p.*, lx, ly, sqrt(pow(x - lx, 2) + pow(y - ly, 2)) >= 300 AS far FROM k JOIN p ON p.track_id = k.track_id AND p.seq = k.seq + 1))
@@ -775,6 +794,11 @@ def min_spacing(spark, sf):
     return sequential.thin_by_distance(planar(spark, sf), T, "x", "y", 300.0).select(*KEY, "min_distance")
 
 
+@query(ORACLE_SQL["min_spacing"])
+def min_spacing_split(spark, sf):
+    return sequential.thin_by_distance(planar(spark, sf), T, "x", "y", 300.0, split=SPLIT).select(*KEY, "min_distance")
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT user_id AS track_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
 k AS (SELECT track_id, seq, v AS x, 1.1 * (1 - 1.1 / 3.1) AS p FROM e WHERE seq = 1 UNION ALL SELECT e.track_id, e.seq, x + (p + 0.1) / (p + 2.1) * (v - x), (p + 0.1) * (1 - (p + 0.1) / (p + 2.1)) FROM k JOIN e ON e.track_id = k.track_id AND e.seq = k.seq + 1)
 SELECT track_id, seq, round(x, 6) AS v_kalman FROM k""")
