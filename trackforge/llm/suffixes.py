@@ -40,8 +40,8 @@ LENGTH = 200
 BLOCK_BYTES = 4_000_000
 #: Bytes of an anchor; windows' starts that are looked at at once.
 ANCHOR, CHUNK = 24, 1 << 17
-#: Contexts of a hash that are sorted in one task, and of all hashes of a bucket.
-HOT, BUCKET_ENTRIES = 1000, 20_000
+#: Contexts of all hashes of a bucket, some 12 MB in a task; a hash with more of its own than that is hot.
+BUCKET_ENTRIES = HOT = 20_000
 _POS = np.uint64((1 << 20) - 1)
 
 
