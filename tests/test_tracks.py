@@ -396,3 +396,27 @@ def test_daily_files_are_named_by_track_and_steps(spark, tmp_path):
     assert out.count() == 29
     daily.save(out, str(tmp_path / "out"), c)
     assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["file=d1_time_planar_distance"]
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_nearest_from_far_away(spark, ties):
+    rng = np.random.default_rng(9)
+    ends = rng.uniform(-3000, 3000, (300, 2)).round()
+    ends = np.concatenate([ends, ends + rng.uniform(-90, 90, (300, 2)).round()], 1)
+    ends = np.concatenate([ends, ends[:3]])
+    places = np.concatenate([rng.uniform(-3000, 3000, (60, 2)), rng.uniform(-9, 9, (5, 2)) * 1e5, [[0, 0], [0, 0], [7e6, -7e6], [2e8, 0]]])
+    s = spark.createDataFrame([(i, *map(float, e)) for i, e in enumerate(ends)], "q int, ax double, ay double, bx double, by double")
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "p int, x double, y double")
+    want = []
+    for i, (x, y) in enumerate(places):
+        a, way = ends[:, :2], ends[:, 2:] - ends[:, :2]
+        n = (way**2).sum(1)
+        u = np.clip((([x, y] - a) * way).sum(1) / np.where(n > 0, n, 1), 0, 1)
+        d = np.hypot(*(np.array([x, y]) - a - u[:, None] * way).T)
+        if d.min() <= 1e8:
+            best = np.flatnonzero(d <= d.min() * (1 + 1e-14))
+            want += [(i, int(k), round(d.min(), 3)) for k in (best if ties else best[:1])]
+    for radius in (20.0, 1e4):
+        got = sorted((r.p, r.q, round(r.distance, 3)) for r in spatial.nearest(p, s, "p", "q", radius, ties=ties).collect())
+        assert got == want
+    assert spatial.nearest(p, s.limit(0), "p", "q", 20.0, ties=ties).count() == 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trackforge.functions.geo import EARTH_M, haversine_m, to_mercator
 from trackforge.functions.orientation import line_angle_at
 from trackforge.functions.numeric import compass, finite, undirected_gap, vertices_radius
-from trackforge.sources.shared import folder
+from trackforge.sources.shared import written
 
 
 def segments(lines: DataFrame, line_id: str = "id", geometry: str = "geometry", *keep: str) -> DataFrame:
@@ -117,29 +117,64 @@ def semi_near(points: DataFrame, segs: DataFrame, radius: float, point_id: str,
     return points.join(hit, point_id, "left_semi")
 
 
-def nearest(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, radius: float, *, ties: bool = False, grow: float = 4.0, most: float = 1e8, **kw) -> DataFrame:
-    """point_id, line_id, distance of the nearest line; of equally near ones the smallest id, or all
-    with ties. Points without a line within the radius are tried again with a larger one, so cells
-    stay small where lines are dense; a place that isn't a number has no line. Each round is a table in
+def nearest(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, radius: float, *, ties: bool = False, most: float = 1e8, **kw) -> DataFrame:
+    """point_id, line_id, distance of the nearest line within ``most``; of equally near ones the smallest id, or
+    all with ties. A place that isn't a number has no line. Points with a line within the radius find it by
+    one join; the others search a pyramid of cells from the top (see _far). Only the best rows are written, to
     the shared folder."""
     x, y = kw.get("x", "x"), kw.get("y", "y")
-    left, out = points.select(point_id, x, y).where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull()), None
-    if segs.isEmpty():
-        return near_pairs(left, segs, radius, point_id, line_id, **kw)
-    spark, path = points.sparkSession, folder(points.sparkSession, "nearest")
-    while radius <= most:
-        near_pairs(left, segs, radius, point_id, line_id, **kw).write.parquet(f"{path}/{radius}")
-        pairs = spark.read.parquet(f"{path}/{radius}")
-        out = pairs if out is None else out.unionByName(pairs)
-        left = left.join(pairs.select(point_id).distinct(), point_id, "left_anti")
-        if left.isEmpty():
-            break
-        radius *= grow
+    d = points.select(point_id, x, y).where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull())
+    close = _best(near(d, segs, radius, **kw), [point_id], line_id, ties)
+    found = written(d.join(close, point_id, "left"), "nearest")
+    strays, out = found.where(F.col("distance").isNull()), found.where(F.col("distance").isNotNull()).select(point_id, line_id, "distance")
+    if strays.isEmpty():
+        return out
+    far = _far(strays.select(x, y).distinct(), segs, line_id, radius, most, ties, x, y)
+    return out.unionByName(strays.select(point_id, x, y).join(far, [x, y]).select(point_id, line_id, "distance"))
+
+
+def _best(hits: DataFrame, by: list[str], line_id: str, ties: bool) -> DataFrame:
     if ties:
-        w = Window.partitionBy(point_id).orderBy("distance")
-        return out.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
-    best = F.min(F.struct("distance", line_id)).alias("b")
-    return out.groupBy(point_id).agg(best).select(point_id, f"b.{line_id}", "b.distance")
+        w = Window.partitionBy(*by).orderBy("distance")
+        return hits.groupBy(*by, line_id).agg(F.min("distance").alias("distance")).withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+    return hits.groupBy(*by).agg(F.min(F.struct("distance", line_id)).alias("b")).select(*by, f"b.{line_id}", "b.distance")
+
+
+#: A cell of the pyramid has 8 x 8 below it; at most so many cells are on top.
+_BITS, _TOP = 3, 64
+
+
+def _far(places: DataFrame, segs: DataFrame, line_id: str, leaf: float, most: float, ties: bool, x: str, y: str) -> DataFrame:
+    """x, y, line_id, distance: the nearest line of places, branch and bound down a pyramid of the cells that
+    segments touch. At each level a place keeps the cells that are no further than the far corner of some cell with a
+    vertex in it: a few, however far away the lines are."""
+    vertex = (_cell(F.col("ax"), leaf) == F.col("_cx")) & (_cell(F.col("ay"), leaf) == F.col("_cy"))
+    cells = written(_cells_of(segs.select("ax", "ay", "bx", "by"), leaf, 0.0).groupBy("_cx", "_cy").agg(F.max(vertex).alias("_v")), "cells")
+    up = lambda c, k: F.shiftright(c, _BITS * k)
+
+    def level(k: int) -> DataFrame:
+        return cells.groupBy(up("_cx", k).alias("_cx"), up("_cy", k).alias("_cy")).agg(F.max("_v").alias("_v")) if k else cells
+
+    e = cells.agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("_cx", "_cy")]).first()
+    if e["lo_cx"] is None:
+        return places.select(x, y, F.lit(None).cast(segs.schema[line_id].dataType).alias(line_id), F.lit(None).cast("double").alias("distance")).limit(0)
+    k, span = 0, lambda c, k: (e[f"hi{c}"] >> _BITS * k) - (e[f"lo{c}"] >> _BITS * k) + 1
+    while span("_cx", k) * span("_cy", k) > _TOP:
+        k += 1
+    top = F.array(*[F.struct(F.lit(r["_cx"]).alias("_cx"), F.lit(r["_cy"]).alias("_cy"), F.lit(r["_v"]).alias("_v")) for r in level(k).collect()])
+    d = places.withColumn("_c", F.explode(top)).select(x, y, "_c.*")
+    for n in range(k, -1, -1):
+        size = leaf * (1 << _BITS * n)
+        lo = [F.greatest(F.col(c) * size - F.col(p), F.col(p) - (F.col(c) + 1) * size, F.lit(0.0)) for c, p in (("_cx", x), ("_cy", y))]
+        hi = [F.greatest(F.abs(F.col(c) * size - F.col(p)), F.abs((F.col(c) + 1) * size - F.col(p))) for c, p in (("_cx", x), ("_cy", y))]
+        bound = F.min(F.when(F.col("_v"), F.hypot(*hi))).over(Window.partitionBy(x, y))
+        d = d.withColumn("_bound", bound).where((F.hypot(*lo) <= F.col("_bound") * (1 + 1e-12)) & (F.hypot(*lo) <= most))
+        if n:
+            below = level(n - 1).withColumns({"_px": up("_cx", 1), "_py": up("_cy", 1)})
+            d = d.select(x, y, F.col("_cx").alias("_px"), F.col("_cy").alias("_py")).join(below, ["_px", "_py"])
+    hits = d.select(x, y, "_cx", "_cy").join(_cells_of(segs, leaf, 0.0), ["_cx", "_cy"])
+    hits = hits.withColumn("distance", point_segment(F.col(x), F.col(y), *[F.col(c) for c in ("ax", "ay", "bx", "by")])).where(F.col("distance") <= most)
+    return _best(hits, [x, y], line_id, ties)
 
 
 def lines_near(a: DataFrame, b: DataFrame, radius: float, a_id: str, b_id: str, *, cell: float | None = None) -> DataFrame:
