@@ -122,15 +122,20 @@ def nearest(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, rad
     all with ties. A place that isn't a number has no line. Points with a line within the radius find it by
     one join; the others search a pyramid of cells from the top (see _far). Only the best rows are written, to
     the shared folder."""
+    return _nearest(points, segs, point_id, line_id, radius, ties, most, **kw).select(point_id, line_id, "distance")
+
+
+def _nearest(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, radius: float, ties: bool, most: float, **kw) -> DataFrame:
+    """nearest, with x and y."""
     x, y = kw.get("x", "x"), kw.get("y", "y")
     d = points.select(point_id, x, y).where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull())
     close = _best(near(d, segs, radius, **kw), [point_id], line_id, ties)
     found = written(d.join(close, point_id, "left"), "nearest")
-    strays, out = found.where(F.col("distance").isNull()), found.where(F.col("distance").isNotNull()).select(point_id, line_id, "distance")
+    strays, out = found.where(F.col("distance").isNull()), found.where(F.col("distance").isNotNull())
     if strays.isEmpty():
         return out
     far = _far(strays.select(x, y).distinct(), segs, line_id, radius, most, ties, x, y)
-    return out.unionByName(strays.select(point_id, x, y).join(far, [x, y]).select(point_id, line_id, "distance"))
+    return out.unionByName(strays.select(point_id, x, y).join(far, [x, y]).select(*out.columns))
 
 
 def _best(hits: DataFrame, by: list[str], line_id: str, ties: bool) -> DataFrame:
@@ -317,16 +322,18 @@ def along_or_across(points: DataFrame, segs: DataFrame, radius: float, point_id:
 def map_radius(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, radius: float, *, geometry: str = "geometry") -> DataFrame:
     """points with line_id, dist2rail and map_radius: at the nearest place of the nearest line, the circle
     through the nearer end of its segment and that vertex's two neighbours; null at the line's ends. A
-    segment carries the radii at its ends, so no line's vertices are joined to its points."""
+    segment carries the vertices beside it, so no line is joined to its points."""
     g = F.col(geometry)
-    at = lambda i, k: F.get(g, i)[k]
-    bend = lambda i: vertices_radius(at(i - 1, "x"), at(i - 1, "y"), at(i, "x"), at(i, "y"), at(i + 1, "x"), at(i + 1, "y"))
     s = segments(lines, line_id, geometry, geometry)
-    s = s.select("ax", "ay", "bx", "by", F.struct(line_id, "n", "ax", "ay", "bx", "by", bend(F.col("n")).alias("at_a"), bend(F.col("n") + 1).alias("at_b")).alias("_seg"))
-    hit = nearest(points, s, point_id, "_seg", radius).withColumnRenamed("distance", "dist2rail")
-    dx, dy = F.col("_seg.bx") - F.col("_seg.ax"), F.col("_seg.by") - F.col("_seg.ay")
-    along = (F.col("x") - F.col("_seg.ax")) * dx + (F.col("y") - F.col("_seg.ay")) * dy
-    found = points.select(point_id, "x", "y").join(hit, point_id).select(point_id, f"_seg.{line_id}", "dist2rail", F.when(2 * along <= dx * dx + dy * dy, F.col("_seg.at_a")).otherwise(F.col("_seg.at_b")).alias("map_radius"))
+    ends = ["ax", "ay", "bx", "by"]
+    s = s.select(*ends, F.struct(line_id, "n", *ends, F.get(g, F.col("n") - 1).alias("before"), F.get(g, F.col("n") + 2).alias("after")).alias("_seg"))
+    hit = _nearest(points, s, point_id, "_seg", radius, False, 1e8).select(point_id, "x", "y", F.col("distance").alias("dist2rail"), "_seg.*")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at_a = 2 * ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) <= dx * dx + dy * dy
+    place = lambda p, q: F.struct(F.col(p).alias("x"), F.col(q).alias("y"))
+    three = F.when(at_a, F.array("before", place("ax", "ay"), place("bx", "by"))).otherwise(F.array(place("ax", "ay"), place("bx", "by"), "after"))
+    bend = vertices_radius(*[F.col("_three")[i][k] for i in range(3) for k in "xy"])
+    found = hit.withColumn("_three", three).select(point_id, line_id, "dist2rail", bend.alias("map_radius"))
     return points.join(found, point_id, "left")
 
 
