@@ -1,17 +1,19 @@
 """Files in and out, plans over them, streams."""
 
 import json
+import random
 import struct
 import zlib
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trackforge.core import Track
 from trackforge.operators import profile, spatial
 from trackforge.plans import daily, infrastructure, products
-from trackforge.sources import elevation, geo, logs, sinks
+from trackforge.sources import elevation, geo, logs, pbf, sinks
 from trackforge.streaming import live
 
 T = Track()
@@ -95,6 +97,37 @@ def test_pbf(spark, tmp_path):
     assert geo.railways(ways).first().railway_type == "rail"
 
 
+def test_pbf_ranges_and_filters(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [("node", rng.randint(-(2**40), 2**40), round(rng.uniform(-180, 180), 7), round(rng.uniform(-90, 90), 7), None, {"railway": "stop", "name": "é"} if i % 7 == 0 else {}) for i in range(3000)]
+    rows += [("way", i, None, None, [rng.randint(-(2**33), 2**33) for _ in range(i % 5)], {"railway": "rail"} if i % 3 == 0 else {"highway": "x" * (i % 50)}) for i in range(900)]
+    geo.register(spark)
+    d = spark.createDataFrame(rows, pbf.ELEMENT)
+    path = str(tmp_path / "out")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pbf, "BLOCK", 100)  # of this process; workers were forked before
+        d.repartition(2).write.format("track_osm_pbf").mode("append").save(path)
+    plain = lambda rows: sorted(map(str, ((k, i, lon and round(lon, 7), lat and round(lat, 7), refs, sorted((tags or {}).items())) for k, i, lon, lat, refs, tags in rows)))
+    for size in (97, 5000, 1 << 25):
+        got = spark.read.format("track_osm_pbf").option("range", size).load(path)
+        assert plain(map(tuple, got.collect())) == plain(rows)
+        assert got.rdd.getNumPartitions() >= (30 if size == 97 else 2)
+        ways = got.where("kind = 'way'")
+        assert plain(map(tuple, ways.collect())) == plain(r for r in rows if r[0] == "way")
+        rails = spark.read.format("track_osm_pbf").option("range", size).option("keys", "railway").load(path)
+        assert plain(map(tuple, rails.collect())) == plain(r for r in rows if "railway" in r[5])
+    d.limit(5).write.format("track_osm_pbf").mode("overwrite").save(path)
+    assert spark.read.format("track_osm_pbf").load(path).count() == 5
+    # bytes that look like a header aren't taken for one
+    fake = pbf.blob(b"OSMData", pbf.block_of("way", pa.RecordBatch.from_pylist([{"kind": "way", "id": 1, "refs": [1], "tags": {"a": "b"}}], pbf._ARROW)))
+    noise = struct.pack(">i", 4) + b"\x0a\x07OSMData" + b"z" * 40
+    (tmp_path / "one.pbf").write_bytes(pbf.blob(b"OSMHeader", noise * 3) + fake)
+    for size in (1, 9, 60):
+        assert spark.read.format("track_osm_pbf").option("range", size).load(str(tmp_path / "one.pbf")).count() == 1
+    with pytest.raises(Exception, match="NotFound|No such|not.*found"):
+        spark.read.format("track_osm_pbf").load(str(tmp_path / "none.pbf")).count()
+
+
 def test_overpass_and_structures(spark, tmp_path):
     reply = {"elements": [{"type": "way", "id": 5, "nodes": [1, 2, 99]}, {"type": "node", "id": 1, "lat": 51.0, "lon": 11.0}, {"type": "node", "id": 2, "lat": 51.001, "lon": 11.0}, {"type": "way", "id": 6, "nodes": [1]}]}
     (tmp_path / "o.json").write_text(json.dumps(reply))

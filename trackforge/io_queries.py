@@ -141,6 +141,47 @@ def structures_csv(spark, sf):
     return geo.read_structures_csv(spark, f"{path}/csv").join(again.select("structure_id"), "structure_id", "left_semi").select("structure_id", "structure_type", F.size("coordinates").alias("n"), r(F.col("coordinates")[0]["lat"], 6, "first_lat"))
 
 
+def _extract(spark, sf):
+    """The curves as an extract's nodes and ways, written and read back by ranges of a few KB."""
+    c, path = _curves(spark, sf), shared.folder(spark, "extract")
+    node = lambda i: (F.col("q") * 4 + i).alias("id")
+    some = F.when(F.col("q") % 6 == 0, F.create_map(F.lit("name"), F.concat(F.lit("Ü"), F.col("q").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = c.select(some.alias("tags"), "q", F.posexplode("geometry").alias("i", "p")).select(F.lit("node").alias("kind"), node(F.col("i")), (11 + F.col("p.x") / 1e5).alias("lon"), (51 + F.col("p.y") / 1e5).alias("lat"), F.lit(None).cast("array<long>").alias("refs"), "tags")
+    rail = F.element_at(F.array(*map(F.lit, ("rail", "light_rail", "tram"))), (F.col("q") % 3 + 1).cast("int"))
+    tags = F.map_concat(F.when(F.col("q") % 2 == 0, F.create_map(F.lit("railway"), rail)).otherwise(F.create_map(F.lit("highway"), F.lit("track"))), F.create_map(F.lit("layer"), (F.col("q") % 4).cast("string")))
+    none = F.lit(None).cast("double")
+    ways = c.select(F.lit("way").alias("kind"), F.col("q").alias("id"), none.alias("lon"), none.alias("lat"), F.array(*[F.col("q") * 4 + i for i in range(4)]).alias("refs"), tags.alias("tags"))
+    geo.register(spark)
+    nodes.unionByName(ways).repartition(3).write.format("track_osm_pbf").mode("append").save(path)
+    return spark.read.format("track_osm_pbf").option("range", 4000), path
+
+
+@query("""SELECT 'node' AS kind, count(*) * 4 AS n, sum(c_custkey * 16 + 6)::BIGINT AS ids, 0::BIGINT AS refs, (count(*) FILTER (c_custkey % 6 = 0)) * 4 AS tagged FROM customer
+UNION ALL SELECT 'way', count(*), sum(c_custkey)::BIGINT, sum(c_custkey * 16 + 6)::BIGINT, count(*) FROM customer""")
+def pbf_elements(spark, sf):
+    source, path = _extract(spark, sf)
+    d = source.load(path)
+    refs = F.coalesce(F.aggregate("refs", F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(refs).alias("refs"), F.count(F.when(F.size("tags") > 0, 1)).alias("tagged"))
+
+
+@query("""SELECT c_custkey AS id, ['rail', 'light_rail', 'tram'][c_custkey % 3 + 1] AS railway_type, round(11 + (c_custkey * 71 % 5000 + 20) / 1e5, 7) AS x, round(51 + (c_custkey * 313 % 5000 + c_custkey % 7 + 1) / 1e5, 7) AS y, 4::BIGINT AS n
+FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 < 2""")
+def pbf_railways(spark, sf):
+    """Railways alone are made by the reader; nodes by another read, without their tags."""
+    source, path = _extract(spark, sf)
+    ways = source.option("keys", "railway").load(path).where("kind = 'way'")
+    nodes = spark.read.format("track_osm_pbf").option("range", 4000).load(path).where("kind = 'node'")
+    d = geo.railways(geo.lines_of_ways(ways.select("id", "refs", "tags"), nodes.select("id", "lon", "lat")))
+    return d.select("id", "railway_type", r(F.col("geometry")[1]["x"], 7, "x"), r(F.col("geometry")[1]["y"], 7, "y"), F.size("geometry").cast("long").alias("n"))
+
+
+@query("""SELECT c_custkey AS id, k AS kind, (c_custkey % 4)::INT AS layer FROM customer, (VALUES ('railway')) t(k) WHERE c_custkey % 2 = 0""")
+def pbf_infrastructure(spark, sf):
+    source, path = _extract(spark, sf)
+    return geo.infrastructure_ways(source.option("keys", "railway,bridge,tunnel").load(path).where(F.col("kind").isin("way", "relation"))).select("id", "kind", "layer")
+
+
 @query("SELECT region, region || '-latest.osm.pbf' AS file, 'https://x.org/' || region || '-latest.osm.pbf' AS url FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in geo.REGIONS) + "]) AS region)")
 def region_files(spark, sf):
     return geo.regions(spark, "https://x.org")

@@ -7,7 +7,6 @@ open; everything else is Spark's JSON reader. Lines are array<struct<x, y>> with
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trackforge.sources.pbf import PbfSource
 from trackforge.sources.shared import exists
 
 LINE = "array<struct<x:double,y:double>>"
@@ -98,116 +98,10 @@ def parse_shapefile(data: bytes) -> Iterator[tuple]:
                 yield number, k, [(xy[2 * i], xy[2 * i + 1]) for i in range(starts[k], starts[k + 1])]
 
 
-# OSM extracts. A PBF file is a run of blobs; each is read and unpacked by a task of its own.
-
-BLOB = "kind string, id long, lon double, lat double, refs array<long>, tags map<string,string>"
-
-
-class PbfSource(DataSource):
-    """spark.read.format("track_osm_pbf").load(path): kind (node, way), id, lon, lat, refs, tags."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "track_osm_pbf"
-
-    def schema(self) -> str:
-        return BLOB
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PbfReader(self.options["path"], int(self.options.get("blobs", 16)))
-
-
-class _PbfReader(DataSourceReader):
-    def __init__(self, path: str, blobs: int):
-        self.path, self.blobs = path, blobs
-
-    def partitions(self) -> list[InputPartition]:
-        found = []
-        with opened(self.path) as f:
-            while head := f.read(4):
-                header = dict(_fields(f.read(struct.unpack(">i", head)[0])))
-                if header[1] == b"OSMData":
-                    found.append((f.tell(), header[3]))
-                f.seek(header[3], 1)
-        return [InputPartition(found[i : i + self.blobs]) for i in range(0, len(found), self.blobs)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with opened(self.path) as f:
-            for at, size in partition.value:
-                f.seek(at)
-                blob = dict(_fields(f.read(size)))
-                yield from parse_block(blob[1] if 1 in blob else zlib.decompress(blob[3]))
-
-
-def _varint(b: bytes, at: int) -> tuple[int, int]:
-    out = shift = 0
-    while True:
-        x = b[at]
-        at += 1
-        out |= (x & 127) << shift
-        if x < 128:
-            return out, at
-        shift += 7
-
-
-def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """(number, value) of a protocol buffer message: integers, and bytes of nested ones."""
-    at = 0
-    while at < len(b):
-        key, at = _varint(b, at)
-        kind = key & 7
-        if kind == 0:
-            v, at = _varint(b, at)
-        else:
-            n, at = _varint(b, at) if kind == 2 else (8 if kind == 1 else 4, at)
-            v, at = b[at : at + n], at + n
-        yield key >> 3, v
-
-
-def _packed(b: bytes, *, signed: bool = False, running: bool = False) -> list[int]:
-    out, at, total = [], 0, 0
-    while at < len(b):
-        v, at = _varint(b, at)
-        v = (v >> 1) ^ -(v & 1) if signed else v
-        total = total + v if running else v
-        out.append(total)
-    return out
-
-
-def parse_block(block: bytes) -> Iterator[tuple]:
-    """Nodes and ways of one primitive block, as rows of BLOB."""
-    top: dict[int, list] = {}
-    for n, v in _fields(block):
-        top.setdefault(n, []).append(v)
-    strings = [v.decode("utf-8", "replace") for n, v in _fields(top[1][0]) if n == 1]
-    unit, lat0, lon0 = (top.get(n, [d])[0] for n, d in ((17, 100), (19, 0), (20, 0)))
-    place = lambda v, offset: 1e-9 * (offset + unit * v)
-    for group in top.get(2, []):
-        for n, v in _fields(group):
-            if n == 2:  # dense nodes
-                m = dict(_fields(v))
-                ids, lats, lons = (_packed(m[k], signed=True, running=True) for k in (1, 8, 9))
-                keys = iter(_packed(m[10])) if m.get(10) else None
-                for i, a, o in zip(ids, lats, lons, strict=True):
-                    tags = {}
-                    while keys and (k := next(keys, 0)):
-                        tags[strings[k]] = strings[next(keys)]
-                    yield "node", i, place(o, lon0), place(a, lat0), None, tags
-            elif n == 1:
-                m: dict = {}
-                for k, x in _fields(v):
-                    m[k] = x
-                zig = lambda x: (x >> 1) ^ -(x & 1)
-                yield "node", zig(m[1]), place(zig(m[9]), lon0), place(zig(m[8]), lat0), None, dict(zip([strings[k] for k in _packed(m.get(2, b""))], [strings[k] for k in _packed(m.get(3, b""))], strict=True))
-            elif n == 3:
-                m = dict(_fields(v))
-                tags = dict(zip([strings[k] for k in _packed(m.get(2, b""))], [strings[k] for k in _packed(m.get(3, b""))], strict=True))
-                yield "way", m[1], None, None, _packed(m.get(8, b""), signed=True, running=True), tags
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ShapefileSource)
     spark.dataSource.register(PbfSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def lines_of_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
