@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def text_blocks(docs: DataFrame, length: int, k: int, *, doc_id: str, text: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(1)).to_numpy()
+            sizes = pc.binary_length(batch.column(1)).to_numpy()
             number = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
             for lo, hi in zip(c := [0, *(np.flatnonzero(np.diff(number)) + 1).tolist()], [*c[1:], len(sizes)], strict=True) if len(sizes) else ():
                 own = b"".join(batch.column(1).slice(lo, hi - lo).to_pylist())

@@ -30,6 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +179,7 @@ def vector_blocks(vectors: DataFrame, *, vec_id: str, vector: str, dim: int, blo
         base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             lists = batch.column(1)
-            batch = batch.filter(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(lists), dim), False))
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls become NaN
             good = np.isfinite(x).all(1)
             for wide in (False, True):
