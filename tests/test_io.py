@@ -61,6 +61,33 @@ def test_shapefile(spark, tmp_path):
     assert len(r) == 1 and [(p.x, p.y) for p in r[0].geometry] == [(0.0, 0.0), (1.0, 1.0)]
 
 
+def test_shapefile_attributes_ranges_and_projection(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, [(rng.uniform(-9, 9), rng.random()) for _ in range(rng.randint(0, 6))] or None, None if i % 7 == 0 else f"naïve {i}", None if i % 5 == 0 else rng.uniform(-1e9, 1e9), i % 3 == 0, i * 10**12) for i in range(500)]
+    d = spark.createDataFrame(rows, f"id long, geometry {geo.LINE}, name string, size double, odd boolean, number long")
+    geo.register(spark)
+    path = str(tmp_path / "lines")
+    d.repartition(2).write.format("track_shapefile").mode("append").save(path)
+    want = sorted(str((r[0], [tuple(p) for p in r[1]], *r[2:])) for r in rows if r[1])
+    for n in (7, 50_000):
+        back = spark.read.format("track_shapefile").option("records", n).load(path)
+        assert back.columns == ["id", "part", "geometry", "_id", "name", "size", "odd", "number"]  # id is the record's number
+        assert sorted(str((r._id, [(p.x, p.y) for p in r.geometry], r["name"], r.size, r.odd, r.number)) for r in back.collect()) == want
+        assert back.rdd.getNumPartitions() == (72 if n == 7 else 2)
+    some = spark.read.format("track_shapefile").option("columns", "odd, NAME").load(path)
+    assert some.columns == ["id", "part", "geometry", "name", "odd"] and some.where("odd").count() == sum(r[4] for r in rows if r[1])
+    one = next((tmp_path / "lines").glob("*.prj"))
+    one.write_text('PROJCS["ETRS_1989_UTM_Zone_32N"]')
+    with pytest.raises(Exception, match="WGS 84"):
+        spark.read.format("track_shapefile").load(path).count()
+    assert spark.read.format("track_shapefile").option("crs", "any").load(path).count() == len(want)
+    d.limit(3).write.format("track_shapefile").mode("overwrite").save(path)
+    assert spark.read.format("track_shapefile").load(path).count() <= 3
+    for f in (tmp_path / "lines").glob("*.shx"):
+        f.unlink()
+    assert spark.read.format("track_shapefile").load(path).count() == len([r for r in d.limit(3).collect() if r.geometry])
+
+
 def varint(n):
     out = b""
     while n > 127:

@@ -182,6 +182,21 @@ def pbf_infrastructure(spark, sf):
     return geo.infrastructure_ways(source.option("keys", "railway,bridge,tunnel").load(path).where(F.col("kind").isin("way", "relation"))).select("id", "kind", "layer")
 
 
+@query("""SELECT c_custkey AS q, 0 AS part, round(11 + (c_custkey * 71 % 5000 + 20) / 1e5, 7) AS x, 4::BIGINT AS n, CASE WHEN c_custkey % 9 > 0 THEN 'Müller ' || c_custkey END AS owner, round(c_acctbal, 2)::DOUBLE AS balance, DATE '2024-01-01' + (c_custkey % 366)::INT AS built, c_custkey % 2 = 0 AS electric
+FROM customer""")
+def shapefile_lines(spark, sf):
+    """Lines with attributes, written as shapefiles and read back, a few records a task, without one column."""
+    path, c = shared.folder(spark, "shapes"), _curves(spark, sf)
+    k = F.col("q")
+    degrees_of = F.transform("geometry", lambda p: F.struct((11 + p["x"] / 1e5).alias("x"), (51 + p["y"] / 1e5).alias("y")))
+    own = read(spark, sf, "customer").select(F.col("c_custkey").alias("q"), F.col("c_acctbal").cast("double").alias("balance"))
+    d = c.join(own, "q").select(k, degrees_of.alias("geometry"), F.when(k % 9 > 0, F.concat(F.lit("Müller "), k.cast("string"))).alias("owner"), "balance", F.date_add(F.lit("2024-01-01").cast("date"), (k % 366).cast("int")).alias("built"), (k % 2 == 0).alias("electric"), F.lit(1.5).alias("unread"))
+    geo.register(spark)
+    d.repartition(3).write.format("track_shapefile").mode("append").save(path)
+    back = spark.read.format("track_shapefile").option("records", 200).option("columns", "q,owner,balance,built,electric").load(path)
+    return back.select("q", "part", r(F.col("geometry")[1]["x"], 7, "x"), F.size("geometry").cast("long").alias("n"), "owner", r("balance", 2), "built", "electric")
+
+
 @query("SELECT region, region || '-latest.osm.pbf' AS file, 'https://x.org/' || region || '-latest.osm.pbf' AS url FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in geo.REGIONS) + "]) AS region)")
 def region_files(spark, sf):
     return geo.regions(spark, "https://x.org")

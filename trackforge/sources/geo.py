@@ -1,21 +1,18 @@
 """Lines from GeoJSON, shapefiles, OSM extracts and Overpass replies.
 
-Shapefiles and PBF extracts are Python data sources, on local paths or any that pyarrow's file systems
-open; everything else is Spark's JSON reader. Lines are array<struct<x, y>> with x the longitude.
+Shapefiles and PBF extracts are Python data sources (modules shapefile and pbf), on local paths or any that
+pyarrow's file systems open; everything else is Spark's JSON reader. Lines are array<struct<x, y>> with x the longitude.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Callable, Iterator
-from typing import BinaryIO
+from collections.abc import Callable
 
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from trackforge.sources.pbf import PbfSource
+from trackforge.sources.shapefile import ShapefileSource
 from trackforge.sources.shared import exists
 
 LINE = "array<struct<x:double,y:double>>"
@@ -37,67 +34,12 @@ def _lines_of(d: DataFrame) -> DataFrame:
 
 
 
-def opened(path: str) -> BinaryIO:
-    """A file to seek in, by a local path or a URI."""
-    if "://" not in path:
-        return open(path, "rb")
-    system, inner = FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
 def read_features(spark: SparkSession, path: str, properties: str = "map<string,string>") -> DataFrame:
     """As read_geojson(), from files of one feature a line, which Spark can split."""
     schema = f"type string, properties {properties}, geometry struct<type:string,coordinates:string>"
     return _lines_of(spark.read.schema(schema).json(path).select(F.struct("*").alias("f")))
 
 
-class ShapefileSource(DataSource):
-    """spark.read.format("track_shapefile").load(path): id, part, geometry of polylines, polygons and points
-    of a .shp file on a path that executors can open."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "track_shapefile"
-
-    def schema(self) -> str:
-        return f"id long, part int, geometry {LINE}"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ShapefileReader(self.options["path"])
-
-
-class _ShapefileReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with opened(partition.value) as f:
-            yield from parse_shapefile(f.read())
-
-
-def parse_shapefile(data: bytes) -> Iterator[tuple]:
-    """(record number, part, [(x, y), ...]) of a .shp file's bytes."""
-    if struct.unpack(">i", data[:4])[0] != 9994:
-        raise ValueError("not a shapefile")
-    at = 100
-    while at + 8 <= len(data):
-        number, words = struct.unpack(">2i", data[at : at + 8])
-        body = data[at + 8 : at + 8 + 2 * words]
-        at += 8 + 2 * words
-        kind = struct.unpack("<i", body[:4])[0] % 10
-        if kind == 1:
-            yield number, 0, [struct.unpack("<2d", body[4:20])]
-        elif kind in (3, 5):
-            parts, points = struct.unpack("<2i", body[36:44])
-            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
-            xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            for k in range(parts):
-                yield number, k, [(xy[2 * i], xy[2 * i + 1]) for i in range(starts[k], starts[k + 1])]
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ShapefileSource)
     spark.dataSource.register(PbfSource)
