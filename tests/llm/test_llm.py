@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from trackforge.llm import chat, decontam, epsilon_grid, hmm, langid, licenses, minhash, pii, q_bpe, q_chat, q_decontam, q_licenses, q_urls, urls
+from trackforge.llm import chat, decontam, epsilon_grid, hmm, langid, licenses, minhash, pii, q_bpe, q_chat, q_decontam, q_licenses, q_urls, urls, wordblocks
 from trackforge.llm.bpe import Vocabulary
 from trackforge.llm.common import Scratch
 from trackforge.llm.components import connected
@@ -633,3 +633,12 @@ def test_superminhash_estimates_similarity():
     assert np.isfinite(s).all()
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.12
     assert sorted(np.floor(s[2]).astype(int)) == list(range(minhash.SLOTS))  # one shingle: every level once
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch, tmp_path):
+    d = docs(spark, ["x" * 1000] * 40)
+    d.write.parquet(str(tmp_path / "d"))
+    for table in (d, d.where("doc_id < 0"), spark.read.parquet(str(tmp_path / "d"))):
+        assert wordblocks.buckets_of(table, "text") == 8
+    monkeypatch.setattr(wordblocks, "BUCKET_BYTES", 1000)
+    assert wordblocks.buckets_of(d, "text") == 40

@@ -75,9 +75,11 @@ def whole(values: pa.Array) -> pa.Array:
 BUCKET_BYTES = 256 << 20
 
 
-def buckets_of(docs: DataFrame) -> int:
+def buckets_of(docs: DataFrame, text: str) -> int:
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a table that isn't read from files says nothing of its size, or a bound near 2 ** 63
+    read = sum(sizes) if max(sizes, default=0) < 1 << 62 else docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(read // BUCKET_BYTES, 1 << 20))
 
 
@@ -93,7 +95,7 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], *, doc_id: str, t
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(d.schema["id"].dataType)), T.StructField("flags", T.ArrayType(T.BooleanType())), T.StructField("lens", T.ArrayType(T.IntegerType())),
         T.StructField("codes", T.BinaryType()), T.StructField("order", T.BinaryType()), T.StructField("messages", T.ArrayType(message))])
-    n_buckets = buckets_of(docs)
+    n_buckets = buckets_of(docs, text)
 
     def dealt(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
