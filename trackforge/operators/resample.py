@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackforge.core import Track
+from trackforge.core import Track, with_seq
+from trackforge.operators import kinematics, sequential, smoothing
 
 
 def bucket_mean(df: DataFrame, track: str, ts: str, step: str, *columns: str) -> DataFrame:
@@ -28,3 +29,14 @@ def asof_interpolate(known: DataFrame, asked: DataFrame, track: str, x: str, y:
     exact = F.when(F.col("_a.x") == F.col(x), F.col("_a.y"))
     line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col(x) - F.col("_a.x")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
     return d.withColumn(to, F.coalesce(exact, line, "_a.y", "_b.y")).where("_kind = 1").select(*asked.columns, to)
+
+
+def smoothed_resampled(df: DataFrame, t: Track, ts: str, lat: str, lon: str, speed: str, step: str, **kalman) -> DataFrame:
+    """track, seq, ts, elapsed_time_s, lat, lon, speed, is_moving and smoothed places of a log that is brought to
+    even steps first: means of its buckets of time; what a bucket has no value of on the line between its
+    neighbours; then the filter that knows stops from moves."""
+    d = with_seq(bucket_mean(df, t.track, ts, step, lat, lon, speed), t.track, ts, to=t.seq)
+    for c in (lat, lon, speed):
+        d = smoothing.interpolate(d, t, c)
+    d = kinematics.elapsed_time(d.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(speed).isNotNull()), t, ts)
+    return sequential.kalman_track(d, t, lat, lon, speed, **kalman)

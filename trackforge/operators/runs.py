@@ -40,6 +40,10 @@ class Chunk(ABC):
     def enter(self, states: np.ndarray) -> np.ndarray:
         """The row at which runs in these states end here; n: none."""
 
+    def passed(self, states: np.ndarray) -> np.ndarray:
+        """States that no row here ends, after this chunk."""
+        return states
+
     def last(self) -> np.ndarray:
         """The open row that each row leads to, by pointer jumping."""
         to = np.where(self.next < self.n, self.next, np.arange(self.n))
@@ -149,7 +153,7 @@ def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
             upto = np.append(cut[1:], len(g))[: len(cut)] - 1
             yield record(batch, i, batch.column("asked")[i].as_py(), to, (r[cut], r[upto], g[cut], c.last()[g[cut]]), np.zeros(0), np.zeros(0))
             if not ends.all():
-                yield record(batch, i, batch.column("asked")[i].as_py(), to + 1, (np.zeros(0),) * 4, rows[~ends], states[~ends])
+                yield record(batch, i, batch.column("asked")[i].as_py(), to + 1, (np.zeros(0),) * 4, rows[~ends], c.passed(states[~ends]))
 
     said = [written(table.mapInArrow(ask, answer), "asked")]
     while True:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackforge.core import Track
-from trackforge.operators import runs
+from trackforge.operators import runs, scans
 from trackforge.operators.smoothing import rolling_mean
 
 #: Of columns as float arrays: (rows of the result by number, or None for all; new columns, NaN as null).
@@ -438,9 +438,9 @@ def segment_change_points(df: DataFrame, t: Track, curvature: str, *, penalty: f
 # Filters with state
 
 
-def kalman_1d(z: np.ndarray, q: float = 0.1, r: float = 2.0, p: float = 1.0) -> np.ndarray:
-    """A random walk seen with noise; NaN is a step without a sight."""
-    out, x = np.empty(len(z)), next((v for v in z.tolist() if v == v), 0.0)
+def kalman_1d(z: np.ndarray, q: float = 0.1, r: float = 2.0, p: float = 1.0, x: float | None = None) -> np.ndarray:
+    """A random walk seen with noise; NaN is a step without a sight. x: where it starts, at the first sight by default."""
+    out, x = np.empty(len(z)), next((v for v in z.tolist() if v == v), 0.0) if x is None else x
     for i, v in enumerate(z.tolist()):
         p += q
         if v == v:
@@ -450,20 +450,34 @@ def kalman_1d(z: np.ndarray, q: float = 0.1, r: float = 2.0, p: float = 1.0) ->
     return out
 
 
-def kalman_smooth(df: DataFrame, t: Track, column: str, *, q: float = 0.1, r: float = 2.0, to: str | None = None) -> DataFrame:
+def kalman_smooth(df: DataFrame, t: Track, column: str, *, q: float = 0.1, r: float = 2.0, to: str | None = None, split: int | None = None) -> DataFrame:
+    """split: rows of a chunk, for tracks that are too long for one task."""
     name = to or f"{column}_kalman"
+    if split:
+
+        def start(c: dict[str, np.ndarray], before: int) -> tuple:
+            known = c[column][~np.isnan(c[column])]
+            return (known[:1].reshape(1, 1) if len(known) else None), np.ones((1, 1))
+
+        def finish(c: dict[str, np.ndarray], before: int, extra: tuple, x: np.ndarray, p: np.ndarray) -> dict:
+            return {name: kalman_1d(c[column], q, r, float(p[0, 0]), float(x[0, 0]))}
+
+        return scans.filtered(df, t, [column], split, 0, 1, 1, lambda c, *_: scans.walk_steps(c[column], q, r), start, finish, [(name, _D)]).select(*[c for c in df.columns if c != name], name)
     return per_track(df, t, [column], lambda c: (None, {name: kalman_1d(c[column], q, r)}), [(name, _D)])
 
 
-def kalman_2d(xy: np.ndarray, dt: np.ndarray, on: np.ndarray, q: float = 1e-5, r: float = 1e-3, p0: float = 100.0, window: int = 5) -> np.ndarray:
+def kalman_2d(xy: np.ndarray, dt: np.ndarray, on: np.ndarray, q: float = 1e-5, r: float = 1e-3, p0: float = 100.0, window: int = 5, state: tuple[np.ndarray, np.ndarray] | None = None, before: int = 0) -> np.ndarray:
     """Places from a constant-velocity filter where on; elsewhere the mean of the last ``window``
-    sights, from which the filter goes on."""
-    out = np.empty_like(xy)
+    sights, from which the filter goes on. state: mean and covariance to start with; before: sights in front
+    of the first step."""
+    out = np.empty_like(xy[before:])
     x = np.array([*xy[0], 0.0, 0.0]) if len(xy) else None
     p, h = np.eye(4) * p0, np.eye(2, 4)
-    for i, z in enumerate(xy):
+    if state:
+        x, p = state
+    for i, z in enumerate(xy[before:]):
         if not on[i]:
-            out[i] = xy[max(0, i + 1 - window) : i + 1].mean(0)
+            out[i] = xy[max(0, before + i + 1 - window) : before + i + 1].mean(0)
             x, p = np.array([*out[i], 0.0, 0.0]), np.eye(4) * p0
             continue
         f = np.eye(4)
@@ -488,10 +502,34 @@ def moving_state(time: np.ndarray, speed: np.ndarray, move: float, stop: float,
     return out
 
 
-def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time: str = "elapsed_time_s", *, move: float = 1.0, stop: float = 0.5, hold: float = 3.0, window: int = 5, q: float = 1e-5, r: float = 1e-3) -> DataFrame:
+def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time: str = "elapsed_time_s", *, move: float = 1.0, stop: float = 0.5, hold: float = 3.0, window: int = 5, q: float = 1e-5, r: float = 1e-3, split: int | None = None) -> DataFrame:
     """is_moving, and smoothed places: a Kalman filter while moving, a mean while standing. Every
-    row keeps its own place in the order."""
+    row keeps its own place in the order. split: rows of a chunk, for tracks that are too long for one task; times
+    and places must be there then."""
     a, b = f"{lat}_smoothed_kalman", f"{lon}_smoothed_kalman"
+    if split:
+        added, p0 = [("is_moving", T.BooleanType()), (a, _D), (b, _D)], 100.0
+        step = lambda c, before: np.diff(c[time], prepend=c[time][:1])[before:]
+        both = lambda c: np.column_stack([c[lat], c[lon]])
+
+        def make(c: dict[str, np.ndarray], before: int, after: int) -> scans.Moving:
+            return scans.Moving(c[time][before:], c[speed][before:], move, stop, hold)
+
+        def steps(c: dict[str, np.ndarray], before: int, extra: tuple) -> scans.Elements:
+            xy, n = both(c), len(c[time])
+            total = np.concatenate([np.zeros((1, 2)), np.cumsum(xy - xy[0], 0)])
+            low = np.maximum(np.arange(before, n) + 1 - window, 0)
+            rest = xy[0] + (total[before + 1 :] - total[low]) / (np.arange(before, n) + 1 - low)[:, None]
+            return scans.moving_steps(xy[before:], step(c, before), extra[0].moves(*extra[1:]), rest, q, r, p0)
+
+        def finish(c: dict[str, np.ndarray], before: int, extra: tuple, m: np.ndarray, p: np.ndarray) -> dict:
+            on, x = extra[0].moves(*extra[1:]), m.ravel()  # lat, lon, and their speeds
+            xy = kalman_2d(both(c), step(c, before), on, q, r, p0, window, (x, np.kron(p, np.eye(2))), before)
+            return {"is_moving": on, a: xy[:, 0], b: xy[:, 1]}
+
+        start = lambda c, before: (np.stack([both(c)[before], np.zeros(2)]), p0 * np.eye(2))
+        out = scans.filtered(df, t, [time, speed, lat, lon], split, window - 1, 2, 2, steps, start, finish, added, make)
+        return out.select(*[c for c in df.columns if c not in {n for n, _ in added}], *[n for n, _ in added])
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         s = c[time]
