@@ -372,6 +372,21 @@ def test_quantiles_are_exact(spark):
     assert np.allclose(got["a"], np.quantile(a, q), rtol=1e-12) and np.allclose(got["b"], np.quantile(b, q)) and got["c"] == got["d"] == [None]
 
 
+def test_quantiles_take_six_passes_whatever_the_values(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([2.0 ** np.arange(-600, 600), -(2.0 ** np.arange(-1074, 900, 3)), 1 + rng.random(900) * 2.0**-40, [0.0, 5e-324, -5e-324, 1.7e308, -1.7e308]])
+    d = spark.createDataFrame([(float(x),) for x in rng.permutation(v)], "v double")
+    passes, real = [], profile._histogram
+    monkeypatch.setattr(profile, "_histogram", lambda *a: passes.append(1) or real(*a))
+    q = [0.0, 0.01, 0.25, 0.4, 0.5, 0.75, 0.99, 1.0]
+    got = profile.quantiles(d, {"v": q})["v"]
+    s = np.sort(v)
+    low, high = (s[f((len(s) - 1) * np.array(q)).astype(int)] for f in (np.floor, np.ceil))
+    assert len(passes) <= 6 and all(a <= x <= b for a, x, b in zip(low, got, high, strict=True))
+    exact = profile.quantiles(d, {"v": [k / (len(v) - 1) for k in range(0, len(v), 97)]})["v"]
+    assert all(x in s[k : k + 2] or x in s[max(k - 1, 0) : k + 1] or abs(x - s[k]) <= 1e-9 * abs(s[k]) for x, k in zip(exact, range(0, len(v), 97), strict=True))
+
+
 def test_meeting_places_of_lines(spark):
     line = "id string, geometry array<struct<x: double, y: double>>"
     a = spark.createDataFrame([("a", [(0.0, 0.0), (10.0, 0.0), (20.0, 0.0)])], line)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def null_and_zero_counts(df: DataFrame) -> DataFrame:
     return _long(df, {c: stat(c) for c in df.columns})
 
 
-BINS = 512  # that a range is cut into in each pass of a selection
+BINS = 2048  # that a range is cut into in each pass of a selection
 
 
 def _number(c: str) -> Column:
@@ -41,46 +42,68 @@ def _number(c: str) -> Column:
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles of columns. A selection by histograms: each pass counts the values of all
-    ranges in question in BINS bins, added up within tasks first, and keeps the bin with the rank asked for,
-    until its smallest and largest values are one. No value but bounds of bins comes to the driver, and the
-    number of passes grows with the logarithm of the table."""
-    first = df.agg(*[f(_number(c)).alias(f"{k}_{c}") for c in wanted for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    """Exact interpolated quantiles of columns, by radix selection from the top of a double down. The first pass
+    counts values by sign and power of two; each later one cuts the ranges in question into BINS and keeps the
+    bin with the rank asked for, until its smallest and largest values are one. 52 bits of a fraction take five
+    of these, so there are six passes at most, whatever the values. Counts are added up within tasks; only
+    bounds of bins come to the driver. The columns are made once and held while it lasts."""
+    held = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(wanted)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select(held, wanted)
+    finally:
+        held.unpersist()
+
+
+def _histogram(held: DataFrame, bins: list[Column]) -> dict[int, list]:
+    """For each column of bins (structs of i, bin, v), its bins in order, with counts and bounds."""
+    p = F.explode(F.array(*bins)).alias("p")
+    rows = held.select(p).where("p is not null").groupBy("p.i", "p.bin").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect()
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["i"], r["bin"])):
+        out.setdefault(r["i"], []).append(r)
+    return out
+
+
+def _select(held: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    def power(i: int) -> Column:
+        v = F.col(f"v{i}")
+        size = (F.floor(F.log2(F.abs(v))) + 1076).cast("int")  # doubles begin at 2 ** -1074
+        return F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), F.when(v > 0, size).when(v < 0, -size).otherwise(0).alias("bin"), v.alias("v")))
+
+    def place(i: int, c: int, lo: float, hi: float) -> Column:
+        v = F.col(f"v{c}")
+        bin_ = F.least(F.floor((v - lo) / (hi / BINS - lo / BINS)), F.lit(BINS - 1)).cast("int")
+        return F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), F.when(v == hi, BINS).otherwise(bin_).alias("bin"), v.alias("v")))
+
+    def narrowed(bins: list, rank: int, at: int) -> tuple[float, float, int]:
+        for r in bins:
+            if rank < at + r["n"]:
+                return r["lo"], r["hi"], at
+            at += r["n"]
+        raise AssertionError("a rank beyond the counts")
+
+    number_of = {c: i for i, c in enumerate(wanted)}
+    first = _histogram(held, [power(i) for i in number_of.values()])
+    counts = {c: sum(r["n"] for r in first.get(i, [])) for c, i in number_of.items()}
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # (column, rank) -> range, and how many values are below it
     for c, qs in wanted.items():
-        n = first[f"n_{c}"]
-        for q in qs if n else ():
-            for rank in {math.floor((n - 1) * q), math.ceil((n - 1) * q)}:
-                open_[c, rank] = (first[f"lo_{c}"], first[f"hi_{c}"], 0)
+        for q in qs if counts[c] else ():
+            for rank in {math.floor((counts[c] - 1) * q), math.ceil((counts[c] - 1) * q)}:
+                open_[c, rank] = narrowed(first[number_of[c]], rank, 0)
     while open_:
         for key in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
             found[key] = open_.pop(key)[0]
         ranges = sorted({(c, lo, hi, below) for (c, _), (lo, hi, below) in open_.items()})
         if not ranges:
             break
-
-        def place(i: int, c: str, lo: float, hi: float) -> Column:
-            v = _number(c)
-            bin_ = F.least(F.floor((v - lo) / (hi / BINS - lo / BINS)), F.lit(BINS - 1)).cast("int")
-            return F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), F.when(v == hi, BINS).otherwise(bin_).alias("bin"), v.alias("v")))
-
-        spread = df.select(F.explode(F.array(*[place(i, c, lo, hi) for i, (c, lo, hi, _) in enumerate(ranges)])).alias("p")).where("p is not null")
-        rows = spread.groupBy("p.i", "p.bin").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect()
-        bins: dict[int, list] = {}
-        for r in sorted(rows, key=lambda r: (r["i"], r["bin"])):
-            bins.setdefault(r["i"], []).append(r)
-        number = {x: i for i, x in enumerate(ranges)}
+        bins = _histogram(held, [place(i, number_of[c], lo, hi) for i, (c, lo, hi, _) in enumerate(ranges)])
+        at = {x: i for i, x in enumerate(ranges)}
         for (c, rank), (lo, hi, below) in list(open_.items()):
-            at = below
-            for r in bins[number[c, lo, hi, below]]:
-                if rank < at + r["n"]:
-                    open_[c, rank] = (r["lo"], r["hi"], at)
-                    break
-                at += r["n"]
+            open_[c, rank] = narrowed(bins[at[c, lo, hi, below]], rank, below)
     out = {}
     for c, qs in wanted.items():
-        n = first[f"n_{c}"]
+        n = counts[c]
         at = lambda q, n=n, c=c: ((n - 1) * q - math.floor((n - 1) * q), found[c, math.floor((n - 1) * q)], found[c, math.ceil((n - 1) * q)])
         out[c] = [None if not n else a + u * (b - a) for u, a, b in map(at, qs if n else ())] or [None] * len(qs)
     return out
