@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from trackforge.core import Track, nan_to_null
-from trackforge.functions import geo, numeric
+from trackforge.functions import geo, numeric, orientation
 from trackforge.operators import filters, kinematics, profile, resample, segmentation, sequential, smoothing, spatial
 from trackforge.plans import daily
 
@@ -435,3 +435,26 @@ def test_nearest_from_far_away(spark, ties):
         got = sorted((r.p, r.q, round(r.distance, 3)) for r in spatial.nearest(p, s, "p", "q", radius, ties=ties).collect())
         assert got == want
     assert spatial.nearest(p, s.limit(0), "p", "q", 20.0, ties=ties).count() == 0
+
+
+def test_spline_slopes_and_angles_of_many_lines():
+    at = np.linspace(0, 6, 7)
+    for c in ([1, 0, 0, 0], [0.3, -2, 1, 4], [-0.1, 0.5, 0, 1]):  # a cubic is its own spline
+        for u in (0.0, 0.4, 3.0, 5.9, 6.0):
+            assert np.isclose(orientation.slope_weights(np.array([u]))[0] @ np.polyval(c, at), np.polyval(np.polyder(c), u))
+    lines = [[(0, 0), (50, 0)], [(0, 0), (0, 40), (0, 40), (0, 90)], [(1, 1), (1, 1)], [(0, 0)], [], [(0, 0), (-30, -30)], [(0, 0), (1, 1)]]
+    offsets = np.concatenate([[0], np.cumsum([len(g) for g in lines])])
+    flat = np.array([p for g in lines for p in g], float)
+    got = orientation.angles(flat[:, 0], flat[:, 1], offsets, np.array([3.0, 5, 1, 0, 0, -2, np.nan]), np.zeros(7))
+    assert np.allclose(got, [0, 90, np.nan, np.nan, np.nan, 45, np.nan], equal_nan=True)
+
+
+def test_noise_of_a_standing_train(spark):
+    rng = np.random.default_rng(3)
+    places = np.concatenate([rng.normal(size=(300, 2)) * 0.2, rng.uniform(-9, 9, (150, 2)), np.repeat([[50.0, 50.0]], 4, 0), [[51.0, 50.0], [60.0, 60.0]]])
+    d = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "i int, x double, y double")
+    for eps, least in ((1.0, 4), (0.5, 3), (1.0, 1)):
+        near = np.hypot(*(places[:, None] - places[None]).transpose(2, 0, 1)) <= eps
+        core = near.sum(1) >= least
+        want = {i for i in range(len(places)) if core[i] or (near[i] & core).any()}
+        assert {r.i for r in spatial.without_noise(d, "i", "x", "y", eps, least).collect()} == want

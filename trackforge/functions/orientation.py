@@ -3,40 +3,72 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Metres to either side of the place, and how many samples.
+REACH, SAMPLES = 10.0, 7
 
-def local_angle(xs: np.ndarray, ys: np.ndarray, px: float, py: float, reach: float = 10.0, samples: int = 7) -> float:
-    """Degrees in [0, 180): the tangent of an interpolating spline through ``samples`` places within
-    ``reach`` of the line's place nearest to (px, py)."""
-    from trackforge.operators.sequential import cubic_spline
-
-    d = np.hypot(np.diff(xs), np.diff(ys))
-    keep = np.append(True, d > 0)
-    xs, ys = xs[keep], ys[keep]
-    if len(xs) < 2:
-        return float("nan")
-    s = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(xs), np.diff(ys)))])
-    ax, ay, dx, dy = xs[:-1], ys[:-1], np.diff(xs), np.diff(ys)
-    u = np.clip(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0, 1)
-    k = int(np.hypot(px - ax - u * dx, py - ay - u * dy).argmin())
-    at = s[k] + u[k] * (s[k + 1] - s[k])
-    q = np.unique(np.clip(np.linspace(at - reach, at + reach, samples), 0, s[-1]))
-    p = np.column_stack([np.interp(q, s, xs), np.interp(q, s, ys)])
-    h = (q[-1] - q[0]) * 1e-4
-    f = cubic_spline(q, p)
-    a, b = f(np.array([max(q[0], at - h)])), f(np.array([min(q[-1], at + h)]))
-    return float(np.degrees(np.arctan2(b[0, 1] - a[0, 1], b[0, 0] - a[0, 0])) % 180.0)
-
-
-@F.pandas_udf(DoubleType())
-def line_angle_at(geometry: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    """Direction of each line (array of struct<x, y>) at a place."""
-    out = []
-    for g, px, py in zip(geometry, x, y, strict=True):
-        ok = g is not None and len(g) > 1 and px == px and py == py and px is not None and py is not None
-        v = local_angle(np.array([p["x"] for p in g]), np.array([p["y"] for p in g]), px, py) if ok else float("nan")
-        out.append(None if v != v else v)
-    return pd.Series(out, dtype=object)
+
+def bends(n: int) -> np.ndarray:
+    """n x n: second derivatives, at n evenly spaced places a unit apart, of the cubic spline through values there.
+    Its first two pieces are one cubic, and so are its last two."""
+    a, b = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = 1 / 6, 4 / 6, 1 / 6
+        b[i, i - 1 : i + 2] = 1, -2, 1
+    a[0, :3] = a[-1, -3:] = 1, -2, 1  # the third derivative doesn't jump at the second place
+    return np.linalg.solve(a, b)
+
+
+def slope_weights(u: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """len(u) x n: the spline's slope at places u (in steps, from 0 to n - 1) as weights of its values."""
+    k = np.clip(np.floor(u).astype(int), 0, n - 2)
+    t, m, one = (u - k)[:, None], bends(n), np.eye(n)
+    return one[k + 1] - one[k] + ((3 * t * t - 1) * m[k + 1] - (3 * (1 - t) ** 2 - 1) * m[k]) / 6
+
+
+def angles(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, px: np.ndarray, py: np.ndarray, reach: float = REACH, samples: int = SAMPLES) -> np.ndarray:
+    """Degrees in [0, 180) of each line at its place (px, py): vertices of all lines one after another, line i from
+    offsets[i] to offsets[i + 1]. Lines without length have none (NaN)."""
+    n = len(px)
+    out = np.full(n, np.nan)
+    line = np.repeat(np.arange(n), np.diff(offsets))
+    a = np.flatnonzero(line[1:] == line[:-1])  # pieces begin here
+    dx, dy = x[a + 1] - x[a], y[a + 1] - y[a]
+    size = np.hypot(dx, dy)
+    good = size > 0
+    a, dx, dy, size, own = a[good], dx[good], dy[good], size[good], line[a[good]]
+    if not len(a):
+        return out
+    u = np.clip(((px[own] - x[a]) * dx + (py[own] - y[a]) * dy) / (size * size), 0, 1)
+    away = np.hypot(px[own] - x[a] - u * dx, py[own] - y[a] - u * dy)
+    begin = np.flatnonzero(np.diff(own, prepend=-1))  # the first piece of each line that has any
+    lines = own[begin]
+    best = np.lexsort((np.arange(len(own)), np.where(np.isnan(away), np.inf, away), own))[begin]
+    upto = np.cumsum(size)
+    start = upto - size
+    low, high = start[begin], upto[np.append(begin[1:], len(own)) - 1]
+    at = start[best] + u[best] * size[best]
+    left, right = np.maximum(at - reach, low), np.minimum(at + reach, high)
+    q = left[:, None] + (right - left)[:, None] * np.linspace(0, 1, samples)
+    piece = np.clip(np.searchsorted(upto, q), begin[:, None], np.append(begin[1:], len(own))[:, None] - 1)
+    t = np.clip((q - start[piece]) / size[piece], 0, 1)
+    step = (right - left) / (samples - 1)
+    w = slope_weights(np.clip((at - left) / step, 0, samples - 1), samples)
+    sx, sy = ((w * (v[a[piece]] + t * d[piece])).sum(1) for v, d in ((x, dx), (y, dy)))
+    angle = np.degrees(np.arctan2(sy, sx)) % 180.0
+    out[lines] = np.where((right - left >= 1e-6) & ~np.isnan(px[lines] + py[lines]), np.where(angle == 180.0, 0.0, angle), np.nan)
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def line_angle_at(geometry: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    """Direction of each line (array of struct<x, y>) at a place; null without either."""
+    size = np.nan_to_num(pc.list_value_length(geometry).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = geometry.flatten()
+    vx, vy = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+    found = angles(vx, vy, np.concatenate([[0], np.cumsum(size)]), *(v.to_numpy(zero_copy_only=False).astype(float) for v in (x, y)))
+    return pa.array(found, from_pandas=True)

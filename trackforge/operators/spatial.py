@@ -226,14 +226,22 @@ def structure_status(points: DataFrame, places: DataFrame, metres: float, point_
 
 def without_noise(df: DataFrame, row_id: str, x: str, y: str, eps: float, least: int) -> DataFrame:
     """Rows that DBSCAN wouldn't call noise: with at least ``least`` rows (itself among them) within
-    eps, or within eps of such a row. Rows are first summed up by place, so repeated places are cheap."""
+    eps, or within eps of such a row. Rows are first summed up by place, so repeated places are cheap. Cells are so
+    small that all their places are within eps of each other: with ``least`` rows in it, a cell's places are core
+    whatever their distances. Only places of sparser cells, fewer than ``least`` each, look at other places."""
+    side = eps / 2**0.5 * (1 - 1e-9)
     places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_m"))
-    own = places.select(F.col(x).alias("_x"), F.col(y).alias("_y"), "_m", _cell(F.col(x), eps).alias("_cx"), _cell(F.col(y), eps).alias("_cy"))
-    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = lambda d: d.withColumn("_s", F.explode(step)).select(F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.col("_m").alias("_om"), (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
+    own = places.select(F.col(x).alias("_x"), F.col(y).alias("_y"), "_m", _cell(F.col(x), side).alias("_cx"), _cell(F.col(y), side).alias("_cy"))
+    dense = own.groupBy("_cx", "_cy").agg(F.sum("_m").alias("_of")).withColumn("_dense", F.col("_of") >= least).drop("_of")
+    own = written(own.join(dense, ["_cx", "_cy"]), "places")
+    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i * j) < 4])
+    sparse = own.where(~F.col("_dense")).select(F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.explode(step).alias("_s"), "_cx", "_cy").withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")})
     close = F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")) <= eps
-    core = own.join(spread(own), ["_cx", "_cy"]).where(close).groupBy("_x", "_y", "_m", "_cx", "_cy").agg(F.sum("_om").alias("_k")).where(F.col("_k") >= least).drop("_k")
-    kept = own.join(spread(core), ["_cx", "_cy"]).where(close).select(F.col("_x").alias(x), F.col("_y").alias(y)).distinct()
+    core = own.join(sparse, ["_cx", "_cy"]).where(close).groupBy("_ox", "_oy").agg(F.sum("_m").alias("_k")).where(F.col("_k") >= least).select(F.col("_ox").alias("_x"), F.col("_oy").alias("_y"))
+    core = own.where("_dense").select("_x", "_y", "_cx", "_cy").unionByName(core.join(own.select("_x", "_y", "_cx", "_cy"), ["_x", "_y"]))
+    core = written(core, "core")
+    edge = sparse.join(core, ["_cx", "_cy"]).where(close).select(F.col("_ox").alias(x), F.col("_oy").alias(y))
+    kept = core.select(F.col("_x").alias(x), F.col("_y").alias(y)).unionByName(edge).distinct()
     return df.join(kept, [x, y], "left_semi")
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackforge.core import Track, with_seq
 from trackforge.functions import geo, numeric
-from trackforge.functions.orientation import line_angle_at
+from trackforge.functions.orientation import line_angle_at, slope_weights
 from trackforge.operators import filters, kinematics, profile, resample, segmentation, sequential, smoothing, spatial
 from trackforge.plans import daily, infrastructure, products
 from trackforge.sources import sinks
@@ -648,12 +649,36 @@ def map_radius(spark, sf):
     return spatial.map_radius(_points(spark, sf), _curves(spark, sf), "p", "q", 50.0).select("p", "q", r("dist2rail", 4), r(F.coalesce("map_radius", F.lit(-1.0)), 4, "map_radius"))
 
 
-@query()
+#: The spline's direction four metres behind the second vertex of each curve: seven samples, ten metres to either side.
+_BENT = f"""WITH c AS (SELECT c_custkey AS q, c_custkey % 7 + 1 AS h FROM customer), l AS (SELECT *, sqrt(400 + h * h) AS n FROM c),
+w AS (SELECT unnest({[round(float(v), 12) for v in slope_weights(np.array([3.0]))[0]]}) AS w, unnest(range(-3, 4)) AS i),
+m AS (SELECT q, sum(w * (4 + i * 10 / 3) * 20 / n) AS dx, sum(w * abs(4 + i * 10 / 3) * -h / n) AS dy FROM l, w GROUP BY q),
+b AS (SELECT q, (degrees(atan2(dy, dx)) + 180) % 180 AS angle FROM m)"""
+
+
+def _behind() -> tuple[Column, Column]:
+    g = F.col("geometry")
+    part = lambda k: (g[1][k] + 4 * (g[2][k] - g[1][k]) / F.hypot(g[2]["x"] - g[1]["x"], g[2]["y"] - g[1]["y"]))
+    return part("x"), part("y")
+
+
+@query(f"{_BENT} SELECT q, round(angle, 4) AS angle FROM b")
 def line_orientation(spark, sf):
-    d = _curves(spark, sf).withColumns({"x": F.col("geometry")[1]["x"], "y": F.col("geometry")[1]["y"]})
+    x, y = _behind()
+    d = _curves(spark, sf).withColumns({"x": x, "y": y})
     return d.select("q", F.round(line_angle_at("geometry", "x", "y"), 4).alias("angle"))
 
 
+@query(f"{_BENT}, g AS (SELECT q, abs(angle - q * 7 % 180) AS g FROM b) SELECT q AS id, CASE WHEN least(g, 180 - g) <= 20 THEN 'on' ELSE 'under' END AS position FROM g")
+def bent_bridges_by_spline(spark, sf):
+    """Bridges that bend where a railway meets them: the piece that it meets hasn't the direction that counts."""
+    c, (x, y), turn = _curves(spark, sf), _behind(), F.radians(F.col("q") * 7 % 180)
+    end = lambda k: F.struct((x + k * F.cos(turn)).alias("x"), (y + k * F.sin(turn)).alias("y"))
+    rails = c.select(F.col("q").alias("r"), F.array(end(-30), end(30)).alias("geometry"))
+    met = c.select(F.col("q").alias("id"), F.col("q").alias("r"), F.lit("under").alias("position"), x.alias("x"), y.alias("y"))
+    return spatial.by_spline(met, c.withColumnRenamed("q", "id"), rails, "id", "r", parallel=20.0).select("id", "position")
+
+
 @query(f"""WITH s AS (SELECT *, greatest(0, least(1, CASE WHEN pow(bx - ax, 2) + pow(by_ - ay, 2) > 0 THEN ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)) ELSE 0 END)) AS u FROM {_PTS}, {_SEG}),
 n AS (SELECT *, (p * 17 % 360)::DOUBLE AS train_bearing, ((degrees(atan2(bx - ax, by_ - ay)) % 360) + 360) % 360 % 180 AS infra_bearing FROM s WHERE sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (by_ - ay), 2)) <= 60),
 g AS (SELECT *, least(abs(train_bearing - infra_bearing) % 180, 180 - abs(train_bearing - infra_bearing) % 180) AS gap FROM n)
