@@ -29,28 +29,38 @@ _D = T.DoubleType()
 _ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def per_track(df: DataFrame, t: Track, columns: list[str], kernel: Kernel, added: list[tuple[str, T.DataType]], *, keep: list[str] | None = None, skip_failing: bool = False) -> DataFrame:
+def per_track(df: DataFrame, t: Track, columns: list[str], kernel: Kernel, added: list[tuple[str, T.DataType]], *, keep: list[str] | None = None, skip_failing: bool = False, errors: tuple[str, str] | None = None) -> DataFrame:
     """kernel on each track's rows in order of seq. The result has the rows' columns (or those to keep)
     and the added ones, which replace columns of their names.
 
-    skip_failing: a track whose kernel fails is left out, with a line on the worker's stderr.
+    skip_failing: a track whose kernel fails is left out, with a line on the worker's stderr. errors: (column, step): it
+    keeps its rows instead, with nulls in what is added and "step: error" in the column; a track that has failed
+    before is passed on so, too.
     """
     new = dict(added)
-    fields = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)] + [T.StructField(n, k) for n, k in added]
+    fields = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep or errors and f.name == errors[0])] + [T.StructField(n, k) for n, k in added]
+    if errors and errors[0] not in df.columns:
+        fields.append(T.StructField(errors[0], T.StringType()))
 
     def run(table: pa.Table) -> pa.Table:
         seq = table.column(t.seq).to_numpy()
         if len(seq) > 1 and (seq[1:] < seq[:-1]).any():
             table = table.take(np.argsort(seq, kind="stable"))
+        failed = table.column(errors[0])[0].as_py() if errors and errors[0] in table.column_names else None
         try:
-            rows, made = kernel({c: table.column(c).cast(pa.float64()).to_numpy() for c in columns})
+            rows, made = (None, {n: [None] * table.num_rows for n in new}) if failed else kernel({c: table.column(c).cast(pa.float64()).to_numpy() for c in columns})
         except Exception as e:
-            if not skip_failing:
+            if errors:
+                failed, rows, made = f"{errors[1]}: {e!r}", None, {n: [None] * table.num_rows for n in new}
+            elif not skip_failing:
                 raise
-            print(f"track {table.column(t.track)[0]}: {e!r}", file=sys.stderr)
-            rows, made = np.zeros(0, np.int64), {n: [] for n in new}
+            else:
+                print(f"track {table.column(t.track)[0]}: {e!r}", file=sys.stderr)
+                rows, made = np.zeros(0, np.int64), {n: [] for n in new}
         out = table if rows is None else table.take(pa.array(rows, pa.int64()))
-        arrays = [pa.array(made[f.name], _ARROW[new[f.name].simpleString()], from_pandas=True) if f.name in new else out.column(f.name) for f in fields]
+        if errors:
+            made = {**made, errors[0]: [failed] * out.num_rows}
+        arrays = [pa.array(made[f.name], pa.string()) if errors and f.name == errors[0] else pa.array(made[f.name], _ARROW[new[f.name].simpleString()], from_pandas=True) if f.name in new else out.column(f.name) for f in fields]
         return pa.Table.from_arrays(arrays, [f.name for f in fields])
 
     return df.groupBy(t.track).applyInArrow(run, T.StructType(fields))
@@ -162,11 +172,11 @@ def _split_stops(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time:
     return out.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.max("stop").alias("stop"), *map(whole, ("v", "a", "b")), F.min_by("time", "seq").alias("t0"), F.max_by("time", "seq").alias("t1")).withColumnRenamed("track", "_track")
 
 
-def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False, skip_failing: bool = False, split: int | None = None) -> DataFrame:
+def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon", speed: str = "speed", time: str = "elapsed_time_s", *, bins: tuple[float, ...] = SPEED_BINS, max_stop: float = 300.0, plain_markers: bool = False, skip_failing: bool = False, errors: tuple[str, str] | None = None, split: int | None = None) -> DataFrame:
     """A track as stops (two rows, STOP_START and STOP_END) and moves (one row, MOVING_<class>), with mean
     place and speed; the other columns are those of a piece's first row (of STOP_END: its last).
 
-    plain_markers: moves are MOVING, and time_numeric is the middle of the piece. split: rows of a chunk, for tracks that
+    plain_markers: moves are MOVING, and time_numeric is the middle of the piece. skip_failing, errors: see per_track. split: rows of a chunk, for tracks that
     are too long for one task; time must not decrease then.
     """
     a, b = f"{lat}_smoothed_rolling_windows", f"{lon}_smoothed_rolling_windows"
@@ -198,7 +208,7 @@ def stop_move(df: DataFrame, t: Track, lat: str = "GPS_lat", lon: str = "GPS_lon
             made["time_numeric"] = ((s[first] + s[end - 1]) / 2)[of]
         return np.where(last, end[of] - 1, first[of]), made
 
-    return per_track(d, t, ["_v", time, lat, lon], kernel, added, keep=df.columns, skip_failing=skip_failing).select(*order)
+    return per_track(d, t, ["_v", time, lat, lon], kernel, added, keep=df.columns, skip_failing=skip_failing, errors=errors).select(*order, *([errors[0]] if errors and errors[0] not in order else []))
 
 
 def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float, *, split: int | None = None) -> DataFrame:

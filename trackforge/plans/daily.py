@@ -43,10 +43,13 @@ def _renumbered(df: DataFrame, c: Config) -> DataFrame:
     return df.withColumn(c.track.seq, F.row_number().over(w))
 
 
+#: The column in which steps say why they failed on a track ("step: error"); null where they didn't.
+FAILED = "_failed"
+
 #: The registry: name -> step. Others can be added under names of their own.
 STEPS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
     "time": lambda d, c: kinematics.elapsed_time(d, c.track, c.ts),
-    "rolling_windows": lambda d, c: _renumbered(sequential.stop_move(d, c.track, c.lat, c.lon, c.speed, "elapsed_time_s", skip_failing=c.skip_failing), c),
+    "rolling_windows": lambda d, c: _renumbered(sequential.stop_move(d, c.track, c.lat, c.lon, c.speed, "elapsed_time_s", errors=(FAILED, "rolling_windows") if c.skip_failing else None), c),
     "planar": lambda d, c: kinematics.to_planar(d, c.track, *c.place(d)),
     "distance": lambda d, c: kinematics.traveled_distance(d, c.track, *c.place(d), exact=c.exact_distance),
     "heading_dx_dy": lambda d, c: kinematics.heading_dx_dy(d, c.track),
@@ -64,14 +67,29 @@ SUFFIXES = {
     "yaw_rate": "yawRate", "trim": "delBoundaries", "radius": "radius", "segments": "übogen", "elevation": "elevation", "gradient": "gradient"}
 
 
-def run(df: DataFrame, config: Config | None = None, **changes) -> DataFrame:
-    """All steps of the config, and ``steps``, their names. Rows without a time (or with one that can't be
-    read) or place are left out, and so are tracks that a kernel fails on, instead of failing the others."""
-    c = replace(config or Config(), **changes)
+def _steps(df: DataFrame, c: Config) -> DataFrame:
     d = (kinematics.parse_time(df, c.ts, strict=False) if dict(df.dtypes)[c.ts] == "string" else df).where(F.col(c.ts).isNotNull() & F.col(c.lat).isNotNull() & F.col(c.lon).isNotNull())
     for name in c.steps:
         d = STEPS[name](d, c)
-    return d.withColumn("steps", F.array(*map(F.lit, c.steps)))
+    return d if FAILED in d.columns else d.withColumn(FAILED, F.lit(None).cast("string"))
+
+
+def run(df: DataFrame, config: Config | None = None, **changes) -> DataFrame:
+    """All steps of the config, and ``steps``, their names. Rows without a time (or with one that can't be
+    read) or place are left out, and so are tracks that a kernel fails on, instead of failing the others;
+    outcomes() names them."""
+    c = replace(config or Config(), **changes)
+    return _steps(df, c).where(F.col(FAILED).isNull()).drop(FAILED).withColumn("steps", F.array(*map(F.lit, c.steps)))
+
+
+def outcomes(df: DataFrame, config: Config | None = None, **changes) -> DataFrame:
+    """Each track of df: rows_in, rows_out, and the step that failed on it with its error (null if none did)."""
+    c = replace(config or Config(), **changes)
+    track = c.track.track
+    given = df.groupBy(track).agg(F.count(F.lit(1)).alias("rows_in"))
+    made = _steps(df, c).groupBy(F.col(track).alias("_track")).agg(F.count(F.when(F.col(FAILED).isNull(), 1)).alias("rows_out"), F.max(FAILED).alias("_why"))
+    d = given.join(made, F.col(track).eqNullSafe(F.col("_track")), "left")
+    return d.select(track, "rows_in", F.coalesce("rows_out", F.lit(0).cast("long")).alias("rows_out"), F.split_part("_why", F.lit(": "), F.lit(1)).alias("step"), F.regexp_replace("_why", "^[^:]*: ", "").alias("error"))
 
 
 def save(df: DataFrame, folder: str, config: Config | None = None, **changes) -> None:

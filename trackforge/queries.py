@@ -882,6 +882,61 @@ def steady_curves(spark, sf):
     return sequential.steady_curves(d, T, "curvature_h", "radius_m_h", most=0.05).select(*KEY, "steady_group")
 
 
+@query(f"""{_STEADY}, o AS (SELECT track_id, steady_group, CASE WHEN abs(radius_m_h) > 11000 THEN 'Infinity'::DOUBLE ELSE radius_m_h END AS radius FROM f JOIN k USING (track_id, seq)),
+n AS (SELECT track_id, steady_group, count(*) AS n, bool_or(isinf(radius)) AS endless, avg(CASE WHEN isfinite(radius) THEN radius END) AS radius FROM o GROUP BY ALL)
+SELECT track_id, steady_group, n, round(CASE WHEN NOT endless THEN radius END, 3) AS steady_mean_radius FROM n WHERE steady_group > 0""")
+def steady_means(spark, sf):
+    """The mean radius of each steady curve; none where a row of it is straight."""
+    d = kinematics.curvature_and_radius(planar(spark, sf), T, ["h"], "s", straight_radius=11_000.0)
+    d = sequential.steady_curves(d, T, "curvature_h", "radius_m_h", most=0.05).where("steady_group > 0")
+    m = d.groupBy("track_id", "steady_group").agg(F.count("*").alias("n"), F.min("steady_mean_radius").alias("low"), F.max("steady_mean_radius").alias("steady_mean_radius"))
+    whole = numeric.finite(F.col("steady_mean_radius"))
+    return m.select("track_id", "steady_group", "n", F.when(F.col("low") == F.col("steady_mean_radius"), r(whole, 3, "steady_mean_radius")).alias("steady_mean_radius"))
+
+
+def _smoothed(spark, sf):
+    """Tracks with several pairs of places and what was made from them, named as the steps name them."""
+    d = tracks(spark, sf).withColumnsRenamed({"lat": "GPS_lat", "lon": "GPS_lon"})
+    k = {"GPS_lat_smoothed_kalman": F.round(F.col("GPS_lat") + 1, 5), "GPS_lon_smoothed_kalman": F.round(F.col("GPS_lon") + 1, 5), "GPS_lat_smoothed_lost": F.lit(0.0)}
+    more = {"heading_dx_dy_grad": F.col("v"), "Heading_ds": F.when(F.col("seq") % 2 == 0, F.col("v")), "yaw_rate_from_heading_dx_dy_grad": F.lit(1.0), "curvature_heading_ds": F.lit(2.0)}
+    return d.withColumns(k | more)
+
+
+@query(f"{EV} SELECT track_id, seq, round(lat + 1, 5) AS chosen_lat, round(lon + 1, 5) AS chosen_lon, 'kalman' AS method, round(lat, 5) AS first_lat, 2 AS pairs FROM e")
+def chosen_position(spark, sf):
+    """The columns of a smoothing method, and the first pair there is."""
+    d = _smoothed(spark, sf)
+    (lat, lon), (first, _) = filters.choose_position(d.columns, "kalman"), filters.choose_position(d.columns)
+    return d.select(*KEY, r(lat, 5, "chosen_lat"), r(lon, 5, "chosen_lon"), F.lit(kinematics.smoothing_method(lat)).alias("method"), r(first, 5, "first_lat"), F.lit(len(filters.position_pairs(d.columns))).alias("pairs"))
+
+
+@query(f"""{EV} SELECT 'Heading_ds' AS name, 'heading' AS what, count(*) FILTER (seq % 2 = 0) AS filled FROM e UNION ALL SELECT 'heading_dx_dy_grad', 'heading', count(v) FROM e
+UNION ALL SELECT 'yaw_rate_from_heading_dx_dy_grad', 'yaw rate', count(*) FROM e UNION ALL SELECT 'curvature_heading_ds', 'curvature', count(*) FROM e UNION ALL SELECT 'curvature_heading_ds', 'heading', count(*) FROM e""")
+def candidate_columns(spark, sf):
+    """Columns that steps could go on from, by name, and in how many rows they are filled."""
+    d = _smoothed(spark, sf)
+    found = [(n, what) for what, f in (("heading", filters.heading_columns), ("yaw rate", filters.yaw_rate_columns), ("curvature", filters.curvature_columns)) for n in f(d.columns)]
+    one = d.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(what).alias("what"), F.count(n).alias("filled")) for n, what in found]).alias("a"))
+    return one.select(F.explode("a").alias("a")).select("a.*")
+
+
+def _long_enough(d: DataFrame, c: daily.Config) -> DataFrame:
+    def kernel(columns: dict[str, np.ndarray]) -> tuple:
+        if len(columns["seq"]) < 65:
+            raise ValueError("too few rows")
+        return None, {}
+
+    return sequential.per_track(d, c.track, ["seq"], kernel, [], errors=(daily.FAILED, "length"))
+
+
+@query("""SELECT user_id AS track_id, count(*) AS rows_in, CASE WHEN count(*) >= 65 THEN count(*) ELSE 0 END AS rows_out, CASE WHEN count(*) < 65 THEN 'length' END AS step, CASE WHEN count(*) < 65 THEN 'ValueError(''too few rows'')' END AS error FROM events GROUP BY user_id""")
+def daily_outcomes(spark, sf):
+    """What became of each track, in a pipeline with a step of its own that fails on short ones."""
+    daily.STEPS["length"] = _long_enough
+    c = daily.Config(lat="lat", lon="lon", speed="v", steps=("time", "length", "planar"))
+    return daily.outcomes(tracks(spark, sf), c)
+
+
 @query(f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, v * 10 AS x, (event_id % 100) * 7.0 AS y FROM e),
 w AS (SELECT track_id, seq, list(x) OVER w AS xs, list(y) OVER w AS ys, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 u AS (SELECT track_id, seq, list_transform(xs, lambda q: q - list_avg(xs)) AS u, list_transform(ys, lambda q: q - list_avg(ys)) AS v FROM w WHERE n = 5),
