@@ -953,12 +953,46 @@ def circle_fit(spark, sf):
     return sequential.circle_fit(planar(spark, sf), T, size=5, most_residual=200.0, low=10.0, high=12_000.0).select(*KEY, F.coalesce("circle_group", F.lit(-1).cast("long")).alias("circle_group"), r(F.coalesce("radius_m_circle", F.lit(-1.0)), 3, "radius_m_circle"))
 
 
-@query()
+_KS = f"{PL}, ks AS (SELECT track_id, seq, s, CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE (v - 50) / 1e5 END::DOUBLE AS k FROM p)"
+#: Curvature over distance as lists of a track, with running sums that begin with 0.
+_LISTS = f"""{_KS}, v AS (SELECT track_id, seq, s, CASE WHEN isfinite(k) THEN k END AS y FROM ks), a AS (SELECT track_id, list(coalesce(y, 999.0) ORDER BY seq) AS y, count(*) AS n FROM v GROUP BY track_id)"""
+#: The best pieces from the track's start to each possible end (multiples of five, and the last row), by the ends before it.
+_PELT = f"""{_LISTS.replace('WITH e', 'WITH RECURSIVE e', 1)}, l AS (SELECT track_id, n, list_append(range(0, n, 5), n) AS ends, list_prepend(0.0, list_transform(range(1, n + 1), lambda i: list_sum(y[1:i]))) AS s1,
+ list_prepend(0.0, list_transform(range(1, n + 1), lambda i: list_sum(list_transform(y[1:i], lambda q: q * q)))) AS s2 FROM a WHERE n > 1),
+z AS (SELECT track_id, 1 AS k, [-1e-7::DOUBLE] AS best, [0::BIGINT] AS back FROM l UNION ALL
+ SELECT track_id, k + 1, list_append(best, list_min(costs)), list_append(back, ends[list_position(costs, list_min(costs))]) FROM
+ (SELECT z.*, l.ends, list_transform(range(1, k + 1), lambda i: CASE WHEN ends[k + 1] - ends[i] < 2 THEN 'Infinity'::DOUBLE ELSE best[i] + 1e-7 + s2[ends[k + 1] + 1] - s2[ends[i] + 1] - pow(s1[ends[k + 1] + 1] - s1[ends[i] + 1], 2) / (ends[k + 1] - ends[i]) END) AS costs
+  FROM z JOIN l USING (track_id) WHERE k < len(ends))),
+t AS (SELECT track_id, n AS j, back, ends FROM z JOIN l USING (track_id) WHERE k = len(ends) UNION ALL SELECT track_id, back[list_position(ends, j)], back, ends FROM t WHERE back[list_position(ends, j)] > 0),
+b AS (SELECT track_id, j, coalesce(lag(j) OVER (PARTITION BY track_id ORDER BY j), 0) AS i, row_number() OVER (PARTITION BY track_id ORDER BY j) - 1 AS m FROM t),
+g AS (SELECT track_id, i, j, m, list_avg(y[i + 1:j]) AS mean FROM b JOIN a USING (track_id))"""
+
+
+@query(f"""{_PELT} SELECT v.track_id, seq, coalesce(m, 0) AS segment_id, CASE WHEN m IS NULL THEN 'zu klein' WHEN abs(mean) < 5e-5 THEN 'gerade Linie' ELSE 'Kurve' END AS segment_class, round(CASE WHEN abs(mean) >= 5e-5 THEN 1 / abs(mean) END, 2) AS mittelradius
+FROM v LEFT JOIN g ON v.track_id = g.track_id AND seq > i AND seq <= j""")
 def pelt_segments(spark, sf):
     return sequential.segment_change_points(_curved(spark, sf), T, "k", penalty=1e-7).select(*KEY, "segment_id", "segment_class", r("mittelradius", 2))
 
 
-@query()
+#: Least squared error of so many lines up to each row, by the row that the last one begins at; rows without curvature are left out.
+_ERROR = """greatest(0, y2[j + 1] - y2[i + 1] - pow(y1[j + 1] - y1[i + 1], 2) / (j - i) - CASE WHEN x2[j + 1] - x2[i + 1] - pow(x1[j + 1] - x1[i + 1], 2) / (j - i) > 0
+ THEN pow(xy[j + 1] - xy[i + 1] - (x1[j + 1] - x1[i + 1]) * (y1[j + 1] - y1[i + 1]) / (j - i), 2) / (x2[j + 1] - x2[i + 1] - pow(x1[j + 1] - x1[i + 1], 2) / (j - i)) ELSE 0 END)"""
+_SUM = "list_prepend(0.0, list_transform(range(1, n + 1), lambda i: list_sum({0}[1:i])))"
+_PIECES = f"""{_KS.replace('WITH e', 'WITH RECURSIVE e', 1)}, v AS (SELECT track_id, seq, s AS x, k AS y FROM ks WHERE isfinite(s) AND isfinite(k)), c AS (SELECT *, x - avg(x) OVER w AS u, y - avg(y) OVER w AS q FROM v WINDOW w AS (PARTITION BY track_id)),
+a AS (SELECT track_id, count(*) AS n, list(x ORDER BY seq) AS x, list(y ORDER BY seq) AS y, list(u ORDER BY seq) AS a1, list(q ORDER BY seq) AS a2, list(u * u ORDER BY seq) AS a3, list(u * q ORDER BY seq) AS a4, list(q * q ORDER BY seq) AS a5 FROM c GROUP BY track_id),
+l AS (SELECT track_id, n, x, y, {_SUM.format('a1')} AS x1, {_SUM.format('a2')} AS y1, {_SUM.format('a3')} AS x2, {_SUM.format('a4')} AS xy, {_SUM.format('a5')} AS y2 FROM a WHERE n > 1),
+e2 AS (SELECT track_id, n, list_transform(range(1, n + 1), lambda j: list_transform(range(0, j), lambda i: {_ERROR})) AS err FROM l),
+z AS (SELECT track_id, 0 AS k, list_prepend(0.0, list_transform(range(1, n + 1), lambda j: 'Infinity'::DOUBLE)) AS cost, [[0::BIGINT]] AS back FROM e2 UNION ALL
+ SELECT track_id, k + 1, list_prepend('Infinity'::DOUBLE, list_transform(sums, lambda w: list_min(w))), list_append(back, list_transform(sums, lambda w: list_position(w, list_min(w)) - 1)) FROM
+ (SELECT z.*, list_transform(err, lambda w: list_transform(w, lambda q, i: q + cost[i])) AS sums FROM z JOIN e2 USING (track_id) WHERE k < least(5, n))),
+t AS (SELECT track_id, k, n AS j, back FROM z JOIN e2 USING (track_id) WHERE k = least(5, n) UNION ALL SELECT track_id, k - 1, back[k + 1][j], back FROM t WHERE k > 0),
+b AS (SELECT track_id, k - 1 AS segment_index, back[k + 1][j] AS i, j FROM t WHERE k > 0),
+g AS (SELECT track_id, segment_index, x[i + 1] AS x0, x[j] AS x9, list_avg(x[i + 1:j]) AS mx, list_avg(y[i + 1:j]) AS my, x[i + 1:j] AS px, y[i + 1:j] AS py FROM b JOIN l USING (track_id)),
+h AS (SELECT *, CASE WHEN x9 > x0 THEN list_sum(list_transform(px, lambda q, i: (q - mx) * (py[i] - my))) / list_sum(list_transform(px, lambda q: pow(q - mx, 2))) ELSE 0 END AS slope FROM g)"""
+
+
+@query(f"""{_PIECES} SELECT track_id, segment_index::INT AS segment_index, round(x0, 3) AS start_distance, round(x9, 3) AS end_distance,
+CASE WHEN abs(slope) >= 5e-4 THEN 'transition' WHEN abs(my + slope * ((x0 + x9) / 2 - mx)) < 5e-5 THEN 'straight' ELSE 'curve' END AS segment_type FROM h""")
 def piecewise_segments(spark, sf):
     return sequential.segment_piecewise(_curved(spark, sf), T, "k", "s").select("track_id", "segment_index", r("start_distance", 3), r("end_distance", 3), "segment_type")
 
