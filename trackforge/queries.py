@@ -997,7 +997,20 @@ def piecewise_segments(spark, sf):
     return sequential.segment_piecewise(_curved(spark, sf), T, "k", "s").select("track_id", "segment_index", r("start_distance", 3), r("end_distance", 3), "segment_type")
 
 
-@query()
+#: The spline's second derivatives by elimination up and down each track, then a polygon of a hundred places a step.
+_WAY = f"""{EV.replace('WITH e', 'WITH RECURSIVE e', 1)}, p AS (SELECT track_id, seq, v, 6371000.0 * radians(lon - first_value(lon) OVER {W}) * cos(radians(avg(lat) OVER (PARTITION BY track_id))) AS x, 6371000.0 * radians(lat - first_value(lat) OVER {W}) AS y, count(*) OVER (PARTITION BY track_id) AS n FROM e),
+q AS (SELECT *, 6 * (lead(x) OVER {W} - 2 * x + lag(x) OVER {W}) AS rx, 6 * (lead(y) OVER {W} - 2 * y + lag(y) OVER {W}) AS ry FROM p),
+f AS (SELECT track_id, 1::BIGINT AS seq, 0.0::DOUBLE AS c, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy FROM q WHERE seq = 1 UNION ALL SELECT q.track_id, q.seq, 1 / (4 - c), (rx - dx) / (4 - c), (ry - dy) / (4 - c) FROM f JOIN q ON q.track_id = f.track_id AND q.seq = f.seq + 1 WHERE q.seq < n),
+g AS (SELECT track_id, seq, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my FROM q WHERE seq = n UNION ALL SELECT g.track_id, g.seq - 1, CASE WHEN g.seq = 2 THEN 0 ELSE dx - c * mx END, CASE WHEN g.seq = 2 THEN 0 ELSE dy - c * my END FROM g JOIN f ON f.track_id = g.track_id AND f.seq = g.seq - 1),
+h AS (SELECT track_id, seq, v, x, y, mx, my, lead(x) OVER {W} AS x1, lead(y) OVER {W} AS y1, lead(mx) OVER {W} AS mx1, lead(my) OVER {W} AS my1, lead(v) OVER {W} AS v1 FROM q JOIN g USING (track_id, seq)),
+u AS (SELECT track_id, seq, j, {{0}} AS sx, {{1}} AS sy FROM (SELECT *, unnest(range(0, 100)) AS j, unnest(range(0, 100)) / 99 AS t FROM h WHERE x1 IS NOT NULL)),
+w AS (SELECT track_id, seq, sum(d) AS ds FROM (SELECT track_id, seq, sqrt(pow(sx - lag(sx) OVER z, 2) + pow(sy - lag(sy) OVER z, 2)) AS d FROM u WINDOW z AS (PARTITION BY track_id, seq ORDER BY j)) GROUP BY ALL),
+o AS (SELECT track_id, seq, radians(v1 - v) AS turn, radians(v1 - v) - lag(radians(v1 - v)) OVER {W} AS dd FROM h WHERE v1 IS NOT NULL),
+k AS (SELECT track_id, seq, turn + coalesce(sum(CASE WHEN abs(dd) < pi() THEN 0 ELSE ((dd + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi() - dd END) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS turn FROM o)""".format(
+    *[f"(m{a} * pow(1 - t, 3) + m{a}1 * pow(t, 3)) / 6 + ({a} - m{a} / 6) * (1 - t) + ({a}1 - m{a}1 / 6) * t" for a in "xy"])
+
+
+@query(f"""{_WAY} SELECT h.track_id, h.seq, round(ds, 2) AS spline_distance, round(CASE WHEN ds > 0 THEN turn / ds WHEN ds = 0 THEN 0 END, 5) AS curvature_spline FROM h LEFT JOIN w ON w.track_id = h.track_id AND w.seq = h.seq LEFT JOIN k ON k.track_id = h.track_id AND k.seq = h.seq""")
 def spline_curvature(spark, sf):
     return sequential.spline_curvature(tracks(spark, sf).withColumn("yaw", F.col("v")), T, "lat", "lon", "yaw").select(*KEY, r("spline_distance", 2), r("curvature_spline", 5))
 
