@@ -295,7 +295,7 @@ def test_url_rules(spark):
     pages = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/b/c', '/ab', '/é1', '?q', '#f', '/a?x://y'])}" for _ in range(300)] + [None, "", "nothing", "a://", "://x", "x\n://org/a", "http://a.example.org:80/a", "ftp://u@b.com/"]
     merged = {}
     rules += [("b.com", "", "block"), ("", "/a", "block"), (None, "", "allow"), ("Org", "/ab", "block"), ("b.com", None, "allow")]
-    pages += ["http://a.b.com", "http://b.com/x/" + "y" * 100_000, "http://b.com./a"] + [pages[0]] * 30 + [None] * 5
+    pages += ["http://a.b.com", "http://b.com/x/" + "y" * 100_000, "http://b.com./a", "http://" + "a." * 100_000 + "example.org/a"] + [pages[0]] * 30 + [None] * 5
     d = spark.createDataFrame([(i, u, 0) for i, u in enumerate(pages)] + [(None, "http://x.org/a", 0)] * 2, "page_id long, url string, key int")
     for h, p, v in rules:
         h, p = (h or "").lower(), p or ""

@@ -1,10 +1,11 @@
 """URL filters as a sort-merge range join.
 
 A rule (host, path) is the prefix of all keys "reversed host?path" that it fits, so it is an interval
-of sorted keys, and intervals of prefixes nest ("?" is in no host). Every url has a key for its host
-and for each parent domain. The distinct keys and the rules are range-partitioned and sorted together;
-one sweep per partition keeps the stack of rules whose interval is open. A partition's first key tells
-which rules are open at its start (the prefixes of that key that are rules), and these are handed to it.
+of sorted keys, and intervals of prefixes nest ("?" is in no host). Every url has a key for each
+ending of its host that has as many labels as some rule's. The distinct keys and the rules are
+range-partitioned and sorted together; one sweep per partition keeps the stack of rules whose interval is
+open. A partition's first key tells which rules are open at its start (the prefixes of that key that are
+rules), and these are handed to it.
 The keys that a rule fits are joined back to the urls, and these to the pages, so that a page, host or
 key that repeats without end is judged once and then is a skewed equi-join, which Spark splits.
 
@@ -49,7 +50,9 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     r = r.select(_key(F.split("host", r"\.", -1), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     p = pages.select(F.col(page_id).alias("id"), F.xxhash64(url).alias("url_hash"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = F.split("host", r"\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, -n, n))
+    # a rule fits only hosts' endings of as many labels as its own host has
+    sizes = sorted(x[0] for x in rules.select(F.size(F.split(text("host"), r"\.", -1))).distinct().collect())
+    domains = F.transform(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.size(labels)), lambda n: F.slice(labels, -n, n))
     urls = p.select("host", "path").distinct().select("host", "path", F.explode(domains).alias("domain")).select("host", "path", _key(F.col("domain"), F.col("path")).alias("key"))
     fit = _fitting(urls.select("key").distinct(), r, scratch)
     best = urls.join(fit, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
