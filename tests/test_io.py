@@ -155,6 +155,19 @@ def test_pbf_ranges_and_filters(spark, tmp_path):
         spark.read.format("track_osm_pbf").load(str(tmp_path / "none.pbf")).count()
 
 
+def test_one_collection_by_ranges(spark, tmp_path):
+    rng = random.Random(1)
+    odd = ['a "quoted" {', "back\\\\slash\\\\", "tail\\\\\"}]", "é{[", "", "\\\\" * 9, "x" * 500]
+    made = [{"type": "Feature", "properties": {"n": str(i), "text": odd[i % 7], "deep": json.dumps({"a": [1, {"b": "]"}]})}, "geometry": {"type": "LineString", "coordinates": [[i, 0.5], [i + 1, rng.random()]]}} for i in range(60)]
+    for indent in (None, 1):
+        text = json.dumps({"type": "FeatureCollection", "name": "a\"b{", "crs": {"type": "name", "properties": {"name": "x", "sub": {"type": "Other"}}}, "bbox": [0, 1], "features": made}, indent=indent, ensure_ascii=bool(indent))
+        (tmp_path / "c.json").write_text(text)
+        want = sorted(map(str, geo.read_geojson(spark, str(tmp_path / "c.json")).drop("feature_id").collect()))
+        for size in (333, 1 << 20):
+            got = geo.read_geojson(spark, str(tmp_path / "c.json"), split=size)
+            assert sorted(map(str, got.drop("feature_id").collect())) == want and len(want) == 60
+
+
 def test_overpass_and_structures(spark, tmp_path):
     reply = {"elements": [{"type": "way", "id": 5, "nodes": [1, 2, 99]}, {"type": "node", "id": 1, "lat": 51.0, "lon": 11.0}, {"type": "node", "id": 2, "lat": 51.001, "lon": 11.0}, {"type": "way", "id": 6, "nodes": [1]}]}
     (tmp_path / "o.json").write_text(json.dumps(reply))

@@ -85,6 +85,15 @@ def geojson_collection(spark, sf):
     return d.select(F.col("properties")["q"].cast("long").alias("q"), "kind", r(F.col("geometry")[1]["y"], 4, "second_y"))
 
 
+@query("SELECT c_custkey AS q, 'LineString' AS kind, round(c_custkey * 313 % 5000 + c_custkey % 7 + 1.0, 4) AS second_y FROM customer")
+def geojson_ranges(spark, sf):
+    """One FeatureCollection in one file, read by many tasks."""
+    path = shared.folder(spark, "geojson_ranges")
+    sinks.write_collection(_curves(spark, sf), path)
+    d = geo.read_geojson(spark, path, split=5000)
+    return d.select(F.col("properties")["q"].cast("long").alias("q"), "kind", r(F.col("geometry")[1]["y"], 4, "second_y"))
+
+
 @query("SELECT 'starts' AS layer, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT 'curves', count(*)::BIGINT FROM customer")
 def map_layers(spark, sf):
     path = shared.folder(spark, "map_layers")
