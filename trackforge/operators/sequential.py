@@ -550,32 +550,55 @@ def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time:
     return per_track(df, t, [time, speed, lat, lon], kernel, [("is_moving", T.BooleanType()), (a, _D), (b, _D)])
 
 
+#: Of the counter: a prime, and factors of key, step, particle and number, below it.
+PRIME, FACTORS = 2_147_483_647, (1_103_515_245, 1_664_525_917, 742_938_285, 950_706_376)
+
+
+def uniforms(key: int, step: int, particle: np.ndarray, number: int) -> np.ndarray:
+    """Random numbers in (0, 1) from a counter, the same wherever they are drawn: the fifth power, a permutation
+    of the numbers below the prime, of a sum that every counter changes."""
+    k = (key * FACTORS[0] + step * FACTORS[1] + particle * FACTORS[2] + number * FACTORS[3]) % PRIME
+    k2 = k * k % PRIME
+    return (k2 * k2 % PRIME * k % PRIME + 0.5) / PRIME
+
+
+def normals(key: int, step: int, n: int) -> np.ndarray:
+    """n x 4 from pairs of uniform numbers."""
+    u = [uniforms(key, step, np.arange(n, dtype=np.int64), d) for d in range(4)]
+    polar = [(np.sqrt(-2 * np.log(u[d])), 2 * np.pi * u[d + 1]) for d in (0, 2)]
+    return np.stack([x for size, turn in polar for x in (size * np.cos(turn), size * np.sin(turn))], 1)
+
+
 def particle_filter(df: DataFrame, t: Track, lat: str, lon: str, speed: str, acceleration: str | None = None, *, particles: int = 1000, noise: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), sight: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), seed: int = 0) -> DataFrame:
     """Smoothed places, pf_speed and pf_acc: the mean of particles (lat, lon, speed, acceleration) on a
     random walk, weighted by what is seen and then resampled systematically. noise, sight: standard
     deviations of a step and of a sight. Without an acceleration column none is seen, and it starts at
-    0. The seed goes with the track, so results repeat."""
+    0. Random numbers are a function of the track, the seed, the step and the particle, so results repeat wherever
+    a track is worked on."""
     a, b = f"{lat}_smoothed_particule", f"{lon}_smoothed_particule"
     seen = [lat, lon, speed] + ([acceleration] if acceleration else [])
     k, step, spread = len(seen), np.array(noise), np.array(sight)
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
-        rng = np.random.default_rng([seed, int(c["_seed"][0])])
+        key = int(c["_key"][0])
         z = np.column_stack([c[x] for x in seen])
         x = np.zeros(4)
         x[:k] = z[0]
-        x = x + np.sqrt(10) * spread * rng.standard_normal((particles, 4))
-        out, even = np.empty((len(z), 4)), np.arange(particles)
+        x = x + np.sqrt(10) * spread * normals(key, 0, particles)
+        out = np.empty((len(z), 4))
         for i in range(len(z)):
-            x = x + step * rng.standard_normal((particles, 4))
+            x = x + step * normals(key, i + 1, particles)
             e = (((x[:, :k] - z[i]) / spread[:k]) ** 2).sum(1)
             w = np.cumsum(np.exp(-0.5 * (e - e.min())))
-            x = x[np.minimum(np.searchsorted(w, (rng.random() + even) / particles * w[-1], side="right"), particles - 1)]
+            shift = uniforms(key, i + 1, np.zeros(1, np.int64), 4)[0]
+            upto = np.maximum(np.ceil(w / w[-1] * particles - shift), 0).astype(int)  # of the evenly spaced places, how many lie below each weight's end
+            upto[-1] = particles
+            x = np.repeat(x, np.diff(upto, prepend=0), axis=0)
             out[i] = x.mean(0)
         return None, {a: out[:, 0], b: out[:, 1], "pf_speed": out[:, 2], "pf_acc": out[:, 3]}
 
-    d = df.withColumn("_seed", F.crc32(F.col(t.track).cast("string")))
-    return per_track(d, t, [*seen, "_seed"], kernel, [(a, _D), (b, _D), ("pf_speed", _D), ("pf_acc", _D)], keep=df.columns)
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(t.track).cast("string"), F.lit("")))), 1, 7), 16, 10).cast("long")
+    return per_track(df.withColumn("_key", key), t, [*seen, "_key"], kernel, [(a, _D), (b, _D), ("pf_speed", _D), ("pf_acc", _D)], keep=df.columns)
 
 
 # Way along a spline

@@ -862,10 +862,34 @@ def kalman_track_split(spark, sf):
     return d.select(*KEY, "is_moving", r("lat_smoothed_kalman"), r("lon_smoothed_kalman"))
 
 
-@query()
+def _uniform_sql(step: str, particle: str, number: int) -> str:
+    a, b, c, d = sequential.FACTORS
+    k = f"((key * {a} + ({step}) * {b} + ({particle}) * {c} + {number * d}) % {sequential.PRIME})"
+    k2 = f"({k} * {k} % {sequential.PRIME})"
+    return f"((({k2} * {k2} % {sequential.PRIME}) * {k} % {sequential.PRIME} + 0.5::DOUBLE) / {sequential.PRIME})"
+
+
+def _normals_sql(step: str, particle: str) -> list[str]:
+    u = [_uniform_sql(step, particle, d) for d in range(4)]
+    return [f"sqrt(-2 * ln({u[d]})) * {f}(2 * pi() * {u[d + 1]})" for d in (0, 2) for f in ("cos", "sin")]
+
+
+_PF = [("la", "lat", 1e-4), ("lo", "lon", 1e-4), ("sp", "v", 0.1), ("ac", "acc", 0.1)]
+#: A row for each particle and step: moved, weighed, and put where the evenly spaced places fall.
+_PARTICLES = f"""WITH RECURSIVE {_STEPS}, p AS (SELECT track_id, seq, 51 + v / 1000 AS lat, 11 + event_id % 100 / 1000 AS lon, v, (event_id % 7 - 3) / 10 AS acc, ('0x' || md5('0:' || track_id)[1:7])::BIGINT AS key FROM e),
+k AS (SELECT track_id, key, 0::BIGINT AS seq, m, {', '.join(f"{z} + sqrt(10) * {s} * {n} AS {x}" for (x, z, s), n in zip(_PF, _normals_sql('0', 'm'), strict=True))} FROM p, (SELECT unnest(range(0, 1000)) AS m) WHERE seq = 1 UNION ALL
+ SELECT track_id, key, seq, unnest(range(coalesce(lag(upto) OVER w, 0), upto)) AS m, la, lo, sp, ac FROM
+ (SELECT *, CASE WHEN m = 999 THEN 1000 ELSE greatest(0, ceil(mass / (sum(weight) OVER (PARTITION BY track_id)) * 1000 - {_uniform_sql('seq', '0', 4)})) END::BIGINT AS upto FROM
+ (SELECT *, sum(weight) OVER (PARTITION BY track_id ORDER BY m ROWS UNBOUNDED PRECEDING) AS mass FROM (SELECT *, exp(-0.5 * (e - min(e) OVER (PARTITION BY track_id))) AS weight FROM
+ (SELECT *, {' + '.join(f"pow(({x} - {z}) / {s}, 2)" for x, z, s in _PF)} AS e FROM (SELECT k.track_id, k.key, p.seq, k.m, p.lat, p.lon, p.v, p.acc, {', '.join(f"{x} + {s} * {n} AS {x}" for (x, _, s), n in zip(_PF, [y.replace('key', 'k.key') for y in _normals_sql('p.seq', 'k.m')], strict=True))}
+ FROM k JOIN p ON p.track_id = k.track_id AND p.seq = k.seq + 1))))) WINDOW w AS (PARTITION BY track_id ORDER BY m))"""
+
+
+@query(f"{_PARTICLES} SELECT track_id, seq, round(avg(sp), 3) AS pf_speed, round(avg(ac), 3) AS pf_acc, round(avg(la), 5) AS lat, round(avg(lo), 5) AS lon FROM k WHERE seq > 0 GROUP BY ALL")
 def particle_filter(spark, sf):
     d = tracks(spark, sf).withColumn("acc", (F.col("event_id") % 7 - 3) / 10)
-    return sequential.particle_filter(d, T, "lat", "lon", "v", "acc").select(*KEY, r("pf_speed", 4), r("pf_acc", 4))
+    d = sequential.particle_filter(d, T, "lat", "lon", "v", "acc")
+    return d.select(*KEY, r("pf_speed", 3), r("pf_acc", 3), r("lat_smoothed_particule", 5, "lat"), r("lon_smoothed_particule", 5, "lon"))
 
 
 _STEADY = f"""{_CURV.replace('WITH e', 'WITH RECURSIVE e', 1)}, z AS (SELECT track_id, seq, CASE WHEN abs(radius_m_h) > 11000 THEN 0 WHEN isfinite(curvature_h) THEN curvature_h END AS c, CASE WHEN abs(radius_m_h) > 11000 THEN 'Infinity'::DOUBLE ELSE radius_m_h END AS radius FROM k),
