@@ -3,15 +3,17 @@
 import json
 import random
 import struct
+import time
 import zlib
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trackforge.core import Track
-from trackforge.operators import profile, spatial
+from trackforge.operators import profile, sequential, spatial
 from trackforge.plans import daily, infrastructure, products
 from trackforge.sources import elevation, geo, logs, pbf, sinks
 from trackforge.streaming import live
@@ -221,13 +223,33 @@ def test_daily_pipeline_and_products(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, float(i), 51.0, 11.0, 0.0 if i < 30 else 12.0) for i in range(80)]
-    spark.createDataFrame(rows, "track_id long, ts_s double, lat double, lon double, speed double").coalesce(1).write.parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema("track_id long, ts_s double, lat double, lon double, speed double").parquet(str(tmp_path / "s"))
-    q = live.live_stops(stream, idle=None).writeStream.format("memory").queryName("stops").outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    got = spark.sql("select * from stops order by start").collect()
-    assert got[0].segment_marker == "STOP" and got[0].rows == 30 and got[1].segment_marker.startswith("MOVING_3")
+    rng, base = random.Random(7), 1_700_000_000
+    rows, speed = [], {1: 0.0, 2: 9.0, 3: 4.0}
+    for i in range(240):
+        for k in speed:
+            speed[k] = 0.0 if (i // 40 + k) % 3 == 0 else 8.0 + 6 * ((i // 25) % 2) + rng.random()
+            rows.append((k, datetime.fromtimestamp(base + i, UTC).replace(tzinfo=None), 51 + i / 1e4, 11.0 + k, speed[k]))
+    kind = "track long, ts timestamp_ntz, lat double, lon double, speed double"
+    shuffled = sorted(rows, key=lambda r: r[1].timestamp() + rng.uniform(0, 15))  # out of order by 15 seconds at most
+    for n in range(0, len(shuffled), 90):
+        part = spark.createDataFrame(shuffled[n : n + 90], kind).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(0.02)  # files are read in the order of their times
+    late = [(9, datetime.fromtimestamp(base + 10_000 + k, UTC).replace(tzinfo=None), 0.0, 0.0, 0.0) for k in (0, 9000)] + [(1, rows[0][1], 99.0, 99.0, 99.0)]  # the last is too late
+    for r in late:
+        spark.createDataFrame([r], kind).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema("track long, ts timestamp, lat double, lon double, speed double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    q = live.live_stops(stream, track="track", late="20 seconds").writeStream.format("memory").queryName("stops").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.table("stops").where("track < 9").collect())
+    want = []
+    for k in speed:
+        own = [(r[1].replace(tzinfo=UTC).timestamp(), r[4]) for r in sorted(rows) if r[0] == k]
+        for i, j, stop in sequential.pieces(np.array([t for t, _ in own]), np.array([v for _, v in own])):
+            mean = sum(v for _, v in own[i:j]) / (j - i)
+            want.append((k, own[i][0], own[j - 1][0], "STOP" if stop else f"MOVING_{sequential.speed_class(mean, sequential.SPEED_BINS)}", j - i))
+    assert [(*r[:4], r[7]) for r in got] == sorted(want) and len(want) > 20
     spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) ts, 1L track_id, cast(id as double) v from range(100)").write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema("ts timestamp, track_id long, v double").parquet(str(tmp_path / "m"))
     q = live.live_means(stream, "track_id", "ts", "10 seconds", "5 seconds", "v").writeStream.format("memory").queryName("means").outputMode("append").trigger(availableNow=True).start()
