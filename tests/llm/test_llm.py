@@ -381,10 +381,10 @@ def test_license_voting(spark):
 
 
 def test_license_templates_beyond_the_broadcast(spark, monkeypatch):
-    d = docs(spark, ["x " + licenses.NOTICES[3].text, "no license", None])
+    d = docs(spark, ["x " + licenses.NOTICES[3].text, "no license", None, "word other " * 20_000 + "mit license"])
     want = sorted(map(str, licenses.scan(d).collect()))
     monkeypatch.setattr(licenses, "BROADCAST_POSITIONS", 0)
-    assert sorted(map(str, licenses.scan(d).collect())) == want
+    assert sorted(map(str, licenses.scan(d).collect())) == want  # 40,000 positions with their whole text would be 16 GB
 
 
 # op8

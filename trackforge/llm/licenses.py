@@ -97,8 +97,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, *
     d = d.select("_doc", "_text", "_words", "_n", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.explode(F.array(*grams)).alias("_s"))
     first = (F.col("_pos") == 0) & (F.col("_s.k") == ks[0])  # one row per document stays, found or not
     small = sum(len(x.text.split()) for x in templates) <= BROADCAST_POSITIONS
+    own = F.slice("_words", F.col("_pos") + 1, F.col("_s.k"))
+    if not small:  # what is shuffled is a position's own few words, not its text's
+        d, own = d.withColumn("_own", own).drop("_words"), F.col("_own")
     j = d.join(F.broadcast(t) if small else t.hint("merge"), (F.col("_s.g") == F.col("_h")) & (F.col("_s.k") == F.col("_tk")), "left")
-    j = j.withColumn("_hit", F.coalesce(F.slice("_words", F.col("_pos") + 1, F.col("_s.k")) == F.col("_win"), F.lit(False))).where(F.col("_hit") | first)
+    j = j.withColumn("_hit", F.coalesce(own == F.col("_win"), F.lit(False))).where(F.col("_hit") | first)
     only = lambda c: F.when(F.col("_hit"), F.col(c))
     j = j.select("_doc", "_text", "_n", *[only(c).alias(c) for c in ("name", "label", "exact", "grams", "length", "at")], only("_pos").alias("pos"))
     votes = j.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy("_doc", "_text", "name", "diagonal").agg(
