@@ -458,3 +458,22 @@ def test_noise_of_a_standing_train(spark):
         core = near.sum(1) >= least
         want = {i for i in range(len(places)) if core[i] or (near[i] & core).any()}
         assert {r.i for r in spatial.without_noise(d, "i", "x", "y", eps, least).collect()} == want
+
+
+def test_joined_pieces_are_the_best(spark):
+    import itertools
+
+    rng = np.random.default_rng(12)
+    for n, count in ((2, 1), (9, 1), (11, 2), (12, 3), (13, 4), (5, 9)):
+        x = np.cumsum(rng.choice([0.0, 1.0, 2.5], n, p=[0.2, 0.4, 0.4])) + 1e4
+        y = np.cumsum(rng.normal(size=n))
+        places = np.unique(x)
+        best = (np.inf, None)
+        k = min(count, len(places) - 1)
+        for inner in itertools.combinations(range(1, len(places) - 1), max(k - 1, 0)):
+            knots = places[[0, *inner, len(places) - 1]] if k else places
+            base = np.stack([np.interp(x, knots, np.eye(len(knots))[i]) for i in range(len(knots))], 1)
+            fit = np.linalg.lstsq(base, y, rcond=None)[0]
+            best = min(best, (float(((base @ fit - y) ** 2).sum()), tuple(knots), tuple(fit)), key=lambda b: b[0])
+        kx, ky, error = sequential.joined_pieces(x, y, count)
+        assert np.isclose(error, best[0], atol=1e-9) and np.allclose(np.interp(x, kx, ky), np.interp(x, best[1], best[2]), atol=1e-5) or np.isclose(error, best[0], atol=1e-12)

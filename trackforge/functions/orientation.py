@@ -57,7 +57,7 @@ def angles(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, px: np.ndarray, py
     piece = np.clip(np.searchsorted(upto, q), begin[:, None], np.append(begin[1:], len(own))[:, None] - 1)
     t = np.clip((q - start[piece]) / size[piece], 0, 1)
     step = (right - left) / (samples - 1)
-    w = slope_weights(np.clip((at - left) / step, 0, samples - 1), samples)
+    w = slope_weights(np.nan_to_num(np.clip((at - left) / np.where(step > 0, step, 1), 0, samples - 1)), samples)
     sx, sy = ((w * (v[a[piece]] + t * d[piece])).sum(1) for v, d in ((x, dx), (y, dy)))
     angle = np.degrees(np.arctan2(sy, sx)) % 180.0
     out[lines] = np.where((right - left >= 1e-6) & ~np.isnan(px[lines] + py[lines]), np.where(angle == 180.0, 0.0, angle), np.nan)

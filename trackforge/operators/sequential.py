@@ -376,23 +376,101 @@ def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400
     return solve(np.arange(n + 1), bound + 1e-9 * float(sums[4, -1]))[1]  # the addend is for rounding
 
 
-def segment_piecewise(df: DataFrame, t: Track, curvature: str, distance: str = "cumulative_distance_m", *, count: int = 5, flat: float = 5e-4, straight: float = 5e-5) -> DataFrame:
+def lowest(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which parabolas a y^2 - 2 b y + c are lowest somewhere, from left to right."""
+    cur, y, out = int(np.lexsort((c, b, a))[0]), -np.inf, []
+    while True:
+        out.append(cur)
+        da, db, dc = a - a[cur], b - b[cur], c - c[cur]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            root = np.sqrt(db * db - da * dc)
+            at = np.where(da != 0, (db - root) / da, np.where(db > 0, dc / (2 * db), np.nan))  # where each falls below this one
+        at = np.where(at > y + 1e-12 * (1 + abs(y) if np.isfinite(y) else 0), at, np.inf)
+        at[cur] = np.inf
+        nearest = float(np.nanmin(at)) if len(at) else np.inf
+        if not np.isfinite(nearest) or len(out) > 2 * len(a):
+            return np.unique(out)
+        cur, y = int(np.nanargmin(at)), nearest
+
+
+def joined_pieces(x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(x and y of the knots, squared error) of the line of ``count`` pieces that meet, at places of rows, with the
+    least error; x must not decrease. Dynamic programming over the value at a knot: the least error up to it is the
+    lowest of some parabolas of that value, and those that are lowest nowhere are dropped. Steps grow with the
+    square of the rows."""
+    ends = np.append(np.flatnonzero(np.diff(x)), len(x) - 1)  # the last row of each place
+    p, middle = x[ends], y.mean()
+    v = y - middle
+    s = lambda w: np.concatenate([[0.0], np.cumsum(w)])[ends + 1]
+    n1, sx, sxx, sv, sxv, svv = (s(w) for w in (np.ones(len(x)), x - x[0], (x - x[0]) ** 2, v, v * (x - x[0]), v * v))
+    p0, k = p - x[0], min(count, len(p) - 1)
+
+    def piece(i: np.ndarray, j: int) -> tuple[np.ndarray, ...]:
+        """Coefficients of the error of rows after place i up to place j by the values at both."""
+        m, q, u = n1[j] - n1[i], p0[i], p0[j] - p0[i]
+        d1, d2 = sx[j] - sx[i] - m * q, sxx[j] - sxx[i] - 2 * q * (sx[j] - sx[i]) + m * q * q
+        e0, e1 = sv[j] - sv[i], sxv[j] - sxv[i] - q * (sv[j] - sv[i])
+        r1, r2, vr = d1 / u, d2 / (u * u), e1 / u
+        return m - 2 * r1 + r2, r2, r1 - r2, e0 - vr, vr, svv[j] - svv[i]
+
+    first = (np.array([n1[0]]), np.array([sv[0]]), np.array([svv[0]]), np.array([-1]), np.array([-1]))
+    levels: list[list[tuple | None]] = [[first] + [None] * (len(p) - 1)]
+    for _ in range(k):
+        above, own = levels[-1], [None] * len(p)
+        for j in range(1, len(p)):
+            old = [(i, q) for i, q in enumerate(above[:j]) if q is not None]
+            if not old:
+                continue
+            i = np.concatenate([np.full(len(q[0]), i) for i, q in old])
+            which = np.concatenate([np.arange(len(q[0])) for _, q in old])
+            a, b, c = (np.concatenate([q[t] for _, q in old]) for t in range(3))
+            aa, bb, cc, dd, ee, ff = piece(i, j)
+            new = bb - cc * cc / (a + aa), ee - cc * (b + dd) / (a + aa), c + ff - (b + dd) ** 2 / (a + aa)
+            keep = lowest(*new)
+            own[j] = tuple(t[keep] for t in (*new, i, which))
+        levels.append(own)
+    if k == 0:
+        return p, np.array([v.mean() + middle]), float(((v - v.mean()) ** 2).sum())
+    a, b, c, i, which = levels[k][-1]
+    best = int((c - b * b / a).argmin())
+    error, value, j = float(max((c - b * b / a)[best], 0.0)), float(b[best] / a[best]), len(p) - 1
+    at, values = [j], [value]
+    for level in range(k, 0, -1):
+        _, _, _, i, which = levels[level][j]
+        j2, best2 = int(i[best]), int(which[best])
+        aa, _, cc, dd, _, _ = piece(np.array([j2]), j)
+        a, b = levels[level - 1][j2][0][best2], levels[level - 1][j2][1][best2]
+        value = float((b + dd[0] - cc[0] * value) / (a + aa[0]))
+        j, best = j2, best2
+        at.append(j)
+        values.append(value)
+    return p[at[::-1]], np.array(values[::-1]) + middle, error
+
+
+def segment_piecewise(df: DataFrame, t: Track, curvature: str, distance: str = "cumulative_distance_m", *, count: int = 5, flat: float = 5e-4, straight: float = 5e-5, joined: bool = False) -> DataFrame:
     """A table of pieces of the curvature over the distance: segment_index, start_distance,
     end_distance, slope, intercept, mean_curvature_est (on the line, in the middle), segment_type
-    (straight, curve, transition)."""
+    (straight, curve, transition). joined: the lines meet at their breaks, as a curvature does that doesn't jump;
+    that takes steps in proportion to the square of a track's rows."""
     added = [("segment_index", T.IntegerType()), *[(c, _D) for c in ("start_distance", "end_distance", "slope", "intercept", "mean_curvature_est")], ("segment_type", T.StringType())]
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         ok = np.isfinite(c[distance]) & np.isfinite(c[curvature])
         x, y, out = c[distance][ok], c[curvature][ok], []
-        cuts = best_pieces(x, y, count) if len(x) > 1 else []
+        kind_of = lambda slope, mid: "transition" if abs(slope) >= flat else "straight" if abs(mid) < straight else "curve"
+        if joined and len(x) > 1:
+            order = np.argsort(x, kind="stable")
+            kx, ky, _ = joined_pieces(x[order], y[order], count)
+            for k, slope in enumerate(np.diff(ky) / np.diff(kx)):
+                mid = (ky[k] + ky[k + 1]) / 2
+                out.append((k, kx[k], kx[k + 1], slope, ky[k] - slope * kx[k], mid, kind_of(slope, mid)))
+        cuts = best_pieces(x, y, count) if len(x) > 1 and not joined else []
         for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             px, py = x[i:j], y[i:j]
             slope = float(np.polyfit(px - px.mean(), py, 1)[0]) if len(px) > 1 and np.ptp(px) > 0 else 0.0
             intercept = float(py.mean() - slope * px.mean())
             mid = slope * (px[0] + px[-1]) / 2 + intercept
-            kind = "transition" if abs(slope) >= flat else "straight" if abs(mid) < straight else "curve"
-            out.append((k, px[0], px[-1], slope, intercept, mid, kind))
+            out.append((k, px[0], px[-1], slope, intercept, mid, kind_of(slope, mid)))
         columns = zip(*out, strict=True) if out else [[]] * len(added)
         return np.zeros(len(out), np.int64), dict(zip([n for n, _ in added], columns, strict=True))
 

@@ -1021,6 +1021,24 @@ def piecewise_segments(spark, sf):
     return sequential.segment_piecewise(_curved(spark, sf), T, "k", "s").select("track_id", "segment_index", r("start_distance", 3), r("end_distance", 3), "segment_type")
 
 
+#: Of two lines that meet, for each place that they may meet at: the best values at the first place, there, and at the last, one
+#: eliminated after the other from the sum of squares.
+_JOINED = f"""{_KS}, v AS (SELECT track_id, s AS x, k - avg(k) OVER (PARTITION BY track_id) AS y, min(s) OVER (PARTITION BY track_id) AS x0, max(s) OVER (PARTITION BY track_id) AS x9 FROM ks),
+q AS (SELECT DISTINCT track_id, x AS q FROM v WHERE x > x0 AND x < x9),
+r AS (SELECT track_id, q, y, CASE WHEN x = x0 THEN 0 WHEN x <= q THEN 1 ELSE 2 END AS part, CASE WHEN x <= q THEN (x - x0) / (q - x0) ELSE (x - q) / (x9 - q) END AS r, x0, x9 FROM v JOIN q USING (track_id)),
+m AS (SELECT track_id, q, x0, x9, count(*) FILTER (part = 0) AS a0, sum(y) FILTER (part = 0) AS b0, sum(y * y) AS c0, {', '.join(f"coalesce(sum({e}) FILTER (part = {k}), 0) AS {n}{k}" for k in (1, 2) for n, e in (('a', 'pow(1 - r, 2)'), ('b', 'r * r'), ('c', 'r * (1 - r)'), ('d', 'y * (1 - r)'), ('e', 'y * r')))} FROM r GROUP BY ALL),
+h AS (SELECT *, b1 - c1 * c1 / (a0 + a1) AS a, e1 - c1 * (b0 + d1) / (a0 + a1) AS b FROM m),
+w AS (SELECT *, (e2 - c2 * (b + d2) / (a + a2)) / (b2 - c2 * c2 / (a + a2)) AS y9, c0 - pow(b0 + d1, 2) / (a0 + a1) - pow(b + d2, 2) / (a + a2) - pow(e2 - c2 * (b + d2) / (a + a2), 2) / (b2 - c2 * c2 / (a + a2)) AS error FROM h),
+z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY error, q) = 1), t AS (SELECT *, (b + d2 - c2 * y9) / (a + a2) AS y1 FROM z), o AS (SELECT *, (b0 + d1 - c1 * y1) / (a0 + a1) AS y0 FROM t)"""
+
+
+@query(f"""{_JOINED} SELECT track_id, 0 AS segment_index, round(x0, 3) AS start_distance, round(q, 3) AS end_distance, round((y1 - y0) / (q - x0) * 1e6, 3) AS slope FROM o UNION ALL SELECT track_id, 1, round(q, 3), round(x9, 3), round((y9 - y1) / (x9 - q) * 1e6, 3) FROM o""")
+def piecewise_joined(spark, sf):
+    """Two lines that meet; the places of all rows are tried by the SQL."""
+    d = sequential.segment_piecewise(_curved(spark, sf), T, "k", "s", count=2, joined=True)
+    return d.select("track_id", "segment_index", r("start_distance", 3), r("end_distance", 3), r(F.col("slope") * 1e6, 3, "slope"))
+
+
 #: The spline's second derivatives by elimination up and down each track, then a polygon of a hundred places a step.
 _WAY = f"""{EV.replace('WITH e', 'WITH RECURSIVE e', 1)}, p AS (SELECT track_id, seq, v, 6371000.0 * radians(lon - first_value(lon) OVER {W}) * cos(radians(avg(lat) OVER (PARTITION BY track_id))) AS x, 6371000.0 * radians(lat - first_value(lat) OVER {W}) AS y, count(*) OVER (PARTITION BY track_id) AS n FROM e),
 q AS (SELECT *, 6 * (lead(x) OVER {W} - 2 * x + lag(x) OVER {W}) AS rx, 6 * (lead(y) OVER {W} - 2 * y + lag(y) OVER {W}) AS ry FROM p),
