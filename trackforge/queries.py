@@ -96,11 +96,13 @@ def parse_time(spark, sf):
     return d.select("event_id", "parsed", r(kinematics.epoch_seconds(F.col("parsed")), 6, "epoch_s"))
 
 
+_SERIES = lambda f, g: " + ".join(f"{a!r} * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, a in enumerate(geo.ALPHA, 1))
+_UTM_X = f"500000 + {geo.UTM_SCALE * geo.RECTIFYING!r} * (eta + {_SERIES('cos', 'sinh')})"
+_UTM_Y = f"{geo.UTM_SCALE * geo.RECTIFYING!r} * (xi + {_SERIES('sin', 'cosh')})"
 _UTM = f"""{EV}, z AS (SELECT *, floor((avg(lon) OVER (PARTITION BY track_id) + 180) / 6) + 1 AS zone FROM e),
 a AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, sinh(atanh(sin(radians(lat))) - {geo.E2 ** 0.5!r} * atanh({geo.E2 ** 0.5!r} * sin(radians(lat)))) AS q FROM z),
 b AS (SELECT *, atan2(q, cos(dl)) AS xi, asinh(sin(dl) / sqrt(q * q + cos(dl) * cos(dl))) AS eta FROM a)
-SELECT track_id, seq, round(500000 + {geo.UTM_SCALE * geo.RECTIFYING!r} * (eta + {' + '.join(f'{a!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)' for k, a in enumerate(geo.ALPHA, 1))}), 3) AS x,
- round({geo.UTM_SCALE * geo.RECTIFYING!r} * (xi + {' + '.join(f'{a!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)' for k, a in enumerate(geo.ALPHA, 1))}), 3) AS y,
+SELECT track_id, seq, round({_UTM_X}, 3) AS x, round({_UTM_Y}, 3) AS y,
  'raw' AS selected_smoothing_method, 'EPSG:' || (32600 + zone::INT) AS projection_epsg FROM b"""
 
 
@@ -792,6 +794,23 @@ def stop_move(spark, sf):
     return d.select(*KEY, "segment_marker", r("lat_smoothed_rolling_windows"), r("lon_smoothed_rolling_windows"), r("speed"))
 
 
+_Q = geo.E2**0.5
+#: Pieces in their new order, projected; the steps of the daily pipeline one on the other.
+_CHAIN = f"""{_STOPS}, n AS (SELECT m.track_id, row_number() OVER (PARTITION BY m.track_id ORDER BY t, m.seq, segment_marker = 'STOP_END') AS seq, segment_marker, m.lat, m.lon FROM m JOIN c ON c.track_id = m.track_id AND c.seq = m.seq),
+z AS (SELECT *, floor((avg(lon) OVER (PARTITION BY track_id) + 180) / 6) + 1 AS zone, coalesce({_HAV}, 0) AS d FROM n), ua AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, sinh(atanh(sin(radians(lat))) - {_Q!r} * atanh({_Q!r} * sin(radians(lat)))) AS q FROM z),
+ub AS (SELECT *, atan2(q, cos(dl)) AS xi, asinh(sin(dl) / sqrt(q * q + cos(dl) * cos(dl))) AS eta FROM ua), p AS (SELECT *, {_UTM_X} AS x, {_UTM_Y} AS y, sum(d) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS way FROM ub)"""
+
+
+@query(f"""{_CHAIN} SELECT track_id, seq, segment_marker, round(x, 2) AS x, round(y, 2) AS y, round(way, 2) AS cumulative_distance_m, 'time,rolling_windows,planar,distance,heading_dx_dy' AS steps, CASE WHEN lag(x, 3) OVER w IS NOT NULL AND lead(x, 3) OVER w IS NOT NULL THEN
+ round(((degrees(atan2(avg(x) OVER f3 - avg(x) OVER b3, avg(y) OVER f3 - avg(y) OVER b3)) % 360) + 360) % 360, 3) END AS heading_dx_dy_grad FROM p
+ WINDOW w AS {W}, f3 AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), b3 AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
+def daily_chain(spark, sf):
+    """Five steps of the pipeline, each on what the one before it made."""
+    d = tracks(spark, sf).withColumn("speed", F.greatest(F.col("v") - 30, F.lit(0.0)) / 10)
+    d = daily.run(d, lat="lat", lon="lon", exact_distance=False, steps=("time", "rolling_windows", "planar", "distance", "heading_dx_dy"))
+    return d.select(*KEY, "segment_marker", r("x", 2), r("y", 2), r("cumulative_distance_m", 2), r("heading_dx_dy_grad", 3), F.array_join("steps", ",").alias("steps"))
+
+
 #: Rows of a chunk in queries that cut tracks over several tasks.
 SPLIT = 20
 
