@@ -164,7 +164,9 @@ def bucketed(df: DataFrame, by: str, name: str, *, codec: str = "snappy") -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with bounded_batches(spark):
         df.write.bucketBy(parts, by).format("parquet").option("compression", codec).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._drop = drop  # for one that nothing reads any more
+    return out
 
 
 def messages_of(blocks: DataFrame) -> DataFrame:

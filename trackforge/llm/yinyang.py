@@ -249,7 +249,9 @@ def cluster(vectors: DataFrame, k: int = 8, *, rounds: int = 10, seed: int = 3,
         state, moved = None, None
         for _ in range(rounds):
             d = blocks.drop("ids") if state is None else blocks.drop("ids").join(state.drop("sums"), "block")
-            state = bucketed(d.mapInArrow(_step(dim, g, moved), _STATE), "block", "bounds")
+            former, state = state, bucketed(d.mapInArrow(_step(dim, g, moved), _STATE), "block", "bounds")
+            if former is not None:
+                former._drop()
             new = _means(state, g.at)
             moved = [_away(a, b) for a, b in zip(new, g.at, strict=True)]
             same, g = new == g.at, Groups(new, g.group)
