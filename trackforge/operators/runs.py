@@ -7,7 +7,8 @@ leads to, so a chunk is a map from the row it is entered at to the row entered n
 later. A walk over these maps, a few numbers a chunk, says where each chunk is entered; the runs of
 a chunk are then the rows reachable from there, found in all chunks at once.
 
-Time and place must be numbers; null is NaN. Rows of a track are told apart by seq.
+Time and place must be numbers; null is NaN. Rows of a track are told apart by seq. Chunks are asked in rounds, as many
+as the longest run has chunks; each is a small job over open rows alone and the chunks asked.
 """
 
 from __future__ import annotations
