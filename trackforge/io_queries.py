@@ -240,6 +240,20 @@ def utm_zone_33(spark, sf):
     return kinematics.to_planar(tracks(spark, sf), T, "lat", "lon", zone=33).select(*KEY, r("x", 3), r("y", 3), "projection_epsg")
 
 
+_P501 = [[float(v) for v in row] for row in smoothing.savgol_powers(501, 2)]
+_FIT = "list_dot_product({0}, {1}[1]) + list_dot_product({0}, {1}[2]) * ({2}) / 250 + list_dot_product({0}, {1}[3]) * pow(({2}) / 250, 2)"
+
+
+@query(f"""WITH e AS (SELECT user_id % 4 AS track_id, value AS v, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS seq FROM events), p AS (SELECT {_P501}::DOUBLE[][] AS p),
+z AS (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n, list(v) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 250 PRECEDING AND 250 FOLLOWING) AS w FROM e),
+f AS (SELECT track_id, w AS w0 FROM z WHERE seq = 251), l AS (SELECT track_id, w AS w9 FROM z WHERE seq = n - 250)
+SELECT track_id, seq, round(CASE WHEN seq <= 250 THEN {_FIT.format('w0', 'p', 'seq - 251')} WHEN seq > n - 250 THEN {_FIT.format('w9', 'p', 'seq - n + 250')} ELSE list_dot_product(w, p[1]) END, 6) AS smooth FROM z JOIN f USING (track_id) JOIN l USING (track_id), p""")
+def savgol_501_2(spark, sf):
+    """A window of 501 rows, on tracks that are long enough for it."""
+    d = with_seq(read(spark, sf, "events").select((F.col("user_id") % 4).alias("track_id"), "ts", "event_id", F.col("value").alias("v")), "track_id", "ts", "event_id")
+    return smoothing.savgol(d, T, "v", 501, 2, to="smooth").select(*KEY, r("smooth"))
+
+
 @query(_savgol_sql(51, 2).replace("v_savgol", "smooth"))
 def savgol_51_2(spark, sf):
     return smoothing.savgol(tracks(spark, sf), T, "v", 51, 2, to="smooth").select(*KEY, r("smooth"))

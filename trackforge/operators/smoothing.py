@@ -34,6 +34,13 @@ def savgol_taps(window: int, degree: int) -> np.ndarray:
     return v @ np.linalg.pinv(v)
 
 
+def savgol_powers(window: int, degree: int) -> np.ndarray:
+    """degree + 1 x window: row k gives the weights of a window's values for the factor of x to the k, with x from -1 to
+    1 over the window."""
+    x = (np.arange(window) - window // 2) / max(window // 2, 1)
+    return np.linalg.pinv(np.vander(x, degree + 1, increasing=True))
+
+
 def _at(frame: Column, taps: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(frame, F.array(*[F.lit(float(w)) for w in taps]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
@@ -43,13 +50,19 @@ def savgol(df: DataFrame, t: Track, column: str, window: int = 5, degree: int =
     An even window counts as one more. Tracks shorter than a window, and windows with a null, give
     null."""
     window += 1 - window % 2
-    half, taps = window // 2, savgol_taps(window, degree)
+    half, powers = window // 2, savgol_powers(window, degree)
     d = df.withColumns({"_n": F.row_number().over(t.w), "_of": F.count(F.lit(1)).over(t.whole), "_v": F.collect_list(F.coalesce(F.col(column).cast("double"), F.lit(float("nan")))).over(t.back(-half, half))})
-    # the window that an end row looks at is that of the row half a window inside
-    d = d.withColumns({"_first": F.max(F.when(F.col("_n") == half + 1, F.col("_v"))).over(t.back(0, half)), "_lasts": F.max(F.when(F.col("_n") == F.col("_of") - half, F.col("_v"))).over(t.back(-half, 0))})
-    value = _at(F.col("_v"), taps[half])
-    for i in range(half):
-        value = F.when(F.col("_n") == i + 1, _at(F.col("_first"), taps[i])).when(F.col("_n") == F.col("_of") - i, _at(F.col("_lasts"), taps[window - 1 - i])).otherwise(value)
+    # end rows evaluate the polynomial of the first or last whole window, a few numbers a track
+    fitted = F.array(*[_at(F.col("_v"), p) for p in powers])
+    d = d.withColumns({"_first": F.max(F.when(F.col("_n") == half + 1, fitted)).over(t.whole), "_lasts": F.max(F.when(F.col("_n") == F.col("_of") - half, fitted)).over(t.whole)})
+
+    def at(c: str, x: Column) -> Column:
+        out = F.col(c)[degree]
+        for k in range(degree - 1, -1, -1):
+            out = out * (x / max(half, 1)) + F.col(c)[k]
+        return out
+
+    value = F.when(F.col("_n") <= half, at("_first", F.col("_n") - (half + 1))).when(F.col("_n") > F.col("_of") - half, at("_lasts", F.col("_n") - F.col("_of") + half)).otherwise(_at(F.col("_v"), powers[0]))
     value = F.when(F.col("_of") >= window, F.nanvl(value, F.lit(None).cast("double")))
     return d.withColumn(to or f"{column}_savgol", value).drop("_n", "_of", "_v", "_first", "_lasts")
 
