@@ -10,7 +10,7 @@ from trackforge.functions import geo as degrees
 from trackforge.functions import numeric
 from trackforge.operators import filters, kinematics, profile, resample, segmentation, sequential, smoothing, spatial
 from trackforge.plans import products
-from trackforge.queries import _CURV, _DIST, _FULL, _KALMAN, _PTS, EV, KEY, PL, T, W, _curved, _curves, _lines, _points, _savgol_sql, _sql_text, _text, planar, query, r, read, tracks
+from trackforge.queries import CLEAR6, _CURV, _DIST, _FULL, _KALMAN, _PTS, EV, KEY, PL, T, W, _curved, _curves, _lines, _points, _savgol_sql, _sql_text, _text, planar, query, r, read, tracks
 from trackforge.sources import elevation, geo, logs, shared, sinks
 
 # Files
@@ -338,13 +338,13 @@ def _filled(c: str) -> str:
 e AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS seq FROM s), f AS ({_filled('v')} e)), h AS ({_filled('lat')} f)),
 p AS (SELECT track_id, seq, v_ AS v, lat_ AS lat, lon, (epoch_us(ts) - epoch_us(first_value(ts) OVER {W})) / 1e6 AS t, (epoch_us(ts) - epoch_us(coalesce(lag(ts) OVER {W}, ts))) / 1e6 AS dt,
  avg(lat_) OVER (PARTITION BY track_id ORDER BY seq ROWS 4 PRECEDING) AS mlat, avg(lon) OVER (PARTITION BY track_id ORDER BY seq ROWS 4 PRECEDING) AS mlon FROM h WHERE v_ IS NOT NULL AND lat_ IS NOT NULL),
-{_KALMAN} SELECT track_id, seq, moves AS is_moving, round(a + 3e-7, 6) AS lat_smoothed_kalman, round(o + 3e-7, 6) AS lon_smoothed_kalman FROM k WHERE seq > 0""")
+{_KALMAN} SELECT track_id, seq, moves AS is_moving, round(a + {CLEAR6!r}, 6) AS lat_smoothed_kalman, round(o + {CLEAR6!r}, 6) AS lon_smoothed_kalman FROM k WHERE seq > 0""")
 def resampled_filtered(spark, sf):
-    """Even steps, gaps filled, then the filter in two dimensions. What is added keeps means of five clear of halves of a digit."""
+    """Even steps, gaps filled, then the filter in two dimensions. What is added keeps means clear of halves of a digit."""
     v, n = F.col("value"), F.col("event_id")
     d = read(spark, sf, "events").select(F.col("user_id").alias("track_id"), "ts", F.when(n % 3 > 0, v).alias("v"), F.when(n % 4 > 0, 51 + v / 1000).alias("lat"), (11 + n % 100 / 1000).alias("lon"))
     d = resample.smoothed_resampled(d, T, "ts", "lat", "lon", "v", "6 hours", move=60.0, stop=40.0, hold=3600.0, split=20)
-    return d.select(*KEY, "is_moving", *[r(F.col(c) + 3e-7, 6, c) for c in ("lat_smoothed_kalman", "lon_smoothed_kalman")])
+    return d.select(*KEY, "is_moving", *[r(F.col(c) + CLEAR6, 6, c) for c in ("lat_smoothed_kalman", "lon_smoothed_kalman")])
 
 
 @query(f"{_CURV}, i AS (SELECT *, CASE WHEN abs(v - 50) <= 1e-12 THEN 'Infinity'::DOUBLE ELSE 1 / (v - 50) END AS radius FROM k) SELECT track_id, seq, {_sql_text('radius')} FROM i")

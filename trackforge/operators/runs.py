@@ -241,7 +241,8 @@ class Spaced(Chunk):
                 rows = todo[here]
                 b = self.boxes[k][:, at[rows] >> k]
                 with np.errstate(invalid="ignore"):
-                    far = np.hypot(np.maximum(x[rows] - b[0], b[1] - x[rows]), np.maximum(y[rows] - b[2], b[3] - y[rows])) >= self.least
+                    dx, dy = np.maximum(x[rows] - b[0], b[1] - x[rows]), np.maximum(y[rows] - b[2], b[3] - y[rows])
+                    far = np.sqrt(dx * dx + dy * dy) >= self.least  # as whole tracks and SQL compute it
                 if k == 0:
                     out[rows[far]] = at[rows[far]]
                     new[np.flatnonzero(here)[far]] = True

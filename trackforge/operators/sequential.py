@@ -224,7 +224,7 @@ def thin_by_distance(df: DataFrame, t: Track, x: str, y: str, least: float, *, s
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         keep, last = [], None
         for i, p in enumerate(zip(c[x].tolist(), c[y].tolist(), strict=True)):
-            if last is None or math.hypot(p[0] - last[0], p[1] - last[1]) >= least:
+            if last is None or math.sqrt((p[0] - last[0]) * (p[0] - last[0]) + (p[1] - last[1]) * (p[1] - last[1])) >= least:
                 keep.append(i)
                 last = p
         return np.array(keep), {"min_distance": np.full(len(keep), float(least))}
@@ -332,6 +332,11 @@ def circle_fit(df: DataFrame, t: Track, x: str = "x", y: str = "y", *, size: int
     return per_track(df, t, [x, y], kernel, [("circle_group", T.LongType()), ("radius_m_circle", _D)])
 
 
+#: A piece's squared error below so much of the whole sum of squares is none: it is what rounding leaves. So is all of
+#: a piece of two rows.
+NO_ERROR = 1e-12
+
+
 def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400) -> list[int]:
     """Row numbers of the breaks of the piecewise line of ``count`` pieces with least squared error,
     by dynamic programming over all rows, in memory that grows with rows times pieces.
@@ -351,7 +356,8 @@ def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400
             m = at[j] - at[i]
             dx, dy = sx[j] - sx[i], sy[j] - sy[i]
             vxx, vxy, vyy = sxx[j] - sxx[i] - dx * dx / m, sxy[j] - sxy[i] - dx * dy / m, syy[j] - syy[i] - dy * dy / m
-            return np.maximum(vyy - np.where(vxx > 0, vxy * vxy / np.where(vxx > 0, vxx, 1), 0), 0)
+            e = vyy - np.where(vxx > 0, vxy * vxy / np.where(vxx > 0, vxx, 1), 0)
+            return np.where((m > 2) & (e > NO_ERROR * sums[4, -1]), e, 0.0)
 
         p = len(at) - 1
         k = min(count, p)
@@ -483,7 +489,8 @@ def change_points(v: np.ndarray, penalty: float, shortest: int = 2, jump: int =
     n = len(v)
     s1, s2 = np.concatenate([[0.0], np.cumsum(v)]), np.concatenate([[0.0], np.cumsum(v * v)])
     best, back, starts = {0: -penalty}, {}, [0]
-    for j in [*range(jump, n, jump), n]:
+    ends = [*range(jump, n, jump), n]
+    for j, following in zip(ends, [*ends[1:], n], strict=True):
         ok = [i for i in starts if j - i >= shortest]
         if not ok:
             continue
@@ -491,8 +498,10 @@ def change_points(v: np.ndarray, penalty: float, shortest: int = 2, jump: int =
         c = np.array([best[k] for k in ok]) + (s2[j] - s2[i]) - (s1[j] - s1[i]) ** 2 / (j - i) + penalty
         k = int(c.argmin())
         best[j], back[j] = float(c[k]), ok[k]
-        keep = {a for a, cost in zip(ok, c.tolist(), strict=True) if cost - penalty <= best[j]}
-        starts = [a for a in starts if a in keep or j - a < shortest] + [j]
+        spare = 1e-9 * (penalty + float(s2[-1]))  # rounding drops none that is as good
+        keep = {a for a, cost in zip(ok, c.tolist(), strict=True) if cost - penalty <= best[j] + spare}
+        # a start is worse than j for all ends that a piece from j can have; one that is too near has only the others
+        starts = [a for a in starts if a in keep or j - a < shortest or following - j < shortest] + [j]
     out, j = [], n
     while j in back:
         out.append(j)
