@@ -78,7 +78,7 @@ def geojson_lines(spark, sf):
 
 @query("SELECT c_custkey AS q, 'LineString' AS kind, round(c_custkey * 313 % 5000 + c_custkey % 7 + 1.0, 4) AS second_y FROM customer")
 def geojson_collection(spark, sf):
-    """One FeatureCollection in one file."""
+    """FeatureCollections of a bounded number of features in a file."""
     path = shared.folder(spark, "geojson_collection")
     sinks.write_collection(_curves(spark, sf), path)
     d = geo.read_geojson(spark, path)
@@ -87,7 +87,7 @@ def geojson_collection(spark, sf):
 
 @query("SELECT c_custkey AS q, 'LineString' AS kind, round(c_custkey * 313 % 5000 + c_custkey % 7 + 1.0, 4) AS second_y FROM customer")
 def geojson_ranges(spark, sf):
-    """One FeatureCollection in one file, read by many tasks."""
+    """The same, read by ranges of bytes."""
     path = shared.folder(spark, "geojson_ranges")
     sinks.write_collection(_curves(spark, sf), path)
     d = geo.read_geojson(spark, path, split=5000)

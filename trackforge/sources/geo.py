@@ -21,12 +21,10 @@ LINE = "array<struct<x:double,y:double>>"
 
 def read_geojson(spark: SparkSession, path: str, properties: str = "map<string,string>", *, split: int | None = None) -> DataFrame:
     """properties, kind, geometry (a point is a line of one vertex), part (from 0): one row per line; a
-    MultiLineString is several rows. split: bytes of a task, for collections too large for one."""
-    if split:
-        feature = f"type string, properties {properties}, geometry struct<type:string,coordinates:string>"
-        return _lines_of(ranges.features(spark, path, split).select(F.from_json("value", feature).alias("f")).where("f.type = 'Feature'"))
-    schema = f"features array<struct<type:string,properties:{properties},geometry:struct<type:string,coordinates:string>>>"
-    return _lines_of(spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")))
+    MultiLineString is several rows. split: bytes of a task. Spark's reader of whole JSON files would read a file anew for
+    each of its coordinates."""
+    feature = f"type string, properties {properties}, geometry struct<type:string,coordinates:string>"
+    return _lines_of(ranges.features(spark, path, split or ranges.RANGE).select(F.from_json("value", feature).alias("f")).where("f.type = 'Feature'"))
 
 
 def _lines_of(d: DataFrame) -> DataFrame:

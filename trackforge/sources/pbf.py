@@ -140,6 +140,15 @@ class PbfSource(DataSource):
         return PbfWriter(self.options["path"], overwrite)
 
 
+#: Tasks that files are cut into, about, where ranges are smaller than they need be.
+_TASKS = 256
+
+
+def range_size(asked: int, usual: int, total: int) -> int:
+    """Bytes of a range: as asked for, but so many that the tasks don't grow with the files until ranges are of the usual size."""
+    return max(asked, min(usual, -(-total // _TASKS)))
+
+
 class PbfReader(DataSourceReader):
     def __init__(self, path: str, size: int, keys: list[str]):
         self.path, self.size, self.keys, self.kinds = path, size, keys, {"node", "way"}
@@ -154,7 +163,9 @@ class PbfReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(f.path, at, min(at + self.size, f.size), f.size) for f in files_of(self.path, ".pbf") for at in range(0, f.size, self.size)]
+        files = list(files_of(self.path, ".pbf"))
+        size = range_size(self.size, RANGE, sum(f.size for f in files))
+        return [Range(f.path, at, min(at + size, f.size), f.size) for f in files for at in range(0, f.size, size)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with located(self.path)[0].open_input_file(partition.path) as f:
@@ -188,7 +199,7 @@ def first_header(f: BinaryIO, start: int, end: int, size: int, step: int = 1 <<
     at = start
     while at < end:
         f.seek(at)
-        part = f.read(step + 16)  # a header's first bytes may lie beyond the step
+        part = f.read(min(step, end - at) + 16)  # a header's first bytes may lie beyond the step
         for m in _HEAD.finditer(part):
             here = at + m.start() - 4
             if here >= end:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from trackforge.sources.pbf import files_of, located
+from trackforge.sources.pbf import files_of, located, range_size
 
 RANGE = 32 << 20
 _QUOTE, _ESCAPE = ord('"'), ord("\\")
@@ -65,7 +65,9 @@ def _before(f, start: int) -> bytes:
 
 def features(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """value: the text of each feature of a file, or of a folder's (hidden ones aside), by tasks of a range each."""
-    rows = [(k, f.path, at, min(at + size, f.size), f.size) for k, f in enumerate(x for x in files_of(path, "") if os.path.basename(x.path)[0] not in "._" and x.size) for at in range(0, f.size, size)]
+    files = [x for x in files_of(path, "") if os.path.basename(x.path)[0] not in "._" and x.size]
+    size = range_size(size, RANGE, sum(f.size for f in files))
+    rows = [(k, f.path, at, min(at + size, f.size), f.size) for k, f in enumerate(files) for at in range(0, f.size, size)]
     if not rows:
         return spark.createDataFrame([], "value string")
     ranges = spark.createDataFrame(rows, "file long, path string, start long, end long, size long").repartition(len(rows), "path", "start")
