@@ -384,6 +384,8 @@ def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400
 
 def lowest(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Which parabolas a y^2 - 2 b y + c are lowest somewhere, from left to right."""
+    if len(a) == 1:
+        return np.zeros(1, np.int64)
     cur, y, out = int(np.lexsort((c, b, a))[0]), -np.inf, []
     while True:
         out.append(cur)
@@ -411,7 +413,7 @@ def joined_pieces(x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray,
     n1, sx, sxx, sv, sxv, svv = (s(w) for w in (np.ones(len(x)), x - x[0], (x - x[0]) ** 2, v, v * (x - x[0]), v * v))
     p0, k = p - x[0], min(count, len(p) - 1)
 
-    def piece(i: np.ndarray, j: int) -> tuple[np.ndarray, ...]:
+    def piece(i: np.ndarray, j: int | np.ndarray) -> tuple[np.ndarray, ...]:
         """Coefficients of the error of rows after place i up to place j by the values at both."""
         m, q, u = n1[j] - n1[i], p0[i], p0[j] - p0[i]
         d1, d2 = sx[j] - sx[i] - m * q, sxx[j] - sxx[i] - 2 * q * (sx[j] - sx[i]) + m * q * q
@@ -421,9 +423,13 @@ def joined_pieces(x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray,
 
     first = (np.array([n1[0]]), np.array([sv[0]]), np.array([svv[0]]), np.array([-1]), np.array([-1]))
     levels: list[list[tuple | None]] = [[first] + [None] * (len(p) - 1)]
-    for _ in range(k):
+    if k > 1:  # the first piece begins at the first place, wherever it ends: one parabola for each end
+        (a, b, c, none, _), (aa, bb, cc, dd, ee, ff) = first, piece(np.zeros(1, np.int64), np.arange(1, len(p)))
+        new = np.stack([bb - cc * cc / (a + aa), ee - cc * (b + dd) / (a + aa), c + ff - (b + dd) ** 2 / (a + aa)])
+        levels.append([None, *[(*new[:, j : j + 1], none + 1, none + 1) for j in range(len(p) - 1)]])
+    for level in range(len(levels), k + 1):
         above, own = levels[-1], [None] * len(p)
-        for j in range(1, len(p)):
+        for j in range(1, len(p)) if level < k else (len(p) - 1,):  # the last piece ends at the last place
             old = [(i, q) for i, q in enumerate(above[:j]) if q is not None]
             if not old:
                 continue
