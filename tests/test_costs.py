@@ -13,3 +13,16 @@ def test_the_last_joined_piece_is_sought_at_the_last_place(monkeypatch):
     at, _, error = sequential.joined_pieces(x, y, 2)
     assert at.tolist() == [0.0, 40.0, n - 1.0] and error < 3
     assert sum(sizes) < 3 * n  # not the square of n
+
+
+def test_random_numbers_of_several_steps_at_once():
+    """The counter's fifth power modulo the prime by shifts alone, a row for each step and number."""
+    p, (a, b, c, d) = sequential.PRIME, sequential.FACTORS
+    whole = lambda key, step, m, number: (pow(key * a + step * b + m * c + number * d, 5, p) + 0.5) / p
+    zero = -(5 * a + 9 * b) * pow(c, -1, p) % p  # the sum is a multiple of the prime
+    m = np.array([0, 1, 999, p - 1, zero], np.int64)
+    got = sequential.uniforms(5, np.array([9, 10])[:, None, None], m, np.arange(4)[:, None])
+    assert got.shape == (2, 4, 5) and 0 < got.min() and got.max() < 1
+    assert got.tolist() == [[[whole(5, s, int(k), n) for k in m] for n in range(4)] for s in (9, 10)]
+    two = sequential.normals(5, np.array([3, 4]), 10)
+    assert [two[i].tolist() == sequential.normals(5, np.array([3 + i]), 10)[0].tolist() for i in range(2)] == [True, True]

@@ -643,23 +643,40 @@ def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time:
     return per_track(df, t, [time, speed, lat, lon], kernel, [("is_moving", T.BooleanType()), (a, _D), (b, _D)])
 
 
-#: Of the counter: a prime, and factors of key, step, particle and number, below it.
+#: Of the counter: a prime, and factors of key, step, particle and number, below it. Steps drawn at once.
 PRIME, FACTORS = 2_147_483_647, (1_103_515_245, 1_664_525_917, 742_938_285, 950_706_376)
+DRAWN = 4
 
 
-def uniforms(key: int, step: int, particle: np.ndarray, number: int) -> np.ndarray:
-    """Random numbers in (0, 1) from a counter, the same wherever they are drawn: the fifth power, a permutation
-    of the numbers below the prime, of a sum that every counter changes."""
-    k = (key * FACTORS[0] + step * FACTORS[1] + particle * FACTORS[2] + number * FACTORS[3]) % PRIME
-    k2 = k * k % PRIME
-    return (k2 * k2 % PRIME * k % PRIME + 0.5) / PRIME
+def _folded(k: np.ndarray, times: int) -> np.ndarray:
+    """k modulo the prime, 2^31 - 1, in place by shifts; the prime may stand for 0."""
+    for _ in range(times):
+        high = k >> 31
+        k &= PRIME
+        k += high
+    return k
 
 
-def normals(key: int, step: int, n: int) -> np.ndarray:
-    """n x 4 from pairs of uniform numbers."""
-    u = [uniforms(key, step, np.arange(n, dtype=np.int64), d) for d in range(4)]
-    polar = [(np.sqrt(-2 * np.log(u[d])), 2 * np.pi * u[d + 1]) for d in (0, 2)]
-    return np.stack([x for size, turn in polar for x in (size * np.cos(turn), size * np.sin(turn))], 1)
+def uniforms(key: int, step: int | np.ndarray, particle: np.ndarray, number: int | np.ndarray) -> np.ndarray:
+    """Random numbers in (0, 1) from a counter, the same wherever they are drawn: the fifth power, a permutation
+    of the numbers below the prime, of a sum that every counter changes."""
+    k = _folded((key * FACTORS[0] + step * FACTORS[1] + number * FACTORS[3]) % PRIME + particle * FACTORS[2] % PRIME, 1)
+    power = _folded(k * k, 2)
+    power *= power
+    _folded(power, 2)
+    power *= k
+    _folded(power, 2)
+    power[power == PRIME] = 0
+    return (power + 0.5) / PRIME
+
+
+def normals(key: int, steps: np.ndarray, n: int) -> np.ndarray:
+    """For each step 4 x n from pairs of uniform numbers."""
+    u = uniforms(key, steps[:, None, None], np.arange(n, dtype=np.int64), np.arange(4)[:, None])
+    size, turn = np.sqrt(-2 * np.log(u[:, ::2])), 2 * np.pi * u[:, 1::2]
+    out = np.empty_like(u)
+    out[:, ::2], out[:, 1::2] = size * np.cos(turn), size * np.sin(turn)
+    return out
 
 
 def particle_filter(df: DataFrame, t: Track, lat: str, lon: str, speed: str, acceleration: str | None = None, *, particles: int = 1000, noise: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), sight: tuple[float, ...] = (1e-4, 1e-4, 0.1, 0.1), seed: int = 0) -> DataFrame:
@@ -670,24 +687,26 @@ def particle_filter(df: DataFrame, t: Track, lat: str, lon: str, speed: str, acc
     a track is worked on."""
     a, b = f"{lat}_smoothed_particule", f"{lon}_smoothed_particule"
     seen = [lat, lon, speed] + ([acceleration] if acceleration else [])
-    k, step, spread = len(seen), np.array(noise), np.array(sight)
+    k, step, spread = len(seen), np.array(noise)[:, None], np.array(sight)[:, None]
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
         key = int(c["_key"][0])
-        z = np.column_stack([c[x] for x in seen])
-        x = np.zeros(4)
+        z = np.column_stack([c[x] for x in seen])[:, :, None]
+        x = np.zeros((4, 1))
         x[:k] = z[0]
-        x = x + np.sqrt(10) * spread * normals(key, 0, particles)
+        x = x + np.sqrt(10) * spread * normals(key, np.zeros(1, np.int64), particles)[0]
         out = np.empty((len(z), 4))
+        shift = uniforms(key, np.arange(1, len(z) + 1), np.zeros(1, np.int64), 4)
         for i in range(len(z)):
-            x = x + step * normals(key, i + 1, particles)
-            e = (((x[:, :k] - z[i]) / spread[:k]) ** 2).sum(1)
+            if i % DRAWN == 0:
+                moves = step * normals(key, np.arange(i + 1, min(i + DRAWN, len(z)) + 1), particles)
+            x = x + moves[i % DRAWN]
+            e = (((x[:k] - z[i]) / spread[:k]) ** 2).sum(0)
             w = np.cumsum(np.exp(-0.5 * (e - e.min())))
-            shift = uniforms(key, i + 1, np.zeros(1, np.int64), 4)[0]
-            upto = np.maximum(np.ceil(w / w[-1] * particles - shift), 0).astype(int)  # of the evenly spaced places, how many lie below each weight's end
+            upto = np.maximum(np.ceil(w / w[-1] * particles - shift[i]), 0).astype(int)  # of the evenly spaced places, how many lie below each weight's end
             upto[-1] = particles
-            x = np.repeat(x, np.diff(upto, prepend=0), axis=0)
-            out[i] = x.mean(0)
+            x = np.take(x, np.bincount(upto, minlength=particles)[:particles].cumsum(), axis=1)
+            out[i] = x.mean(1)
         return None, {a: out[:, 0], b: out[:, 1], "pf_speed": out[:, 2], "pf_acc": out[:, 3]}
 
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(t.track).cast("string"), F.lit("")))), 1, 7), 16, 10).cast("long")
