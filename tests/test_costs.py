@@ -1,8 +1,9 @@
 """Kernels do no more than their result asks for, and give the same."""
 
 import numpy as np
+import pyarrow as pa
 
-from trackforge.operators import sequential
+from trackforge.operators import runs, sequential
 
 
 def test_the_last_joined_piece_is_sought_at_the_last_place(monkeypatch):
@@ -26,3 +27,14 @@ def test_random_numbers_of_several_steps_at_once():
     assert got.tolist() == [[[whole(5, s, int(k), n) for k in m] for n in range(4)] for s in (9, 10)]
     two = sequential.normals(5, np.array([3, 4]), 10)
     assert [two[i].tolist() == sequential.normals(5, np.array([3 + i]), 10)[0].tolist() for i in range(2)] == [True, True]
+
+
+def test_lines_of_many_short_chunks_are_one_batch():
+    kinds = pa.schema([("track", pa.string()), ("to", pa.int32()), ("rows", pa.list_(pa.int32())), ("states", pa.list_(pa.float64()))])
+    line = lambda i: (pa.array([f"t{i}" if i % 5 else None], pa.string()), i, np.arange(i % 3), np.full(i % 4, i / 2))
+    want = [{"track": f"t{i}" if i % 5 else None, "to": i, "rows": list(range(i % 3)), "states": [i / 2] * (i % 4)} for i in range(3000)]
+    got = list(runs.gathered(map(line, range(3000)), kinds))
+    assert len(got) == 1 and got[0].to_pylist() == want
+    assert not list(runs.gathered(iter(()), kinds))
+    long = list(runs.gathered(((pa.array(["a"]), i, np.arange(90_000), np.zeros(0)) for i in range(4)), kinds))
+    assert [b.num_rows for b in long] == [2, 2]  # bounded by their values

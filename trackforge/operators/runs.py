@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,30 @@ class Chunk(ABC):
 Make = Callable[[dict[str, np.ndarray], int, int], Chunk]
 
 
-def _lists(values: list) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+#: Values in lists that make a batch of many short chunks' lines; a batch for each line would cost more than its work.
+GATHERED = 100_000
+
+
+def gathered(lines: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Lines (an array of one row, or of a list's values, or a number for each column) as batches of many."""
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        if isinstance(values[0], pa.Array):
+            return pa.concat_arrays(values)
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        offsets = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(values).astype(kind.value_type.to_pandas_dtype())))
+
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += 1 + sum(len(v) for v in line if isinstance(v, np.ndarray))
+        if size >= GATHERED:
+            yield pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def chunks(df: DataFrame, t: Track, columns: list[str], rows: int, before: int, after: int) -> DataFrame:
@@ -78,31 +101,29 @@ def chunks(df: DataFrame, t: Track, columns: list[str], rows: int, before: int,
     schema = T.StructType([T.StructField("track", kinds["track"].dataType), T.StructField("part", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("seq", T.ArrayType(kinds["seq"].dataType)), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in names]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held, size, key = TaskContext.get().partitionId() << 33, 0, [], 0, None
+        first, held, size = TaskContext.get().partitionId() << 33, [], 0
 
-        def flush() -> pa.RecordBatch:
-            own = pa.Table.from_batches(held).combine_chunks()
-            lists = [_lists(own.column(c).chunk(0)) for c in ("seq", *names)]
-            return pa.RecordBatch.from_arrays([own.column("track").chunk(0).slice(0, 1), pa.array([base + k], pa.int64()), pa.array([own.num_rows], pa.int32()), *lists], schema.names)
+        def flush(last: bool) -> pa.RecordBatch:
+            """The chunks of what is held, but for the last one, which may go on."""
+            nonlocal first, held, size
+            own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            codes = own.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            at = np.flatnonzero(np.diff(codes)) + 1
+            starts = np.concatenate([np.arange(lo, hi, rows) for lo, hi in zip([0, *at.tolist()], [*at.tolist(), len(codes)], strict=True)])
+            offsets = pa.array((np.append(starts, len(codes)) if last else starts).astype(np.int32))
+            n, rest = len(offsets) - 1, own.slice(offsets[-1].as_py())
+            held, size = [rest], rest.num_rows
+            lists = [pa.ListArray.from_arrays(offsets, own.column(c)) for c in ("seq", *names)]
+            first += n
+            return pa.RecordBatch.from_arrays([own.column("track").take(pa.array(starts[:n])), pa.array(np.arange(first - n, first)), pa.array(np.diff(offsets.to_numpy())), *lists], schema.names)
 
         for batch in batches:
-            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            at = np.flatnonzero(np.diff(codes)) + 1
-            for lo, hi in zip([0, *at.tolist()], [*at.tolist(), len(codes)], strict=True) if len(codes) else ():
-                track = batch.column(0)[lo].as_py()
-                if held and track != key:
-                    yield flush()
-                    held, size, k = [], 0, k + 1
-                key = track
-                while lo < hi:
-                    part = batch.slice(lo, min(hi - lo, rows - size))
-                    held.append(part)
-                    lo, size = lo + part.num_rows, size + part.num_rows
-                    if size == rows:
-                        yield flush()
-                        held, size, k = [], 0, k + 1
-        if held:
-            yield flush()
+            held.append(batch)
+            size += batch.num_rows
+            if size > 2 * rows:
+                yield flush(False)
+        if size:
+            yield flush(True)
 
     cutted = written(d.repartitionByRange("track", "seq").sortWithinPartitions("track", "seq").mapInArrow(cut, schema), "chunks")
     w = Window.partitionBy("track").orderBy("part")
@@ -117,10 +138,18 @@ def chunks(df: DataFrame, t: Track, columns: list[str], rows: int, before: int,
 
 def _each(batches: Iterator[pa.RecordBatch], columns: list[str], make: Make) -> Iterator[tuple[pa.RecordBatch, int, Chunk]]:
     for batch in batches:
+        flat = {}
+        for name in (f"{side}c{k}" for k in range(len(columns)) for side in ("before_", "", "after_")):
+            c = batch.column(name)
+            flat[name] = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy().tolist()
+
+        def one(name: str, i: int, flat: dict = flat) -> np.ndarray:
+            values, at = flat[name]
+            return values[at[i] : at[i + 1]]
+
         for i in range(batch.num_rows):
-            one = lambda c, i=i, batch=batch: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-            cols = {name: np.concatenate([one(f"before_c{k}"), one(f"c{k}"), one(f"after_c{k}")]) for k, name in enumerate(columns)}
-            yield batch, i, make(cols, len(one("before_c0")), len(one("after_c0")))
+            cols = {name: np.concatenate([one(f"before_c{k}", i), one(f"c{k}", i), one(f"after_c{k}", i)]) for k, name in enumerate(columns)}
+            yield batch, i, make(cols, len(one("before_c0", i)), len(one("after_c0", i)))
 
 
 def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
@@ -131,30 +160,40 @@ def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
     # rows [lo, hi] of a chunk lead to a row (goal) of a later one, and from there to its open row (then)
     answer = T.StructType([field("track", track), field("chunk", T.IntegerType()), field("to", T.IntegerType()), *[field(c, ints) for c in ("lo", "hi", "goal", "then")], field("rows", ints), field("states", doubles)])
 
-    def record(batch: pa.RecordBatch, i: int, chunk: int, to: int, found: tuple[np.ndarray, ...], rows: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
-        lists = [_lists(pa.array(v, pa.int32())) for v in (*found, rows)]
-        return pa.RecordBatch.from_arrays([batch.column("track").slice(i, 1), pa.array([chunk], pa.int32()), pa.array([to], pa.int32()), *lists, _lists(pa.array(states.ravel(), pa.float64()))], answer.names)
+    nothing = np.zeros(0, np.int64)
+
+    def lines_of(batches: Iterator[pa.RecordBatch], lines: Callable[[pa.RecordBatch, int, Chunk], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+        """lines(batch, i, chunk) of all chunks: chunk, to, lo, hi, goal, then, rows, states, with the track put before them."""
+        made = ((batch.column("track").slice(i, 1), *line) for batch, i, c in _each(batches, columns, make) for line in lines(batch, i, c))
+        head = next(made, None)
+        if head is not None:
+            kinds = [head[0].type, pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 5, pa.list_(pa.float64())]
+            yield from gathered(chain([head], made), pa.schema(list(zip(answer.names, kinds, strict=True))))
+
+    def asks(batch: pa.RecordBatch, i: int, c: Chunk) -> Iterator[tuple]:
+        rows, number = np.flatnonzero(c.next >= c.n), batch.column("chunk")[i].as_py()
+        start = np.zeros(1 if number == 1 else 0, np.int64)
+        # the track's first row is its entry: what chunk 0 leads to
+        yield 0 if number == 1 else -1, number, start, start, start, c.last()[start], nothing, nothing
+        yield number, number + 1, *(nothing,) * 4, rows, c.states(rows).ravel()
+
+    def replies(batch: pa.RecordBatch, i: int, c: Chunk) -> Iterator[tuple]:
+        rows = batch.column("rows")[i].values.to_numpy()
+        states = batch.column("states")[i].values.to_numpy().reshape(len(rows), -1)
+        goal = c.enter(states)
+        ends, to, asked = goal < c.n, batch.column("to")[i].as_py(), batch.column("asked")[i].as_py()
+        r, g = rows[ends], goal[ends]
+        cut = np.flatnonzero(np.diff(g, prepend=-1))
+        upto = np.append(cut[1:], len(g))[: len(cut)] - 1
+        yield asked, to, r[cut], r[upto], g[cut], c.last()[g[cut]], nothing, nothing
+        if not ends.all():
+            yield asked, to + 1, *(nothing,) * 4, rows[~ends], c.passed(states[~ends]).ravel()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, c in _each(batches, columns, make):
-            rows, number = np.flatnonzero(c.next >= c.n), batch.column("chunk")[i].as_py()
-            start = np.zeros(1 if number == 1 else 0, np.int64)
-            # the track's first row is its entry: what chunk 0 leads to
-            yield record(batch, i, 0 if number == 1 else -1, number, (start, start, start, c.last()[start]), np.zeros(0), np.zeros(0))
-            yield record(batch, i, number, number + 1, (np.zeros(0),) * 4, rows, c.states(rows))
+        return lines_of(batches, asks)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, c in _each(batches, columns, make):
-            rows = batch.column("rows")[i].values.to_numpy()
-            states = batch.column("states")[i].values.to_numpy().reshape(len(rows), -1)
-            goal = c.enter(states)
-            ends, to = goal < c.n, batch.column("to")[i].as_py()
-            r, g = rows[ends], goal[ends]
-            cut = np.flatnonzero(np.diff(g, prepend=-1))
-            upto = np.append(cut[1:], len(g))[: len(cut)] - 1
-            yield record(batch, i, batch.column("asked")[i].as_py(), to, (r[cut], r[upto], g[cut], c.last()[g[cut]]), np.zeros(0), np.zeros(0))
-            if not ends.all():
-                yield record(batch, i, batch.column("asked")[i].as_py(), to + 1, (np.zeros(0),) * 4, rows[~ends], c.passed(states[~ends]))
+        return lines_of(batches, replies)
 
     said = [written(table.mapInArrow(ask, answer), "asked")]
     while True:
@@ -200,12 +239,24 @@ def over_chunks(table: DataFrame, entered: DataFrame, columns: list[str], make:
     schema = T.StructType([table.schema["track"], T.StructField("seq", table.schema["seq"].dataType.elementType), *[T.StructField(n, k) for n, k in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(batch: pa.RecordBatch, made: list[tuple[int, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+            counts, seq = [len(m["rows"]) for _, m in made], batch.column("seq")
+            at = np.repeat([i for i, _ in made], counts)
+            rows = np.concatenate([m["rows"] for _, m in made]).astype(np.int64) + seq.offsets.to_numpy()[at]
+            new = [pa.array(np.concatenate([m[n] for _, m in made]), from_pandas=True) for n, _ in added]
+            return pa.RecordBatch.from_arrays([batch.column("track").take(pa.array(at)), seq.values.take(pa.array(rows)), *new], schema.names)
+
+        held, size, of = [], 0, None
         for batch, i, c in _each(batches, columns, make):
+            if held and (batch is not of or size >= GATHERED):
+                yield flush(of, held)
+                held, size = [], 0
             entry, going = batch.column("entry")[i].as_py(), batch.column("run")[i].as_py()
             made = finish(c, c.reached(c.n if entry is None else entry), batch.column("chunk")[i].as_py(), -1 if going is None else going)
-            rows = pa.array(made.pop("rows"), pa.int64())
-            track = batch.column("track").take(pa.array(np.full(len(rows), i)))
-            yield pa.RecordBatch.from_arrays([track, batch.column("seq")[i].values.take(rows), *[pa.array(made[n], from_pandas=True) for n, _ in added]], schema.names)
+            held.append((i, made))
+            size, of = size + len(made["rows"]), batch
+        if held:
+            yield flush(of, held)
 
     return d.mapInArrow(run, schema)
 
