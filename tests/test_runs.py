@@ -69,6 +69,16 @@ def test_first_far_row():
         assert got == [next((j for j in range(i + 1, n) if np.hypot(x[j] - x[i], y[j] - y[i]) >= 4), n) for i in range(n)]
 
 
+def test_rows_between_others_go_their_own_way(spark):
+    """Rows of a chunk that end in the same place, with rows between them that end elsewhere, earlier or nowhere."""
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(x), float(y)) for k in range(40) for i, (x, y) in enumerate(rng.integers(0, 500, (60, 2)))]
+    d = spark.createDataFrame(rows, "track_id int, seq int, x double, y double").repartition(3)
+    with scope():
+        got, want = (sequential.thin_by_distance(d, T, "x", "y", 380.0, split=s) for s in (5, None))
+        same_rows(got, want)
+
+
 def test_tables_go_with_their_scope(spark):
     from pathlib import Path
 

@@ -157,7 +157,7 @@ def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
     track = table.schema["track"].dataType
     field = lambda name, kind: T.StructField(name, kind)
     ints, doubles = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
-    # rows [lo, hi] of a chunk lead to a row (goal) of a later one, and from there to its open row (then)
+    # open rows in [lo, hi] of a chunk that no chunk before ``to`` ends lead to its row goal, and from there to its open row (then)
     answer = T.StructType([field("track", track), field("chunk", T.IntegerType()), field("to", T.IntegerType()), *[field(c, ints) for c in ("lo", "hi", "goal", "then")], field("rows", ints), field("states", doubles)])
 
     nothing = np.zeros(0, np.int64)
@@ -182,10 +182,12 @@ def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
         states = batch.column("states")[i].values.to_numpy().reshape(len(rows), -1)
         goal = c.enter(states)
         ends, to, asked = goal < c.n, batch.column("to")[i].as_py(), batch.column("asked")[i].as_py()
-        r, g = rows[ends], goal[ends]
-        cut = np.flatnonzero(np.diff(g, prepend=-1))
-        upto = np.append(cut[1:], len(g))[: len(cut)] - 1
-        yield asked, to, r[cut], r[upto], g[cut], c.last()[g[cut]], nothing, nothing
+        # rows that go on part the ranges, too; rows answered before lie in ranges, but the walk takes the first answer
+        cut = np.flatnonzero(np.diff(goal, prepend=-1))
+        upto = np.append(cut[1:], len(goal))[: len(cut)] - 1
+        cut, upto = cut[ends[cut]], upto[ends[cut]]
+        g = goal[cut]
+        yield asked, to, rows[cut], rows[upto], g, c.last()[g], nothing, nothing
         if not ends.all():
             yield asked, to + 1, *(nothing,) * 4, rows[~ends], c.passed(states[~ends]).ravel()
 
@@ -213,6 +215,8 @@ def entries(table: DataFrame, columns: list[str], make: Make) -> DataFrame:
         leads: dict[int, list[tuple]] = {}
         for r in t.select(["chunk", "to", "lo", "hi", "goal", "then"]).to_pylist():
             leads.setdefault(r["chunk"], []).append(r)
+        for answers in leads.values():
+            answers.sort(key=lambda r: r["to"])
         size = max(r["to"] for r in leads[0] + leads.get(-1, []))
         entry, run = [None] * (size + 1), [None] * (size + 1)
         chunk, row, going = 0, 0, None
