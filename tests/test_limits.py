@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 from decimal import Decimal
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -89,3 +90,28 @@ def test_pieces_of_two_rows_have_no_error(equal):
         got = sequential.best_pieces(x, y, 5)
         assert got == sequential.best_pieces(x + 1e4 / 3, y, 5)
     equal("piecewise_segments", *[[(7 * i + k + 1, round(float(v), 2)) for k, v in enumerate(RNG.integers(1, 6000, 8) / 100)] for i in range(40)])
+
+
+def _exact_pieces(x: list[float], y: list[float], count: int) -> list[int]:
+    """The best pieces by exact arithmetic; of equal sums the first."""
+    x, y, n = [Fraction(v) for v in x], [Fraction(v) for v in y], len(x)
+
+    def error(i: int, j: int) -> Fraction:
+        mx, my = sum(x[i:j]) / (j - i), sum(y[i:j]) / (j - i)
+        xx, xy = sum((a - mx) ** 2 for a in x[i:j]), sum((a - mx) * (b - my) for a, b in zip(x[i:j], y[i:j], strict=True))
+        return Fraction(0) if j - i == 2 else sum((b - my) ** 2 for b in y[i:j]) - (xy * xy / xx if xx else 0)
+
+    best = {0: (Fraction(0), [0])}
+    for _ in range(count):
+        best = {j: min((best[i][0] + error(i, j), i, best[i][1]) for i in range(j) if i in best) for j in range(1, n + 1) if min(best) < j}
+        best = {j: (cost, [*cuts, j]) for j, (cost, _, cuts) in best.items()}
+    return best[n][1]
+
+
+def test_equal_sums_of_pieces_begin_early():
+    """Rows at one place, then two at the next one: the first of these is on a line with the former, or with the latter."""
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        x = np.repeat(np.round(np.cumsum(rng.uniform(5, 200, 6)), 2), [1, 2, 3, 1, 4, 2])
+        y = np.round(rng.normal(0, 40, len(x)), 2) / 1e5
+        assert sequential.best_pieces(x, y, 4) == _exact_pieces(x.tolist(), y.tolist(), 4)

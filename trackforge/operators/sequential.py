@@ -347,6 +347,8 @@ def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400
     s = lambda v: np.concatenate([[0.0], np.cumsum(v)])
     x0, y0 = x - x.mean(), y - y.mean()
     sums = np.stack([s(x0), s(y0), s(x0 * x0), s(x0 * y0), s(y0 * y0)])
+    least, moves = NO_ERROR * sums[4, -1], np.append(np.flatnonzero(np.diff(x)) + 1, n)
+    same = moves[np.searchsorted(moves, np.arange(n), side="right")]  # the row up to which all are at one place
 
     def solve(at: np.ndarray, bound: float) -> tuple[float, list[int]]:
         sx, sy, sxx, sxy, syy = sums[:, at]
@@ -356,20 +358,21 @@ def best_pieces(x: np.ndarray, y: np.ndarray, count: int, most_points: int = 400
             m = at[j] - at[i]
             dx, dy = sx[j] - sx[i], sy[j] - sy[i]
             vxx, vxy, vyy = sxx[j] - sxx[i] - dx * dx / m, sxy[j] - sxy[i] - dx * dy / m, syy[j] - syy[i] - dy * dy / m
-            e = vyy - np.where(vxx > 0, vxy * vxy / np.where(vxx > 0, vxx, 1), 0)
-            return np.where((m > 2) & (e > NO_ERROR * sums[4, -1]), e, 0.0)
+            sloped = (at[j] > same[at[i]]) & (vxx > 0)  # rounding leaves some at one place, too
+            e = vyy - np.where(sloped, vxy * vxy / np.where(sloped, vxx, 1), 0)
+            return np.where((m > 2) & (e > least), e, 0.0)
 
         p = len(at) - 1
         k = min(count, p)
-        cost, back, each, lo = np.full((k + 1, p + 1), np.inf), np.zeros((k + 1, p + 1), np.int32), np.arange(k), 0
+        cost, back, lo = np.full((k + 1, p + 1), np.inf), np.zeros((k + 1, p + 1), np.int32), 0
         cost[0, 0] = 0
         for j in range(1, p + 1):
             e = error(lo, j)
             skip = int((e <= bound).argmax())
             lo, e = lo + skip, e[skip:]
             c = cost[:k, lo:j] + e
-            best = c.argmin(1)
-            cost[1:, j], back[1:, j] = c[each, best], best + lo
+            cost[1:, j] = c.min(1)
+            back[1:, j] = (c <= cost[1:, j, None] + least).argmax(1) + lo  # the first but for rounding
         cuts, j = [n], p
         for i in range(k, 0, -1):
             j = int(back[i, j])
