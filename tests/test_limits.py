@@ -12,6 +12,7 @@ from pyspark.sql import types as ST
 from trackforge import io_queries, queries  # noqa: F401
 from trackforge.operators import sequential
 from trackforge.operators.runs import Spaced
+from trackforge.sources.shared import scope
 
 ROW = ST.StructType([ST.StructField(n, k) for n, k in (("event_id", ST.LongType()), ("ts", ST.TimestampNTZType()), ("user_id", ST.LongType()), ("event_type", ST.StringType()), ("value", ST.DoubleType()), ("props", ST.StringType()))])
 
@@ -53,6 +54,42 @@ def test_halves_of_a_digit(equal, name):
     equal(name, *[[(7 * i + k, round(float(v), 2)) for k, v in enumerate(RNG.integers(0, 4000, 4) / 100)] for i in range(60)])
 
 
+def exact_filter(xy: np.ndarray, dt: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """kalman_2d by the formulas of textbooks, in fractions."""
+    q, r, p0, x = Fraction(1e-5), Fraction(1e-3), Fraction(100), [[Fraction(z), Fraction(0)] for z in xy[0].tolist()]
+    p11, p12, p22, out = p0, Fraction(0), p0, []
+    for i, d in enumerate(map(Fraction, dt.tolist())):
+        z = [Fraction(v) for v in xy[i].tolist()]
+        if on[i]:
+            s11, s12, s22 = p11 + 2 * d * p12 + d * d * p22 + q, p12 + d * p22, p22 + q
+            g, h = s11 / (s11 + r), s12 / (s11 + r)
+            x = [[a + d * u + g * (v - a - d * u), u + h * (v - a - d * u)] for (a, u), v in zip(x, z, strict=True)]
+            p11, p12, p22 = (1 - g) * s11, (1 - g) * s12, s22 - h * s12
+        else:
+            seen = xy[max(0, i - 4) : i + 1].tolist()
+            x, p11, p12, p22 = [[sum(map(Fraction, c)) / len(seen), Fraction(0)] for c in zip(*seen, strict=True)], p0, Fraction(0), p0
+        out.append([float(a) for a, _ in x])
+    return np.array(out)
+
+
+def test_filter_after_long_steps(spark):
+    """Rows that follow hours after others, then seconds: what is left of the covariance isn't what rounding leaves."""
+    rng, rows, want = np.random.default_rng(7), [], []
+    for k in range(12):
+        n = 45
+        time = np.cumsum(rng.choice([0.5, 3.0, 20.0, 4000.0, 40_000.0, 200_000.0], n))
+        xy, v = np.column_stack([51 + rng.exponential(50, n) / 1000, 11 + rng.integers(0, 100, n) / 1000]), rng.choice([10.0, 50.0, 90.0], n, p=[0.4, 0.2, 0.4])
+        time -= time[0]
+        want += exact_filter(xy, np.diff(time, prepend=time[:1]), sequential.moving_state(time, v, 60.0, 40.0, 3600.0)).tolist()
+        rows += [(k, i, float(time[i]), float(v[i]), *xy[i].tolist()) for i in range(n)]
+    d = spark.createDataFrame(rows, "track_id int, seq int, elapsed_time_s double, speed double, lat double, lon double").repartition(3)
+    with scope():
+        for split in (None, 5):
+            got = sequential.kalman_track(d, queries.T, "lat", "lon", "speed", move=60.0, stop=40.0, hold=3600.0, split=split).orderBy("track_id", "seq").collect()
+            assert 100 < sum(r["is_moving"] for r in got) < len(got) - 100
+            assert np.abs(np.array([[r["lat_smoothed_kalman"], r["lon_smoothed_kalman"]] for r in got]) - want).max() < 1e-12
+
+
 def test_spacing_at_its_limit():
     """The search in chunks and SQL take the same rows where the distance is the least one but for rounding."""
     a = RNG.integers(0, 10_000, (20_000, 2)) / 10.0

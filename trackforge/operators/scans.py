@@ -5,6 +5,8 @@ covariance C + ... that eta and J correct for what is seen [Särkkä and García
 neighbours combine into one, so a chunk of rows is one element, found by pairs; a walk over the
 chunks' elements, a few numbers each, gives the state at which each chunk begins, and the filter then
 runs in all chunks at once. Steps are those of the sequential filters, so the results are theirs, to rounding.
+For places and speeds, whose steps may be hours long, covariances go first, as products of matrices without
+a negative number; with them, what a chunk makes of a place and speed is linear.
 
 Whether a vehicle moves has a memory of its own: it flips after some seconds of turning speed. Flips are
 the runs of runs.py: where the next one is depends on the row and direction of the last alone.
@@ -78,21 +80,69 @@ def walk_steps(z: np.ndarray, q: float, r: float) -> Elements:
     return Elements(cube(1 - k), cube(k * y), cube((1 - k) * q), cube(np.where(known, y / s, 0.0)), cube(np.where(known, 1 / s, 0.0)))
 
 
-def moving_steps(xy: np.ndarray, dt: np.ndarray, on: np.ndarray, rest: np.ndarray, q: float, r: float, p0: float) -> Elements:
-    """Steps of a constant-velocity filter (place and speed along each axis, alike on both) where on; elsewhere
-    the state is the place given as rest, of which it is as unsure as at the start."""
-    n = len(dt)
-    f = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
-    f[:, 0, 1] = dt
-    h, noise = np.array([[1.0, 0.0]]), q * np.eye(2)
-    s = q + r
-    keep = np.eye(2) - (noise @ h.T / s) @ h
-    on3 = on[:, None, None]
-    a = np.where(on3, keep @ f, 0.0)
-    b = np.where(on3, (noise @ h.T / s) @ xy[:, None, :], np.stack([rest, np.zeros_like(rest)], 1))
-    c = np.where(on3, keep @ noise, p0 * np.eye(2))
-    fh = np.swapaxes(f, 1, 2) @ h.T
-    return Elements(a, b, c, np.where(on3, fh / s @ xy[:, None, :], 0.0), np.where(on3, fh / s @ np.swapaxes(fh, 1, 2), 0.0))
+#: A constant-velocity filter's covariance (place and speed along an axis, alike on both axes) is kept as p11, p12, p22 and
+#: its determinant. A step is then made of sums and products of what isn't negative, so that no digits cancel, however long
+#: the step: (1 - gain) * p11 has none left when a row follows hours after the last.
+
+
+def fresh(p0: float) -> tuple[float, float, float, float]:
+    """The covariance at a start."""
+    return p0, 0.0, p0, p0 * p0
+
+
+def gains(dt: np.ndarray, on: np.ndarray, q: float, r: float, p0: float, cov: tuple[float, float, float, float]) -> np.ndarray:
+    """Each step's gains of place and speed, and what stays of the place before and, by second, of the speed:
+    n x 4. Zeros where not on, from where the covariance is that of a start again."""
+    out = np.zeros((len(dt), 4))
+    p11, p12, p22, det = cov
+    for i, (d, moves) in enumerate(zip(dt.tolist(), on.tolist(), strict=True)):
+        if not moves:
+            p11, p12, p22, det = fresh(p0)
+            continue
+        s11, s12, s22 = p11 + 2 * d * p12 + d * d * p22 + q, p12 + d * p22, p22 + q
+        n, det = s11 + r, det + q * (p22 + s11)
+        out[i] = s11 / n, s12 / n, r / n, (p11 + d * p12 + q + r) / n
+        p11, p12, p22, det = r * s11 / n, r * s12 / n, (det + r * s22) / n, r * det / n
+    return out
+
+
+def covariance_steps(dt: np.ndarray, on: np.ndarray, q: float, r: float, p0: float) -> np.ndarray:
+    """Steps of the covariance as matrices of what isn't negative, that map (1, p11, p12, p22, determinant) to a multiple
+    of what follows: n x 5 x 5."""
+    m = np.zeros((len(dt), 5, 5))
+    ahead = np.stack([np.ones_like(dt), 2 * dt, dt * dt], 1)  # of the place, from p11, p12, p22
+    m[:, 0, 0], m[:, 0, 1:4] = q + r, ahead
+    m[:, 1, 0], m[:, 1, 1:4] = r * q, r * ahead
+    m[:, 2, 2], m[:, 2, 3] = r, r * dt
+    m[:, 3, 0], m[:, 3, 1:4], m[:, 3, 4] = q * q + r * q, q * ahead, 1
+    m[:, 3, 3] += q + r
+    m[:, 4, 0], m[:, 4, 1:4], m[:, 4, 4] = r * q * q, r * q * ahead, r
+    m[:, 4, 3] += r * q
+    m[~on] = np.outer([1.0, *fresh(p0)], [1.0, 0, 0, 0, 0])
+    return m
+
+
+def covariance_product(m: np.ndarray) -> np.ndarray:
+    """All steps as one, by pairs of neighbours; the largest number is 1."""
+    while len(m) > 1:
+        rest = m[len(m) - len(m) % 2 :]
+        m = np.concatenate([m[1::2] @ m[0 : len(m) - len(rest) : 2], rest])
+        m = m / m.max((1, 2), keepdims=True)
+    return m[0]
+
+
+def place_map(z: np.ndarray, dt: np.ndarray, on: np.ndarray, rest: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """What steps with gains g make of a state (place and speed along both axes): (from, to, slope), 2 x 2 each. The first
+    sight at rest, from, becomes to, and what a state differs from it by, is multiplied by the slope."""
+    start = np.stack([z[0], np.zeros(2)])
+    x, u, a = start[0], start[1], np.eye(2)
+    for i, d in enumerate(dt.tolist()):
+        if on[i]:
+            (g1, g2, k1, k2), ahead = g[i], x + d * u
+            x, u, a = ahead + g1 * (z[i] - ahead), u + g2 * (z[i] - ahead), np.array([[k1, k1 * d], [-g2, k2]]) @ a
+        else:
+            x, u, a = rest[i], np.zeros(2), np.zeros((2, 2))
+    return np.stack([start, np.stack([x, u]), a])
 
 
 class Moving(runs.Chunk):
@@ -176,21 +226,21 @@ class Moving(runs.Chunk):
         return out
 
 
-def filtered(df: DataFrame, t: Track, columns: list[str], rows: int, before: int, d: int, n_columns: int, steps: Callable, start: Callable, finish: Callable, added: list[tuple[str, T.DataType]], make: runs.Make | None = None) -> DataFrame:
-    """df with the columns that finish(columns, before, extra, mean, covariance) gives for each chunk.
+def filtered(df: DataFrame, t: Track, columns: list[str], rows: int, before: int, passes: list[tuple[Callable, Callable]], finish: Callable, added: list[tuple[str, T.DataType]], make: runs.Make | None = None) -> DataFrame:
+    """df with the columns that finish(columns, before, extra) gives for each chunk.
 
-    steps(columns, before, extra): the chunk's Elements. start(columns, before): the first mean, if the chunk has one
-    (d x n_columns, or None), and its covariance. extra: (nodes, run going on) of the chunk where make is given.
+    passes: (summary(columns, before, extra), walk(summaries)) one after the other. A chunk's summary is a few numbers; from
+    those of a track's chunks in order, a row each, the walk makes the states at which they begin. extra: (nodes, run going
+    on) of the chunk where make is given, and the states of the passes before.
     """
     table = runs.chunks(df, t, columns, rows, before, 0)
     if make:
         e = runs.entries(table, columns, make).withColumnRenamed("track", "of").withColumnRenamed("chunk", "of_chunk")
         table = table.join(written(e, "entries"), F.col("track").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk"))).drop("of", "of_chunk")
     track = table.schema["track"]
-    size = 3 * d * d + 2 * d * n_columns
     doubles = T.ArrayType(T.DoubleType())
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, dict, int, tuple]]:
+    def each(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[tuple[pa.RecordBatch, int, dict, int, tuple]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = lambda c, i=i, batch=batch: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
@@ -199,40 +249,68 @@ def filtered(df: DataFrame, t: Track, columns: list[str], rows: int, before: int
                 if make:
                     c, entry, going = make(own, halo, 0), batch.column("entry")[i].as_py(), batch.column("run")[i].as_py()
                     extra = (c, c.reached(c.n if entry is None else entry), -1 if going is None else going)
-                yield batch, i, own, halo, extra
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, own, halo, extra in each(batches):
-            mean, p = start(own, halo)
-            first = np.concatenate([np.full(d * n_columns, np.nan) if mean is None else np.ravel(mean), np.ravel(p)])
-            flat = np.concatenate([steps(own, halo, extra).product().flat(), first])
-            yield pa.RecordBatch.from_arrays([batch.column("track").slice(i, 1), batch.column("chunk").slice(i, 1), pa.array([flat.tolist()])], ["track", "chunk", "flat"])
-
-    def walk(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk").to_numpy()
-        flat = np.stack([table.column("flat")[i].values.to_numpy() for i in np.argsort(chunk)])
-        known = flat[:, size : size + d * n_columns]
-        first = next((f for f in known if not np.isnan(f).any()), np.zeros(d * n_columns))
-        state = Elements(np.zeros((1, d, d)), first.reshape(1, d, n_columns), flat[0, size + d * n_columns :].reshape(1, d, d), np.zeros((1, d, n_columns)), np.zeros((1, d, d)))
-        out = []
-        for f in flat:
-            out.append(np.concatenate([state.b.ravel(), state.c.ravel()]).tolist())
-            state = state.then(Elements.of(f[:size], d, n_columns))
-        return pa.table({"track": table.column("track"), "chunk": pa.array(np.sort(chunk), pa.int32()), "state": pa.array(out)})
-
-    summed = written(table.mapInArrow(sums, T.StructType([track, T.StructField("chunk", T.IntegerType()), T.StructField("flat", doubles)])), "sums")
-    states = summed.groupBy("track").applyInArrow(walk, T.StructType([track, T.StructField("chunk", T.IntegerType()), T.StructField("state", doubles)]))
-    states = written(states, "states").withColumnRenamed("track", "of").withColumnRenamed("chunk", "of_chunk")
-    ready = table.join(states, F.col("track").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk")))
+                yield batch, i, own, halo, (*extra, *[one(f"state{k}") for k in range(states)])
+
+    def entered(table: DataFrame, k: int, summary: Callable, walk: Callable) -> DataFrame:
+        """table with the states of pass k."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, i, own, halo, extra in each(batches, k):
+                flat = np.ravel(summary(own, halo, extra)).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("track").slice(i, 1), batch.column("chunk").slice(i, 1), pa.array([flat])], ["track", "chunk", "flat"])
+
+        def walked(table: pa.Table) -> pa.Table:
+            chunk = table.column("chunk").to_numpy()
+            flat = np.stack([table.column("flat")[i].values.to_numpy() for i in np.argsort(chunk)])
+            return pa.table({"track": table.column("track"), "chunk": pa.array(np.sort(chunk), pa.int32()), f"state{k}": pa.array([np.ravel(s).tolist() for s in walk(flat)])})
+
+        summed = written(table.mapInArrow(sums, T.StructType([track, T.StructField("chunk", T.IntegerType()), T.StructField("flat", doubles)])), "sums")
+        states = summed.groupBy("track").applyInArrow(walked, T.StructType([track, T.StructField("chunk", T.IntegerType()), T.StructField(f"state{k}", doubles)]))
+        states = written(states, "states").withColumnRenamed("track", "of").withColumnRenamed("chunk", "of_chunk")
+        return table.join(states, F.col("track").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("of_chunk"))).drop("of", "of_chunk")
+
+    for k, (summary, walk) in enumerate(passes):
+        table = entered(table, k, summary, walk)
     schema = T.StructType([T.StructField("_track", track.dataType), T.StructField("_seq", table.schema["seq"].dataType.elementType), *[T.StructField(n, k) for n, k in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, own, halo, extra in each(batches):
-            state = batch.column("state")[i].values.to_numpy()
-            made = finish(own, halo, extra, state[: d * n_columns].reshape(d, n_columns), state[d * n_columns :].reshape(d, d))
+        for batch, i, own, halo, extra in each(batches, len(passes)):
+            made = finish(own, halo, extra)
             seq = batch.column("seq")[i].values
             yield pa.RecordBatch.from_arrays([batch.column("track").take(pa.array(np.full(len(seq), i))), seq, *[pa.array(made[n], from_pandas=True) for n, _ in added]], schema.names)
 
-    out = ready.mapInArrow(run, schema)
+    out = table.mapInArrow(run, schema)
     rest = df.drop(*[n for n, _ in added])
     return rest.join(out, F.col(t.track).eqNullSafe(F.col("_track")) & (F.col(t.seq) == F.col("_seq"))).drop("_track", "_seq")
+
+
+def walk_states(flat: np.ndarray) -> list[np.ndarray]:
+    """(mean, covariance) of a random walk at which chunks begin: from their elements, and the first sight in each (NaN: none)."""
+    size = flat.shape[1] - 1
+    known = flat[~np.isnan(flat[:, size]), size]
+    one = lambda v: np.full((1, 1, 1), float(v))
+    state, out = Elements(one(0), one(known[0] if len(known) else 0), one(1), one(0), one(0)), []
+    for f in flat:
+        out.append(np.array([state.b[0, 0, 0], state.c[0, 0, 0]]))
+        state = state.then(Elements.of(f[:size], 1, 1))
+    return out
+
+
+def covariance_states(flat: np.ndarray, p0: float) -> list[np.ndarray]:
+    """The covariances at which chunks begin, from their products."""
+    w, out = np.array([1.0, *fresh(p0)]), []
+    for m in flat.reshape(-1, 5, 5):
+        out.append(w[1:])
+        w = m @ w
+        w = w / w[0]
+    return out
+
+
+def place_states(flat: np.ndarray) -> list[np.ndarray]:
+    """The states at which chunks begin, from their maps."""
+    maps = flat.reshape(-1, 3, 2, 2)
+    state, out = maps[0, 0], []
+    for start, end, slope in maps:
+        out.append(state)
+        state = end + slope @ (state - start)
+    return out

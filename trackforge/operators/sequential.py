@@ -561,37 +561,38 @@ def kalman_smooth(df: DataFrame, t: Track, column: str, *, q: float = 0.1, r: fl
     name = to or f"{column}_kalman"
     if split:
 
-        def start(c: dict[str, np.ndarray], before: int) -> tuple:
+        def summary(c: dict[str, np.ndarray], before: int, extra: tuple) -> np.ndarray:
             known = c[column][~np.isnan(c[column])]
-            return (known[:1].reshape(1, 1) if len(known) else None), np.ones((1, 1))
+            return np.append(scans.walk_steps(c[column], q, r).product().flat(), known[0] if len(known) else np.nan)
 
-        def finish(c: dict[str, np.ndarray], before: int, extra: tuple, x: np.ndarray, p: np.ndarray) -> dict:
-            return {name: kalman_1d(c[column], q, r, float(p[0, 0]), float(x[0, 0]))}
+        def finish(c: dict[str, np.ndarray], before: int, extra: tuple) -> dict:
+            (x, p), = extra
+            return {name: kalman_1d(c[column], q, r, float(p), float(x))}
 
-        return scans.filtered(df, t, [column], split, 0, 1, 1, lambda c, *_: scans.walk_steps(c[column], q, r), start, finish, [(name, _D)]).select(*[c for c in df.columns if c != name], name)
+        return scans.filtered(df, t, [column], split, 0, [(summary, scans.walk_states)], finish, [(name, _D)]).select(*[c for c in df.columns if c != name], name)
     return per_track(df, t, [column], lambda c: (None, {name: kalman_1d(c[column], q, r)}), [(name, _D)])
 
 
 def kalman_2d(xy: np.ndarray, dt: np.ndarray, on: np.ndarray, q: float = 1e-5, r: float = 1e-3, p0: float = 100.0, window: int = 5, state: tuple[np.ndarray, np.ndarray] | None = None, before: int = 0) -> np.ndarray:
     """Places from a constant-velocity filter where on; elsewhere the mean of the last ``window``
-    sights, from which the filter goes on. state: mean and covariance to start with; before: sights in front
-    of the first step."""
+    sights, from which the filter goes on. state: places and speeds, and the covariance (see scans) to start with; before:
+    sights in front of the first step."""
     out = np.empty_like(xy[before:])
-    x = np.array([*xy[0], 0.0, 0.0]) if len(xy) else None
-    p, h = np.eye(4) * p0, np.eye(2, 4)
+    if not len(xy):
+        return out
+    x, u, cov = xy[0], np.zeros(2), scans.fresh(p0)
     if state:
-        x, p = state
-    for i, z in enumerate(xy[before:]):
-        if not on[i]:
-            out[i] = xy[max(0, before + i + 1 - window) : before + i + 1].mean(0)
-            x, p = np.array([*out[i], 0.0, 0.0]), np.eye(4) * p0
-            continue
-        f = np.eye(4)
-        f[0, 2] = f[1, 3] = dt[i]
-        x, p = f @ x, f @ p @ f.T + q * np.eye(4)
-        g = p @ h.T @ np.linalg.inv(h @ p @ h.T + r * np.eye(2))
-        x, p = x + g @ (z - h @ x), (np.eye(4) - g @ h) @ p
-        out[i] = x[:2]
+        (x, u), cov = state
+    (x, y), (u, v) = x.tolist(), u.tolist()
+    g = scans.gains(dt, on, q, r, p0, tuple(float(c) for c in cov)).tolist()
+    for i, (a, b) in enumerate(xy[before:].tolist()):
+        if on[i]:
+            (g1, g2, *_), d = g[i], float(dt[i])
+            x, y = x + d * u, y + d * v
+            x, y, u, v = x + g1 * (a - x), y + g1 * (b - y), u + g2 * (a - x), v + g2 * (b - y)
+        else:
+            (x, y), u, v = xy[max(0, before + i + 1 - window) : before + i + 1].mean(0).tolist(), 0.0, 0.0
+        out[i] = x, y
     return out
 
 
@@ -621,20 +622,25 @@ def kalman_track(df: DataFrame, t: Track, lat: str, lon: str, speed: str, time:
         def make(c: dict[str, np.ndarray], before: int, after: int) -> scans.Moving:
             return scans.Moving(c[time][before:], c[speed][before:], move, stop, hold)
 
-        def steps(c: dict[str, np.ndarray], before: int, extra: tuple) -> scans.Elements:
-            xy, n = both(c), len(c[time])
+        def covariances(c: dict[str, np.ndarray], before: int, extra: tuple) -> np.ndarray:
+            return scans.covariance_product(scans.covariance_steps(step(c, before), extra[0].moves(*extra[1:3]), q, r, p0))
+
+        def places(c: dict[str, np.ndarray], before: int, extra: tuple) -> np.ndarray:
+            xy, n, on = both(c), len(c[time]), extra[0].moves(*extra[1:3])
             total = np.concatenate([np.zeros((1, 2)), np.cumsum(xy - xy[0], 0)])
             low = np.maximum(np.arange(before, n) + 1 - window, 0)
             rest = xy[0] + (total[before + 1 :] - total[low]) / (np.arange(before, n) + 1 - low)[:, None]
-            return scans.moving_steps(xy[before:], step(c, before), extra[0].moves(*extra[1:]), rest, q, r, p0)
+            dt = step(c, before)
+            return scans.place_map(xy[before:], dt, on, rest, scans.gains(dt, on, q, r, p0, tuple(extra[3].tolist())))
 
-        def finish(c: dict[str, np.ndarray], before: int, extra: tuple, m: np.ndarray, p: np.ndarray) -> dict:
-            on, x = extra[0].moves(*extra[1:]), m.ravel()  # lat, lon, and their speeds
-            xy = kalman_2d(both(c), step(c, before), on, q, r, p0, window, (x, np.kron(p, np.eye(2))), before)
+        def finish(c: dict[str, np.ndarray], before: int, extra: tuple) -> dict:
+            moving, nodes, going, cov, x = extra
+            on = moving.moves(nodes, going)
+            xy = kalman_2d(both(c), step(c, before), on, q, r, p0, window, (x.reshape(2, 2), cov), before)
             return {"is_moving": on, a: xy[:, 0], b: xy[:, 1]}
 
-        start = lambda c, before: (np.stack([both(c)[before], np.zeros(2)]), p0 * np.eye(2))
-        out = scans.filtered(df, t, [time, speed, lat, lon], split, window - 1, 2, 2, steps, start, finish, added, make)
+        passes = [(covariances, lambda flat: scans.covariance_states(flat, p0)), (places, scans.place_states)]
+        out = scans.filtered(df, t, [time, speed, lat, lon], split, window - 1, passes, finish, added, make)
         return out.select(*[c for c in df.columns if c not in {n for n, _ in added}], *[n for n, _ in added])
 
     def kernel(c: dict[str, np.ndarray]) -> tuple:
